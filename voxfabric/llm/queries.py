@@ -5,14 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxfabric.llm import exact_dedup
+from voxfabric.llm import exact_dedup, packing, token_index
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_documents(spark, sf_dir))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_index.write(_documents(spark, sf_dir))
+    return token_index.read_all(index).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -32,6 +43,8 @@ FROM t
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
+        "op9_token_index": op9_token_index,
         "op5_exact_dedup": op5_exact_dedup,
     }
 
