@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfabric.llm import exact_dedup, packing, token_index
+from voxfabric.llm import exact_dedup, language, mixing, packing, token_index
+from voxfabric.llm.common import fold
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,15 +42,91 @@ FROM t
 """
 
 
+def domain_of(source: str = "source") -> Column:
+    """The tables have no domain: sources fall into two by a hash of their names."""
+    return F.when(F.md5(F.coalesce(F.col(source), F.lit(""))) < "8", "a").otherwise("b")
+
+
+#: Target weights of the mix, by level and name; 1 where none is given.
+WEIGHTS = {"domain": {"a": 3, "b": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of the corpus's tokens, dealt by WEIGHTS, in up to two epochs: one row per chosen document and epoch."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, domain_of(), WEIGHTS, fraction=(3, 4), max_epochs=2, seed=7).drop("text")
+
+
+def _fill_sql(nodes: str, parents: str, name: str, out: str) -> str:
+    """Shares of children under their caps, as mixing.fill finds them."""
+    by = f"PARTITION BY {parents} " if parents else ""
+    cols = f"{parents}, {name}" if parents else name
+    return f"""
+{out}_m AS (
+  SELECT *, CAST(cap AS HUGEINT) * sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+         <= CAST(budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) * weight AS is_full
+  FROM {nodes} WINDOW o AS ({by}ORDER BY CAST(cap AS DOUBLE) / weight, {name})
+),
+{out} AS (
+  SELECT {cols}, CAST(CASE WHEN is_full THEN cap ELSE
+    (budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER ({by}), 0)) * weight // sum(CASE WHEN NOT is_full THEN weight END) OVER ({by}) END AS HUGEINT) AS budget
+  FROM {out}_m
+)"""
+
+
+def mix_sql(documents: str, fraction: str, max_epochs: int, seed: int) -> str:
+    """CTEs from a relation of documents to picked(doc_id, mix_epoch, ...), for DuckDB."""
+    langs = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS["lang"].items())
+    domains = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS["domain"].items())
+    return rf"""
+d AS (
+  SELECT *, CASE WHEN md5(coalesce(source, '')) < '8' THEN 'a' ELSE 'b' END AS dom,
+         coalesce(lang, 'none') AS lng, coalesce(source, 'none') AS src,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n
+  FROM {documents}
+),
+leaf AS (SELECT dom, lng, src, sum(n) AS tokens, sum(n) * {max_epochs} AS cap FROM d GROUP BY ALL),
+n1 AS (SELECT dom, sum(cap) AS cap, CASE dom {domains} ELSE 1 END AS weight, (SELECT sum(tokens) * {fraction} FROM leaf) AS budget FROM leaf GROUP BY dom),
+{_fill_sql("n1", "", "dom", "s1")},
+n2 AS (SELECT dom, lng, sum(cap) AS cap, CASE lng {langs} ELSE 1 END AS weight, any_value(budget) AS budget FROM leaf JOIN s1 USING (dom) GROUP BY dom, lng),
+{_fill_sql("n2", "dom", "lng", "s2")},
+n3 AS (SELECT dom, lng, src, sum(cap) AS cap, 1 AS weight, any_value(budget) AS budget FROM leaf JOIN s2 USING (dom, lng) GROUP BY dom, lng, src),
+{_fill_sql("n3", "dom, lng", "src", "s3")},
+share AS (
+  SELECT dom, lng, src, CASE WHEN tokens = 0 THEN 1 ELSE budget // tokens END AS whole, CASE WHEN tokens = 0 THEN 0 ELSE budget % tokens END AS rest
+  FROM leaf JOIN s3 USING (dom, lng, src)
+),
+placed AS (
+  SELECT *, md5('{seed}-' || CAST(whole AS VARCHAR) || '-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS u FROM d JOIN share USING (dom, lng, src)
+),
+timed AS (
+  SELECT *, whole + CASE WHEN rest > 0 AND sum(n) OVER (PARTITION BY dom, lng, src ORDER BY u) <= rest THEN 1 ELSE 0 END AS times FROM placed
+),
+picked AS (SELECT * EXCLUDE (dom, lng, src, n, whole, rest, u, times), CAST(unnest(range(0, CAST(times AS BIGINT))) AS INTEGER) AS mix_epoch FROM timed)"""
+
+
+OP4_SQL = f"WITH {mix_sql('documents', '3 // 4', 2, 7)}\nSELECT doc_id, lang, source, mix_epoch FROM picked"
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language.train(language.training_rows(docs))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op9_token_index": op9_token_index,
+        "op4_mixing": op4_mixing,
+        "op6_language_id": op6_language_id,
         "op5_exact_dedup": op5_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mixing": OP4_SQL,
         "op5_exact_dedup": OP5_SQL,
     }
