@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfabric.llm import exact_dedup, language, mixing, packing, token_index
+from voxfabric.llm import exact_dedup, language, mixing, packing, substring_dedup, token_index
 from voxfabric.llm.common import fold
 
 
@@ -82,7 +82,8 @@ def mix_sql(documents: str, fraction: str, max_epochs: int, seed: int) -> str:
 d AS (
   SELECT *, CASE WHEN md5(coalesce(source, '')) < '8' THEN 'a' ELSE 'b' END AS dom,
          coalesce(lang, 'none') AS lng, coalesce(source, 'none') AS src,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n
   FROM {documents}
 ),
 leaf AS (SELECT dom, lng, src, sum(n) AS tokens, sum(n) * {max_epochs} AS cap FROM d GROUP BY ALL),
@@ -115,11 +116,33 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13),
+h AS (SELECT s.doc_id, i, md5_number(array_to_string(w[i : i + 12], ' ')) AS h FROM s JOIN t USING (doc_id)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM h) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM hit, (SELECT unnest(range(13)) AS k)),
+lost AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT t.doc_id, len(w) AS n_words, coalesce(len(js), 0) AS n_removed,
+         CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(js, j)) END AS k
+  FROM t LEFT JOIN lost USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op9_token_index": op9_token_index,
         "op4_mixing": op4_mixing,
+        "op10_substring_dedup": op10_substring_dedup,
         "op6_language_id": op6_language_id,
         "op5_exact_dedup": op5_exact_dedup,
     }
@@ -128,5 +151,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": OP4_SQL,
+        "op10_substring_dedup": OP10_SQL,
         "op5_exact_dedup": OP5_SQL,
     }
