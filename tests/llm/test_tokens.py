@@ -3,18 +3,23 @@ from itertools import accumulate
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from voxfabric.llm import packing, token_index
 from voxfabric.llm.tokens import Encoder, default_tokenizer
 
-TEXTS = ["", None, "a", "Hello  world\n\n\tIt's we'LL 123 ½² x y\x1c\x1dz \x85 <|endoftext|> été—日本 \U0001f600", "word " * 5000, "  ", "a", "\n", "the the The 'S"]
+TEXTS = ["", None, "a", "Hello  world\n\n\tIt's we'LL 123 ½² x y\x1c\x1dz \x85 <|endoftext|> été—日本 \U0001f600", "word " * 5000, "  ", "a", "\n", "the the The 'S", "Ünïcode_é×÷ x_y __ 12a ß\x1cq\x7f it'll's '' !'re\n \t \n x"]
+
+
+ENCODER = Encoder(default_tokenizer(), max_pieces=50)
+TOKENIZER = Tokenizer.from_file(default_tokenizer())
+TOKENIZER.encode_special_tokens = True
 
 
 def whole(text):
-    t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +34,12 @@ def test_pieces_equal_whole_texts():
     assert got == [whole(t) for t in TEXTS]
 
 
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aé '\n\t_1×sre")), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_any_text_like_the_tokenizer(text):
+    assert np.frombuffer(ENCODER.encode([text])[0], ENCODER.dtype).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_round_trip(spark, docs):
     pieces = packing.pack(docs, length=64)
     rows = pieces.collect()
