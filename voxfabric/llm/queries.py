@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfabric.llm import exact_dedup, language, mixing, packing, substring_dedup, token_index
+from voxfabric.llm import exact_dedup, hmm, language, mixing, packing, substring_dedup, token_index
 from voxfabric.llm.common import fold
 
 
@@ -116,6 +116,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return hmm.score(docs, fold() != 1).withColumn("held_out", fold() == 1)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -142,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op9_token_index": op9_token_index,
         "op4_mixing": op4_mixing,
+        "op2_hmm_score": op2_hmm_score,
         "op10_substring_dedup": op10_substring_dedup,
         "op6_language_id": op6_language_id,
         "op5_exact_dedup": op5_exact_dedup,
