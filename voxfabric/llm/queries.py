@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfabric.llm import exact_dedup, hmm, language, mixing, packing, substring_dedup, token_index
+from voxfabric.llm import exact_dedup, hmm, language, mixing, packing, quality, substring_dedup, token_index
 from voxfabric.llm.common import fold
 
 
@@ -121,6 +121,13 @@ def op2_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(docs, fold() != 1).withColumn("held_out", fold() == 1)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold() != 0).select("doc_id", "quality")
+    net = quality.train(docs.where(fold() != 0).join(labels, "doc_id"))
+    return quality.score(docs, net).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -147,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op9_token_index": op9_token_index,
         "op4_mixing": op4_mixing,
+        "op8_quality": op8_quality,
         "op2_hmm_score": op2_hmm_score,
         "op10_substring_dedup": op10_substring_dedup,
         "op6_language_id": op6_language_id,
