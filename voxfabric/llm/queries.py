@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfabric.llm import exact_dedup, hmm, language, mixing, packing, quality, similarity_join, substring_dedup, token_index
+from voxfabric.llm import exact_dedup, fingerprints, hmm, language, mixing, packing, quality, similarity_join, substring_dedup, token_index
 from voxfabric.llm.common import fold
 
 
@@ -132,6 +132,10 @@ def op3_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join.join(_documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(_documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -158,6 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op9_token_index": op9_token_index,
         "op4_mixing": op4_mixing,
+        "op7_fingerprints": op7_fingerprints,
         "op3_similarity_join": op3_similarity_join,
         "op8_quality": op8_quality,
         "op2_hmm_score": op2_hmm_score,
