@@ -66,11 +66,16 @@ def build(keys: np.ndarray) -> np.ndarray:
                 out[rest] = -1 - next(free)
             break
         d = 0
-        while True:
-            slots = _mix(own, d + 3) % np.uint64(n)
-            if not taken[slots].any() and len(set(slots.tolist())) == len(own):
+        while True:  # 128 displacements at a time
+            tried = _mix(own[:, None], np.arange(d, d + 128)[None, :] + 3) % np.uint64(n)
+            good = ~taken[tried].any(0)
+            inner = np.sort(tried, 0)
+            good &= (inner[1:] != inner[:-1]).all(0)
+            if good.any():
+                d += int(np.argmax(good))
+                slots = tried[:, np.argmax(good)]
                 break
-            d += 1
+            d += 128
         taken[slots] = True
         out[g] = d
     return out
