@@ -23,14 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.shingles import Words
+from voxfabric.llm.shingles import Words, mix
 
 #: Phrases that a task holds at a time (about 60 bytes each while it sorts).
 TASK_PHRASES = 1 << 22
 #: Phrases that a block is planned for.
 BLOCK_PHRASES = 1 << 22
 
-_REQUEST = "block int, doc_id long, ids binary, phrases binary, rows binary, places binary"
+_REQUEST = "block int, ids binary, phrases binary, rows binary, places binary"
+_HITS = "part int, ids binary, rows binary, places binary"
 _HIT = "doc_id long, places binary"
 
 
@@ -45,16 +46,19 @@ def _unplanes(data: bytes, kind: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(flat.T).view(kind).reshape(-1)
 
 
-def _by_doc(ids: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((places, ids))
-    ids, places = ids[order], places[order].astype("<i4")
-    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
-    for a, b in zip(starts, [*starts[1:], len(ids)]):
-        yield int(ids[a]), places[a:b].tobytes()
+def _packed(ids: np.ndarray, places: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Places by part of their documents' ids: part, distinct ids, and per place the id's number and the place."""
+    part = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((places, ids, part))
+    part, ids, places = part[order], ids[order], places[order]
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(part) else []
+    for a, b in zip(starts, [*starts[1:], len(part)]):
+        own, row = np.unique(ids[a:b], return_inverse=True)
+        yield int(part[a]), own.astype("<i8").tobytes(), _planes(row.astype("<u4")), _planes(places[a:b].astype("<u4"))
 
 
 def repeated_places(docs: DataFrame, window: int, blocks: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, places (int32): the starts of windows that a document with a smaller id has too. Several rows a document."""
+    """doc_id, places (int32): the starts of windows that a document with a smaller id has too."""
     shift = np.uint64(64 - (blocks - 1).bit_length()) if blocks > 1 else None
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,21 +77,17 @@ def repeated_places(docs: DataFrame, window: int, blocks: int, doc_id: str, text
             new = np.concatenate([[True], phrase[1:] != phrase[:-1]])
             least = row[np.flatnonzero(new)][np.cumsum(new) - 1]
             here = row != least  # repeats of a smaller document of this task
-            hits = list(_by_doc(own[row[here]], place[here]))
+            for part, some, rows, places in _packed(own[row[here]], place[here], blocks):  # settled: blocks pass them on
+                yield table(part, some, None, rows, places)
             phrase, row, place = phrase[~here], row[~here], place[~here]
             cuts = np.searchsorted(phrase, np.arange(1, blocks, dtype=np.uint64) << shift) if blocks > 1 else []
             for b, (x, y) in enumerate(zip([0, *cuts], [*cuts, len(phrase)])):
                 if y > x:
                     some, local = np.unique(row[x:y], return_inverse=True)
-                    yield table([b], [None], [own[some].astype("<i8").tobytes()], [_planes(phrase[x:y])], [_planes(local.astype("<u4"))], [_planes(place[x:y])])
-            for at in range(0, len(hits), 10_000):  # settled here; blocks only pass them on
-                part = hits[at : at + 10_000]
-                none = [None] * len(part)
-                yield table([h[0] % blocks for h in part], [h[0] for h in part], none, none, none, [h[1] for h in part])
+                    yield table(b, own[some].astype("<i8").tobytes(), _planes(phrase[x:y]), _planes(local.astype("<u4")), _planes(place[x:y]))
 
-        def table(*columns: list) -> pa.RecordBatch:
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "doc_id", "ids", "phrases", "rows", "places"])
+        def table(block: int, *columns: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([c], pa.binary()) for c in columns]], names=["block", "ids", "phrases", "rows", "places"])
 
         total = 0
         for batch in batches:
@@ -103,8 +103,8 @@ def repeated_places(docs: DataFrame, window: int, blocks: int, doc_id: str, text
         yield from flush()
 
     def answer(key: tuple, rows: pa.Table) -> pa.Table:
-        settled = pc.is_valid(rows["doc_id"])
-        passed = rows.filter(settled).select(["doc_id", "places"])
+        settled = pc.is_null(rows["phrases"])
+        passed = rows.filter(settled).select(["block", "ids", "rows", "places"]).rename_columns(["part", "ids", "rows", "places"])
         parts = rows.filter(pc.invert(settled)).to_pylist()
         if not parts:
             return passed
@@ -115,12 +115,22 @@ def repeated_places(docs: DataFrame, window: int, blocks: int, doc_id: str, text
         phrase, doc, place = phrase[order], doc[order], place[order]
         new = np.concatenate([[True], phrase[1:] != phrase[:-1]])
         there = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        out = list(_by_doc(doc[there], place[there]))
-        found = pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["doc_id", "places"])
+        out = list(zip(*_packed(doc[there], place[there], blocks))) or [[]] * 4
+        found = pa.table([pa.array(c, k) for c, k in zip(out, passed.schema.types)], names=passed.column_names)
         return pa.concat_tables([passed, found])
 
+    def gather(key: tuple, rows: pa.Table) -> pa.Table:
+        parts = rows.to_pylist()
+        doc = np.concatenate([np.frombuffer(p["ids"], "<i8")[_unplanes(p["rows"], "<u4")] for p in parts])
+        place = np.concatenate([_unplanes(p["places"], "<u4") for p in parts])
+        order = np.argsort(doc, kind="stable")
+        doc, place = doc[order], place[order].astype("<i4")
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        spans = zip(starts.tolist(), [*starts[1:].tolist(), len(doc)])
+        return pa.table([pa.array(doc[starts], pa.int64()), pa.array([place[a:b].tobytes() for a, b in spans], pa.binary())], names=["doc_id", "places"])
+
     asked = docs.select(F.col(doc_id).cast("long"), text).mapInArrow(ask, _REQUEST)
-    return asked.groupBy("block").applyInArrow(answer, _HIT)
+    return asked.groupBy("block").applyInArrow(answer, _HITS).groupBy("part").applyInArrow(gather, _HIT)
 
 
 def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -147,8 +157,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     blocks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // 6 // BLOCK_PHRASES)
     blocks = 1 << (blocks - 1).bit_length()
-    hits = repeated_places(docs, window, blocks, doc_id, text)
-    places = hits.groupBy("doc_id").agg(F.collect_list("places").alias("places"))  # as long as the document
+    places = repeated_places(docs, window, blocks, doc_id, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = rows.join(places.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").cast("long") == F.col("hit_id"), "left").select("doc_id", "text", "places")
 
@@ -157,7 +166,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "spans": []}
             for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = Words(t).words
-                spans = factors(np.concatenate([np.frombuffer(x, "<i4") for x in p]), window) if p else []
+                spans = factors(np.frombuffer(p, "<i4"), window) if p else []
                 spans = [(a, min(b, len(words))) for a, b in spans if a < len(words)]
                 kept, at = [], 0
                 for a, b in spans:
