@@ -66,7 +66,7 @@ def docs(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("aeté\U0001f600n ") for _ in range(r.randint(1, 6)))
     rows = [(i * 5 % 101, "".join(word() for _ in range(r.choice([0, 1, 2, 5, 30, 200])))) for i in range(60)]
-    rows += [(200, None), (201, ""), (202, "a" * 3000), (203, "abcdefg"), (204, "abcdefgh"), (205, "ab" * 500), (None, "null id"), (206, "\r\n  x" * 9)]
+    rows += [(200, None), (201, ""), (202, "a" * 100_000), (203, "abcdefg"), (204, "abcdefgh"), (205, "ab" * 500), (None, "null id"), (206, "\r\n  x" * 9)]
     return spark.createDataFrame([(*x, "c", 1) for x in rows], "doc_id long, text string, fingerprint string, key int").repartition(5)
 
 

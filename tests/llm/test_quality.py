@@ -46,17 +46,17 @@ def docs(spark):
 
 
 def test_held_out_accuracy(spark, docs):
-    net = quality.train(docs.where(fold() != 0), passes=8)
+    net = quality.train(docs, docs.where(fold() != 0).select("doc_id", "quality"), passes=8)
     held = quality.score(docs.where(fold() == 0), net).collect()
     assert np.mean([r.predicted == r.quality for r in held]) > 0.9
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in held)
 
 
 def test_edges(spark, docs):
-    net = quality.train(docs.limit(0))
+    net = quality.train(docs, docs.limit(0))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 70_000), (None, "x")], "doc_id long, text string")
     got = quality.score(odd, net).collect()
     assert len(got) == 4 and got[0].score == got[1].score
     assert quality.score(odd.limit(0), net).collect() == []
-    one = quality.train(docs.where(F.col("quality") == 1))
+    one = quality.train(docs, docs.where(F.col("quality") == 1))
     assert one.bias[0] > 0

@@ -23,15 +23,17 @@ from voxfabric.llm.common import cut, stored, text_column
 
 K = 8
 BINS_BITS = 5
-TUPLE = 2
+TUPLE = 2  # as the entries are made for two
 _PLACE_BITS = 31  # a string has fewer characters
 _BIN_SHIFT = _PLACE_BITS + 32 - BINS_BITS
 
 
 def _kmers(text: Column, k: int) -> Column:
     """Every run of k code points; the text itself if it is shorter, nothing if it is empty."""
+    find = lambda pattern: F.regexp_extract_all(text, F.lit(pattern % k), F.lit(1))
     # A search by look-ahead stops at each UTF-16 unit; the second half of a pair is no place.
-    runs = F.regexp_extract_all(text, F.lit(r"(?s)(?![\uDC00-\uDFFF])(?=(.{%d}))" % k), F.lit(1))
+    paired = text.rlike(r"[\x{10000}-\x{10FFFF}]")
+    runs = F.when(paired, find(r"(?s)(?![\uDC00-\uDFFF])(?=(.{%d}))")).otherwise(find(r"(?s)(?=(.{%d}))"))
     return F.when(F.length(text) >= k, runs).when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
 
 
@@ -47,47 +49,44 @@ def _place(x: Column) -> Column:
     return x.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
 
 
-def _bin(x: Column) -> Column:
-    return F.shiftright(x, _BIN_SHIFT)
+def _numbers(again: Column) -> Column:
+    """2, 3, ... for the entries of each k-mer in a sorted array that lacks first occurrences.
 
-
-def _occurrence(s: Column, x: Column, i: Column) -> Column:
-    """How many entries of the sorted array s up to i have x's k-mer: found near by, else by doubling steps back."""
-    same = lambda j: F.get(s, j).isNotNull() & (_rank(F.get(s, j)) == _rank(x))
-    steps = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
-    far = F.aggregate(steps, F.lit(0), lambda a, p: F.when((i - a >= p) & same(i - a - p), a + p).otherwise(a))
-    return F.when(~same(i - 2), 2).when(~same(i - 3), 3).when(~same(i - 4), 4).otherwise(far + 1)
-
-
-def _least(a: Column) -> Column:
-    """The first TUPLE entries of each bin of a sorted array."""
-    return F.filter(a, lambda x, i: (i < TUPLE) | (_bin(F.get(a, i - TUPLE)) != _bin(x)))
-
-
-def _tuples(a: Column) -> Column:
-    """One entry per bin that has k-mers: the bin and the hash of its k-mers in text order."""
-
-    def entry(x: Column, i: Column) -> Column:
-        y = F.get(a, i + 1)
-        alone = y.isNull() | (_bin(y) != _bin(x))
-        pair = F.when(alone, F.hash(_rank(x))).when(_place(x) < _place(y), F.hash(_rank(x), _rank(y))).otherwise(F.hash(_rank(y), _rank(x)))
-        name = F.lpad(F.hex(_bin(x) + (1 << (BINS_BITS - 1))), 2, "0")
-        return F.when((i == 0) | (_bin(F.get(a, i - 1)) != _bin(x)), F.lower(F.concat(name, F.lpad(F.hex(pair.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))))
-
-    return F.filter(F.transform(a, entry), lambda e: e.isNotNull())
+    Runs of one k-mer are found in a string of nine digits an entry, by one
+    search for a name and its repetitions.
+    """
+    names = F.array_join(F.transform(again, lambda x: F.hex(_rank(x).bitwiseAND(F.lit(0xFFFFFFFF)) + (1 << 32))), "")
+    runs = F.regexp_extract_all(names, F.lit(r"(.{9})(?:\1)*+"), F.lit(0))
+    return F.flatten(F.transform(runs, lambda r: F.sequence(F.lit(2), (F.length(r) / 9 + 1).cast("int"))))
 
 
 def _sketch(df: DataFrame, packed: str, out: str) -> DataFrame:
-    """Column out: the entries of the fingerprint of the k-mers in column packed."""
-    s = F.col("__s")
+    """Column out: the entries of the fingerprint of the k-mers in column packed.
+
+    Sorted, k-mers of one hash stand together by place, so each one's number
+    is how many of its like stand before it. A first occurrence keeps its
+    k-mer's hash as rank, a later one gets another. Sorted by rank, with a mark
+    where each bin begins, the least of a bin follow its mark.
+    """
+    s, bins = F.col("__s"), 1 << BINS_BITS
+    starts = [(b - bins // 2) << _BIN_SHIFT for b in range(bins)]
     df = df.withColumn("__s", F.sort_array(packed)).drop(packed)
-    new = F.filter(s, lambda x, i: (i == 0) | (_rank(F.get(s, i - 1)) != _rank(x)))
-    again = F.transform(s, lambda x, i: F.when((i > 0) & (_rank(F.get(s, i - 1)) == _rank(x)), F.shiftleft(F.hash(_rank(x), _occurrence(s, x, i)).cast("long"), _PLACE_BITS) + _place(x)))
-    df = df.withColumns({"__new": new, "__again": F.filter(again, lambda x: x.isNotNull())}).drop("__s")
-    # A first occurrence keeps its k-mer's hash as rank, so the new ones are in order as they stand.
-    df = df.withColumn("__a", F.sort_array(F.concat(_least(F.col("__new")), F.col("__again")))).drop("__new", "__again")
-    df = df.withColumn("__a", _least(F.col("__a")))
-    return df.withColumn(out, _tuples(F.col("__a"))).drop("__a")
+    before = lambda i: _rank(F.get(s, i - 1))
+    df = df.withColumns({"__new": F.filter(s, lambda x, i: ~before(i).eqNullSafe(_rank(x))), "__again": F.filter(s, lambda x, i: before(i) == _rank(x))}).drop("__s")
+    later = F.zip_with("__again", _numbers(F.col("__again")), lambda x, n: F.shiftleft(F.hash(_rank(x), n).cast("long"), _PLACE_BITS) + _place(x))
+    df = df.withColumn("__a", F.sort_array(F.concat("__new", later, F.array(*[F.lit(m).cast("long") for m in starts])))).drop("__new", "__again")
+    df = df.withColumn("__at", F.array(*[F.array_position("__a", F.lit(m).cast("long")).cast("int") for m in starts]))
+    a = F.col("__a")
+
+    def entry(at: Column, b: Column) -> Column:
+        """The bin and the hash of its k-mers in text order; null for an empty bin."""
+        inside = lambda v: v.isNotNull() & ((b == bins - 1) | (v < F.shiftleft((b + 1 - bins // 2).cast("long"), _BIN_SHIFT)))
+        x, y = F.get(a, at), F.get(a, at + 1)
+        pair = F.when(~inside(y), F.hash(_rank(x))).when(_place(x) < _place(y), F.hash(_rank(x), _rank(y))).otherwise(F.hash(_rank(y), _rank(x)))
+        digits = F.concat(F.lpad(F.hex(b), 2, "0"), F.lpad(F.hex(pair.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+        return F.when(inside(x), F.lower(digits))
+
+    return df.withColumn(out, F.filter(F.transform("__at", entry), lambda e: e.isNotNull())).drop("__a", "__at")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 from voxfabric.llm.common import cut, text_column
 
 #: Tokens that a task runs at a time (about 30 bytes each and state).
-GROUP_TOKENS = 1 << 20
+GROUP_TOKENS = 1 << 19
 #: Distinct words a task counts before it passes the counts on.
 TASK_WORDS = 1 << 19
+#: Rare words that a task tells apart at a time, and pairs of word and document that it holds.
+RARE_WORDS = 300_000
+RARE_PAIRS = 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -76,89 +79,110 @@ def _sequences(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def forward(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = False):
-    """log10 likelihood of each document; with keep, also what backward() needs. Scaled: each step's state weights sum to 1."""
+    """log10 likelihood of each document; with keep, also what expected() needs. Scaled: each step's state weights sum to 1."""
     order, flat, begin, steps = _sequences(docs)
-    score = np.zeros(len(docs))
-    seen = emit[flat]
-    alpha = seen if keep else None
+    seen = np.ascontiguousarray(emit.T)[:, flat]  # a row per state; with keep overwritten by the state weights
     scale = np.empty(len(flat))
-    a = np.broadcast_to(start, (len(docs), len(start)))
+    step = np.ascontiguousarray(move.T)
+    a = start[:, None]
     for t, m in enumerate(steps):
         x = slice(begin[t], begin[t] + m)
-        a = (a[:m] if t == 0 else a[:m] @ move) * seen[x]
-        s = a.sum(1)
-        a = a / s[:, None]
+        a = (a if t == 0 else step @ a[:, :m]) * seen[:, x]
+        s = a.sum(0)
+        a /= s
         scale[x] = s
         if keep:
-            alpha[x] = a
+            seen[:, x] = a
     logs = np.log10(scale)
+    score = np.zeros(len(docs))
     for t, m in enumerate(steps):
         score[:m] += logs[begin[t] : begin[t] + m]
     out = np.empty(len(docs))
     out[order] = score
-    return (out, flat, begin, steps, alpha, scale) if keep else out
+    return (out, flat, begin, steps, seen, scale) if keep else out
 
 
 def expected(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of some documents: starts, moves, emissions, and the log10 likelihood."""
     score, flat, begin, steps, alpha, scale = forward(docs, start, move, emit, keep=True)
+    states = len(start)
+    table = np.ascontiguousarray(emit.T)
     moves = np.zeros_like(move)
-    gamma = alpha  # overwritten from the last step on
-    after = np.ones((0, len(start)))
+    after = np.ones((states, 0))
     for t in range(len(steps) - 1, -1, -1):
-        m = steps[t]
+        m, k = steps[t], after.shape[1]  # k documents go on; after: emission times beta of the next step, scaled
         x = slice(begin[t], begin[t] + m)
-        beta = np.ones((m, len(start)))
-        k = len(after)  # documents that go on; after: emission times beta of the next step, scaled
+        beta = np.ones((states, m))
         if k:
-            beta[:k] = after @ move.T
-            moves += (alpha[x][:k].T @ after) * move
-        after = emit[flat[x]] * beta / scale[x][:, None]
-        gamma[x] = alpha[x] * beta
-    emitted = np.stack([np.bincount(flat, gamma[:, s], len(emit)) for s in range(len(start))], 1)
-    return gamma[: steps[0]].sum(0), moves, emitted, float(score.sum())
+            beta[:, :k] = move @ after
+            moves += (alpha[:, begin[t] : begin[t] + k] @ after.T) * move
+        after = table[:, flat[x]] * beta / scale[x]
+        alpha[:, x] *= beta
+    emitted = np.stack([np.bincount(flat, alpha[s], len(emit)) for s in range(states)], 1)
+    return alpha[:, : steps[0]].sum(1), moves, emitted, float(score.sum())
 
 
 class _Reader:
-    """Texts to symbol sequences; the class of a rare word is remembered."""
+    """Texts to numbers of words: the model's symbols, then rare words as they come; `symbol` has each number's symbol."""
 
     def __init__(self, symbols: dict[bytes, int], classes: int):
-        self.symbols, self.classes, self.end = symbols, classes, len(symbols) + classes
-        self.known = dict(symbols)
+        self.symbols, self.classes, self.head = symbols, classes, len(symbols)
+        self.reset()
 
-    def __call__(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
+    def reset(self) -> None:
+        self.known = dict(self.symbols)
+        self.rare: list[bytes] = []
+        self.symbol = np.arange(self.head + 1000, dtype=np.int32)
+
+    def __call__(self, text: str | None) -> np.ndarray:
         words = tokens(text)
         known = self.known
         try:
-            ids = list(map(known.__getitem__, words))
+            return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
         except KeyError:
-            if len(known) > len(self.symbols) + 500_000:
-                known = self.known = dict(self.symbols)
-            base = len(self.symbols)
-            for w in set(words):
-                if w not in known:
-                    known[w] = base + word_class(w, self.classes)
-            ids = list(map(known.__getitem__, words))
-        ids.append(self.end)
-        return words, np.array(ids, np.int32)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], at: int, read: _Reader) -> Iterator[list[tuple[int, list[bytes], np.ndarray]]]:
-    """(row's key, words, symbols) of documents, some GROUP_TOKENS at a time."""
+            new = [w for w in set(words) if w not in known]
+            n = len(known)
+            known.update(zip(new, range(n, n + len(new))))
+            self.rare += new
+            if len(known) > len(self.symbol):
+                self.symbol = np.concatenate([self.symbol, np.zeros(len(known) + 50_000, np.int32)])
+            self.symbol[n : n + len(new)] = [self.head + word_class(w, self.classes) for w in new]
+            return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], at: int, read: _Reader) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(row's first column, numbers of words) of documents, some GROUP_TOKENS at a time. The reader starts anew after a group that fills it."""
     held: list = []
     size = 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(at).to_pylist()):
-            words, ids = read(text)
-            held.append((key, words, ids))
-            size += len(ids)
-            if size >= GROUP_TOKENS:
+            ids = read(text)
+            held.append((key, ids))
+            size += len(ids) + 1
+            if size >= GROUP_TOKENS or len(read.rare) >= RARE_WORDS:
                 yield held
                 held, size = [], 0
+                if len(read.rare) >= RARE_WORDS:
+                    read.reset()
     if held:
         yield held
 
 
+def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The most frequent words, as many as fit into `most` with all their equals in rank (64 ranks to each doubling of the count), and their counts."""
+    rank = F.floor(F.log2("n") * 64)
+    ranks = {r.rank: r["count"] for r in counts.groupBy(rank.alias("rank")).count().collect()}  # 64 a doubling
+    least, total = None, 0
+    for r in sorted(ranks, reverse=True):
+        total += ranks[r]
+        if total > most:
+            break
+        least = r
+    if least is None:
+        return {}
+    return {bytes(r.word): r.n for r in sorted(counts.where(rank >= least).collect(), key=lambda r: (-r.n, bytes(r.word)))}
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (binary), n: how often each occurs in docs."""
 
@@ -179,20 +203,20 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, counts: DataFrame, states: int = 6, symbols: int = 16_384, classes: int = 512, passes: int = 4, piece: int = 512, seed: int = 11, text: str = "text") -> Model:
+def train(docs: DataFrame, counts: DataFrame, states: int = 6, symbols: int = 16_384, classes: int = 512, passes: int = 3, piece: int = 512, seed: int = 11, text: str = "text") -> Model:
     """Fit to all of docs; counts are its word counts.
 
     Documents are trained whole, as pieces of at most `piece` tokens that each
     begin anew (scoring never cuts). Without documents every symbol is as
     likely as another.
     """
-    top = counts.orderBy(F.desc("n"), "word").limit(symbols).collect()
-    names = {bytes(r.word): i for i, r in enumerate(top)}
+    top = _frequent(counts, symbols)
+    names = {w: i for i, w in enumerate(top)}
     n = len(names) + classes + 1
     start, move, emit = _random(n, states, seed)
     # Frequencies first, states a little apart: the passes then separate them.
     frequency = np.full(n, 1.0)
-    frequency[: len(top)] += [r.n for r in top]
+    frequency[: len(top)] += list(top.values())
     emit = emit * frequency[:, None]
     emit /= emit.sum(0)
     schema = "symbol int, " + ", ".join(f"s{k} double" for k in range(states))
@@ -202,8 +226,11 @@ def train(docs: DataFrame, counts: DataFrame, states: int = 6, symbols: int = 16
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, a, b, c = sent.value
             total = None
-            for group in _groups(batches, 0, _Reader(words, classes)):  # keys don't matter here
-                starts, moves, emitted, score = expected([x[2][i : i + piece] for x in group for i in range(0, len(x[2]), piece)], a, b, c)
+            read = _Reader(words, classes)
+            end = len(words) + classes
+            for group in _groups(batches, 0, read):
+                docs_ = [np.append(read.symbol[ids], end) for _, ids in group]
+                starts, moves, emitted, _ = expected([d[i : i + piece] for d in docs_ for i in range(0, len(d), piece)], a, b, c)
                 more = np.concatenate([emitted, moves, starts[None, :]])
                 total = more if total is None else total + more
             if total is not None:
@@ -223,7 +250,7 @@ def train(docs: DataFrame, counts: DataFrame, states: int = 6, symbols: int = 16
     return Model(names, classes, start, move, emit)
 
 
-def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def score(docs: DataFrame, training: Column, symbols: int = 16_384, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: every row of docs, learning from those where training holds.
 
     Tokens are the words (A-Z in lower case) and one end. score is the model's
@@ -237,7 +264,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     learn = rows.where("training").select("text")
     ends = learn.count()
     counts = cut(count_words(learn))
-    model = train(learn, counts, **options)
+    model = train(learn, counts, symbols=symbols, **options)
     names, classes = model.symbols, model.classes
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,97 +280,129 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
             room[r["class"]] += r.n + 0.5 * r.v
     log_all = float(np.log10(n_all + 0.5 * (v_all + 1)))
     base = np.zeros(model.end + 1)
-    for r in counts.orderBy(F.desc("n"), "word").limit(len(names)).collect():
-        base[names[bytes(r.word)]] = np.log10(r.n + 0.5) - log_all
+    for w, n in _frequent(counts, symbols).items():
+        base[names[w]] = np.log10(n + 0.5) - log_all
     base[model.end] = np.log10(ends + 0.5) - log_all
     sent = docs.sparkSession.sparkContext.broadcast((model, base, np.log10(room)))
     schema = pa.schema([("word", pa.binary()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("keys", pa.binary()), ("times", pa.binary())])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per document what needs no counts, under a word that no text has; and per rare word the documents that have it."""
         m, logs, log_room = sent.value
         head, end = len(m.symbols), m.end
-        held: dict[bytes, list[bytes]] = {}
-
-        def rare() -> Iterator[pa.RecordBatch]:
-            found = list(held)
-            for a in range(0, len(found), 50_000):
-                some = found[a : a + 50_000]
-                times = [Counter(held[w]) if len(held[w]) > 1 else {held[w][0]: 1} for w in some]
-                none = pa.nulls(len(some))
-                columns = [some, none, none, none, none, none, [b"".join(x) for x in times], [np.array(list(x.values()), "<u4").tobytes() for x in times]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if c is not none else none.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
-
-        for group in _groups(batches, 1, _Reader(m.symbols, m.classes)):
-            ids = [x[2] for x in group]
-            scores = forward(ids, m.start, m.move, m.emit)
-            sure = [(d < head) | (d == end) for d in ids]
-            scores = scores - [log_room[d[~s] - head].sum() for d, s in zip(ids, sure)]
-            own = [int(x[0]).to_bytes(8, "little", signed=True) for x in group]
+        read = _Reader(m.symbols, m.classes)
+        words: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+
+        def rare(names_: list[bytes]) -> Iterator[pa.RecordBatch]:
+            if not words:
+                return
+            word, key = np.concatenate(words), np.concatenate(owners)
+            order = np.lexsort((key, word))
+            word, key = word[order], key[order]
+            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (key[1:] != key[:-1])]))
+            times = np.diff(np.append(first, len(word))).astype("<u4")
+            word, key = word[first], key[first].astype("<i8")
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            ends = np.append(starts[1:], len(word))
+            for a in range(0, len(starts), 50_000):
+                x, y = starts[a : a + 50_000], ends[a : a + 50_000]
+                offsets = np.append(x, y[-1]) - x[0]
+                data = [(key[x[0] : y[-1]], 8), (times[x[0] : y[-1]], 4)]
+                blobs = [pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((offsets * w).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(d))]) for d, w in data]
+                none = [pa.nulls(len(x), f.type) for f in schema]
+                yield pa.RecordBatch.from_arrays([pa.array([names_[i] for i in word[x].tolist()], pa.binary()), *none[1:6], *blobs], schema=schema)
+            words.clear()
+            owners.clear()
+
+        for group in _groups(batches, 1, read):
+            ids = [x[1] for x in group]
+            symbols_ = [np.append(read.symbol[d], end) for d in ids]
+            scores = forward(symbols_, m.start, m.move, m.emit)
+            size = np.array([len(d) for d in ids])
+            flat, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), size)
+            uncommon = flat >= head
+            classes_ = read.symbol[flat[uncommon]] - head
+            scores = scores - np.bincount(owner[uncommon], log_room[classes_], len(ids))
+            base_ = np.bincount(owner[~uncommon], logs[flat[~uncommon]], len(ids)) + logs[end]
+            known = np.bincount(owner[~uncommon], minlength=len(ids)) + (ends > 0)
+            keys = np.array([x[0] for x in group], np.int64)
             none = pa.nulls(len(group), pa.binary())
-            known = [int(s[:-1].sum()) + (ends > 0) for s in sure]
-            columns = [[b" " + k for k in own], [x[0] for x in group], [len(d) for d in ids], known, [float(logs[d].sum()) for d in ids], scores.tolist()]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(columns, schema)], none, none], schema=schema)
-            for k, (_, words, d) in zip(own, group):
-                for i in np.flatnonzero((d[:-1] >= head)).tolist():
-                    held.setdefault(words[i], []).append(k)
-                if len(held) > TASK_WORDS:
-                    yield from rare()
-                    held.clear()
-        yield from rare()
+            own = pa.array([b" " + k.tobytes() for k in keys], pa.binary())
+            yield pa.RecordBatch.from_arrays([own, pa.array(keys), pa.array(size + 1), pa.array(known), pa.array(base_), pa.array(scores), none, none], schema=schema)
+            words.append(flat[uncommon] - head)
+            owners.append(keys[owner[uncommon]])
+            if len(read.rare) >= RARE_WORDS or sum(map(len, words)) >= RARE_PAIRS:
+                yield from rare(read.rare)
+        yield from rare(read.rare)
+
+    def blob(c: pa.Array, kind: str) -> np.ndarray:
+        """All values of a binary column, one after the other."""
+        if not len(c):
+            return np.zeros(0, kind)
+        offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        return np.frombuffer(c.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rare words' shares of the scores, summed by document as far as one task sees them."""
+        """Rare words' shares of the scores, summed by document as far as this task sees them and packed by part of the keys."""
         held: list[np.ndarray] = []
         size = 0
-        kind = np.dtype([("key", "<i8"), ("known", "<i8"), ("base", "f8"), ("score", "f8")])
-
-        def out() -> np.ndarray:
-            x = np.concatenate(held)
-            keys, at = np.unique(x["key"], return_inverse=True)
-            got = np.zeros(len(keys), kind)
-            got["key"] = keys
-            for f in ("known", "base", "score"):
-                got[f] = np.bincount(at, x[f], len(keys))
-            return got
-
-        names_ = ["key", "docs", "n_tokens", "n_known", "base", "score"]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            x = _summed(np.concatenate(held))
+            part = (x["key"].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, x = part[order], x[order]
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            blobs = [x[a:b].tobytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(x)])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "sums"])
+
         for batch in batches:
             doc = pc.is_valid(batch.column("key"))
             docs_ = batch.filter(doc)
-            yield pa.RecordBatch.from_arrays([docs_.column("key"), pa.array(np.ones(docs_.num_rows, np.int64)), *[docs_.column(c) for c in names_[2:]]], names=names_)
+            x = np.zeros(docs_.num_rows, _SUMS)
+            x["docs"] = 1
+            for name in ("key", "n_tokens", "n_known", "base", "score"):
+                x[name] = docs_.column(name).to_numpy(zero_copy_only=False)
+            held.append(x)
             words = batch.filter(pc.invert(doc))
-            if not words.num_rows:
-                continue
-            keys = np.frombuffer(b"".join(words.column("keys").to_pylist()), "<i8")
-            times = np.frombuffer(b"".join(words.column("times").to_pylist()), "<u4")
-            n = words.column("n").fill_null(0).to_numpy()
-            each = pc.divide(pc.binary_length(words.column("keys")), 8).to_numpy()
-            c = np.repeat(n, each)
+            keys, times = blob(words.column("keys"), "<i8"), blob(words.column("times"), "<u4")
+            each = pc.divide(pc.binary_length(words.column("keys")), 8).to_numpy(zero_copy_only=False)
+            c = np.repeat(words.column("n").fill_null(0).to_numpy(), each)
             log = np.log10(c + 0.5)
-            x = np.empty(len(keys), kind)
-            x["key"], x["known"], x["base"], x["score"] = keys, times * (c > 0), times * (log - log_all), times * log
-            held.append(x)
-            size += len(x)
-            if size > 1 << 22:
-                held = [out()]
-                size = 2 * len(held[0]) if len(held[0]) < 1 << 21 else 0
-                if not size:  # as many documents as fit: pass them on
-                    yield _sums(held[0])
-                    held = []
+            y = np.zeros(len(keys), _SUMS)
+            y["key"], y["n_known"], y["base"], y["score"] = keys, times * (c > 0), times * (log - log_all), times * log
+            held.append(y)
+            size += len(x) + len(y)
+            if size > RARE_PAIRS:
+                yield from out()
+                held, size = [], 0
         if held:
-            yield _sums(out())
+            yield from out()
+
+    def sum_up(group: tuple, table: pa.Table) -> pa.Table:
+        x = _summed(np.frombuffer(b"".join(table["sums"].to_pylist()), _SUMS))
+        # Rows of equal id and text share a key and have summed up alike.
+        n = x["docs"]
+        return pa.table([pa.array(x["key"]), pa.array(x["n_tokens"] // n), pa.array(x["n_known"] // n), pa.array(x["base"] / n), pa.array(x["score"] / n)], names=["key", "n_tokens", "n_known", "base_score", "score"])
 
     pairs = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "word binary, key long, n_tokens long, n_known long, base double, score double, keys binary, times binary")
     counted = pairs.join(counts, "word", "left").select("key", "n_tokens", "n_known", "base", "score", "keys", "times", "n")
-    shares = counted.mapInArrow(add, "key long, docs long, n_tokens long, n_known long, base double, score double")
-    total = shares.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("docs", "n_tokens", "n_known", "base", "score")])
-    # Rows of equal id and text share a key and have summed up alike.
-    per_row = total.select("key", *[(F.col(c) / F.col("docs")).cast("long").alias(c) for c in ("n_tokens", "n_known")], (F.col("base") / F.col("docs")).alias("base_score"), (F.col("score") / F.col("docs")).alias("score"))
+    shares = counted.mapInArrow(add, "part int, sums binary").groupBy("part")
+    per_row = shares.applyInArrow(sum_up, "key long, n_tokens long, n_known long, base_score double, score double")
     ids = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id")
     return ids.join(per_row, "key").select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _sums(x: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(x), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x["key"]), none, none, pa.array(x["known"]), pa.array(x["base"]), pa.array(x["score"])], names=["key", "docs", "n_tokens", "n_known", "base", "score"])
+_SUMS = np.dtype([("key", "<i8"), ("docs", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+
+
+def _summed(x: np.ndarray) -> np.ndarray:
+    """One entry per key."""
+    keys, at = np.unique(x["key"], return_inverse=True)
+    out = np.zeros(len(keys), _SUMS)
+    out["key"] = keys
+    for name in _SUMS.names[1:]:
+        out[name] = np.bincount(at, x[name], len(keys))
+    return out

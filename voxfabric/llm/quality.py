@@ -99,26 +99,29 @@ def _gradients(net: Network, rows: np.ndarray, label: np.ndarray, weight: np.nda
     return [g_embed, g_conv, g_pooled.sum(0), pooled.T @ g_hidden, g_hidden.sum(0), hidden.T @ d, d.sum(keepdims=True)]
 
 
-def train(labelled: DataFrame, sample_docs: int = 3_000, sample_chunks: int = 24_000, passes: int = 4, rate: float = 0.003, seed: int = 5, text: str = "text", label: str = "quality", doc_id: str = "doc_id") -> Network:
-    """Fit on rows with a text and a label of 0 or 1.
-
-    The fit uses a bounded sample: about sample_docs documents, chosen by a
-    hash of their ids, half of each label as far as there are so many; of
-    their chunks at most sample_chunks, drawn evenly from all places of the
-    texts. The two labels weigh as they do among all rows. Without any row of one of the
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, sample_chunks: int = 24_000, passes: int = 4, rate: float = 0.003, seed: int = 5, text: str = "text", label: str = "quality", doc_id: str = "doc_id") -> Network:
+    """Fit on the texts of docs whose ids labels gives a label of 0 or 1.
+
+    The fit uses a bounded sample: about sample_docs ids, chosen from labels
+    by a hash, half of each label as far as there are so many; of their texts'
+    chunks at most sample_chunks, drawn evenly from all places of the texts.
+    Only the chosen ids are sent to the tasks, so no text is shuffled. The two
+    labels weigh as they do among all labels. Without any row of one of the
     labels the network stays untrained but for its bias.
     """
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
     count = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     net = Network.random(seed)
     n0, n1 = count.get(0, 0), count.get(1, 0)
     net.bias[0] = np.log((n1 + 0.5) / (n0 + 0.5))
     if not n0 or not n1:
         return net
-    share = F.lit(0)
+    places, share = 10**12, F.lit(0)
     for k, n in count.items():
-        share = F.when(F.col("label") == k, min(1_000_000, sample_docs * 500_000 // n)).otherwise(share)
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("id", "label", "text")
+        share = F.when(F.col("label") == k, min(places, sample_docs * places // (2 * n))).otherwise(share)
+    chosen = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(places)) < share)
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    some = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "label", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,6 +132,8 @@ def train(labelled: DataFrame, sample_docs: int = 3_000, sample_chunks: int = 24
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([y], pa.int32()), pa.array([len(c)], pa.int32()), pa.array([np.ascontiguousarray(c, "<i2").tobytes()])], names=["id", "label", "n", "chunks"])
 
     got = sorted(some.mapInArrow(cut, "id string, label int, n int, chunks binary").collect(), key=lambda r: (r.label, r.id))
+    if len({r.label for r in got}) < 2:
+        return net
     x = np.concatenate([np.frombuffer(r.chunks, "<i2").reshape(-1, CHUNK) for r in got])
     y = np.repeat([r.label for r in got], [r.n for r in got]).astype(np.float32)
     w = np.repeat([1 / r.n for r in got], [r.n for r in got])

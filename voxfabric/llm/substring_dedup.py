@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +37,22 @@ _HIT = "doc_id long, places binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Integers by byte significance, high bytes together: sorted ones compress well so."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """Integers by byte significance, high bytes together, compressed: what varies little takes little."""
+    flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(flat.tobytes())
 
 
 def _unplanes(data: bytes, kind: np.dtype) -> np.ndarray:
     kind = np.dtype(kind)
-    flat = np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(kind.itemsize, -1)
     return np.ascontiguousarray(flat.T).view(kind).reshape(-1)
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences."""
+    return np.diff(x, prepend=np.zeros(1, x.dtype))
+
+
 def _packed(ids: np.ndarray, places: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """Places by part of their documents' ids: part, distinct ids, and per place the id's number and the place."""
     part = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -84,7 +91,7 @@ def repeated_places(docs: DataFrame, window: int, blocks: int, doc_id: str, text
             for b, (x, y) in enumerate(zip([0, *cuts], [*cuts, len(phrase)])):
                 if y > x:
                     some, local = np.unique(row[x:y], return_inverse=True)
-                    yield table(b, own[some].astype("<i8").tobytes(), _planes(phrase[x:y]), _planes(local.astype("<u4")), _planes(place[x:y]))
+                    yield table(b, own[some].astype("<i8").tobytes(), _planes(_steps(phrase[x:y])), _planes(local.astype("<u4")), _planes(place[x:y]))
 
         def table(block: int, *columns: bytes | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([c], pa.binary()) for c in columns]], names=["block", "ids", "phrases", "rows", "places"])
@@ -108,7 +115,7 @@ def repeated_places(docs: DataFrame, window: int, blocks: int, doc_id: str, text
         parts = rows.filter(pc.invert(settled)).to_pylist()
         if not parts:
             return passed
-        phrase = np.concatenate([_unplanes(p["phrases"], "<u8") for p in parts])
+        phrase = np.concatenate([np.cumsum(_unplanes(p["phrases"], "<u8"), dtype=np.uint64) for p in parts])
         doc = np.concatenate([np.frombuffer(p["ids"], "<i8")[_unplanes(p["rows"], "<u4")] for p in parts])
         place = np.concatenate([_unplanes(p["places"], "<u4") for p in parts])
         order = np.lexsort((doc, phrase))
