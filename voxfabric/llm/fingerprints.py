@@ -24,6 +24,8 @@ from voxfabric.llm.common import cut, stored, text_column
 K = 8
 BINS_BITS = 5
 TUPLE = 2  # as the entries are made for two
+#: Ranks of a bin that are sorted at first, on average.
+LIKELY = 16
 _PLACE_BITS = 31  # a string has fewer characters
 _BIN_SHIFT = _PLACE_BITS + 32 - BINS_BITS
 
@@ -38,7 +40,8 @@ def _kmers(text: Column, k: int) -> Column:
 
 
 def _packed(kmers: Column, first: Column | int) -> Column:
-    return F.transform(kmers, lambda x, i: F.shiftleft(F.hash(x).cast("long"), _PLACE_BITS) + i + first)
+    # Without nulls by its type, an array of longs is sorted as such.
+    return F.transform(kmers, lambda x, i: F.coalesce(F.shiftleft(F.hash(x).cast("long"), _PLACE_BITS) + i + first, F.lit(0).cast("long")))
 
 
 def _rank(x: Column) -> Column:
@@ -66,16 +69,27 @@ def _sketch(df: DataFrame, packed: str, out: str) -> DataFrame:
     Sorted, k-mers of one hash stand together by place, so each one's number
     is how many of its like stand before it. A first occurrence keeps its
     k-mer's hash as rank, a later one gets another. Sorted by rank, with a mark
-    where each bin begins, the least of a bin follow its mark.
+    where each bin begins, the least of a bin follow its mark. For that the
+    ranks near the marks are enough, LIKELY of a bin; a text that has fewer
+    than TUPLE of them in some bin is sorted whole.
     """
     s, bins = F.col("__s"), 1 << BINS_BITS
-    starts = [(b - bins // 2) << _BIN_SHIFT for b in range(bins)]
+    marks = F.array(*[F.lit((b - bins // 2) << _BIN_SHIFT).cast("long") for b in range(bins)])
     df = df.withColumn("__s", F.sort_array(packed)).drop(packed)
-    before = lambda i: _rank(F.get(s, i - 1))
-    df = df.withColumns({"__new": F.filter(s, lambda x, i: ~before(i).eqNullSafe(_rank(x))), "__again": F.filter(s, lambda x, i: before(i) == _rank(x))}).drop("__s")
-    later = F.zip_with("__again", _numbers(F.col("__again")), lambda x, n: F.shiftleft(F.hash(_rank(x), n).cast("long"), _PLACE_BITS) + _place(x))
-    df = df.withColumn("__a", F.sort_array(F.concat("__new", later, F.array(*[F.lit(m).cast("long") for m in starts])))).drop("__new", "__again")
-    df = df.withColumn("__at", F.array(*[F.array_position("__a", F.lit(m).cast("long")).cast("int") for m in starts]))
+    same = lambda x, i: F.shiftright(x.bitwiseXOR(F.get(s, i - 1)), _PLACE_BITS) == 0
+    new = lambda x, i: ~F.coalesce(same(x, i), F.lit(False))
+    share = F.least(F.lit(1.0), F.lit(float(bins * LIKELY)) / F.greatest(F.size(s), F.lit(1)))
+    df = df.withColumns({"__again": F.filter(s, same), "__near": (share * float(1 << _BIN_SHIFT)).cast("long")})
+    near = lambda x: x.bitwiseAND(F.lit((1 << _BIN_SHIFT) - 1)) < F.col("__near")
+    later = F.zip_with("__again", _numbers(F.col("__again")), lambda x, n: F.coalesce(F.shiftleft(F.hash(_rank(x), n).cast("long"), _PLACE_BITS) + _place(x), F.lit(0).cast("long")))
+    df = df.withColumn("__later", later).drop("__again")
+    df = df.withColumn("__few", F.sort_array(F.concat(F.filter(s, lambda x, i: near(x) & new(x, i)), F.filter("__later", near), marks)))
+    places = lambda a: F.array(*[F.array_position(a, F.lit((b - bins // 2) << _BIN_SHIFT).cast("long")).cast("int") for b in range(bins)])
+    df = df.withColumn("__at", places("__few"))
+    ends = F.concat(F.slice("__at", 2, bins - 1), F.array(F.size("__few") + 1))
+    df = df.withColumn("__enough", (F.size(s) <= bins * LIKELY) | F.forall(F.zip_with(ends, "__at", lambda y, x: y - x > TUPLE), lambda enough: enough))
+    df = df.withColumn("__a", F.when(F.col("__enough"), F.col("__few")).otherwise(F.sort_array(F.concat(F.filter(s, new), "__later", marks)))).drop("__s", "__later", "__few", "__near")
+    df = df.withColumn("__at", F.when(F.col("__enough"), F.col("__at")).otherwise(places("__a"))).drop("__enough")
     a = F.col("__a")
 
     def entry(at: Column, b: Column) -> Column:
