@@ -121,7 +121,7 @@ def fingerprint(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """key, next_key, asks (how many characters the previous document wants of this one), before_key: one row per id and text, in a ring of ascending ids.
+    """key, doc_id, next_key, asks (how many characters the previous document wants of this one), before_key: one row per id and text, in a ring of ascending ids.
 
     Ids are dealt by range; each range is a window of its own, and the few
     ends of ranges are linked in a second step.
@@ -140,7 +140,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     )
     linked = ids.select("*", F.lead("key").over(here).alias("next"), F.lag(F.struct("key", "n")).over(here).alias("previous")).join(F.broadcast(ends), "range")
     before = F.coalesce("previous", "before")
-    return linked.select("key", F.coalesce("next", "after").alias("next_key"), before["key"].alias("before_key"), F.floor(before["n"] / 4).cast("int").alias("asks"))
+    return linked.select("key", "doc_id", F.coalesce("next", "after").alias("next_key"), before["key"].alias("before_key"), F.floor(before["n"] / 4).cast("int").alias("asks"))
 
 
 def compare_with_edits(docs: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,7 +157,7 @@ def compare_with_edits(docs: DataFrame, k: int = K, doc_id: str = "doc_id", text
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_column(text).alias("text"))
     keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     links = cut(_neighbours(keyed.select("key", "doc_id", F.length("text").alias("n"))))
-    texts = keyed.join(links, "key")
+    texts = keyed.select("key", "text").join(links, "key")  # twice the same exchange, which Spark makes once
     given = texts.groupBy(F.col("before_key").alias("key")).agg(F.any_value(F.substring(F.col("text"), F.lit(1), F.col("asks"))).alias("given"))
     both = texts.select("key", "next_key", "doc_id", "text").join(given, "key").withColumn("n", F.length("text"))
 
