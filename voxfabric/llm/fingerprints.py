@@ -76,19 +76,21 @@ def _sketch(df: DataFrame, packed: str, out: str) -> DataFrame:
     s, bins = F.col("__s"), 1 << BINS_BITS
     marks = F.array(*[F.lit((b - bins // 2) << _BIN_SHIFT).cast("long") for b in range(bins)])
     df = df.withColumn("__s", F.sort_array(packed)).drop(packed)
-    same = lambda x, i: F.shiftright(x.bitwiseXOR(F.get(s, i - 1)), _PLACE_BITS) == 0
-    new = lambda x, i: ~F.coalesce(same(x, i), F.lit(False))
+    # Bound by a lambda, the array is fetched from the row once and not for every element.
+    kept = lambda f: F.get(F.transform(F.array(s), lambda a: F.filter(a, lambda x, i: f(a, x, i))), 0)
+    same = lambda a, x, i: F.shiftright(x.bitwiseXOR(F.get(a, i - 1)), _PLACE_BITS) == 0
+    new = lambda a, x, i: ~F.coalesce(same(a, x, i), F.lit(False))
     share = F.least(F.lit(1.0), F.lit(float(bins * LIKELY)) / F.greatest(F.size(s), F.lit(1)))
-    df = df.withColumns({"__again": F.filter(s, same), "__near": (share * float(1 << _BIN_SHIFT)).cast("long")})
+    df = df.withColumns({"__again": kept(same), "__near": (share * float(1 << _BIN_SHIFT)).cast("long")})
     near = lambda x: x.bitwiseAND(F.lit((1 << _BIN_SHIFT) - 1)) < F.col("__near")
     later = F.zip_with("__again", _numbers(F.col("__again")), lambda x, n: F.coalesce(F.shiftleft(F.hash(_rank(x), n).cast("long"), _PLACE_BITS) + _place(x), F.lit(0).cast("long")))
     df = df.withColumn("__later", later).drop("__again")
-    df = df.withColumn("__few", F.sort_array(F.concat(F.filter(s, lambda x, i: near(x) & new(x, i)), F.filter("__later", near), marks)))
+    df = df.withColumn("__few", F.sort_array(F.concat(kept(lambda a, x, i: near(x) & new(a, x, i)), F.filter("__later", near), marks)))
     places = lambda a: F.array(*[F.array_position(a, F.lit((b - bins // 2) << _BIN_SHIFT).cast("long")).cast("int") for b in range(bins)])
     df = df.withColumn("__at", places("__few"))
     ends = F.concat(F.slice("__at", 2, bins - 1), F.array(F.size("__few") + 1))
     df = df.withColumn("__enough", (F.size(s) <= bins * LIKELY) | F.forall(F.zip_with(ends, "__at", lambda y, x: y - x > TUPLE), lambda enough: enough))
-    df = df.withColumn("__a", F.when(F.col("__enough"), F.col("__few")).otherwise(F.sort_array(F.concat(F.filter(s, new), "__later", marks)))).drop("__s", "__later", "__few", "__near")
+    df = df.withColumn("__a", F.when(F.col("__enough"), F.col("__few")).otherwise(F.sort_array(F.concat(kept(new), "__later", marks)))).drop("__s", "__later", "__few", "__near")
     df = df.withColumn("__at", F.when(F.col("__enough"), F.col("__at")).otherwise(places("__a"))).drop("__enough")
     a = F.col("__a")
 
@@ -166,7 +168,7 @@ def compare_with_edits(docs: DataFrame, k: int = K, doc_id: str = "doc_id", text
     shared = F.greatest(stays - k + 1, F.lit(0))  # k-mers that lie in what stays
     df = both.withColumns({"edited": edited, "shared": shared, "p": _packed(_kmers(F.col("text"), k), 0)})
     tail = F.substring(F.col("edited"), F.col("shared") + 1, F.length("edited"))
-    own = F.when((F.length(tail) >= k) | (F.col("shared") == 0), _packed(_kmers(tail, k), F.col("shared"))).otherwise(F.array().cast("array<bigint>"))
+    own = F.when((F.length(tail) >= k) | (F.col("shared") == 0), _packed(_kmers(tail, k), F.col("shared"))).otherwise(F.slice("p", 1, 0))
     df = df.withColumns({"edited_sha256": F.sha2("edited", 256), "q": F.concat(F.slice("p", 1, F.col("shared")), own)}).drop("edited", "text", "given")
     df = _sketch(_sketch(df, "p", "fingerprint"), "q", "edited_fingerprint")
     done = stored(df.select("key", "next_key", "doc_id", "n", "edited_sha256", "fingerprint", "edited_fingerprint"))
