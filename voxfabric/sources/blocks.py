@@ -28,6 +28,12 @@ def explode_blocks(blocks: DataFrame, cell: Sequence[int], keep: Sequence[str] =
     )
 
 
+def extent(blocks: DataFrame, cell: Sequence[int]) -> tuple[int, int, int]:
+    """The size of the volume that chunks of one size lie in, from its origin to the last chunk of each axis; 0 without chunks."""
+    last = blocks.agg(*[F.max(g) for g in ("gx", "gy", "gz")]).first()
+    return tuple((-1 if g is None else g) * n + n for g, n in zip(last, cell))
+
+
 def collect_blocks(voxels: DataFrame, cell: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """Voxels to chunks of one size; values that are not there are 0."""
     cx, cy, cz = cell

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfabric.sources.blocks import explode_blocks
+from voxfabric.sources.blocks import explode_blocks, extent
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_blocks(blocks(spark, sf_dir), (4, 4, 4)).select("x", "y", "z", F.col("v").cast("long").alias("v"))
 
 
+def volume_size(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """That volume's size; its depth grows with the table."""
+    return extent(blocks(spark, sf_dir), (4, 4, 4))
+
+
 def sparse_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as three setups over seven timepoints with holes: setup, t, x, y, z, v."""
     li = table(spark, sf_dir, "lineitem")
