@@ -120,16 +120,21 @@ def movie_frames(spark, sf_dir):
     return sampling.nearest(at, vox, ["t"]).select("t", "px", "py", "v")
 
 
+def _middle(spark, sf_dir):
+    depth = derived.volume_size(spark, sf_dir)[2]
+    return contrast.middle_slice(derived.voxels(spark, sf_dir), 0, depth - 1)
+
+
 @query(with_sql("voxels", "SELECT CAST(least(6534, floor(v * 6535 / 65535.0)) AS BIGINT) AS bin, count(*) AS n FROM voxels WHERE z = 10 GROUP BY 1"))
 def histogram(spark, sf_dir):
-    return contrast.histogram(contrast.middle_slice(derived.voxels(spark, sf_dir), 0, 19))
+    return contrast.histogram(_middle(spark, sf_dir))
 
 
 @query(with_sql("voxels", """, h AS (SELECT CAST(least(6534, floor(v * 6535 / 65535.0)) AS BIGINT) AS bin, count(*) AS n FROM voxels WHERE z = 10 GROUP BY 1),
 c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM h)
 SELECT CAST(min(CASE WHEN upto >= total * 0.001::DOUBLE THEN bin * 65535 // 6535 END) AS BIGINT) AS cmin, CAST(min(CASE WHEN upto >= total * 0.999::DOUBLE THEN bin * 65535 // 6535 END) AS BIGINT) AS cmax FROM c""").replace("FROM blocks))\n,", "FROM blocks)),"))
 def contrast_bounds(spark, sf_dir):
-    return contrast.cut_offs(contrast.histogram(contrast.middle_slice(derived.voxels(spark, sf_dir), 0, 19)))
+    return contrast.cut_offs(contrast.histogram(_middle(spark, sf_dir)))
 
 
 @query(with_sql("sources", """SELECT source_id, CASE WHEN source_id % 3 = 0 AND active THEN 100 + source_id ELSE 0 END AS cmin, CASE WHEN source_id % 3 = 0 AND active THEN 9000 + source_id WHEN source_id % 3 = 1 THEN 255 ELSE 65535 END AS cmax FROM sources"""))

@@ -92,8 +92,7 @@ def downsample_edge(spark, sf_dir):
 l2 AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v)::BIGINT // count(*) AS v FROM l1 GROUP BY 1, 2, 3)
 SELECT CAST(1 AS BIGINT) AS level, * FROM l1 UNION ALL SELECT 2, * FROM l2""").replace("FROM blocks))\n,", "FROM blocks)),"))
 def downsample_cascade(spark, sf_dir):
-    vox = derived.voxels(spark, sf_dir).where("z < 20")
-    levels = pyramid.pyramid(vox, [(1, 1, 1), (2, 2, 2), (4, 4, 4)], (40, 40, 20))
+    levels = pyramid.pyramid(derived.voxels(spark, sf_dir), [(1, 1, 1), (2, 2, 2), (4, 4, 4)], derived.volume_size(spark, sf_dir))
     out = [df.select(F.lit(k).cast("long").alias("level"), "x", "y", "z", "v") for k, df in enumerate(levels)]
     return out[1].unionByName(out[2])
 
