@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxfabric.functions import affine
+
 _SETUP = "struct<id:int,name:string,size:string,voxelSize:struct<unit:string,size:string>,attributes:map<string,int>>"
+_REGISTRATIONS = "ViewRegistrations struct<ViewRegistration:array<struct<_timepoint:int,_setup:int,ViewTransform:array<struct<affine:string>>>>>"
 
 
 def read_dataset_xml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a SpimData XML file: setups, timepoints, missing, registrations (model: the view's maps, composed)."""
+    """Tables of a SpimData XML file: setups, timepoints, missing, registrations (model: the view's maps, composed; identity where it has none)."""
     text = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"))
     numbers = lambda c: F.transform(F.split(F.trim(c), r"\s+"), lambda v: v.cast("double"))
 
@@ -31,9 +34,11 @@ def read_dataset_xml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     timepoints = span.select(F.posexplode(listed).alias("t_index", "timepoint_id"))
     pairs = lambda tag: text.select(F.explode(F.arrays_zip(F.xpath("xml", F.lit(f"//{tag}/@timepoint")).alias("t"), F.xpath("xml", F.lit(f"//{tag}/@setup")).alias("s"))).alias("v")).select(F.col("v.t").cast("int").alias("timepoint_id"), F.col("v.s").cast("int").alias("setup_id"))
     missing = pairs("MissingViews/MissingView")
-    first = lambda n: F.xpath("xml", F.lit(f"//ViewRegistration/ViewTransform[{n}]/affine/text()"))
-    registered = text.select(F.xpath("xml", F.lit("//ViewRegistration/@timepoint")).alias("t"), F.xpath("xml", F.lit("//ViewRegistration/@setup")).alias("s"), first(1).alias("a"))
-    registrations = registered.select(F.explode(F.arrays_zip("t", "s", "a")).alias("v")).select(F.col("v.t").cast("int").alias("timepoint_id"), F.col("v.s").cast("int").alias("setup_id"), numbers(F.col("v.a")).alias("model"))
+    parsed = text.select(F.explode(F.from_xml("xml", _REGISTRATIONS, {"mode": "FAILFAST"})["ViewRegistrations"]["ViewRegistration"]).alias("v"))
+    listed_maps = F.transform(F.coalesce("v.ViewTransform", F.array()), lambda t: numbers(F.coalesce(t["affine"], F.raise_error(F.lit("a view transform without an affine map")))))
+    # The first of the list is applied last.
+    model = F.aggregate(listed_maps, affine.affine(affine.IDENTITY), affine.compose)
+    registrations = parsed.select(F.col("v._timepoint").alias("timepoint_id"), F.col("v._setup").alias("setup_id"), model.alias("model"))
     del each
     return {"setups": setups, "timepoints": timepoints, "missing": missing, "registrations": registrations}
 
