@@ -56,14 +56,50 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def hot_lookup(left: DataFrame, table: DataFrame, key: str, weight: str, rows: int, prefix: str, spread: str = "doc_id") -> DataFrame:
+#: Bits of the largest map that marked() sends to the tasks: 64 MB.
+MOST_BITS = 1 << 29
+
+
+def marked(df: DataFrame, column: Column, keys: DataFrame, name: str) -> DataFrame:
+    """df with boolean column name: false only where the long in column is surely none of those in keys' only column.
+
+    What goes to the tasks is a bitmap of 16 bits a key, in pieces of 4 KB;
+    it never exceeds MOST_BITS, beyond which more rows are true than need be.
+    """
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
+    at = lambda c: F.pmod(c, F.lit(bits)) + 1  # noqa: E731  the functions count positions from 1
+    key = at(F.col(keys.columns[0]))
+    pieces = keys.groupBy(F.bitmap_bucket_number(key).alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("__bits"))
+    found = df.withColumn("__at", at(column)).join(F.broadcast(pieces), F.bitmap_bucket_number("__at") == F.col("__piece"), "left")
+    byte = F.substring("__bits", F.floor(F.bitmap_bit_position("__at") / 8).cast("int") + 1, F.lit(1))
+    bit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), (F.bitmap_bit_position("__at") % 8).cast("int")).bitwiseAND(F.lit(1))
+    return found.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("__at", "__piece", "__bits")
+
+
+def without(docs: DataFrame, same: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose values of same (name -> expression over docs) stand in a row of gone (columns of those names; nulls are equal).
+
+    Most rows are none of gone's by a bitmap and stay where they lie; only the
+    others are shuffled to be compared.
+    """
+    names = list(same)
+    gone = gone.select([F.col(c).alias(f"__g_{c}") for c in names])
+    hashed = F.xxhash64(*[F.col(f"__s_{c}") for c in names])
+    rows = docs.withColumns({f"__s_{c}": e for c, e in same.items()})
+    rows = marked(rows, hashed, gone.select(F.xxhash64(*gone.columns).alias("key")), "__maybe")
+    equal = [F.col(f"__s_{c}").eqNullSafe(F.col(f"__g_{c}")) for c in names]
+    stay = rows.where("not __maybe").select(docs.columns)
+    return stay.unionByName(rows.where("__maybe").join(gone.hint("merge"), equal, "left_anti").select(docs.columns))
+
+
+def hot_lookup(left: DataFrame, table: DataFrame, key: str, weight: str, rows: int, prefix: str, spread: str = "doc_id", hint: str | None = None) -> DataFrame:
     """Left join with table (unique in key, a string) where some keys may hold a large part of left's rows.
 
     Keys with weight above rows/1000 are fewer than 1000, so they are looked
     up by broadcast. All others go through a shuffled join, in which the rows
     already found carry a key made of the column spread, so that they lie
-    evenly and match nothing. Columns of table other than key come out with
-    prefix.
+    evenly and match nothing; hint names that join's strategy. Columns of table
+    other than key come out with prefix.
     """
     others = [c for c in table.columns if c != key]
     bound = max(rows // 1000, 1)
@@ -72,5 +108,5 @@ def hot_lookup(left: DataFrame, table: DataFrame, key: str, weight: str, rows: i
     found = left.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")
     own = F.concat(F.lit("#"), F.coalesce(F.col(spread).cast("string"), F.lit("")))
     found = found.withColumn("__k", F.when(F.col("__hk").isNotNull(), own).otherwise(F.col(key)))
-    found = found.join(cold, F.col("__k") == F.col("__ck"), "left")
+    found = found.join(cold.hint(hint) if hint else cold, F.col("__k") == F.col("__ck"), "left")
     return found.select(*left.columns, *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__c_{c}")).alias(prefix + c) for c in others])

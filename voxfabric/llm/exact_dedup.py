@@ -1,8 +1,10 @@
 """Exact deduplication by a 128-bit content hash, with a comparison of bytes inside groups.
 
-DataFrame functions only. Three scans of the text column at most and no
-shuffle of single texts: what moves is the 16-byte key and the id of every
-row, and the texts of groups with two or more rows, once per map task.
+DataFrame functions only. Two scans of the text column; what is shuffled is
+the hashes and the id of every row, and the texts whose key a bitmap of the
+repeated keys has, copies once per map task. The bitmap's size is bounded
+(common.marked), so beyond some 100 million repeated keys single texts move
+too, once at most.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import SPACE, cut, hot_lookup, text_column
+from voxfabric.llm.common import SPACE, cut, hot_lookup, marked, text_column, without
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,21 +36,20 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     # Compare bytes: grouping the texts of such keys by the text itself does it, copies collapsing before the shuffle.
     keyed = base.withColumn("key", F.md5("norm"))
-    repeated = hot_lookup(keyed, groups.select("key", "n"), "key", "n", rows, "g_").where("g_n is not null")
+    repeated = marked(keyed, F.xxhash64("key"), groups.select(F.xxhash64("key").alias("key")), "repeated").where("repeated")
     classes = repeated.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    collided = classes.withColumn("texts", F.lit(1)).groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n")).where("texts > 1")
-    collided = cut(collided)
+    classes = classes.drop("norm").groupBy("key").agg(F.count("*").alias("texts"))
+    collided = cut(classes.where("texts > 1").select("key"))
 
-    found = hot_lookup(hashed, groups, "key", "n", rows, "g_")
+    found = hot_lookup(hashed, groups, "key", "n", rows, "g_", hint="merge")
     by_key = _result(found, "g_keep_id", "g_n")
     if collided.isEmpty():
         return by_key
     # Different texts under one 128-bit hash: the text itself is the key of these few groups.
-    bad = F.broadcast(collided.select("key")) if collided.count() <= 10_000 else collided.select("key")
-    clean = _result(found.join(bad, "key", "left_anti"), "g_keep_id", "g_n")
-    mixed = keyed.join(bad, "key", "left_semi").withColumn("sha", F.unhex(F.sha2("norm", 256)))
-    mixed = mixed.join(classes.select("key", "norm", F.col("keep_id").alias("g_keep_id"), F.col("n").alias("g_n")), ["key", "norm"])
-    return clean.unionByName(_result(mixed, "g_keep_id", "g_n"))
+    clean = _result(found.join(collided, "key", "left_anti"), "g_keep_id", "g_n")
+    mixed = keyed.join(collided, "key", "left_semi").withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    texts = mixed.groupBy("norm").agg(F.min("doc_id").alias("g_keep_id"), F.count("*").alias("g_n"))
+    return clean.unionByName(_result(mixed.join(texts, "norm"), "g_keep_id", "g_n"))
 
 
 def _result(df: DataFrame, keep_id: str, n: str) -> DataFrame:
@@ -63,6 +64,12 @@ def _result(df: DataFrame, keep_id: str, n: str) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without exact copies, columns unchanged. Rows that repeat both id and text all stay."""
-    gone = exact_groups(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    """docs without exact copies, columns unchanged.
+
+    A row goes if its own text, not another row's of the same id, equals that
+    of a row with a smaller id. Rows that repeat both id and text all stay or
+    all go; a null id counts as larger than any other.
+    """
+    gone = cut(exact_groups(docs, doc_id, text).where("not kept").select("doc_id", "text_sha256").distinct())
+    own = F.sha2(F.regexp_replace(text_column(text), SPACE, " "), 256)
+    return without(docs, {"doc_id": F.col(doc_id), "text_sha256": own}, gone)
