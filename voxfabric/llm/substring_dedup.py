@@ -1,12 +1,17 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The reference is all of the corpus: every phrase of `window` words, by its
-hash, with the smallest document that has it. It is dealt by hash into blocks,
-and every document is parsed against every block. A factor is a maximal run of
-places whose phrases occur in earlier documents; phrases are looked up at
-each place, across the boundaries of factors too, so that no repeat which
-straddles one is lost, and factors of at least `window` words become
-duplicate spans.
+The reference is all of the corpus. Its index, from each phrase of `window`
+words to the smallest document that has it and the place there, is dealt by
+hash into blocks, and every document is looked up in every block that one of
+its phrases falls into. The answers are parsed from left to right: a factor
+is the longest run of places that copies one stretch of one earlier document.
+Where a factor ends, the phrases that straddle its end are looked up like all
+others and begin factors of their own, so nothing is lost at a boundary.
+
+Phrases are found by 64-bit hashes. Every factor is then checked: the 128-bit
+digests of its words and of the words it copies must agree, and for the
+phrases of a factor that fails, the smallest document is found anew by
+digests alone. Factors make duplicate spans.
 
 A task first settles repeats among its own documents. Of each phrase only the
 task's smallest document has to ask the phrase's block, so a phrase that a
@@ -15,177 +20,307 @@ third of all documents share sends a block one entry per task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxfabric.llm.common import cut, hot_lookup, marked
 from voxfabric.llm.shingles import Words, mix
 
 #: Phrases that a task holds at a time (about 60 bytes each while it sorts).
 TASK_PHRASES = 1 << 22
 #: Phrases that a block is planned for.
-BLOCK_PHRASES = 1 << 22
+BLOCK_PHRASES = 1 << 21
+#: Factors are checked in pieces that end at multiples of so many places of the reference: requests for one reference stay in proportion to its text.
+PIECE = 64
 
-_REQUEST = "block int, ids binary, phrases binary, rows binary, places binary"
-_HITS = "part int, ids binary, rows binary, places binary"
-_HIT = "doc_id long, places binary"
+#: A row: its id, and a hash of its text that tells rows of one id apart.
+_DOC = np.dtype([("id", "<i8"), ("tag", "<i8")])
+_PARTS = np.dtype([("doc", "<u4"), ("place", "<u4"), ("n", "<u4"), ("ref", "<u4"), ("at", "<u4")])
+_REQUEST = "block int, docs binary, phrases binary, rows binary, places binary"
+_HITS = "part int, docs binary, hits binary"
+_FACTOR = "doc_id long, tag long, place int, n int, ref_id long, ref_tag long, ref_place int"
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Integers by byte significance, high bytes together, compressed: what varies little takes little."""
+    """Numbers by byte significance, high bytes together, compressed: what varies little takes little."""
     flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
     return zstandard.ZstdCompressor(level=1).compress(flat.tobytes())
 
 
-def _unplanes(data: bytes, kind: np.dtype) -> np.ndarray:
+def _unplanes(data: bytes, kind: np.dtype | str) -> np.ndarray:
     kind = np.dtype(kind)
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(flat.T).view(kind).reshape(-1)
-
-
-def _steps(x: np.ndarray) -> np.ndarray:
-    """Sorted numbers as differences."""
-    return np.diff(x, prepend=np.zeros(1, x.dtype))
-
-
-def _packed(ids: np.ndarray, places: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Places by part of their documents' ids: part, distinct ids, and per place the id's number and the place."""
-    part = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((places, ids, part))
-    part, ids, places = part[order], ids[order], places[order]
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(part) else []
-    for a, b in zip(starts, [*starts[1:], len(part)]):
-        own, row = np.unique(ids[a:b], return_inverse=True)
-        yield int(part[a]), own.astype("<i8").tobytes(), _planes(row.astype("<u4")), _planes(places[a:b].astype("<u4"))
-
-
-def repeated_places(docs: DataFrame, window: int, blocks: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, places (int32): the starts of windows that a document with a smaller id has too."""
+    return flat.T.copy().view(kind).reshape(-1)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin in sorted columns."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def runs(hits: np.ndarray) -> np.ndarray:
+    """Hits (doc, place, n places, ref, place there) in order of doc and place, joined where one continues the other."""
+    hits = hits[np.lexsort((hits["place"], hits["doc"]))]
+    if not len(hits):
+        return hits
+    a, b = hits[:-1], hits[1:]
+    goes_on = (a["doc"] == b["doc"]) & (a["ref"] == b["ref"]) & (a["place"] + a["n"] == b["place"]) & (a["at"] + a["n"] == b["at"])
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    out = hits[first]
+    out["n"] = np.add.reduceat(hits["n"], first)
+    return out
+
+
+def _dealt(docs: np.ndarray, hits: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Hits by part of their documents; the numbers of documents begin anew in each."""
+    hits = runs(hits)
+    part = (mix(docs["id"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)[hits["doc"]]
+    order = np.argsort(part, kind="stable")
+    part, hits = part[order], hits[order]
+    begin = _starts(part)
+    for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(part)]):
+        some = hits[x:y].copy()
+        used, number = np.unique(np.concatenate([some["doc"], some["ref"]]), return_inverse=True)
+        some["doc"], some["ref"] = number[: len(some)], number[len(some) :]
+        yield int(part[x]), _planes(docs[used]), _planes(some)
+
+
+def _as_hits(doc: np.ndarray, place: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(doc), _PARTS)
+    out["doc"], out["place"], out["n"], out["ref"], out["at"] = doc, place, 1, ref, at
+    return out
+
+
+def _table(kind: str, rows: list[tuple]) -> pa.Table:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [(name, types[t]) for name, t in (x.split() for x in kind.split(", "))]
+    return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(fields)}, schema=pa.schema(fields))
+
+
+def factors(docs: DataFrame, window: int, blocks: int, seed_bits: int = 64) -> DataFrame:
+    """The factors of docs (doc_id long, tag, text): n places from place on, whose phrases stand in the row ref from ref_place on.
+
+    seed_bits: how many bits of the phrases' hashes are used.
+    """
     shift = np.uint64(64 - (blocks - 1).bit_length()) if blocks > 1 else None
+    mask = ~np.uint64(0) << np.uint64(64 - seed_bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
+        keys: list[tuple[int, int]] = []
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            own, by_id = np.unique(np.array(ids, np.int64), return_inverse=True)
+            own, by_key = np.unique(np.array(keys, _DOC), return_inverse=True)
             n = [len(h) for h in held]
-            phrase, row = np.concatenate(held), np.repeat(by_id, n).astype(np.uint32)
+            phrase, row = np.concatenate(held) & mask, np.repeat(by_key.reshape(-1), n).astype(np.uint32)
             place = np.concatenate([np.arange(k, dtype=np.uint32) for k in n])
-            order = np.lexsort((row, phrase))
+            order = np.lexsort((place, row, phrase))
             phrase, row, place = phrase[order], row[order], place[order]
-            new = np.concatenate([[True], phrase[1:] != phrase[:-1]])
-            least = row[np.flatnonzero(new)][np.cumsum(new) - 1]
-            here = row != least  # repeats of a smaller document of this task
-            for part, some, rows, places in _packed(own[row[here]], place[here], blocks):  # settled: blocks pass them on
-                yield table(part, some, None, rows, places)
+            first = _starts(phrase)
+            least = np.repeat(first, np.diff(np.append(first, len(phrase))))
+            here = own["id"][row] > own["id"][row[least]]  # repeats of a smaller document of this task
+            for hit in _dealt(own, _as_hits(row[here], place[here], row[least[here]], place[least[here]]), blocks):  # settled: blocks pass them on
+                yield from _table(_REQUEST, [(hit[0], hit[1], None, hit[2], None)]).to_batches()
             phrase, row, place = phrase[~here], row[~here], place[~here]
             cuts = np.searchsorted(phrase, np.arange(1, blocks, dtype=np.uint64) << shift) if blocks > 1 else []
             for b, (x, y) in enumerate(zip([0, *cuts], [*cuts, len(phrase)])):
                 if y > x:
                     some, local = np.unique(row[x:y], return_inverse=True)
-                    yield table(b, own[some].astype("<i8").tobytes(), _planes(_steps(phrase[x:y])), _planes(local.astype("<u4")), _planes(place[x:y]))
-
-        def table(block: int, *columns: bytes | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([c], pa.binary()) for c in columns]], names=["block", "ids", "phrases", "rows", "places"])
+                    steps = np.diff(phrase[x:y], prepend=np.zeros(1, np.uint64))
+                    yield from _table(_REQUEST, [(b, _planes(own[some]), _planes(steps), _planes(local.astype("<u4")), _planes(place[x:y]))]).to_batches()
 
         total = 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                runs = Words(t).runs(window)
-                if i is not None and len(runs):
-                    ids.append(i)
-                    held.append(runs)
-                    total += len(runs)
+            for i, tag, t in zip(*(c.to_pylist() for c in batch.columns)):
+                found = Words(t).runs(window)
+                if len(found):
+                    keys.append((i, tag))
+                    held.append(found)
+                    total += len(found)
                 if total >= TASK_PHRASES:
                     yield from flush()
-                    ids, held, total = [], [], 0
+                    keys, held, total = [], [], 0
         yield from flush()
 
     def answer(key: tuple, rows: pa.Table) -> pa.Table:
         settled = pc.is_null(rows["phrases"])
-        passed = rows.filter(settled).select(["block", "ids", "rows", "places"]).rename_columns(["part", "ids", "rows", "places"])
-        parts = rows.filter(pc.invert(settled)).to_pylist()
-        if not parts:
+        passed = rows.filter(settled).select(["block", "docs", "rows"]).rename_columns(["part", "docs", "hits"])
+        asked = rows.filter(pc.invert(settled)).to_pylist()
+        if not asked:
             return passed
-        phrase = np.concatenate([np.cumsum(_unplanes(p["phrases"], "<u8"), dtype=np.uint64) for p in parts])
-        doc = np.concatenate([np.frombuffer(p["ids"], "<i8")[_unplanes(p["rows"], "<u4")] for p in parts])
-        place = np.concatenate([_unplanes(p["places"], "<u4") for p in parts])
-        order = np.lexsort((doc, phrase))
-        phrase, doc, place = phrase[order], doc[order], place[order]
-        new = np.concatenate([[True], phrase[1:] != phrase[:-1]])
-        there = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        out = list(zip(*_packed(doc[there], place[there], blocks))) or [[]] * 4
-        found = pa.table([pa.array(c, k) for c, k in zip(out, passed.schema.types)], names=passed.column_names)
-        return pa.concat_tables([passed, found])
+        phrase = np.concatenate([np.cumsum(_unplanes(p["phrases"], "<u8"), dtype=np.uint64) for p in asked])
+        lists = [_unplanes(p["docs"], _DOC) for p in asked]
+        place = np.concatenate([_unplanes(p["places"], "<u4") for p in asked])
+        own, number = np.unique(np.concatenate(lists), return_inverse=True)
+        before = np.cumsum([0, *map(len, lists)])
+        row = number.reshape(-1)[np.concatenate([_unplanes(p["rows"], "<u4") + b for p, b in zip(asked, before[:-1])])]
+        order = np.lexsort((place, row, phrase))
+        phrase, row, place = phrase[order], row[order], place[order]
+        first = _starts(phrase)
+        least = np.repeat(first, np.diff(np.append(first, len(phrase))))
+        there = own["id"][row] > own["id"][row[least]]
+        found = _table(_HITS, list(_dealt(own, _as_hits(row[there], place[there], row[least[there]], place[least[there]]), blocks)))
+        return pa.concat_tables([passed.cast(found.schema), found])
 
     def gather(key: tuple, rows: pa.Table) -> pa.Table:
-        parts = rows.to_pylist()
-        doc = np.concatenate([np.frombuffer(p["ids"], "<i8")[_unplanes(p["rows"], "<u4")] for p in parts])
-        place = np.concatenate([_unplanes(p["places"], "<u4") for p in parts])
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order].astype("<i4")
-        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        spans = zip(starts.tolist(), [*starts[1:].tolist(), len(doc)])
-        return pa.table([pa.array(doc[starts], pa.int64()), pa.array([place[a:b].tobytes() for a, b in spans], pa.binary())], names=["doc_id", "places"])
-
-    asked = docs.select(F.col(doc_id).cast("long"), text).mapInArrow(ask, _REQUEST)
-    return asked.groupBy("block").applyInArrow(answer, _HITS).groupBy("part").applyInArrow(gather, _HIT)
-
-
-def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Spans of words [a, b) of the factors: maximal runs of found places, each a phrase long or longer; overlapping ones join."""
-    if not len(starts):
-        return []
-    starts = np.unique(starts)
-    gap = np.flatnonzero(np.diff(starts) > window)
-    firsts, lasts = starts[np.concatenate([[0], gap + 1])], starts[np.concatenate([gap, [len(starts) - 1]])]
-    return list(zip(firsts.tolist(), (lasts + window).tolist()))
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        got = [(_unplanes(p["docs"], _DOC), _unplanes(p["hits"], _PARTS)) for p in rows.to_pylist()]
+        own, number = np.unique(np.concatenate([d for d, _ in got]), return_inverse=True)
+        number, before = number.reshape(-1), 0
+        for d, h in got:
+            h["doc"], h["ref"] = number[h["doc"] + before], number[h["ref"] + before]
+            before += len(d)
+        found = runs(np.concatenate([h for _, h in got]))
+        doc, ref = own[found["doc"]], own[found["ref"]]
+        columns = [doc["id"], doc["tag"], found["place"], found["n"], ref["id"], ref["tag"], found["at"]]
+        return pa.table([pa.array(np.ascontiguousarray(c), pa.int32() if c.itemsize == 4 else pa.int64(), safe=False) for c in columns], names=[x.split()[0] for x in _FACTOR.split(", ")])
+
+    asked = docs.mapInArrow(ask, _REQUEST).repartition(blocks, "block")
+    answered = asked.groupBy("block").applyInArrow(answer, _HITS).repartition(blocks, "part")
+    return answered.groupBy("part").applyInArrow(gather, _FACTOR)
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def digests(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """name, digest of the words of n places from place on, for the rows of wanted (doc_id, tag, place, n; distinct)."""
+    per_row = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "n")).alias("wants"))  # in proportion to the row's text
+    rows = marked(docs, F.xxhash64("doc_id", "tag"), per_row.select(F.xxhash64("doc_id", "tag").alias("key")), "asked").where("asked")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, tag, t, wants in zip(*(c.to_pylist() for c in batch.columns)):
+                words = Words(t).words
+                out = [_digest(words[w["place"] : w["place"] + w["n"] + window - 1]) for w in wants]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{i} {tag} {w['place']} {w['n']}" for w in wants]), pa.array(out, pa.binary())], names=["name", "digest"])
+
+    return rows.join(per_row, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", "text", "wants").mapInArrow(read, "name string, digest binary")
+
+
+def exact_places(docs: DataFrame, doubted: DataFrame, window: int, seed_bits: int = 64) -> DataFrame:
+    """doc_id, tag, place, n (1): of all phrases whose hash doubted (phrase long) has, those that a smaller document has too, by digests."""
+    mask = ~np.uint64(0) << np.uint64(64 - seed_bits)
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, tag, t in zip(*(c.to_pylist() for c in batch.columns)):
+                w = Words(t)
+                found = w.runs(window) & mask
+                if len(found):
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i] * n, pa.int64()), pa.array([tag] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(found.view(np.int64)), pa.array([_digest(w.words[k : k + window]) for k in range(n)], pa.binary())],
+                        names=["doc_id", "tag", "place", "phrase", "digest"],
+                    )
+
+    every = docs.mapInArrow(list_, "doc_id long, tag long, place int, phrase long, digest binary")
+    some = cut(every.join(doubted, "phrase", "left_semi").select("doc_id", "tag", "place", "digest"))
+    first = some.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return some.join(first, "digest").where("doc_id > first").select("doc_id", "tag", "place", F.lit(1).alias("n"))
+
+
+def spans(places: np.ndarray, n: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Spans of words [a, b) of factors; those that meet or overlap join."""
+    order = np.argsort(places, kind="stable")
+    first, last = places[order], np.maximum.accumulate(places[order] + n[order] + window - 1)
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > last[:-1]])) if len(first) else []
+    return [(int(first[a]), int(last[b - 1])) for a, b in zip(new, [*new[1:], len(first)])]
+
+
+def checked_places(docs: DataFrame, window: int, blocks: int, seed_bits: int = 64) -> DataFrame:
+    """doc_id, tag, place, n: places whose phrases smaller documents have, every factor checked."""
+    found = cut(factors(docs, window, blocks, seed_bits))
+    # Pieces [k, k + n) of each factor that end at multiples of PIECE of the reference.
+    ends = F.expr(f"transform(sequence(ref_place div {PIECE}, (ref_place + n - 1) div {PIECE}), b -> struct(greatest(b * {PIECE}, ref_place) - ref_place as k, least((b + 1) * {PIECE}, ref_place + n) - ref_place as e))")
+    pieces = found.withColumn("piece", F.explode(ends)).select(
+        "doc_id", "tag", (F.col("place") + F.col("piece.k")).cast("int").alias("place"), (F.col("piece.e") - F.col("piece.k")).cast("int").alias("n"),
+        "ref_id", "ref_tag", (F.col("ref_place") + F.col("piece.k")).cast("int").alias("ref_place"),
+    )
+    name = lambda *c: F.concat_ws(" ", *[F.col(x).cast("string") for x in c])
+    pieces = cut(pieces.select("doc_id", "tag", "place", "n", name("doc_id", "tag", "place", "n").alias("own"), name("ref_id", "ref_tag", "ref_place", "n").alias("ref"), "ref_id", "ref_tag", "ref_place"))
+    total = pieces.count()
+    own = pieces.select("doc_id", "tag", "place", "n")
+    wanted = cut(own.union(pieces.select("ref_id", "ref_tag", "ref_place", "n")).distinct())
+    known = cut(digests(docs, wanted, window))
+    weighed = pieces.groupBy("ref").agg(F.count("*").alias("times")).join(known.withColumnRenamed("name", "ref"), "ref")
+    both = pieces.join(known.select(F.col("name").alias("own"), F.col("digest").alias("own_digest")), "own")
+    both = hot_lookup(both, weighed, "ref", "times", total, "r_", spread="own")
+    both = cut(both.select("doc_id", "tag", "place", "n", F.col("own_digest").eqNullSafe(F.col("r_digest")).alias("right")))
+    good = both.where("right").select("doc_id", "tag", "place", "n")
+    wrong = both.where("not right")
+    if wrong.isEmpty():
+        return good
+    asked = wrong.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "n")).alias("wants"))
+    mask = ~np.uint64(0) << np.uint64(64 - seed_bits)
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                all_ = (Words(t).runs(window) & mask).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([all_[w["place"] : w["place"] + w["n"]] for w in wants]))], names=["phrase"])
+
+    doubted = cut(docs.join(asked, ["doc_id", "tag"]).select("text", "wants").mapInArrow(phrases, "phrase long").distinct())
+    return good.unionByName(exact_places(docs, doubted, window, seed_bits))
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", seed_bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the text left: words joined by one space), spans (of removed words).
 
     Words are runs other than ASCII white space. A word goes if a window of
-    `window` words that covers it also starts in a document with a smaller
-    id, in the input as given. Null texts have no words; texts shorter than a
-    window stay whole. Rows that repeat an id count as one document's, so
-    they don't remove each other's words, but each loses what either repeats
-    from smaller ids at that place. Rows with a null id are neither reference
-    nor parsed. Phrases are compared by 64-bit hashes.
+    `window` words that covers it also starts in a row with a smaller id, in
+    the input as given. Ids are compared as longs. Null texts have no words;
+    texts shorter than a window stay whole; texts of any length are parsed
+    whole by one task. Rows that share an id don't remove each other's words,
+    and each loses its own repeats alone; rows that repeat both id and text
+    get the same result. Rows with a null id are neither reference nor parsed.
+    An empty table gives an empty result; further columns of docs are ignored,
+    whatever their names.
     """
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     blocks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // 6 // BLOCK_PHRASES)
     blocks = 1 << (blocks - 1).bit_length()
-    places = repeated_places(docs, window, blocks, doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = rows.join(places.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").cast("long") == F.col("hit_id"), "left").select("doc_id", "text", "places")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("given"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"), F.col(text).alias("text"))
+    known = rows.where("doc_id is not null").select("doc_id", "tag", "text")
+    places = checked_places(known, window, blocks, seed_bits)
+    per_row = cut(places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "n")).alias("places")))  # in proportion to the row's text
+    hit: Column = F.xxhash64("doc_id", "tag")
+    rows = marked(rows, hit, per_row.select(F.xxhash64("doc_id", "tag").alias("key")), "hit")
+    joined = rows.where("hit").join(per_row.hint("merge"), ["doc_id", "tag"], "left").select("given", "text", "places")
+    whole = rows.where("not hit").select("given", "text", F.lit(None).cast("array<struct<place:int,n:int>>").alias("places"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "spans": []}
             for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = Words(t).words
-                spans = factors(np.frombuffer(p, "<i4"), window) if p else []
-                spans = [(a, min(b, len(words))) for a, b in spans if a < len(words)]
+                gone = spans(np.array([x["place"] for x in p or []], np.int64), np.array([x["n"] for x in p or []], np.int64), window)
                 kept, at = [], 0
-                for a, b in spans:
+                for a, b in gone:
                     kept += words[at:a]
                     at = b
                 kept += words[at:]
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
                 out["kept"].append(b" ".join(kept).decode("utf-8", "replace"))
-                out["spans"].append([{"first": a, "last": b} for a, b in spans])
+                out["spans"].append([{"first": a, "last": b} for a, b in gone])
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], names=["doc_id", *out])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(parse, f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>")
+    return joined.unionByName(whole).mapInArrow(parse, f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>")
