@@ -10,12 +10,11 @@ from tokenizers import Tokenizer
 from voxfabric.llm import packing, token_index
 from voxfabric.llm.tokens import Encoder, default_tokenizer
 
-TEXTS = ["", None, "a", "Hello  world\n\n\tIt's we'LL 123 ½² x y\x1c\x1dz \x85 <|endoftext|> été—日本 \U0001f600", "word " * 5000, "  ", "a", "\n", "the the The 'S", "Ünïcode_é×÷ x_y __ 12a ß\x1cq\x7f it'll's '' !'re\n \t \n x"]
+TEXTS = ["", None, "a", "Hello  world\n\n\tIt's we'LL 123 ½² x y\x1c\x1dz \x85 <|endoftext|> été—日本 \U0001f600", "a <|endoftext|> b", "<|endoftext|>", "word " * 5000, "  ", "a", "\n", "the the The 'S", "Ünïcode_é×÷ x_y __ 12a ß\x1cq\x7f it'll's '' !'re\n \t \n x"]
 
 
 ENCODER = Encoder(default_tokenizer(), max_pieces=50)
 TOKENIZER = Tokenizer.from_file(default_tokenizer())
-TOKENIZER.encode_special_tokens = True
 
 
 def whole(text):

@@ -40,13 +40,13 @@ class Encoder:
 
     A byte-level BPE never merges across pieces, so each distinct piece is
     encoded once and remembered, up to max_pieces of at most 64 characters;
-    then the memory starts anew. Other tokenizers encode whole texts. Strings
-    of special tokens count as ordinary text.
+    then the memory starts anew. Texts that hold a string of an added token,
+    such as "<|endoftext|>", are encoded whole, as are all texts by other
+    tokenizers.
     """
 
     def __init__(self, path: str, max_pieces: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.max_pieces = max_pieces
@@ -56,6 +56,8 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.by_piece = plain and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.has_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.split_any = regex.compile(_PIECES).findall
         self.split_latin = re.compile(_LATIN_PIECES).findall
         self.characters = _byte_characters()
@@ -73,6 +75,9 @@ class Encoder:
             return self._ids(texts)
         out = []
         for text in texts:
+            if self.has_added(text):
+                out += self._ids([text])
+                continue
             pieces = (self.split_any if _beyond_latin(text) else self.split_latin)(text)
             known = self.known
             try:
