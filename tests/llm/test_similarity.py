@@ -66,6 +66,24 @@ def test_drop_near_copies(spark):
     assert got.columns == df.columns and sorted(r.class_id for r in got.collect()) == [2, 3, 4]
 
 
+def test_drop_keeps_other_rows_of_an_id(spark):
+    t = " ".join(map(str, range(100)))
+    rows = [(1, t, 1), (7, t + " x", 2), (7, " something else\nhere ", 3), (7, "é", 4), (9, " é ", 5)]
+    got = sj.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, k int"))
+    assert sorted(r.k for r in got.collect()) == [1, 3, 4]
+
+
+def test_recall_against_brute_force(spark):
+    """Links of every hundredth id against all rows, over one of the smallest tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sets = {r.doc_id: set(zip(*[(r.text or "").split()[k:] for k in range(5)])) for r in docs.collect() if len((r.text or "").split()) >= 5}
+    texts = {r.doc_id: tuple((r.text or "").split()) for r in docs.collect()}
+    got = {r.doc_id: r.n_links for r in sj.join(docs).collect()}
+    for i in [i for i in sets if i % 10 == 0]:
+        near = {texts[j] for j in sets if texts[j] != texts[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        assert got[i] == len(near), i
+
+
 def test_depth_reaches_recall():
     assert sj.prefix_depth(0.8, 20, 6, 0.99999) == 3
     assert sj.prefix_depth(0.8, 1, 6, 0.99) == 1

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import cut, hot_lookup
+from voxfabric.llm.common import SPACE, cut, hot_lookup, text_column, without
 from voxfabric.llm.shingles import Words, mix
 
 #: Classes in a block; a task verifies the pairs of two blocks.
@@ -36,9 +36,9 @@ def prefix_depth(threshold: float, tries: int, depth: int, recall: float) -> int
     return depth
 
 
-def _class(words: Words) -> int:
-    """Names the texts of the same words in the same order."""
-    return int.from_bytes(hashlib.md5(b" ".join(words.words)).digest()[:8], "little", signed=True)
+def _class(words: Words) -> str:
+    """Names the texts of the same words in the same order, by 128 bits."""
+    return hashlib.md5(b" ".join(words.words)).hexdigest()
 
 
 def ngrams(words: Words, n: int) -> np.ndarray:
@@ -116,12 +116,12 @@ def _roots(n: int, pairs: np.ndarray) -> list[int]:
 
 
 def _group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int, int]:
-    own = rows["class"].to_numpy()
+    own = np.array(rows["class"].to_pylist(), object)
     keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), "<u8").reshape(len(own), -1)
     return own, keys, rows["block"].to_numpy(), rows["trie"][0].as_py(), rows["i"][0].as_py(), rows["j"][0].as_py()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each connected component of edges (a, b); nodes without an edge are not there.
 
     Each round every node takes the least label around it and then its
@@ -132,7 +132,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     count = both.count()
     labels = cut(both.groupBy("a").agg(F.count("*").alias("degree"), F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    for _ in range(rounds):
+    while True:  # labels only fall, and a path's length shrinks by a factor each round
         table = labels.select(F.col("node").cast("string").alias("name"), "degree", "label")
         near = hot_lookup(both.withColumn("name", F.col("b").cast("string")), table, "name", "degree", count, "b_", spread="a")
         least = near.groupBy("a").agg(F.min("b_label").alias("near"))
@@ -145,11 +145,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after.where("new < label").isEmpty():
             return labels.select("node", "label")
         labels = after.select("node", "degree", F.col("new").alias("label"))
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
 def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, depth: int = 6, recall: float = 0.99999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, copy_id, copies, n_links.
+    """One row per input row: doc_id, class_id, copy_id, copies, n_links, words_md5.
 
     Words are runs other than ASCII white space; similarity is the Jaccard
     similarity of the sets of n-grams of words, by 64-bit hashes. copy_id is
@@ -158,9 +157,12 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
     its own apart. class_id is the smallest id that such links lead to, over
     any number of steps. A text of fewer than n words has one n-gram, all of
     it; null and empty texts are copies of each other and link to nothing.
-    Rows that repeat an id are told apart by their words. Rows with null ids
+    Rows that repeat an id are told apart by their words, whose md5 (joined by
+    one space) is words_md5. Ids are compared as longs. Rows with null ids
     join their copies' class; copies whose ids are all null link to nothing
-    and have no class. An empty table gives an empty result.
+    and have no class. A text of any length is one set of n-grams, held by one
+    task. An empty table gives an empty result; further columns of docs are
+    ignored, whatever their names.
     """
     at = prefix_depth(threshold, tries, depth, recall)
     forest = Forest(tries, depth)
@@ -169,10 +171,10 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
         for batch in batches:
             texts = [Words(t) for t in batch.column(1).to_pylist()]
             keys = [forest.keys(ngrams(w, n), at).tobytes() if w.n else None for w in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(w) for w in texts], pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "class", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(w) for w in texts]), pa.array(keys, pa.binary())], names=["doc_id", "class", "keys"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(rows.mapInArrow(sign, "doc_id long, class long, keys binary"))
+    signed = cut(rows.mapInArrow(sign, "doc_id long, class string, keys binary"))
     total = signed.count()
     classes = cut(signed.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")))
 
@@ -195,16 +197,16 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
         new = _new_pairs(keys, trie, block, i, j)
         return table.filter(pa.array((new | new.T).any(1)))
 
-    wanted = cut(paired.groupBy("node", "i", "j").applyInArrow(choose, "class long, node string, trie int, block int, i int, j int, keys binary"))
+    wanted = cut(paired.groupBy("node", "i", "j").applyInArrow(choose, "class string, node string, trie int, block int, i int, j int, keys binary"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [Words(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_class(w) for w in texts], pa.int64()), pa.array([ngrams(w, n).tobytes() for w in texts], pa.binary())], names=["class", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class(w) for w in texts]), pa.array([ngrams(w, n).tobytes() for w in texts], pa.binary())], names=["class", "grams"])
 
     asked = wanted.select("class").distinct().join(known.select("class", F.col("rep").alias("asked")), "class").select("asked")
     texts = rows.join(asked, F.col("doc_id") == F.col("asked"), "left_semi")
-    grams = texts.select("text").mapInArrow(collect, "class long, grams binary").groupBy("class").agg(F.any_value("grams").alias("grams"))
+    grams = texts.select("text").mapInArrow(collect, "class string, grams binary").groupBy("class").agg(F.any_value("grams").alias("grams"))
 
     def verify(group: tuple, table: pa.Table) -> pa.Table:
         """Links of each row, and one edge to the least row of its component here."""
@@ -214,21 +216,27 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
         links = linked.sum(0) + linked.sum(1)
         root = own[_roots(len(own), np.argwhere(linked))]
         keep = links > 0
-        return pa.table([pa.array(own[keep]), pa.array(root[keep]), pa.array(links[keep], pa.int64())], names=["class", "root", "links"])
+        return pa.table([pa.array(own[keep], pa.string()), pa.array(root[keep], pa.string()), pa.array(links[keep], pa.int64())], names=["class", "root", "links"])
 
-    found = cut(wanted.join(grams, "class").groupBy("node", "i", "j").applyInArrow(verify, "class long, root long, links long"))
+    found = cut(wanted.join(grams, "class").groupBy("node", "i", "j").applyInArrow(verify, "class string, root string, links long"))
     links = found.groupBy("class").agg(F.sum("links").alias("n_links"))
     labels = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     named = classes.select("class", "rep", "copies").join(links, "class", "left").join(labels, F.col("class") == F.col("node"), "left")
-    named = cut(named.select("class", "rep", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "class").cast("string").alias("label")))
+    named = cut(named.select("class", "rep", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "class").alias("label")))
     first = cut(named.groupBy("label").agg(F.min("rep").alias("class_id"), F.count("*").alias("size")))
     named = hot_lookup(named, first, "label", "size", total, "f_", spread="class")
-    named = cut(named.select(F.col("class").cast("string").alias("class"), "copies", F.col("f_class_id").alias("class_id"), F.col("rep").alias("copy_id"), "n_links"))
-    out = hot_lookup(signed.select("doc_id", F.col("class").cast("string").alias("class")), named, "class", "copies", total, "c_")
-    return out.select("doc_id", F.col("c_class_id").alias("class_id"), F.col("c_copy_id").alias("copy_id"), F.col("c_copies").alias("copies"), F.col("c_n_links").alias("n_links"))
+    named = cut(named.select("class", "copies", F.col("f_class_id").alias("class_id"), F.col("rep").alias("copy_id"), "n_links"))
+    out = hot_lookup(signed.select("doc_id", "class"), named, "class", "copies", total, "c_")
+    return out.select("doc_id", F.col("c_class_id").alias("class_id"), F.col("c_copy_id").alias("copy_id"), F.col("c_copies").alias("copies"), F.col("c_n_links").alias("n_links"), F.col("class").alias("words_md5"))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with the row of the smallest id of each class, columns unchanged; rows with null ids stay."""
-    gone = join(docs, doc_id=doc_id, text=text, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    """docs with the row of the smallest id of each class, columns unchanged.
+
+    A row goes for its own words, not for those of another row of its id; rows
+    with null ids stay.
+    """
+    found = join(docs, doc_id=doc_id, text=text, **options)
+    gone = cut(found.where("doc_id <> class_id").select("doc_id", "words_md5").distinct())
+    own = F.md5(F.trim(F.regexp_replace(text_column(text), SPACE, " ")))
+    return without(docs, {"doc_id": F.col(doc_id).cast("long"), "words_md5": own}, gone)
