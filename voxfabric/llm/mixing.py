@@ -16,6 +16,8 @@ LEVELS = ("domain", "lang", "source")
 #: Largest leaf table that is sent to all tasks (about 100 bytes a leaf).
 BROADCAST_LEAVES = 100_000
 SALTS = 32
+#: Hexadecimal digits of the seeded order by which the end of a leaf's prefix is narrowed down.
+SLOT_DIGITS = (2, 4, 6)
 
 
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -103,14 +105,19 @@ def mix(
     of the next epoch's seeded order. Null domains, languages and sources
     count as one of name "none"; null texts have no tokens. Leaves without
     tokens are kept once. Rows that repeat an id in a leaf stand or fall
-    together; an input column mix_epoch is replaced. Rounding leaves at most
-    one token a node unused.
+    together; documents of equal order stand by id. Texts of any length are
+    counted whole. An empty table gives an empty result. An input column
+    mix_epoch is replaced, others may have any names. Rounding leaves at most
+    one token a node unused, and a leaf's prefix ends before the first document
+    that exceeds it, which leaves less than that document's tokens.
     """
-    known = {"__domain": domain, "__lang": F.col(lang), "__source": F.col(source), "__id": F.col(doc_id)}
-    keyed = docs.drop("mix_epoch").withColumns(known)
+    given = docs.drop("mix_epoch")
+    keyed = given.select(  # the input's columns in one struct, so that none of their names can clash
+        F.struct(*[F.col(f"`{c}`") for c in given.columns]).alias("__row"), domain.alias("__domain"), F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.col(doc_id).alias("__id"), text_column(text).alias("__text")
+    )
     keyed = keyed.withColumns({f"__{x}": F.coalesce(F.col(f"__{x}").cast("string"), F.lit("none")) for x in LEVELS})
     keys = [f"__{x}" for x in LEVELS]
-    counted = cut(keyed.select(*keys, "__id", F.regexp_count(text_column(text), F.lit(WORD)).cast("long").alias("__n")))
+    counted = cut(keyed.select(*keys, "__id", F.regexp_count("__text", F.lit(WORD)).cast("long").alias("__n")))
 
     leaves = counted.groupBy(*[F.col(k).alias(x) for k, x in zip(keys, LEVELS)]).agg(F.sum("__n").alias("tokens"))
     leaves = cut(leaves)
@@ -121,13 +128,18 @@ def mix(
     shares = shares.select(*[F.col(x).alias(k) for k, x in zip(keys, LEVELS)], whole.cast("int").alias("__whole"), F.expr("coalesce(share % nullif(tokens, 0), 0L)").alias("__rest"))
     shares = cut(shares)
 
-    # The slot of the order in which each leaf's prefix ends, then the last document of the prefix in it.
-    placed = _on_leaves(counted, shares, few).withColumn("__u", _order(seed, F.col("__whole"), F.col("__id"))).withColumn("__slot", F.substring("__u", 1, 3))
-    slots = placed.groupBy(*keys, "__slot", "__rest").agg(F.sum("__n").alias("__n"))  # 4096 a leaf at most
-    slots = slots.withColumn("__end", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__slot")))
-    edge = slots.where("__end > __rest").groupBy(*keys).agg(F.min_by(F.struct("__slot", (F.col("__end") - F.col("__n")).alias("__before")), "__slot").alias("__edge"))
-    edge = cut(edge.select(*keys, F.col("__edge.__slot").alias("__edge_slot"), F.col("__edge.__before").alias("__before")))
-    inside = _on_leaves(placed, edge, few).where("__slot = __edge_slot")
+    # The slot of the order in which each leaf's prefix ends, by two more digits of the order each time: 256 rows a
+    # leaf are summed up at once, and the documents of the last slot are one of 16 million parts of the leaf.
+    placed = _on_leaves(counted, shares, few).withColumn("__u", _order(seed, F.col("__whole"), F.col("__id")))
+    edge = shares.select(*keys, F.lit("").alias("__edge"), F.lit(0).cast("long").alias("__before"))
+    for digits in SLOT_DIGITS:
+        inside = _on_leaves(placed, edge, few).where(F.col("__u").startswith(F.col("__edge"))).withColumn("__slot", F.substring("__u", 1, digits))
+        slots = inside.groupBy(*keys, "__slot", "__rest", "__before").agg(F.sum("__n").alias("__n"))
+        slots = slots.withColumn("__end", F.col("__before") + F.sum("__n").over(Window.partitionBy(*keys).orderBy("__slot")))
+        found = slots.where("__end > __rest").groupBy(*keys).agg(F.min_by(F.struct(F.col("__slot"), (F.col("__end") - F.col("__n")).alias("__before")), "__slot").alias("__found"))
+        edge = cut(found.select(*keys, F.col("__found.__slot").alias("__edge"), F.col("__found.__before").alias("__before")))
+    edge = edge.withColumnRenamed("__edge", "__edge_slot")
+    inside = _on_leaves(placed, edge, few).where(F.col("__u").startswith(F.col("__edge_slot")))
     upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__u", "__id")) + F.col("__before")
     last = inside.withColumn("__upto", upto).where("__upto <= __rest").groupBy(*keys).agg(F.max("__u").alias("__last"))
     cuts = shares.join(edge, keys, "left").join(last, keys, "left")
@@ -137,4 +149,4 @@ def mix(
     chosen = _on_leaves(keyed, cuts, few)
     times = F.col("__whole") + F.when(F.col("__more") & (_order(seed, F.col("__whole"), F.col("__id")) <= F.col("__cut")), 1).otherwise(0)
     chosen = chosen.withColumn("__times", times).where("__times > 0")
-    return chosen.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).select(*[c for c in docs.columns if c != "mix_epoch"], "mix_epoch")
+    return chosen.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).select("__row.*", "mix_epoch")
