@@ -7,6 +7,7 @@ before it kept; all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxfabric.llm import exact_dedup, language, mixing, packing, similarity_join
 from voxfabric.llm.common import stored
@@ -17,11 +18,15 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a known language; texts that are null or have no letter go."""
+    """Rows whose text has a known language; texts that are null or have no letter go.
+
+    Further columns pass through, whatever their names; rows that repeat an id
+    are judged one by one; an empty table gives an empty result.
+    """
     model = language.train(language.training_rows(docs))
-    known = docs.withColumnRenamed("lang", "given")
-    found = language.identify(known, model).where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}")
-    return found.withColumnRenamed("given", "lang").select(docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = language.identify(packed, model).where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}")
+    return found.select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
