@@ -58,5 +58,5 @@ def test_middle_slice_contrast(spark, duck):
     bins = np.minimum(6534, voxels(duck)[40] * 6535 // 65535).ravel()
     n = np.bincount(bins)
     assert found(spark, "histogram", ["bin", "n"]) == [(i, int(c)) for i, c in enumerate(n) if c]
-    low, high = (int(np.argmax(n.cumsum() >= n.sum() * share)) * 65535 // 6535 for share in (0.001, 0.999))
+    low, high = ((int(np.argmax(n.cumsum() >= n.sum() * share)) + 1) * 65535 // 6535 for share in (0.001, 0.999))
     assert found(spark, "contrast_bounds", ["cmin", "cmax"]) == [(low, high)]

@@ -83,6 +83,12 @@ def column_length(m: Affine, axis: int) -> Column:
     return F.sqrt(p[axis] * p[axis] + p[4 + axis] * p[4 + axis] + p[8 + axis] * p[8 + axis])
 
 
+def screen_length(m: Affine, axis: int) -> Column:
+    """The length on the screen, in x and y, of a unit step along an axis."""
+    p = entries(m)
+    return F.sqrt(p[axis] * p[axis] + p[4 + axis] * p[4 + axis])
+
+
 def plane_rows(m: Affine) -> Column:
     """The two-dimensional map in the screen's plane: rows 0 and 1, columns 0, 1 and 3."""
     p = entries(m)

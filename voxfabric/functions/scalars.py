@@ -98,13 +98,30 @@ def setup_name(name: Column, angle: Column, channel: Column) -> Column:
     return F.coalesce(F.when(name != "", name), made)
 
 
-def scale_bar(pixels_per_unit: Column, target: float = 100.0) -> tuple[Column, Column]:
-    """The length (1, 2 or 5 times a power of ten) of the bar nearest to target pixels, and its pixels."""
-    wanted = F.lit(target) / pixels_per_unit
-    power = F.pow(F.lit(10.0), F.floor(F.log10(wanted)))
-    steps = F.array(*[F.lit(float(s)) for s in (1, 2, 5, 10)])
-    best = F.array_min(F.transform(steps, lambda s: F.struct(F.abs(s * power * pixels_per_unit - target).alias("off"), s.alias("s"))))["s"]
-    return best * power, best * power * pixels_per_unit
+#: Steps of the scale bar to a power of ten, and the units it is told in (fixed values).
+SUBDIVISIONS = 4
+LENGTH_UNITS = ("nm", "\u00b5m", "mm", "m", "km")
+
+
+def scale_bar(pixel: Column, target: float = 100.0) -> Column:
+    """The length of the bar nearest to target pixels, a pixel being so long: a power of ten, or a quarter, half, three quarters of the next."""
+    wanted = pixel * target
+    power = F.floor(F.log10(wanted))
+    next_ = F.pow(F.lit(10.0), power + 1)
+    quarters = F.floor(wanted / F.pow(F.lit(10.0), power) * 0.1 * SUBDIVISIONS)
+    low = F.when(quarters > 0, next_ * quarters / SUBDIVISIONS).otherwise(F.pow(F.lit(10.0), power))
+    high = next_ * (quarters + 1) / SUBDIVISIONS
+    return F.when(F.abs(low / pixel - target) < F.abs(high / pixel - target), low).otherwise(high)
+
+
+def in_short_unit(length: Column, unit: Column) -> tuple[Column, Column]:
+    """A length in the unit in which it is shortest, and that unit; lengths in other than the known units stay."""
+    named = F.when(unit == "um", LENGTH_UNITS[1]).otherwise(unit)
+    units = F.array(*[F.lit(u) for u in LENGTH_UNITS])
+    at = F.array_position(units, named)
+    to = F.least(F.greatest(at + F.floor((F.log10(length) + 1) / 3), F.lit(1)), F.lit(len(LENGTH_UNITS)))
+    known = at > 0
+    return F.when(known, length / F.pow(F.lit(1000.0), to - at)).otherwise(length), F.when(known, F.get(units, (to - 1).cast("int"))).otherwise(unit)
 
 
 def cosine_ease(t: Column) -> Column:

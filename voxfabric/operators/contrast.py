@@ -23,10 +23,10 @@ def histogram(voxels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def cut_offs(counts: DataFrame, low: float = 0.001, high: float = 0.999, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, cmin, cmax: where a histogram's running share passes low and high. A histogram has BINS rows at most."""
+    """keys, cmin, cmax: the end of the bin in which a histogram's running share reaches low and high. A histogram has BINS rows at most."""
     w = Window.partitionBy(*keys)
     running = counts.withColumns({"total": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))})
-    value = F.floor(F.col("bin") * TOP / BINS)
+    value = F.floor((F.col("bin") + 1) * TOP / BINS)
     passed = lambda share: F.min(F.when(F.col("upto") >= F.col("total") * share, value)).cast("long")
     return running.groupBy(*keys).agg(passed(low).alias("cmin"), passed(high).alias("cmax"))
 

@@ -31,22 +31,23 @@ def cull(sources: DataFrame, to_screen: affine.Affine, width: int, height: int,
 
 
 def screen_rectangle(bounded: DataFrame, width: int, height: int) -> DataFrame:
-    """Adds x0, y0, x1, y1: the bounds rounded outwards and clipped to the screen; empty ones go."""
-    out = bounded.withColumns(
-        {
-            "x0": F.greatest(F.floor("s_min_x"), F.lit(0)).cast("long"),
-            "y0": F.greatest(F.floor("s_min_y"), F.lit(0)).cast("long"),
-            "x1": F.least(F.ceil("s_max_x"), F.lit(width - 1)).cast("long"),
-            "y1": F.least(F.ceil("s_max_y"), F.lit(height - 1)).cast("long"),
-        }
-    )
+    """Adds x0, y0, x1, y1: the bounds rounded outwards and clipped to the screen, where empty ones go; the whole screen for sources that opt out of culling."""
+    sides = {
+        "x0": F.greatest(F.floor("s_min_x"), F.lit(0)),
+        "y0": F.greatest(F.floor("s_min_y"), F.lit(0)),
+        "x1": F.least(F.ceil("s_max_x"), F.lit(width - 1)),
+        "y1": F.least(F.ceil("s_max_y"), F.lit(height - 1)),
+    }
+    screen = {"x0": 0, "y0": 0, "x1": width - 1, "y1": height - 1}
+    out = bounded.withColumns({k: F.when(F.col("culled"), v).otherwise(screen[k]).cast("long") for k, v in sides.items()})
     return out.where("x0 <= x1 and y0 <= y1")
 
 
 def rendered_pixels(rectangles: DataFrame, width: int, height: int) -> DataFrame:
-    """pixels: how many source pixels a frame takes, the whole screen for sources that opt out of culling."""
-    area = F.when(F.col("culled"), (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)).otherwise(width * height)
-    return rectangles.agg(F.coalesce(F.sum(area), F.lit(0)).cast("long").alias("pixels"))
+    """pixels: how many source pixels a frame takes; per_pixel: sources to a pixel of the screen, on average."""
+    area = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    total = F.coalesce(F.sum(area), F.lit(0)).cast("long")
+    return rectangles.agg(total.alias("pixels"), (total / (width * height)).alias("per_pixel"))
 
 
 def cull_cells(cells: DataFrame, to_screen: affine.Affine, width: int, height: int, below: float = 1.0, above: float = 0.0) -> DataFrame:

@@ -69,20 +69,20 @@ def mip_transform(spark, sf_dir):
 
 @query(with_sql("views", """
 SELECT setup_id, t, CAST(floor(1e6 * sqrt(model[1]*model[1]) + 0.5) AS BIGINT) AS sx, CAST(floor(1e6 * sqrt(model[6]*model[6]) + 0.5) AS BIGINT) AS sy,
-       CAST(floor(1e6 * sqrt(model[7]*model[7] + model[11]*model[11]) + 0.5) AS BIGINT) AS sz,
-       CAST(floor(1e6 * greatest(sqrt(model[1]*model[1]), sqrt(model[6]*model[6]), sqrt(model[7]*model[7] + model[11]*model[11])) + 0.5) AS BIGINT) AS largest FROM views"""))
+       CAST(floor(1e6 * sqrt(model[3]*model[3] + model[7]*model[7]) + 0.5) AS BIGINT) AS sz,
+       CAST(floor(1e6 * greatest(sqrt(model[1]*model[1] + model[5]*model[5]), sqrt(model[2]*model[2] + model[6]*model[6]), sqrt(model[3]*model[3] + model[7]*model[7])) + 0.5) AS BIGINT) AS largest FROM views"""))
 def voxel_screen_size(spark, sf_dir):
     micro = lambda c: F.floor(c * 1e6 + 0.5).cast("long")
-    sides = [affine.column_length("model", d) for d in range(3)]
+    sides = [affine.screen_length("model", d) for d in range(3)]
     return derived.views(spark, sf_dir).select("setup_id", "t", *[micro(s).alias(n) for s, n in zip(sides, ("sx", "sy", "sz"))], micro(F.greatest(*sides)).alias("largest"))
 
 
 @query(with_sql("views", """
 SELECT a.setup_id AS setup_id, b.setup_id AS other_id, a.t AS t FROM views a JOIN views b ON a.t = b.t AND a.setup_id < b.setup_id AND a.model[1] = b.model[1]
-AND a.model[6] = b.model[6] WHERE list_transform(a.model, lambda v: v) = b.model OR (a.model[4] = b.model[4] AND a.model[8] + 12 = b.model[8] AND a.t = 0)"""))
+AND a.model[6] = b.model[6] WHERE a.model = b.model OR (a.model[4] = b.model[4] AND a.model[8] + 12 = b.model[8] AND a.model[12] + 6 = b.model[12])"""))
 def affine_equal(spark, sf_dir):
     """Pairs of views of one timepoint whose maps are the same but for the setups' own shifts."""
-    v = derived.views(spark, sf_dir).where("t = 0")
+    v = derived.views(spark, sf_dir)
     a = v.select(F.col("setup_id"), "t", F.col("model").alias("p"))
     b = v.select(F.col("setup_id").alias("other_id"), "t", F.col("model").alias("q"))
     q = affine.entries("q")
@@ -134,12 +134,23 @@ def bounded_range(spark, sf_dir):
     return rows.select("event_id", *[v.alias(k) for k, v in cols.items()])
 
 
-@query("""SELECT p_partkey, 10.0::DOUBLE ** floor(log10(100.0 / u)) * s AS length FROM (
-SELECT p_partkey, u, arg_min(s, (abs(s * 10.0::DOUBLE ** floor(log10(100.0 / u)) * u - 100.0), s)) AS s
-FROM (SELECT p_partkey, p_size * 0.75::DOUBLE AS u, unnest([1.0::DOUBLE, 2.0, 5.0, 10.0]) AS s FROM part) GROUP BY p_partkey, u)""")
+@query("""
+WITH p AS (SELECT p_partkey, 1.0::DOUBLE / (p_size * 0.75::DOUBLE) AS pixel, ['nm', 'um', 'mm', 'm', 'km', 'inch'][p_partkey % 6 + 1] AS unit FROM part),
+w AS (SELECT *, floor(log10(100.0 * pixel)) AS pot FROM p),
+f AS (SELECT *, CAST(trunc(0.4::DOUBLE * (100.0 * pixel / 10.0::DOUBLE ** pot)) AS BIGINT) AS fracs FROM w),
+s AS (SELECT *, CASE WHEN fracs > 0 THEN 10.0::DOUBLE ** (pot + 1) * fracs / 4 ELSE 10.0::DOUBLE ** pot END AS low, 10.0::DOUBLE ** (pot + 1) * (fracs + 1) / 4 AS high FROM f),
+b AS (SELECT *, CASE WHEN abs(low / pixel - 100.0) < abs(high / pixel - 100.0) THEN low ELSE high END AS length FROM s),
+u AS (SELECT *, coalesce(list_position(['nm', 'um', 'mm', 'm', 'km'], unit), 0) AS place, CAST(floor((log10(length) + 1) / 3) AS BIGINT) AS wanted FROM b),
+k AS (SELECT *, CASE WHEN place > 0 THEN least(greatest(place + wanted, 1), 5) - place ELSE 0 END AS shift FROM u)
+SELECT p_partkey, CAST(floor(1e6 * length + 0.5) AS BIGINT) AS length, CAST(floor(1e6 * length / pixel + 0.5) AS BIGINT) AS pixels,
+CAST(floor(1e6 * length / 1000.0::DOUBLE ** shift + 0.5) AS BIGINT) AS shown, CASE WHEN place > 0 THEN ['nm', '\u00b5m', 'mm', 'm', 'km'][place + shift] ELSE unit END AS unit FROM k""")
 def scale_bar(spark, sf_dir):
-    u = F.col("p_size") * 0.75
-    return derived.table(spark, sf_dir, "part").select("p_partkey", scalars.scale_bar(u)[0].alias("length"))
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("nm", "um", "mm", "m", "km", "inch")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = derived.table(spark, sf_dir, "part").select("p_partkey", (1.0 / (F.col("p_size") * 0.75)).alias("pixel"), unit.alias("unit"))
+    rows = rows.withColumn("length", scalars.scale_bar(F.col("pixel")))
+    shown, name = scalars.in_short_unit(F.col("length"), F.col("unit"))
+    micro = lambda c: F.floor(c * 1e6 + 0.5).cast("long")
+    return rows.select("p_partkey", micro(F.col("length")).alias("length"), micro(F.col("length") / F.col("pixel")).alias("pixels"), micro(shown).alias("shown"), name.alias("unit"))
 
 
 @query("""SELECT p_partkey, least(CASE d WHEN 'uint8' THEN 0 WHEN 'int8' THEN -128 WHEN 'float32' THEN 0 WHEN 'uint16' THEN 0 ELSE -32768 END::DOUBLE, p_size - 200.0) AS low,

@@ -111,13 +111,14 @@ def max_projection(spark, sf_dir):
     return fusing.max_projection(_projection(spark, sf_dir))
 
 
-@query(with_sql("sparse", ", pix AS (SELECT t, px, py FROM (SELECT unnest(range(0, 7)) AS t), (SELECT unnest(range(0, 64)) AS px), (SELECT unnest(range(0, 64)) AS py)) SELECT pix.t AS t, px, py, coalesce(v, 0) AS v FROM pix LEFT JOIN sparse s ON s.t = pix.t AND setup = 1 AND z = 2 AND x = px AND y = py").replace("GROUP BY ALL)\n,", "GROUP BY ALL),"))
+@query(with_sql("sparse", ", pix AS (SELECT t, px, py FROM (SELECT unnest(range(0, 7)) AS t), (SELECT unnest(range(0, 64)) AS px), (SELECT unnest(range(0, 64)) AS py)) SELECT k.setup AS setup, pix.t AS t, px, py, coalesce(v, 0) AS v FROM pix CROSS JOIN (SELECT unnest(range(0, 3)) AS setup) k LEFT JOIN sparse s ON s.t = pix.t AND s.setup = k.setup AND z = 2 AND x = px AND y = py").replace("GROUP BY ALL)\n,", "GROUP BY ALL),"))
 def movie_frames(spark, sf_dir):
-    """One frame per timepoint, all in one job."""
-    frames = sampling.pixels(spark, 64, 64).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    """One frame per setup and timepoint, all in one job."""
+    count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long")))
+    frames = sampling.pixels(spark, 64, 64).withColumn("t", count(6)).withColumn("setup", count(2))
     at = frames.withColumns({"sx": F.col("px") * 1.0, "sy": F.col("py") * 1.0, "sz": F.lit(2.0)})
-    vox = derived.sparse_voxels(spark, sf_dir).where("setup = 1").select(F.col("t").cast("long").alias("t"), "x", "y", "z", "v")
-    return sampling.nearest(at, vox, ["t"]).select("t", "px", "py", "v")
+    vox = derived.sparse_voxels(spark, sf_dir).select(F.col("setup").cast("long").alias("setup"), F.col("t").cast("long").alias("t"), "x", "y", "z", "v")
+    return sampling.nearest(at, vox, ["setup", "t"]).select("setup", "t", "px", "py", "v")
 
 
 def _middle(spark, sf_dir):
@@ -125,14 +126,14 @@ def _middle(spark, sf_dir):
     return contrast.middle_slice(derived.voxels(spark, sf_dir), 0, depth - 1)
 
 
-@query(with_sql("voxels", "SELECT CAST(least(6534, floor(v * 6535 / 65535.0)) AS BIGINT) AS bin, count(*) AS n FROM voxels WHERE z = 10 GROUP BY 1"))
+@query(with_sql("voxels", "SELECT CAST(least(6534, floor(v * 6535 / 65535.0)) AS BIGINT) AS bin, count(*) AS n FROM voxels WHERE z = (SELECT (max(z) + 1) // 2 FROM voxels) GROUP BY 1"))
 def histogram(spark, sf_dir):
     return contrast.histogram(_middle(spark, sf_dir))
 
 
-@query(with_sql("voxels", """, h AS (SELECT CAST(least(6534, floor(v * 6535 / 65535.0)) AS BIGINT) AS bin, count(*) AS n FROM voxels WHERE z = 10 GROUP BY 1),
+@query(with_sql("voxels", """, h AS (SELECT CAST(least(6534, floor(v * 6535 / 65535.0)) AS BIGINT) AS bin, count(*) AS n FROM voxels WHERE z = (SELECT (max(z) + 1) // 2 FROM voxels) GROUP BY 1),
 c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM h)
-SELECT CAST(min(CASE WHEN upto >= total * 0.001::DOUBLE THEN bin * 65535 // 6535 END) AS BIGINT) AS cmin, CAST(min(CASE WHEN upto >= total * 0.999::DOUBLE THEN bin * 65535 // 6535 END) AS BIGINT) AS cmax FROM c""").replace("FROM blocks))\n,", "FROM blocks)),"))
+SELECT CAST(min(CASE WHEN upto >= total * 0.001::DOUBLE THEN (bin + 1) * 65535 // 6535 END) AS BIGINT) AS cmin, CAST(min(CASE WHEN upto >= total * 0.999::DOUBLE THEN (bin + 1) * 65535 // 6535 END) AS BIGINT) AS cmax FROM c""").replace("FROM blocks))\n,", "FROM blocks)),"))
 def contrast_bounds(spark, sf_dir):
     return contrast.cut_offs(contrast.histogram(_middle(spark, sf_dir)))
 

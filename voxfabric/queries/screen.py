@@ -75,7 +75,8 @@ def mode_transitions(spark, sf_dir):
 _BOUNDED = """bounded AS (
   SELECT *, 0.5*(min_x-0.5) + 64 AS sx0, 0.5*(max_x+0.5) + 64 AS sx1, 0.5*(min_y-0.5) + 0.25*(min_z-0.5) + 32 AS sy0, 0.5*(max_y+0.5) + 0.25*(max_z+0.5) + 32 AS sy1, min_z-0.5 AS sz0, max_z+0.5 AS sz1 FROM boxes),
 seen AS (SELECT * FROM bounded WHERE NOT culled OR (sx1 >= 0 AND sx0 <= 1679 AND sy1 >= 0 AND sy0 <= 996 AND sz0 <= 0 AND sz1 >= 0)),
-rects AS (SELECT * FROM (SELECT source_id, culled, CAST(greatest(floor(sx0), 0) AS BIGINT) AS x0, CAST(greatest(floor(sy0), 0) AS BIGINT) AS y0, CAST(least(ceil(sx1), 1679) AS BIGINT) AS x1, CAST(least(ceil(sy1), 996) AS BIGINT) AS y1 FROM seen) WHERE x0 <= x1 AND y0 <= y1)
+rects AS (SELECT * FROM (SELECT source_id, culled, CAST(greatest(floor(sx0), 0) AS BIGINT) AS x0, CAST(greatest(floor(sy0), 0) AS BIGINT) AS y0, CAST(least(ceil(sx1), 1679) AS BIGINT) AS x1, CAST(least(ceil(sy1), 996) AS BIGINT) AS y1 FROM seen WHERE culled) WHERE x0 <= x1 AND y0 <= y1
+          UNION ALL SELECT source_id, culled, 0, 0, 1679, 996 FROM boxes WHERE NOT culled)
 """
 
 
@@ -98,7 +99,7 @@ def screen_rectangles(spark, sf_dir):
     return _rectangles(spark, sf_dir).drop("culled")
 
 
-@query(_sql("SELECT CAST(sum(CASE WHEN culled THEN (x1-x0+1)*(y1-y0+1) ELSE 1680*997 END) AS BIGINT) AS pixels FROM rects"))
+@query(_sql("SELECT CAST(sum((x1-x0+1)*(y1-y0+1)) AS BIGINT) AS pixels, sum((x1-x0+1)*(y1-y0+1))::DOUBLE / (1680*997) AS per_pixel FROM rects"))
 def rendered_pixels(spark, sf_dir):
     return screen.rendered_pixels(_rectangles(spark, sf_dir), WIDTH, HEIGHT)
 

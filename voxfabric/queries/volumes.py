@@ -25,10 +25,10 @@ def rechunk(spark, sf_dir):
 
 
 @query(with_sql("blocks", """SELECT CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy, CAST(gz AS BIGINT) AS gz, CAST(i AS BIGINT) AS i, CASE WHEN i % 4 < 3 AND i // 4 % 4 < 2 AND (gx + gy) % 5 <> 0 THEN data[i % 4 + 3 * (i // 4 % 4 + 2 * (i // 16)) + 1] ELSE 0 END AS v
-FROM blocks, (SELECT unnest(range(0, 64)) AS i) WHERE gz < 2"""))
+FROM blocks, (SELECT unnest(range(0, 64)) AS i)"""))
 def zero_pad(spark, sf_dir):
     """Chunks cut at the edge (3 * 2 * 4) laid into whole ones; some are not stored at all."""
-    b = derived.blocks(spark, sf_dir).where("gz < 2")
+    b = derived.blocks(spark, sf_dir)
     stored = b.where("(gx + gy) % 5 <> 0").withColumn("data", F.slice("data", 1, 24))
     padded = stored.withColumn("data", blocks.pad_block(F.col("data"), [F.lit(3), F.lit(2), F.lit(4)], (4, 4, 4)))
     whole = blocks.fill_missing(padded, b.select("gx", "gy", "gz"), (4, 4, 4))
@@ -71,10 +71,10 @@ def function_source(spark, sf_dir):
     return derived.voxels(spark, sf_dir).select("x", "y", "z", (F.col("x") * F.col("x") + F.col("y") * 2 - F.col("z")).alias("v"), F.lit(7).cast("long").alias("constant"))
 
 
-@query(with_sql("sparse", "SELECT z AS channel, CAST(t AS BIGINT) AS t, x, y, v FROM sparse WHERE setup = 0"))
+@query(with_sql("sparse", "SELECT CAST(setup AS BIGINT) AS setup, z AS channel, CAST(t AS BIGINT) AS t, x, y, v FROM sparse"))
 def axis_split(spark, sf_dir):
     """An XYZ stack read as XYC: its third axis numbers channels."""
-    return derived.sparse_voxels(spark, sf_dir).where("setup = 0").select(F.col("z").alias("channel"), F.col("t").cast("long").alias("t"), "x", "y", "v")
+    return derived.sparse_voxels(spark, sf_dir).select(F.col("setup").cast("long").alias("setup"), F.col("z").alias("channel"), F.col("t").cast("long").alias("t"), "x", "y", "v")
 
 
 @query(with_sql("voxels", "SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v)::BIGINT // count(*) AS v FROM voxels GROUP BY 1, 2, 3"))
@@ -88,7 +88,7 @@ def downsample_edge(spark, sf_dir):
     return pyramid.downsample(derived.voxels(spark, sf_dir), (3, 1, 1), (40, 40, 1 << 20))
 
 
-@query(with_sql("voxels", """, l1 AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v)::BIGINT // count(*) AS v FROM voxels WHERE z < 20 GROUP BY 1, 2, 3),
+@query(with_sql("voxels", """, l1 AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v)::BIGINT // count(*) AS v FROM voxels GROUP BY 1, 2, 3),
 l2 AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v)::BIGINT // count(*) AS v FROM l1 GROUP BY 1, 2, 3)
 SELECT CAST(1 AS BIGINT) AS level, * FROM l1 UNION ALL SELECT 2, * FROM l2""").replace("FROM blocks))\n,", "FROM blocks)),"))
 def downsample_cascade(spark, sf_dir):
@@ -106,10 +106,11 @@ def tile_level_count(spark, sf_dir):
     return derived.table(spark, sf_dir, "part").select("p_partkey", (F.size(steps) + 1).cast("long").alias("levels"))
 
 
-@query(with_sql("sparse", "SELECT x, y, z // 3 AS z, sum(v * 5)::BIGINT // 3 AS r, sum(v * 3)::BIGINT // 3 AS g, sum(v)::BIGINT // 3 AS b, CAST(255 AS BIGINT) AS a FROM sparse WHERE setup = 1 AND t = 3 GROUP BY x, y, z // 3"))
+@query(with_sql("sparse", "SELECT CAST(setup AS BIGINT) AS setup, CAST(t AS BIGINT) AS t, x, y, z // 3 AS z, sum(v * 5)::BIGINT // 3 AS r, sum(v * 3)::BIGINT // 3 AS g, sum(v)::BIGINT // 3 AS b, CAST(255 AS BIGINT) AS a FROM sparse GROUP BY setup, t, x, y, z // 3"))
 def slab_mean(spark, sf_dir):
-    s = derived.sparse_voxels(spark, sf_dir).where("setup = 1 and t = 3").select("x", "y", "z", (F.col("v") * 5).alias("r"), (F.col("v") * 3).alias("g"), F.col("v").alias("b"))
-    return pyramid.slab_mean(s, 3)
+    keys = [F.col(k).cast("long").alias(k) for k in ("setup", "t")]
+    s = derived.sparse_voxels(spark, sf_dir).select(*keys, "x", "y", "z", (F.col("v") * 5).alias("r"), (F.col("v") * 3).alias("g"), F.col("v").alias("b"))
+    return pyramid.slab_mean(s, 3, ["setup", "t", "x", "y"])
 
 
 @query()
