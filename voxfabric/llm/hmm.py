@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import cut, text_column
+from voxfabric.llm.common import cut, stored, text_column
 
 #: Tokens that a task runs at a time (about 30 bytes each and state).
 GROUP_TOKENS = 1 << 19
@@ -31,6 +31,8 @@ TASK_WORDS = 1 << 19
 #: Rare words that a task tells apart at a time, and pairs of word and document that it holds.
 RARE_WORDS = 300_000
 RARE_PAIRS = 1 << 21
+#: Training tokens to each part in which the rows' sums meet.
+PART_TOKENS = 1 << 22
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -203,6 +205,29 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def coded(docs: DataFrame, names: dict[bytes, int], classes: int, text: str = "text") -> DataFrame:
+    """symbols: each text's symbols and its end, little-endian, 2 or 4 bytes each. Stored, so that texts are taken apart once for all passes."""
+    sent = docs.sparkSession.sparkContext.broadcast(names)
+    kind = _symbol_kind(len(names) + classes + 1)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _Reader(sent.value, classes)
+        for batch in batches:
+            out = []
+            for t in batch.column(0).to_pylist():
+                ids = read(t)
+                out.append(np.append(read.symbol[ids], len(sent.value) + classes).astype(kind).tobytes())
+                if len(read.rare) >= RARE_WORDS:
+                    read.reset()
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["symbols"])
+
+    return stored(docs.select(text).mapInArrow(code, "symbols binary"))
+
+
+def _symbol_kind(n: int) -> np.dtype:
+    return np.dtype("<u2" if n <= 1 << 16 else "<u4")
+
+
 def train(docs: DataFrame, counts: DataFrame, states: int = 6, symbols: int = 16_384, classes: int = 512, passes: int = 4, piece: int = 512, seed: int = 11, text: str = "text") -> Model:
     """Fit to all of docs; counts are its word counts.
 
@@ -220,24 +245,35 @@ def train(docs: DataFrame, counts: DataFrame, states: int = 6, symbols: int = 16
     emit = emit * frequency[:, None]
     emit /= emit.sum(0)
     schema = "symbol int, " + ", ".join(f"s{k} double" for k in range(states))
+    numbers, kind = coded(docs, names, classes, text), _symbol_kind(n)
     for _ in range(passes):
-        sent = docs.sparkSession.sparkContext.broadcast((names, start, move, emit))
+        sent = docs.sparkSession.sparkContext.broadcast((start, move, emit))
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, a, b, c = sent.value
             total = None
-            read = _Reader(words, classes)
-            end = len(words) + classes
-            for group in _groups(batches, 0, read):
-                docs_ = [np.append(read.symbol[ids], end) for _, ids in group]
-                starts, moves, emitted, _ = expected([d[i : i + piece] for d in docs_ for i in range(0, len(d), piece)], a, b, c)
+            held: list[np.ndarray] = []
+            size = 0
+
+            def add() -> np.ndarray:
+                starts, moves, emitted, _ = expected(held, *sent.value)
                 more = np.concatenate([emitted, moves, starts[None, :]])
-                total = more if total is None else total + more
+                return more if total is None else total + more
+
+            for batch in batches:
+                for x in batch.column(0):
+                    d = np.frombuffer(x.as_buffer(), kind).astype(np.int32)
+                    held += [d[i : i + piece] for i in range(0, len(d), piece)]
+                    size += len(d)
+                    if size >= GROUP_TOKENS:
+                        total = add()
+                        held, size = [], 0
+            if held:
+                total = add()
             if total is not None:
                 some = np.flatnonzero(total.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(total[some, k]) for k in range(states)]], names=["symbol", *[f"s{k}" for k in range(states)]])
 
-        sums = docs.select(text).mapInArrow(step, schema).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
+        sums = numbers.mapInArrow(step, schema).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
         got = np.zeros((n + states + 1, states))
         for r in sums.collect():  # one row a symbol
             got[r.symbol] = r[1:]
@@ -258,7 +294,11 @@ def score(docs: DataFrame, training: Column, symbols: int = 16_384, doc_id: str
     log10((c+0.5)/(N+0.5(V+1))) each. Null texts are empty: an end alone. In
     a class, a word has (c+0.5)/(sum of these+0.5), and unseen words together
     0.5 in place of c+0.5. Rows that repeat an id are scored one by one; null
-    ids are scored like others. Without training rows N and V are 0.
+    ids are scored like others. Without training rows N and V are 0; an empty
+    table gives an empty result. A text of any length is scored whole by one
+    task (about 30 bytes a token and state). Further columns of docs are
+    ignored, whatever their names. A row's sums meet under a 64-bit hash of
+    its id and text.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_column(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     learn = rows.where("training").select("text")
@@ -285,7 +325,8 @@ def score(docs: DataFrame, training: Column, symbols: int = 16_384, doc_id: str
     base[model.end] = np.log10(ends + 0.5) - log_all
     sent = docs.sparkSession.sparkContext.broadcast((model, base, np.log10(room)))
     schema = pa.schema([("word", pa.binary()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("keys", pa.binary()), ("times", pa.binary())])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Sums of a part lie in one task's memory: parts follow the corpus.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_all // PART_TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per document what needs no counts, under a word that no text has; and per rare word the documents that have it."""
@@ -389,7 +430,7 @@ def score(docs: DataFrame, training: Column, symbols: int = 16_384, doc_id: str
 
     pairs = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "word binary, key long, n_tokens long, n_known long, base double, score double, keys binary, times binary")
     counted = pairs.join(counts, "word", "left").select("key", "n_tokens", "n_known", "base", "score", "keys", "times", "n")
-    shares = counted.mapInArrow(add, "part int, sums binary").groupBy("part")
+    shares = counted.mapInArrow(add, "part int, sums binary").repartition(parts, "part").groupBy("part")
     per_row = shares.applyInArrow(sum_up, "key long, n_tokens long, n_known long, base_score double, score double")
     ids = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id")
     return ids.join(per_row, "key").select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
