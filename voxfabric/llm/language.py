@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +20,8 @@ from voxfabric.llm.common import cut, fold
 
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 LONGEST_GRAM = 4
+#: A probability counts so many words of a text at most.
+EVIDENCE = 20
 
 
 def words(text: str) -> list[str]:
@@ -66,6 +68,7 @@ class Model:
         return total / max(places, 1)
 
     def score(self, text: str | None, most: int = 300_000) -> tuple[str, float]:
+        """The likeliest language and its probability, by at most EVIDENCE words' worth of evidence: words of a text aren't independent."""
         found = words(text) if text else []
         if not found or not self.langs:
             return "und", 0.0
@@ -80,31 +83,36 @@ class Model:
             self.seen.update(zip(new, range(n, n + len(new))))
         total = self.prior + self.rows[np.fromiter(map(self.seen.__getitem__, found), np.int64, len(found))].sum(0)
         best = int(np.argmax(total))
+        total = total * min(1.0, EVIDENCE / len(found))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def train(docs: DataFrame, sample_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
+def train(docs: DataFrame, sample_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000, max_langs: int = 1000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """Fit on labelled documents.
 
-    Learns from about sample_docs documents, chosen by a hash of their ids
-    (all of them if there are fewer), whole texts each. The max_words most
-    frequent words that occur twice and the max_grams most frequent n-grams
-    stay, so the model's size is bounded.
+    The fit's bounds are parameters. It learns from a sample of about
+    sample_docs documents, whole texts each, chosen by a hash of their ids: of
+    each language the same number, or all there are. Of each language its
+    most frequent words and n-grams stay, an equal share of max_words and
+    max_grams, so that a frequent language can't crowd a rare one out. Of more
+    than max_langs languages the most frequent are learned. Prior
+    probabilities count all documents. Null texts and languages are not
+    learned from; without any document the model knows no language.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    n = sum(per_lang.values())
-    if n > sample_docs:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(sample_docs * 1_000_000 // n))
+    per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     langs = sorted(per_lang)
     column = {x: i for i, x in enumerate(langs)}
+    if langs:
+        places, each = 10**12, -(-sample_docs // len(langs))
+        share = F.create_map(*[F.lit(x) for k, n in per_lang.items() for x in (k, min(places, each * places // n))])
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(places)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_word: dict[str, Counter] = {}
         for batch in batches:
             for x, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if x in column:
-                    by_word.setdefault(x, Counter()).update(words(t))
+                by_word.setdefault(x, Counter()).update(words(t))
         for x, c in by_word.items():
             by_gram: Counter = Counter()
             for w, k in c.items():
@@ -118,12 +126,17 @@ def train(docs: DataFrame, sample_docs: int = 20_000, max_words: int = 40_000, m
                     names=["kind", "lang", "gram", "n"],
                 )
 
-    counts = known.mapInArrow(count, "kind int, lang string, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    totals = cut(counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")))
+    counts = cut(known.mapInArrow(count, "kind int, lang string, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
+    # The sample bounds the words of a language, so ranking them is bounded too.
+    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "gram"))
     tables = []
     for kind, most in ((0, max_words), (1, max_grams)):
-        top = totals.where(f"kind = {kind} and total >= 2").orderBy(F.desc("total"), "gram").limit(most).collect()
-        tables.append({r.gram: np.array([r.by_lang.get(x, 0) for x in langs], float) for r in top})
+        own = counts.where(F.col("kind") == kind)
+        top = own.withColumn("rank", rank).where(F.col("rank") <= max(1, most // max(len(langs), 1))).select("gram").distinct()
+        table: dict[str, np.ndarray] = {}
+        for r in own.join(top, "gram").orderBy("gram", "lang").collect():
+            table.setdefault(r.gram, np.zeros(len(langs)))[column[r.lang]] = r.n
+        tables.append(table)
     return Model(langs, tables[0], tables[1], np.array([per_lang[x] for x in langs], float))
 
 
@@ -132,7 +145,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
 
     Texts that are null or have no letter get "und" and 0; so does every text
     if there was nothing to learn from. Ties go to the first language by
-    name. Input columns of these names are replaced.
+    name. Input columns of these names are replaced; other columns pass
+    through. Rows are judged one by one, whatever their ids, and texts of any
+    length whole. An empty table gives an empty result.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score")
