@@ -84,6 +84,19 @@ def test_index_lookup(spark, docs):
     assert got == sorted([(-1, len(whole("null id")) + 1), (3, 1), (3, 1), (24, len(whole(TEXTS[8])) + 1)])
 
 
+def test_one_id_over_many_shards(spark):
+    """A third of all rows without an id, and another id of many rows."""
+    rows = [(None, f"null {i}") for i in range(40)] + [(7, f"seven {i}") for i in range(40)] + [(i, f"text {i}") for i in range(40)]
+    index = token_index.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_ids=30)
+    assert index.where("n_null > 0").count() > 2 and index.where("first_id <= 7 and last_id >= 7").count() > 2
+    got = token_index.read_all(index).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted([i for i, _ in rows], key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == [0, *accumulate(r.n_tokens for r in got)][:-1]
+    want = spark.createDataFrame([(None,), (7,), (8,), (77,)], "doc_id long")
+    found = sorted((str(r.doc_id), r.ids) for r in token_index.lookup(index, want).collect())
+    assert found == sorted((str(i), bytes(np.array(whole(t) + [2], "<u4"))) for i, t in rows if i in (None, 7, 8))
+
+
 def test_index_empty(spark, docs):
     assert token_index.read_all(token_index.write(docs.limit(0))).collect() == []
 

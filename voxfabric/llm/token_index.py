@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import stored
+from voxfabric.llm.common import cut, stored
 from voxfabric.llm.tokens import default_tokenizer, encoder
 
 SHARD = "bucket int, shard int, local_start long, first_id long, last_id long, n_keys int, n_ids long, n_null int, width int, doc_ids binary, displacement binary, slots binary, offsets binary, payload binary"
@@ -132,62 +133,56 @@ class Shard:
 def write(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None, shard_ids: int = 1 << 21, shard_keys: int = 1 << 16, bucket_bytes: int = 1 << 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode docs and write shards in ascending doc_id order (nulls first); returns the table as read back.
 
-    A shard takes at most shard_ids ids and shard_keys documents, or the rows of
-    one id. Ranges of doc_id are dealt to at most 10,000
-    partitions of about bucket_bytes of text, within which shards follow each
-    other. Rows of the same id follow each other in the order of their ids'
-    bytes. Null and empty texts are the end id alone; an empty table gives an
-    empty index.
+    A shard takes at most shard_ids ids (or one document) and shard_keys
+    documents. Documents are dealt by ranges of their id and, within an id, of
+    a hash of the text, to parts of about bucket_bytes of text, so that an id
+    of any number of rows, nulls too, is spread over parts and shards; within
+    a part shards follow each other. Ids are compared as longs. Rows that
+    repeat an id follow each other in the order of that hash. Null and empty
+    texts are the end id alone; a text of any length is one record. An empty
+    table gives an empty index; further columns of docs are ignored, whatever
+    their names.
     """
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = min(10_000, max(least, -(-total // bucket_bytes)))
-    quantiles = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    splits = np.unique(np.array(quantiles, np.int64))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     dtype = encoder(path).dtype
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys = part.column(0)
-                bucket = np.searchsorted(splits, keys.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), keys, pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
+    dealt = rows.withColumn("salt", F.xxhash64(F.coalesce("text", F.lit(""))))
+    dealt = dealt.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "salt")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, bytes]] = []
         size = number = start = 0
-        bucket = None
+        enc, bucket = encoder(path), TaskContext.get().partitionId()
+        end = np.array([end_id], enc.dtype).tobytes()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([_shard(bucket, number, start, held, dtype.itemsize)], schema=schema)
 
         for batch in batches:
-            for b, key, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                k = len(ids) // dtype.itemsize
-                if held and (b != bucket or key != held[-1][0] and (size + k > shard_ids or len(held) >= shard_keys)):
-                    yield out()
-                    number, start, held, size = (number + 1, start + size, [], 0) if b == bucket else (0, 0, [], 0)
-                bucket = b
-                held.append((key, ids))
-                size += k
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                codes = enc.encode([t or "" for t in part.column(1).to_pylist()])
+                for key, ids in zip(part.column(0).to_pylist(), codes):
+                    k = len(ids) // dtype.itemsize + 1
+                    if held and (size + k > shard_ids or len(held) >= shard_keys):
+                        yield out()
+                        number, start, held, size = number + 1, start + size, [], 0
+                    held.append((key, ids + end))
+                    size += k
         if held:
             yield out()
 
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in SHARD.split(", "))])
-    dealt = rows.mapInArrow(encode, "bucket int, doc_id long, ids binary").repartitionById(len(splits) + 1, F.col("bucket"))
-    return stored(dealt.sortWithinPartitions("bucket", "doc_id", "ids").mapInArrow(shards, SHARD), "zstd")
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "salt", "text")
+    return stored(ordered.select("doc_id", "text").mapInArrow(shards, SHARD), "zstd")
 
 
 def read_all(index: DataFrame) -> DataFrame:
     """Every document of an index, each found by its key: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
-    sums = index.groupBy("bucket").agg(F.sum("n_ids").alias("n")).orderBy("bucket").collect()  # at most 10,000 buckets
+    sums = index.groupBy("bucket").agg(F.sum("n_ids").alias("n")).orderBy("bucket").collect()  # a row per part of bucket_bytes of text
     base, total = [], 0
     for r in sums:
         base.append((r.bucket, total))
@@ -211,33 +206,51 @@ def read_all(index: DataFrame) -> DataFrame:
     return index.join(F.broadcast(bases), "bucket").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
+#: Runs of parts in a lookup's directory, 16 bytes each.
+DIRECTORY = 10_000
+#: Parts to which a lookup's reads are narrowed by their numbers; keys in more of them read all parts' directories.
+FEW_PARTS = 1000
+
+
 def lookup(index: DataFrame, keys: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The ids of given documents: doc_id, ids. Keys that the index lacks give no row.
 
-    Each key goes to the last shard that begins at or before it, found among
-    the shards' first ids (8 bytes a shard go to the tasks); there it costs one
-    probe. The records of one id may not be split over shards, and write()
-    doesn't split them.
+    Parts are taken together in at most DIRECTORY runs, whose first and last
+    ids go to the tasks and lead a key to its run, nearly always one; in the
+    run, shards are told by their ids' range, and in a shard a key costs one
+    probe. Where the keys lie in few parts, only those are read: their numbers
+    are pushed down to the scan.
     """
-    wanted = keys.select(F.col(doc_id).cast("long").alias("key")).distinct()
-    places = index.select("bucket", "shard", "first_id", "n_null").orderBy("bucket", "shard").collect()
-    firsts = np.array([-(1 << 63) if r.n_null else r.first_id for r in places], np.int64)
-    bucket, shard = np.array([r.bucket for r in places], np.int32), np.array([r.shard for r in places], np.int32)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    low = -(1 << 63)
+    ranged = index.select("bucket", "shard", F.when(F.col("n_null") > 0, low).otherwise(F.col("first_id")).alias("low"), F.coalesce("last_id", F.lit(low)).alias("high"))
+    together = (ranged.agg(F.max("bucket")).first()[0] or 0) // DIRECTORY + 1
+    ranged = ranged.withColumn("run", F.floor(F.col("bucket") / together).cast("int"))
+    runs = ranged.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("run").collect()
+    lows, highs = (np.array([r[c] for r in runs], np.int64) for c in ("low", "high"))
+    numbers_ = np.array([r.run for r in runs], np.int32)
+    wanted = keys.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(low)).alias("key"), F.col(doc_id).cast("long").alias("asked")).distinct()
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(firsts, batch.column(0).fill_null(-(1 << 63)).to_numpy(), "right") - 1
-            there = at >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[there]]), pa.array(shard[at[there]]), batch.column(0).filter(pa.array(there))], names=["bucket", "shard", "key"])
-
-    asked = wanted.mapInArrow(route, "bucket int, shard int, key long").groupBy("bucket", "shard").agg(F.collect_list(F.struct("key")).alias("asked"))
+            key = batch.column(0).to_numpy()
+            first, last = np.searchsorted(highs, key, "left"), np.searchsorted(lows, key, "right")
+            n = np.maximum(last - first, 0)
+            row = np.repeat(np.arange(len(key)), n)
+            run = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in batch.columns], pa.array(numbers_[run])], names=["key", "asked", "run"])
+
+    led = wanted.mapInArrow(lead, "key long, asked long, run int")
+    inside = (F.col("low") <= F.col("key")) & (F.col("key") <= F.col("high"))
+    asked = cut(led.join(ranged, "run").where(inside).groupBy("bucket", "shard").agg(F.collect_list("asked").alias("asked"), F.max(F.col("asked").isNull()).alias("null_too")))
+    numbers = [r.bucket for r in asked.select("bucket").distinct().limit(FEW_PARTS + 1).collect()]
+    some = index.where(F.col("bucket").isin(numbers)) if len(numbers) <= FEW_PARTS else index
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                shard, want = Shard(row), [x["key"] for x in row["asked"]]
+                shard, want = Shard(row), row["asked"] + [None] * row["null_too"]
                 got = [(key, shard.ids(at + k).astype("<u4").tobytes()) for key, (at, times) in zip(want, shard.find(want)) for k in range(times) if shard.doc_ids[at] == key]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary())], names=["doc_id", "ids"])
 
-    return index.join(asked, ["bucket", "shard"]).mapInArrow(probe, "doc_id long, ids binary")
+    return some.join(asked, ["bucket", "shard"]).mapInArrow(probe, "doc_id long, ids binary")
