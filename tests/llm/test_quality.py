@@ -60,3 +60,36 @@ def test_edges(spark, docs):
     assert quality.score(odd.limit(0), net).collect() == []
     one = quality.train(docs, docs.where(F.col("quality") == 1))
     assert one.bias[0] > 0
+
+
+def brute_score(net, text):
+    """Every chunk, every place and every filter one after the other."""
+    data = [*(text or "").encode()]
+    logits, at = [], 0
+    while True:
+        part = data[at : at + quality.CHUNK]
+        part += [256] * (quality.CHUNK - len(part))
+        windows = [np.concatenate([net.embed[b] for b in part[i : i + quality.WIDTH]]) for i in range(quality.STEP)]
+        pooled = [max(0.0, max(float(np.dot(w, net.conv[:, f])) for w in windows) + float(net.conv_bias[f])) for f in range(quality.FILTERS)]
+        hidden = [max(0.0, sum(p * float(net.hidden[f, h]) for f, p in enumerate(pooled)) + float(net.hidden_bias[h])) for h in range(quality.HIDDEN)]
+        logits.append(sum(v * float(net.out[h]) for h, v in enumerate(hidden)) + float(net.bias[0]))
+        at += quality.STEP
+        if at + quality.WIDTH - 1 >= len(data):
+            return 1 / (1 + np.exp(-sum(logits) / len(logits)))
+
+
+def test_scores_against_brute_force(spark, docs):
+    net = quality.train(docs, docs.select("doc_id", "quality"), passes=1)
+    texts = [None, "", "abc", "é" * 300, "### ab cd " * 40, "x" * quality.CHUNK, "y z" * 700]
+    rows = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.text: r.score for r in quality.score(rows, net).collect()}
+    assert [got[t] for t in texts] == pytest.approx([brute_score(net, t) for t in texts], abs=1e-4)
+
+
+def test_auc_on_the_tables(spark):
+    from voxfabric.llm.queries import op8_quality
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [(r.score, labels[r.doc_id]) for r in op8_quality(spark, "/root/testdata/sf0.01").where("held_out").collect() if r.doc_id in labels]
+    good, bad = ([s for s, y in held if y == k] for k in (1, 0))
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9
