@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import tempfile
 import uuid
 
@@ -15,15 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxfabric-"))
-    return found or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if all tasks run in this process (tests), else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and checkpointed in the shared folder; Spark removes the files with the last plan that reads them."""
+    """df, computed and checkpointed in the shared folder. Spark removes the files with the last plan that reads them if spark.cleaner.referenceTracking.cleanCheckpoints is set, as it should be on a cluster."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
