@@ -27,20 +27,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import cut, hot_lookup, marked
+from voxfabric.llm.common import cut, hot_lookup, marked, stored
 from voxfabric.llm.shingles import Words, mix
 
 #: Phrases that a task holds at a time (about 60 bytes each while it sorts).
-TASK_PHRASES = 1 << 22
+TASK_PHRASES = 1 << 21
 #: Phrases that a block is planned for.
 BLOCK_PHRASES = 1 << 21
 #: Factors are checked in pieces that end at multiples of so many places of the reference: requests for one reference stay in proportion to its text.
-PIECE = 64
+PIECE = 256
 
-#: A row: its id, and a hash of its text that tells rows of one id apart.
+#: A row: its id, and where ids repeat a hash of its text, which tells rows of one id apart.
 _DOC = np.dtype([("id", "<i8"), ("tag", "<i8")])
 _PARTS = np.dtype([("doc", "<u4"), ("place", "<u4"), ("n", "<u4"), ("ref", "<u4"), ("at", "<u4")])
 _REQUEST = "block int, docs binary, phrases binary, rows binary, places binary"
@@ -50,8 +50,8 @@ _FACTOR = "doc_id long, tag long, place int, n int, ref_id long, ref_tag long, r
 
 def _planes(x: np.ndarray) -> bytes:
     """Numbers by byte significance, high bytes together, compressed: what varies little takes little."""
-    flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(flat.tobytes())
+    flat = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat).tobytes())
 
 
 def _unplanes(data: bytes, kind: np.dtype | str) -> np.ndarray:
@@ -60,6 +60,19 @@ def _unplanes(data: bytes, kind: np.dtype | str) -> np.ndarray:
     return flat.T.copy().view(kind).reshape(-1)
 
 
+def _listed(docs: np.ndarray) -> bytes:
+    """Sorted rows, their ids as differences."""
+    out = docs.copy()
+    out["id"] = np.diff(docs["id"], prepend=np.zeros(1, np.int64))
+    return _planes(out)
+
+
+def _unlisted(data: bytes) -> np.ndarray:
+    out = _unplanes(data, _DOC)
+    out["id"] = np.cumsum(out["id"])
+    return out
+
+
 def _starts(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin in sorted columns."""
     if not len(keys[0]):
@@ -95,7 +108,7 @@ def _dealt(docs: np.ndarray, hits: np.ndarray, parts: int) -> Iterator[tuple[int
         some = hits[x:y].copy()
         used, number = np.unique(np.concatenate([some["doc"], some["ref"]]), return_inverse=True)
         some["doc"], some["ref"] = number[: len(some)], number[len(some) :]
-        yield int(part[x]), _planes(docs[used]), _planes(some)
+        yield int(part[x]), _listed(docs[used]), _planes(some)
 
 
 def _as_hits(doc: np.ndarray, place: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -142,7 +155,7 @@ def factors(docs: DataFrame, window: int, blocks: int, seed_bits: int = 64) -> D
                 if y > x:
                     some, local = np.unique(row[x:y], return_inverse=True)
                     steps = np.diff(phrase[x:y], prepend=np.zeros(1, np.uint64))
-                    yield from _table(_REQUEST, [(b, _planes(own[some]), _planes(steps), _planes(local.astype("<u4")), _planes(place[x:y]))]).to_batches()
+                    yield from _table(_REQUEST, [(b, _listed(own[some]), _planes(steps), _planes(local.astype("<u4")), _planes(place[x:y]))]).to_batches()
 
         total = 0
         for batch in batches:
@@ -164,7 +177,7 @@ def factors(docs: DataFrame, window: int, blocks: int, seed_bits: int = 64) -> D
         if not asked:
             return passed
         phrase = np.concatenate([np.cumsum(_unplanes(p["phrases"], "<u8"), dtype=np.uint64) for p in asked])
-        lists = [_unplanes(p["docs"], _DOC) for p in asked]
+        lists = [_unlisted(p["docs"]) for p in asked]
         place = np.concatenate([_unplanes(p["places"], "<u4") for p in asked])
         own, number = np.unique(np.concatenate(lists), return_inverse=True)
         before = np.cumsum([0, *map(len, lists)])
@@ -178,7 +191,7 @@ def factors(docs: DataFrame, window: int, blocks: int, seed_bits: int = 64) -> D
         return pa.concat_tables([passed.cast(found.schema), found])
 
     def gather(key: tuple, rows: pa.Table) -> pa.Table:
-        got = [(_unplanes(p["docs"], _DOC), _unplanes(p["hits"], _PARTS)) for p in rows.to_pylist()]
+        got = [(_unlisted(p["docs"]), _unplanes(p["hits"], _PARTS)) for p in rows.to_pylist()]
         own, number = np.unique(np.concatenate([d for d, _ in got]), return_inverse=True)
         number, before = number.reshape(-1), 0
         for d, h in got:
@@ -199,18 +212,18 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def digests(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """name, digest of the words of n places from place on, for the rows of wanted (doc_id, tag, place, n; distinct)."""
-    per_row = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "n")).alias("wants"))  # in proportion to the row's text
+    """name, digest of the words of n places from place on, for the rows of wanted (doc_id, tag, place, n, name; distinct)."""
+    per_row = cut(wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "n", "name")).alias("wants")))  # in proportion to the row's text
     rows = marked(docs, F.xxhash64("doc_id", "tag"), per_row.select(F.xxhash64("doc_id", "tag").alias("key")), "asked").where("asked")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, tag, t, wants in zip(*(c.to_pylist() for c in batch.columns)):
+            for t, wants in zip(*(c.to_pylist() for c in batch.columns)):
                 words = Words(t).words
                 out = [_digest(words[w["place"] : w["place"] + w["n"] + window - 1]) for w in wants]
-                yield pa.RecordBatch.from_arrays([pa.array([f"{i} {tag} {w['place']} {w['n']}" for w in wants]), pa.array(out, pa.binary())], names=["name", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array([w["name"] for w in wants], pa.int64()), pa.array(out, pa.binary())], names=["name", "digest"])
 
-    return rows.join(per_row, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", "text", "wants").mapInArrow(read, "name string, digest binary")
+    return rows.join(per_row, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("text", "wants").mapInArrow(read, "name long, digest binary")
 
 
 def exact_places(docs: DataFrame, doubted: DataFrame, window: int, seed_bits: int = 64) -> DataFrame:
@@ -243,40 +256,73 @@ def spans(places: np.ndarray, n: np.ndarray, window: int) -> list[tuple[int, int
     return [(int(first[a]), int(last[b - 1])) for a, b in zip(new, [*new[1:], len(first)])]
 
 
-def checked_places(docs: DataFrame, window: int, blocks: int, seed_bits: int = 64) -> DataFrame:
-    """doc_id, tag, place, n: places whose phrases smaller documents have, every factor checked."""
-    found = cut(factors(docs, window, blocks, seed_bits))
-    # Pieces [k, k + n) of each factor that end at multiples of PIECE of the reference.
+def cut_pieces(found: DataFrame) -> DataFrame:
+    """Factors in pieces that end at multiples of PIECE of the reference: doc_id, tag, place, n, ref_id, ref_tag, ref_place, ref (the hash that names what is copied)."""
     ends = F.expr(f"transform(sequence(ref_place div {PIECE}, (ref_place + n - 1) div {PIECE}), b -> struct(greatest(b * {PIECE}, ref_place) - ref_place as k, least((b + 1) * {PIECE}, ref_place + n) - ref_place as e))")
     pieces = found.withColumn("piece", F.explode(ends)).select(
         "doc_id", "tag", (F.col("place") + F.col("piece.k")).cast("int").alias("place"), (F.col("piece.e") - F.col("piece.k")).cast("int").alias("n"),
         "ref_id", "ref_tag", (F.col("ref_place") + F.col("piece.k")).cast("int").alias("ref_place"),
     )
-    name = lambda *c: F.concat_ws(" ", *[F.col(x).cast("string") for x in c])
-    pieces = cut(pieces.select("doc_id", "tag", "place", "n", name("doc_id", "tag", "place", "n").alias("own"), name("ref_id", "ref_tag", "ref_place", "n").alias("ref"), "ref_id", "ref_tag", "ref_place"))
+    # Should two references share a name, their pieces come with either's digest too, fail the check and are found anew.
+    return pieces.withColumn("ref", F.xxhash64("ref_id", "ref_tag", "ref_place", "n"))
+
+
+def with_digests(docs: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
+    """doc_id, tag, place, n, digest: pieces with the digests of the words they copy."""
     total = pieces.count()
-    own = pieces.select("doc_id", "tag", "place", "n")
-    wanted = cut(own.union(pieces.select("ref_id", "ref_tag", "ref_place", "n")).distinct())
-    known = cut(digests(docs, wanted, window))
-    weighed = pieces.groupBy("ref").agg(F.count("*").alias("times")).join(known.withColumnRenamed("name", "ref"), "ref")
-    both = pieces.join(known.select(F.col("name").alias("own"), F.col("digest").alias("own_digest")), "own")
-    both = hot_lookup(both, weighed, "ref", "times", total, "r_", spread="own")
-    both = cut(both.select("doc_id", "tag", "place", "n", F.col("own_digest").eqNullSafe(F.col("r_digest")).alias("right")))
-    good = both.where("right").select("doc_id", "tag", "place", "n")
-    wrong = both.where("not right")
-    if wrong.isEmpty():
-        return good
-    asked = wrong.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "n")).alias("wants"))
+    weights = pieces.groupBy("ref").agg(F.count("*").alias("times"), F.first(F.struct("ref_id", "ref_tag", "ref_place", "n")).alias("at"))
+    weights = cut(weights.select("ref", "times", F.col("at.ref_id").alias("doc_id"), F.col("at.ref_tag").alias("tag"), F.col("at.ref_place").alias("place"), F.col("at.n").alias("n")))
+    known = digests(docs, weights.select("doc_id", "tag", "place", "n", F.col("ref").alias("name")), window)
+    table = known.join(weights.select(F.col("ref").alias("name"), "times"), "name").select(F.col("name").cast("string").alias("ref"), "times", "digest")
+    named = pieces.select("doc_id", "tag", "place", "n", F.col("ref").cast("string").alias("ref"))
+    out = hot_lookup(named, cut(table), "ref", "times", total, "r_", spread="place")
+    return out.select("doc_id", "tag", "place", "n", F.coalesce("r_digest", F.lit(b"")).alias("digest"))
+
+
+def doubted_phrases(docs: DataFrame, wrong: DataFrame, window: int, seed_bits: int) -> DataFrame:
+    """phrase: the hashes of the phrases of pieces that failed (doc_id, tag, wrong: places and lengths)."""
     mask = ~np.uint64(0) << np.uint64(64 - seed_bits)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                all_ = (Words(t).runs(window) & mask).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([all_[w["place"] : w["place"] + w["n"]] for w in wants]))], names=["phrase"])
+                every = (Words(t).runs(window) & mask).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([every[w["place"] : w["place"] + w["n"]] for w in wants]))], names=["phrase"])
+
+    return docs.join(wrong, ["doc_id", "tag"]).select("text", "wrong").mapInArrow(phrases, "phrase long").distinct()
 
-    doubted = cut(docs.join(asked, ["doc_id", "tag"]).select("text", "wants").mapInArrow(phrases, "phrase long").distinct())
-    return good.unionByName(exact_places(docs, doubted, window, seed_bits))
+
+def _parsed(rows: DataFrame, kind: str, window: int) -> DataFrame:
+    """given, doc_id, tag, text, places (place, n, digest of what they copy; null: known to be right) to the result and the pieces whose own digest is another."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "spans": [], "wrong": []}
+            for t, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                words = Words(t).words
+                right, wrong = [], []
+                for x in p or []:
+                    same = x["digest"] is None or x["digest"] == _digest(words[x["place"] : x["place"] + x["n"] + window - 1])
+                    (right if same else wrong).append(x)
+                gone = spans(np.array([x["place"] for x in right], np.int64), np.array([x["n"] for x in right], np.int64), window)
+                kept, at = [], 0
+                for a, b in gone:
+                    kept += words[at:a]
+                    at = b
+                kept += words[at:]
+                out["n_words"].append(len(words))
+                out["n_removed"].append(len(words) - len(kept))
+                out["kept"].append(b" ".join(kept).decode("utf-8", "replace"))
+                out["spans"].append([{"first": a, "last": b} for a, b in gone])
+                out["wrong"].append([{"place": x["place"], "n": x["n"]} for x in wrong])
+            pair = lambda *names: pa.list_(pa.struct([(n, pa.int64()) for n in names]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pair("first", "last"), pair("place", "n")]
+            columns = [pa.array(v, k) for v, k in zip(out.values(), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["given", "doc_id", "tag", *out])
+
+    return rows.select("given", "doc_id", "tag", "text", "places").mapInArrow(
+        parse, f"given {kind}, doc_id long, tag long, n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>, wrong array<struct<place:long,n:long>>"
+    )
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", seed_bits: int = 64) -> DataFrame:
@@ -296,31 +342,26 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     blocks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // 6 // BLOCK_PHRASES)
     blocks = 1 << (blocks - 1).bit_length()
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("given"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("given"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    repeated = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    rows = marked(rows, F.coalesce("doc_id", F.lit(0)), repeated.where("doc_id is not null"), "again")
+    rows = rows.select("given", "doc_id", "text", F.when(F.col("again"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long")).alias("tag"))
     known = rows.where("doc_id is not null").select("doc_id", "tag", "text")
-    places = checked_places(known, window, blocks, seed_bits)
-    per_row = cut(places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "n")).alias("places")))  # in proportion to the row's text
-    hit: Column = F.xxhash64("doc_id", "tag")
-    rows = marked(rows, hit, per_row.select(F.xxhash64("doc_id", "tag").alias("key")), "hit")
-    joined = rows.where("hit").join(per_row.hint("merge"), ["doc_id", "tag"], "left").select("given", "text", "places")
-    whole = rows.where("not hit").select("given", "text", F.lit(None).cast("array<struct<place:int,n:int>>").alias("places"))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "spans": []}
-            for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = Words(t).words
-                gone = spans(np.array([x["place"] for x in p or []], np.int64), np.array([x["n"] for x in p or []], np.int64), window)
-                kept, at = [], 0
-                for a, b in gone:
-                    kept += words[at:a]
-                    at = b
-                kept += words[at:]
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(kept))
-                out["kept"].append(b" ".join(kept).decode("utf-8", "replace"))
-                out["spans"].append([{"first": a, "last": b} for a, b in gone])
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], names=["doc_id", *out])
-
-    return joined.unionByName(whole).mapInArrow(parse, f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>")
+    pieces = cut(cut_pieces(factors(known, window, blocks, seed_bits)))
+
+    def result(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows with places, stored, and the others, which go through as they are."""
+        per_row = cut(places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "n", "digest")).alias("places")))  # in proportion to the row's text
+        held = marked(rows, F.xxhash64("doc_id", "tag"), per_row.select(F.xxhash64("doc_id", "tag").alias("key")), "hit")
+        some = stored(_parsed(held.where("hit").join(per_row.hint("merge"), ["doc_id", "tag"], "left"), kind, window))
+        none = F.lit(None).cast("array<struct<place:int,n:int,digest:binary>>")
+        return some, _parsed(held.where("not hit").withColumn("places", none), kind, window)
+
+    some, others = result(with_digests(known, pieces, window))
+    wrong = some.where(F.size("wrong") > 0)
+    if not wrong.isEmpty():
+        doubted = cut(doubted_phrases(known, wrong.select("doc_id", "tag", "wrong").dropDuplicates(["doc_id", "tag"]), window, seed_bits))
+        failed = wrong.select("doc_id", "tag", F.explode("wrong").alias("w")).select("doc_id", "tag", F.col("w.place").cast("int").alias("place"), F.col("w.n").cast("int").alias("n"))
+        right = pieces.select("doc_id", "tag", "place", "n").join(failed, ["doc_id", "tag", "place", "n"], "left_anti")
+        some, others = result(right.unionByName(exact_places(known, doubted, window, seed_bits)).withColumn("digest", F.lit(None).cast("binary")))
+    return some.unionByName(others).select(F.col("given").alias("doc_id"), "n_words", "n_removed", "kept", "spans")
