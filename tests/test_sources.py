@@ -34,6 +34,23 @@ def test_n5_round_trip(spark, store):
     assert struct.unpack(">HH3I", blob[:16]) == (0, 3, 4, 4, 2) and len(gzip.decompress(blob[16:])) == 64
 
 
+def test_n5_whole_64_bit_values(spark, tmp_path):
+    big = 2**53 + 1
+    blob = n5.encode_chunk(np.array([big, 2**64 - 1], np.uint64), [2, 1, 1], "uint64", "raw")
+    base = tmp_path / "a7" / "b1" / "c0"
+    (base / "0" / "0").mkdir(parents=True)
+    (base / "0" / "0" / "0").write_bytes(blob)
+    (base / "attributes.json").write_text(json.dumps({"dimensions": [2, 1, 1], "blockSize": [2, 1, 1], "dataType": "uint64", "compression": {"type": "raw"}}))
+    n5.register(spark)
+    got = spark.read.format("n5").options(path=f"file://{tmp_path}", element="decimal(20,0)", layout="a%d/b%d/c%d").load().collect()
+    assert [int(v) for v in got[0].data] == [big, 2**64 - 1] and (got[0].setup_id, got[0].timepoint_id, got[0].level) == (7, 1, 0)
+
+
+def test_n5_properties(store):
+    assert n5.properties(store[0], 3) == {"dtype": "uint16", "resolutions": [[1, 1, 1]], "dimensions": [12, 8, 2]}
+    assert n5.properties(store[0], 9) == {"dtype": None, "resolutions": None, "dimensions": None}
+
+
 def test_n5_missing_chunks_are_zeros(spark, store):
     path, _ = store
     stored = spark.read.format("n5").option("path", path).load().where("setup_id = 0 and timepoint_id = 1").select("gx", "gy", "gz", F.transform("data", lambda v: v.cast("int")).alias("data"))

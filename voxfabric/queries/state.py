@@ -51,3 +51,14 @@ def bookmarks(spark, sf_dir):
     """The last setting of each bookmark."""
     log = derived.event_log(spark, sf_dir).where("kind = 'source'")
     return log.groupBy("session", F.col("arg").alias("bookmark")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query(with_sql("log", """, acts AS (SELECT *, lag(kind, 1, 'remove') OVER (PARTITION BY session, arg ORDER BY ts, event_id) AS before FROM log WHERE kind IN ('add', 'remove')),
+here AS (SELECT session, arg AS source_id, max(CASE WHEN kind = 'add' AND before = 'remove' THEN (ts, event_id) END) AS since, arg_max(kind, (ts, event_id)) AS last FROM acts GROUP BY session, arg)
+SELECT s.session AS session, list(source_id ORDER BY since) FILTER (WHERE last = 'add') AS sources, t.timepoint AS timepoint FROM (SELECT DISTINCT session FROM log) s LEFT JOIN here USING (session)
+JOIN (SELECT session, coalesce(arg_max(least(arg, 6), (ts, event_id)) FILTER (WHERE kind = 'timepoint'), 0) AS timepoint FROM log GROUP BY session) t ON t.session = s.session
+GROUP BY s.session, t.timepoint""").replace("FROM events)\n,", "FROM events),").replace("list(source_id ORDER BY since) FILTER (WHERE last = 'add') AS sources", "coalesce(string_agg(CAST(source_id AS VARCHAR), ',' ORDER BY since) FILTER (WHERE last = 'add'), '') AS sources"))
+def state_fold(spark, sf_dir):
+    """The list of sources in order of arrival, and the timepoint, at the end of each session."""
+    end = state.fold(derived.event_log(spark, sf_dir), TIMEPOINTS)
+    return end.select("session", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"), "timepoint")

@@ -40,9 +40,13 @@ def collect_blocks(voxels: DataFrame, cell: Sequence[int], keys: Sequence[str] =
     g = [F.floor(F.col(c) / n).cast("long") for c, n in zip("xyz", cell)]
     at = (F.pmod("x", F.lit(cx)) + cx * (F.pmod("y", F.lit(cy)) + cy * F.pmod("z", F.lit(cz)))).cast("int")
     grouped = voxels.select(*keys, *[c.alias(n) for c, n in zip(g, ("gx", "gy", "gz"))], at.alias("i"), "v").groupBy(*keys, "gx", "gy", "gz")
-    values = grouped.agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(cx * cy * cz - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
-    return values.select(*keys, "gx", "gy", "gz", data.alias("data"))
+    # A chunk has cx * cy * cz values at most. What is missing is put in as zeros, then all are sorted by place.
+    found = grouped.agg(F.collect_list(F.struct("i", "v")).alias("m"))
+    kind = voxels.schema["v"].dataType
+    missing = F.array_except(F.sequence(F.lit(0), F.lit(cx * cy * cz - 1)), F.col("m.i"))
+    zeros = F.transform(missing, lambda i: F.struct(i.alias("i"), F.lit(0).cast(kind).alias("v")))
+    data = F.transform(F.array_sort(F.concat("m", zeros)), lambda e: e["v"])
+    return found.select(*keys, "gx", "gy", "gz", data.alias("data"))
 
 
 def pad_block(data: Column, have: Sequence[Column], cell: Sequence[int]) -> Column:

@@ -5,10 +5,15 @@ files give pixel type, sizes and chunk sizes. Each chunk is a file named by its
 place in the grid: a big-endian header (mode 0, number of axes, sizes) and
 the values, big-endian, raw or gzip-compressed.
 
-A read has one task per dataset and range of chunks, and filters on setup_id,
-timepoint_id, level and grid place skip datasets and chunks before any file
-is opened. Chunks that aren't stored give no row: they are zeros, and
+A read has one task per dataset and range of chunk numbers, and filters on
+setup_id, timepoint_id, level and grid place skip datasets and chunks before
+any file is opened. Chunks that aren't stored give no row: they are zeros, and
 blocks.fill_missing() puts them in.
+
+Options: path, a folder or a URI of a file system that pyarrow knows; element,
+the values' type ("double"; "long" or "decimal(20,0)" keep 64-bit values
+whole); layout, the three folders of a dataset if they have other names;
+chunksPerTask.
 """
 
 from __future__ import annotations
@@ -18,15 +23,22 @@ import json
 import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import product
+from decimal import Decimal
+from math import prod
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs as files
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-SCHEMA = "timepoint_id int, setup_id int, level int, gx int, gy int, gz int, size array<int>, data array<double>"
+_SCHEMA = "timepoint_id int, setup_id int, level int, gx int, gy int, gz int, size array<int>, data array<%s>"
+SCHEMA = _SCHEMA % "double"
+ELEMENTS = {"double": pa.float64(), "long": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0)}
+LAYOUT = "setup%d/timepoint%d/s%d"
 TYPES = ("int8", "uint8", "int16", "uint16", "int32", "uint32", "int64", "uint64", "float32", "float64")
 _KEYS = ("setup_id", "timepoint_id", "level", "gx", "gy", "gz")
 
@@ -52,23 +64,43 @@ def decode_chunk(blob: bytes, dtype: str, compression: str) -> tuple[list[int],
 
 @dataclass
 class ChunkRange(InputPartition):
+    """Chunks of a dataset by their number among those that the axes allow, x fastest."""
+
     setup: int
     timepoint: int
     level: int
-    chunks: list[tuple[int, ...]]
+    axes: list[list[int]]
+    start: int
+    stop: int
+
 
+def file_system(path: str) -> tuple[files.FileSystem, str]:
+    """The file system of a folder or URI, and the path in it."""
+    return files.FileSystem.from_uri(path) if "://" in path else (files.LocalFileSystem(), os.path.abspath(path))
 
-def _attributes(path: str) -> dict:
+
+def attributes(store: files.FileSystem, path: str) -> dict:
+    """The attributes of a folder, none if it has no such file."""
     try:
-        with open(os.path.join(path, "attributes.json")) as f:
-            return json.load(f)
+        with store.open_input_file(f"{path}/attributes.json") as f:
+            return json.loads(f.read())
     except FileNotFoundError:
         return {}
 
 
+def properties(path: str, setup: int, timepoint: int = 0, level: int = 0) -> dict:
+    """dtype and resolutions of a setup, dimensions of one of its datasets."""
+    store, root = file_system(path)
+    own = attributes(store, f"{root}/setup{setup}")
+    return {"dtype": own.get("dataType"), "resolutions": own.get("downsamplingFactors"), "dimensions": attributes(store, f"{root}/" + LAYOUT % (setup, timepoint, level)).get("dimensions")}
+
+
 class N5Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.per_task = options["path"], int(options.get("chunksPerTask", 256))
+        self.element, self.folders = options.get("element", "double"), options.get("layout", LAYOUT).split("/")
+        if self.element not in ELEMENTS:
+            raise ValueError(f"no element type {self.element}")
         self.wanted: dict[str, set[int]] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -83,34 +115,50 @@ class N5Reader(DataSourceReader):
     def _wants(self, name: str, value: int) -> bool:
         return name not in self.wanted or value in self.wanted[name]
 
-    def _listed(self, path: str, pattern: str, name: str) -> list[int]:
-        found = [int(m[1]) for d in (os.listdir(path) if os.path.isdir(path) else []) if (m := re.fullmatch(pattern, d))]
+    def _listed(self, store: files.FileSystem, path: str, depth: int, name: str) -> list[int]:
+        pattern = re.escape(self.folders[depth]).replace("%d", r"(\d+)")
+        inside = store.get_file_info(files.FileSelector(path, allow_not_found=True))
+        found = [int(m[1]) for f in inside if (m := re.fullmatch(pattern, f.base_name))]
         return sorted(n for n in found if self._wants(name, n))
 
+    def _base(self, root: str, *numbers: int) -> str:
+        return "/".join([root, *[f % n for f, n in zip(self.folders, numbers)]])
+
     def partitions(self) -> Sequence[InputPartition]:
         out: list[InputPartition] = []
-        for s in self._listed(self.path, r"setup(\d+)", "setup_id"):
-            for t in self._listed(f"{self.path}/setup{s}", r"timepoint(\d+)", "timepoint_id"):
-                for level in self._listed(f"{self.path}/setup{s}/timepoint{t}", r"s(\d+)", "level"):
-                    a = _attributes(f"{self.path}/setup{s}/timepoint{t}/s{level}")
+        store, root = file_system(self.path)
+        for s in self._listed(store, root, 0, "setup_id"):
+            for t in self._listed(store, self._base(root, s), 1, "timepoint_id"):
+                for level in self._listed(store, self._base(root, s, t), 2, "level"):
+                    a = attributes(store, self._base(root, s, t, level))
                     counts = [-(-d // b) for d, b in zip(a["dimensions"], a["blockSize"])]
                     axes = [[g for g in range(n) if self._wants(name, g)] for n, name in zip(counts, ("gx", "gy", "gz"))]
-                    chunks = list(product(*axes))
-                    out += [ChunkRange(s, t, level, chunks[i : i + self.per_task]) for i in range(0, len(chunks), self.per_task)]
+                    total = prod(map(len, axes))
+                    out += [ChunkRange(s, t, level, axes, i, min(i + self.per_task, total)) for i in range(0, total, self.per_task)]
         return out
 
-    def read(self, partition: ChunkRange) -> Iterator[tuple]:
+    def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
         p = partition
-        base = f"{self.path}/setup{p.setup}/timepoint{p.timepoint}/s{p.level}"
-        a = _attributes(base)
-        for chunk in p.chunks:
+        store, root = file_system(self.path)
+        base = self._base(root, p.setup, p.timepoint, p.level)
+        a = attributes(store, base)
+        kind = ELEMENTS[self.element]
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        for number in range(p.start, p.stop):
+            chunk = []
+            for axis in p.axes:
+                number, g = divmod(number, len(axis))
+                chunk.append(axis[g])
             try:
-                with open(os.path.join(base, *map(str, chunk)), "rb") as f:
+                with store.open_input_file("/".join([base, *map(str, chunk)])) as f:
                     blob = f.read()
             except FileNotFoundError:
                 continue
             size, data = decode_chunk(blob, a["dataType"], a.get("compression", {}).get("type", "raw"))
-            yield (p.timepoint, p.setup, p.level, *chunk, size, data.astype(float).tolist())
+            values = pa.array([Decimal(v) for v in data.tolist()], kind) if pa.types.is_decimal(kind) else pa.array(data.astype(kind.to_pandas_dtype()), kind)
+            whole = lambda v: pa.array([v], pa.int32())
+            columns = [*map(whole, (p.timepoint, p.setup, p.level, *chunk)), pa.array([size], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 @dataclass
@@ -131,25 +179,33 @@ class N5Writer(DataSourceWriter):
 
     def write(self, rows) -> Written:
         seen = set()
+        store, root = file_system(self.path)
         for r in rows:
-            base = f"setup{r.setup_id}/timepoint{r.timepoint_id}/s{r.level}"
+            base = LAYOUT % (r.setup_id, r.timepoint_id, r.level)
             seen.add((r.setup_id, r.timepoint_id, r.level))
-            target = f"{self.path}/{base}/{r.gx}/{r.gy}/{r.gz}"
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.{os.getpid()}.tmp", "wb") as f:  # a task that runs twice leaves one whole file
+            target = f"{root}/{base}/{r.gx}/{r.gy}/{r.gz}"
+            store.create_dir(target.rpartition("/")[0])
+            mine = f"{target}.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(mine) as f:  # a task that runs twice leaves one whole file
                 f.write(encode_chunk(r.data, r["size"], self.dtype, self.compression))
-            os.replace(f"{target}.{os.getpid()}.tmp", target)
+            store.move(mine, target)
         return Written(seen)
 
     def commit(self, messages) -> None:
         datasets = set().union(*[m.datasets for m in messages if m])
-        put = lambda path, value: (os.makedirs(path, exist_ok=True), open(f"{path}/attributes.json", "w").write(json.dumps(value)))  # noqa: E731,SIM115
+        store, root = file_system(self.path)
+
+        def put(path: str, value: dict) -> None:
+            store.create_dir(path)
+            with store.open_output_stream(f"{path}/attributes.json") as f:
+                f.write(json.dumps(value).encode())
+
         for s, t, level in datasets:
             size = [max(1, d // f) for d, f in zip(self.dimensions, self.factors[level])]
-            put(f"{self.path}/setup{s}/timepoint{t}/s{level}", {"dimensions": size, "blockSize": self.block, "dataType": self.dtype, "compression": {"type": self.compression}, "downsamplingFactors": self.factors[level]})
-            put(f"{self.path}/setup{s}/timepoint{t}", {"multiScale": True})
-            put(f"{self.path}/setup{s}", {"downsamplingFactors": self.factors, "dataType": self.dtype})
-        put(self.path, {"n5": "2.5.1"})
+            put(f"{root}/" + LAYOUT % (s, t, level), {"dimensions": size, "blockSize": self.block, "dataType": self.dtype, "compression": {"type": self.compression}, "downsamplingFactors": self.factors[level]})
+            put(f"{root}/setup{s}/timepoint{t}", {"multiScale": True})
+            put(f"{root}/setup{s}", {"downsamplingFactors": self.factors, "dataType": self.dtype})
+        put(root, {"n5": "2.5.1"})
 
 
 class N5DataSource(DataSource):
@@ -160,7 +216,7 @@ class N5DataSource(DataSource):
         return "n5"
 
     def schema(self) -> str:
-        return SCHEMA
+        return _SCHEMA % self.options.get("element", "double")
 
     def reader(self, schema: StructType) -> N5Reader:
         return N5Reader(self.options)

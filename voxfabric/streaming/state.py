@@ -1,9 +1,13 @@
 """Viewer state from a log of actions (session, ts, event_id, kind, arg).
 
-Kinds: timepoint (go to arg), source (make arg current), mode (next display
-mode), add and remove (a source). In batch the state is a matter of windows:
-the last value that was set. The stream keeps each session's state and emits
-a change event only where an action changes something.
+Kinds: timepoint (go to arg), next and previous (timepoint), source (make arg
+current), mode (next display mode), add and remove (a source), activate and
+deactivate (a source), add_group and remove_group, group (make arg current).
+
+fold() and change_stream() apply the same rules to whole logs and to streams:
+a session's state, and a change event only where an action changes something.
+What doesn't depend on the list of sources (with_state() and what follows) is
+a matter of windows: the last value that was set, by whom it may.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ def _by_time() -> object:
 
 
 def with_state(log: DataFrame, num_timepoints: int) -> DataFrame:
-    """Each action with the state after it: timepoint (clamped to the last one), source (null before the first), mode."""
+    """Each action with what was set last: timepoint (clamped to the last one), the source asked for (null before the first, whether it is listed or not), mode."""
     upto = _by_time().rowsBetween(Window.unboundedPreceding, 0)
     set_t = F.when(F.col("kind") == "timepoint", F.least(F.greatest("arg", F.lit(0)), F.lit(num_timepoints - 1)))
     set_s = F.when(F.col("kind") == "source", F.col("arg"))
@@ -75,23 +79,58 @@ def _apply(state: dict, kind: str, arg: int, num_timepoints: int) -> list[tuple[
             state[name] = value
             out.append((change, json.dumps(value)))
 
-    if kind == "timepoint":
-        put("timepoint", "CURRENT_TIMEPOINT_CHANGED", min(max(arg, 0), num_timepoints - 1))
+    def listed(names: str, name: str, change: str, current: str, now: str, there: bool) -> None:
+        """Put arg into a list or take it out; the first to come becomes current, and the first left where the current one goes."""
+        if (arg in state[names]) == there:
+            return
+        put(names, change, [*state[names], arg] if there else [s for s in state[names] if s != arg])
+        if there and state[name] is None or not there and state[name] == arg:
+            put(name, now, state[names][0] if state[names] else None)
+        if not there and arg in state[current]:
+            put(current, "VISIBILITY_CHANGED", [s for s in state[current] if s != arg])
+
+    last = num_timepoints - 1
+    if kind in ("timepoint", "next", "previous"):
+        to = arg if kind == "timepoint" else state["timepoint"] + (1 if kind == "next" else -1)
+        put("timepoint", "CURRENT_TIMEPOINT_CHANGED", min(max(to, 0), last))
     elif kind == "source" and arg in state["sources"]:
         put("source", "CURRENT_SOURCE_CHANGED", arg)
+    elif kind == "group" and arg in state["groups"]:
+        put("group", "CURRENT_GROUP_CHANGED", arg)
     elif kind == "mode":
         put("mode", "DISPLAY_MODE_CHANGED", MODES[(MODES.index(state["mode"]) + 1) % len(MODES)])
-    elif kind == "add" and arg not in state["sources"]:
-        put("sources", "NUM_SOURCES_CHANGED", [*state["sources"], arg])
-        if state["source"] is None:
-            put("source", "CURRENT_SOURCE_CHANGED", arg)
-    elif kind == "remove" and arg in state["sources"]:
-        put("sources", "NUM_SOURCES_CHANGED", [s for s in state["sources"] if s != arg])
-        if state["source"] == arg:
-            put("source", "CURRENT_SOURCE_CHANGED", state["sources"][0] if state["sources"] else None)
+    elif kind in ("add", "remove"):
+        listed("sources", "source", "NUM_SOURCES_CHANGED", "active", "CURRENT_SOURCE_CHANGED", kind == "add")
+    elif kind in ("add_group", "remove_group"):
+        listed("groups", "group", "NUM_GROUPS_CHANGED", "active_groups", "CURRENT_GROUP_CHANGED", kind == "add_group")
+    elif kind in ("activate", "deactivate") and arg in state["sources"]:
+        rest = [s for s in state["active"] if s != arg]
+        put("active", "VISIBILITY_CHANGED", sorted([*rest, arg]) if kind == "activate" else rest)
     return out
 
 
+def _first_state() -> dict:
+    return {"timepoint": 0, "source": None, "mode": MODES[0], "sources": [], "active": [], "group": None, "groups": [], "active_groups": []}
+
+
+def fold(log: DataFrame, num_timepoints: int) -> DataFrame:
+    """session, timepoint, source, mode, sources, active, group, groups, changes (how many) at the end of each session's log, by the rules of the stream.
+
+    A group is one session's actions.
+    """
+
+    def run(actions: pd.DataFrame) -> pd.DataFrame:
+        state, changes = _first_state(), 0
+        actions = actions.sort_values(["ts", "event_id"], kind="stable")
+        for kind, arg in zip(actions["kind"], actions["arg"]):
+            changes += len(_apply(state, kind, arg, num_timepoints))
+        row = {"session": actions["session"].iloc[0], **{k: state[k] for k in ("timepoint", "source", "mode", "sources", "active", "group", "groups")}, "changes": changes}
+        return pd.DataFrame([row]).astype({"source": "Int64", "group": "Int64"})
+
+    out = "session long, timepoint long, source long, mode string, sources array<long>, active array<long>, group long, groups array<long>, changes long"
+    return log.select("session", "ts", "event_id", "kind", "arg").groupBy("session").applyInPandas(run, out)
+
+
 def change_stream(log: DataFrame, num_timepoints: int) -> DataFrame:
     """A stream of actions to one of changes: session, event_id, change, value (JSON).
 
@@ -102,7 +141,7 @@ def change_stream(log: DataFrame, num_timepoints: int) -> DataFrame:
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else {"timepoint": 0, "source": None, "mode": MODES[0], "sources": []}
+        state = json.loads(held.get[0]) if held.exists else _first_state()
         rows = []
         actions = pd.concat(frames).sort_values(["ts", "event_id"], kind="stable")  # one trigger's actions of a session
         for event_id, kind, arg in zip(actions["event_id"], actions["kind"], actions["arg"]):
