@@ -92,6 +92,25 @@ def chain_timepoints(parts: DataFrame) -> DataFrame:
     return summed.withColumn("new_first", (start + F.col("before")).cast("long")).drop("before")
 
 
+def next_free(old: DataFrame, used: DataFrame) -> DataFrame:
+    """old, new: each id of old, in order, with the first free one that is not smaller and not given to another; used (id) are taken.
+
+    With the free ids in a list, the k-th of old takes place k + the greatest,
+    over the ids up to it, of the first place it may take less its own number.
+    """
+    size = old.agg((F.max("old") + F.count("*")).alias("most")).join(used.agg(F.count("*").alias("taken")))
+    free = size.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") + F.col("taken"))).alias("id")).join(used, "id", "left_anti")
+    w = Window.orderBy("id")
+    free = free.withColumn("place", F.row_number().over(w) - 1)
+    asked = old.withColumn("k", F.row_number().over(Window.orderBy("old")) - 1)
+    # The first place an id may take: how many free ids are smaller.
+    both = asked.select(F.col("old").alias("at"), "k", F.lit(1).alias("asks")).unionByName(free.select(F.col("id").alias("at"), F.lit(None).cast("int").alias("k"), F.lit(0).alias("asks")))
+    below = F.sum(1 - F.col("asks")).over(Window.orderBy("at", F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0))
+    first = both.withColumn("first", below).where("asks = 1")
+    place = F.col("k") + F.max(F.col("first") - F.col("k")).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return first.select(F.col("at").alias("old"), place.alias("place")).join(free, "place").select("old", F.col("id").alias("new"))
+
+
 def dense_order(items: DataFrame, order: str) -> DataFrame:
     """Adds index, the place in the list from 0 on."""
     return items.withColumn("index", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))

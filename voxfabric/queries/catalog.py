@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from voxfabric.functions import affine, scalars
 from voxfabric.operators import catalog
-from voxfabric.plans import ids as id_plans
 from voxfabric.queries.registry import query
 from voxfabric.sources import derived
 from voxfabric.sources.derived import with_sql
@@ -110,12 +109,17 @@ def merge_timepoints(spark, sf_dir):
     return catalog.chain_timepoints(parts)
 
 
-@query("""SELECT CAST(n_nationkey AS BIGINT) AS old, CAST(CASE WHEN n_nationkey < 10 THEN n_nationkey + 40 ELSE n_nationkey END AS BIGINT) AS "new" FROM nation""")
+@query("""
+WITH RECURSIVE taken AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation UNION ALL SELECT n_nationkey + 25 FROM nation WHERE n_nationkey < 15),
+free AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM (SELECT unnest(range(0, 200)) AS id) WHERE id NOT IN (SELECT id FROM taken)),
+g AS (SELECT 0::BIGINT AS old, (SELECT min(id) FROM free WHERE id >= 0) AS "new" UNION ALL SELECT old + 1, (SELECT min(id) FROM free WHERE id >= old + 1 AND id > g."new") FROM g WHERE old < 24)
+SELECT old, "new" FROM g""")
 def setup_id_reassign(spark, sf_dir):
-    """Setups 0 to 24 joining a data set that has 0 to 9 and 10 to 39 used in turn: each takes the next free id."""
-    old = [r.k for r in derived.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k")).orderBy("k").collect()]
-    found = id_plans.free_ids([i for i in old if i < 10], range(40)) | {i: i for i in old if i >= 10}
-    return spark.createDataFrame(list(found.items()), "old long, new long")
+    """Setups joining a data set that uses the same ids and fifteen more: each takes the next free one."""
+    ids = derived.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("old"))
+    # What is taken follows the table: twice its first ten ids and all others.
+    used = ids.select(F.col("old").alias("id")).unionByName(ids.where("old < 15").select((F.col("old") + 25).alias("id")))
+    return catalog.next_free(ids, used)
 
 
 @query("""SELECT CASE WHEN l IS NULL THEN 'added' WHEN r IS NULL THEN 'removed' ELSE 'changed' END AS status, coalesce(l, r) AS source_id

@@ -170,3 +170,14 @@ def patch_region(spark, sf_dir):
 def moving_average(spark, sf_dir):
     e = derived.table(spark, sf_dir, "events").select("event_id", "user_id", F.floor("value").alias("x"))
     return refine.moving_average(e, "event_id", "x", ["user_id"]).select("event_id", "user_id", "average")
+
+
+@query(with_sql("voxels", "SELECT x, y, z, CAST(255 AS BIGINT) AS a, v // 256 AS r, v % 256 AS g, 255 - v // 256 AS b FROM voxels"))
+def custom_converter(spark, sf_dir):
+    """Voxels coloured by a function of one's own."""
+
+    def two_bytes(values):
+        high = values // 256
+        return -(1 << 24) + high * 65536 + values % 256 * 256 + 255 - high
+
+    return fusing.colored_by(derived.voxels(spark, sf_dir), two_bytes).drop("v")

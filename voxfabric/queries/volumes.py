@@ -1,5 +1,6 @@
 """Chunks, crops, pyramids and sources of voxels."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from voxfabric.functions import affine
@@ -116,13 +117,19 @@ def slab_mean(spark, sf_dir):
 @query()
 def propose_mipmaps(spark, sf_dir):
     """Pyramids proposed for images of different sizes and voxels, and what each level is computed from."""
-    rows = []
-    for k in range(40):
-        size, voxel = [200 + 97 * k, 150 + 61 * k, 1 + 13 * k], [1.0, 1.0, 0.5 + 0.25 * (k % 14)]
-        levels = pyramids.propose(size, voxel)
-        resolutions = [x["resolution"] for x in levels]
-        rows += [(k, i, x["resolution"], x["subdivision"], pyramids.source_level(resolutions, i)) for i, x in enumerate(levels)]
-    return spark.createDataFrame(rows, "image int, level int, resolution array<int>, subdivision array<int>, source_level int")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    images = derived.table(spark, sf_dir, "part").select(k.alias("image"), F.array(s * 97 + 200, k % 900 + 150, s * 13 + 1).alias("size"), F.array(F.lit(1.0), F.lit(1.0), k % 14 * 0.25 + 0.5).alias("voxel"))
+
+    def plan(batches):
+        for batch in batches:
+            rows = []
+            for image, size, voxel in zip(batch.image, batch["size"], batch.voxel):
+                levels = pyramids.propose([int(v) for v in size], [float(v) for v in voxel])
+                resolutions = [x["resolution"] for x in levels]
+                rows += [(image, i, x["resolution"], x["subdivision"], pyramids.source_level(resolutions, i)) for i, x in enumerate(levels)]
+            yield pd.DataFrame(rows, columns=["image", "level", "resolution", "subdivision", "source_level"]).astype({"source_level": "Int32"})
+
+    return images.mapInPandas(plan, "image long, level int, resolution array<int>, subdivision array<int>, source_level int")
 
 
 @query(with_sql("blocks", "SELECT CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy, CAST(gz AS BIGINT) AS gz, list_sum(data)::BIGINT AS total FROM blocks"))
