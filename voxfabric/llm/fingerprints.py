@@ -14,6 +14,7 @@ place), at a few sorts and passes a text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +25,13 @@ from voxfabric.llm.common import cut, stored, text_column
 K = 8
 BINS_BITS = 5
 TUPLE = 2  # as the entries are made for two
-#: Ranks of a bin that are sorted at first, on average.
-LIKELY = 16
+#: Ranks of a bin that are sorted at first, on average; where they are too few, the text is sorted whole.
+LIKELY = 12
 _PLACE_BITS = 31  # a string has fewer characters
 _BIN_SHIFT = _PLACE_BITS + 32 - BINS_BITS
+#: Added to the place of a k-mer that the edited text alone has; a text of so many code points would not fit into a row.
+_ONLY_EDITED = 1 << 30
+_RANKED = ("__s", "__w", "__n", "__near")
 
 
 def _kmers(text: Column, k: int) -> Column:
@@ -39,9 +43,15 @@ def _kmers(text: Column, k: int) -> Column:
     return F.when(F.length(text) >= k, runs).when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
 
 
-def _packed(kmers: Column, first: Column | int) -> Column:
-    # Without nulls by its type, an array of longs is sorted as such.
-    return F.transform(kmers, lambda x, i: F.coalesce(F.shiftleft(F.hash(x).cast("long"), _PLACE_BITS) + i + first, F.lit(0).cast("long")))
+def _packed(text: Column, k: int, first: Column | int = 0) -> Column:
+    """Hash and place of each k-mer, the first one's place being `first`; without nulls by its type, so that it is sorted as longs."""
+    pack = lambda h, i: F.coalesce(F.shiftleft(h.cast("long"), _PLACE_BITS) + i + first, F.lit(0).cast("long"))
+    runs = F.transform(_kmers(text, k), lambda x, i: pack(F.hash(x), i))
+    # In ASCII a k-mer is k bytes, with the hash of the string; the bytes are bound by a lambda, so that they are made once.
+    places = F.sequence(F.lit(0), F.greatest(F.length(text) - k, F.lit(0)))
+    cuts = F.get(F.transform(F.array(text.cast("binary")), lambda b: F.transform(places, lambda i: pack(F.hash(F.substring(b, i + 1, F.lit(k))), i))), 0)
+    plain = (F.octet_length(text) == F.length(text)) & (text != "")
+    return F.coalesce(F.when(plain, cuts).otherwise(runs), F.array_repeat(F.lit(0).cast("long"), 0))
 
 
 def _rank(x: Column) -> Column:
@@ -63,34 +73,59 @@ def _numbers(again: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.sequence(F.lit(2), (F.length(r) / 9 + 1).cast("int"))))
 
 
-def _sketch(df: DataFrame, packed: str, out: str) -> DataFrame:
-    """Column out: the entries of the fingerprint of the k-mers in column packed.
+def _same(x: Column, y: Column) -> Column:
+    return F.shiftright(x.bitwiseXOR(y), _PLACE_BITS) == 0
 
-    Sorted, k-mers of one hash stand together by place, so each one's number
-    is how many of its like stand before it. A first occurrence keeps its
-    k-mer's hash as rank, a later one gets another. Sorted by rank, with a mark
-    where each bin begins, the least of a bin follow its mark. For that the
-    ranks near the marks are enough, LIKELY of a bin; a text that has fewer
-    than TUPLE of them in some bin is sorted whole.
+
+def _near(df: DataFrame) -> Callable[[Column], Column]:
+    return lambda x: x.bitwiseAND(F.lit((1 << _BIN_SHIFT) - 1)) < F.col("__near")
+
+
+def _ranked(df: DataFrame, packed: str, n: Column) -> DataFrame:
+    """df with what fingerprints of parts of column packed need, found in one pass over it.
+
+    __s: it all, sorted, so that k-mers of one hash stand together by place.
+    __w: of __s the entries whose k-mer occurs more than once. __n: of __s
+    those near a bin's mark by their k-mer's hash, LIKELY of a bin among n;
+    __near says how far that is.
     """
-    s, bins = F.col("__s"), 1 << BINS_BITS
+    bins, s = 1 << BINS_BITS, F.col("__s")
+    share = F.least(F.lit(1.0), F.lit(float(bins * LIKELY)) / F.greatest(n, F.lit(1)))
+    df = df.withColumn("__s", F.sort_array(packed)).withColumn("__near", (share * float(1 << _BIN_SHIFT)).cast("long")).drop(packed)
+    # Neighbours of one hash, both of them; the few entries that come out twice are told apart by their places.
+    pairs = F.zip_with(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), s, lambda y, x: F.when(_same(x, y), F.array(F.coalesce(x, y), y)))
+    return df.withColumns({"__w": F.array_distinct(F.flatten(F.array_compact(pairs))), "__n": F.filter(s, _near(df))})
+
+
+def _sketch(df: DataFrame, out: str, own: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Column out: the entries of the fingerprint of the k-mers of _ranked() for which own holds.
+
+    Each k-mer's number is how many of its like stand before it. A first
+    occurrence keeps its k-mer's hash as rank, a later one gets another.
+    Sorted by rank, with a mark where each bin begins, the least of a bin
+    follow its mark. For that the ranks near the marks are enough; a text that
+    has fewer than TUPLE of them in some bin is sorted whole.
+    """
+    s, bins, near = F.col("__s"), 1 << BINS_BITS, _near(df)
     marks = F.array(*[F.lit((b - bins // 2) << _BIN_SHIFT).cast("long") for b in range(bins)])
-    df = df.withColumn("__s", F.sort_array(packed)).drop(packed)
-    # Bound by a lambda, the array is fetched from the row once and not for every element.
-    kept = lambda f: F.get(F.transform(F.array(s), lambda a: F.filter(a, lambda x, i: f(a, x, i))), 0)
-    same = lambda a, x, i: F.shiftright(x.bitwiseXOR(F.get(a, i - 1)), _PLACE_BITS) == 0
-    new = lambda a, x, i: ~F.coalesce(same(a, x, i), F.lit(False))
-    share = F.least(F.lit(1.0), F.lit(float(bins * LIKELY)) / F.greatest(F.size(s), F.lit(1)))
-    df = df.withColumns({"__again": kept(same), "__near": (share * float(1 << _BIN_SHIFT)).cast("long")})
-    near = lambda x: x.bitwiseAND(F.lit((1 << _BIN_SHIFT) - 1)) < F.col("__near")
+    mine = (lambda a: F.filter(a, own)) if own else (lambda a: F.col(a) if isinstance(a, str) else a)
+    df = df.withColumns({"__v": mine("__w"), "__m": mine("__n")})
+    v = F.col("__v")
+    df = df.withColumn("__again", F.array_compact(F.zip_with(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), v, lambda y, x: F.when(_same(x, y), y)))).drop("__v")
     later = F.zip_with("__again", _numbers(F.col("__again")), lambda x, n: F.coalesce(F.shiftleft(F.hash(_rank(x), n).cast("long"), _PLACE_BITS) + _place(x), F.lit(0).cast("long")))
     df = df.withColumn("__later", later).drop("__again")
-    df = df.withColumn("__few", F.sort_array(F.concat(kept(lambda a, x, i: near(x) & new(a, x, i)), F.filter("__later", near), marks)))
+
+    def firsts(a: Column) -> Column:
+        """Of a sorted array the first entry of each k-mer."""
+        before = F.concat(F.array(F.coalesce(F.bitwise_not(F.get(a, 0)), F.lit(0))), a)
+        return F.array_compact(F.zip_with(a, before, lambda x, y: F.when(~_same(x, y), x)))
+
+    df = df.withColumn("__few", F.sort_array(F.concat(firsts(F.col("__m")), F.filter("__later", near), marks))).drop("__m")
     places = lambda a: F.array(*[F.array_position(a, F.lit((b - bins // 2) << _BIN_SHIFT).cast("long")).cast("int") for b in range(bins)])
     df = df.withColumn("__at", places("__few"))
     ends = F.concat(F.slice("__at", 2, bins - 1), F.array(F.size("__few") + 1))
-    df = df.withColumn("__enough", (F.size(s) <= bins * LIKELY) | F.forall(F.zip_with(ends, "__at", lambda y, x: y - x > TUPLE), lambda enough: enough))
-    df = df.withColumn("__a", F.when(F.col("__enough"), F.col("__few")).otherwise(F.sort_array(F.concat(kept(new), "__later", marks)))).drop("__s", "__later", "__few", "__near")
+    df = df.withColumn("__enough", (F.col("__near") >= 1 << _BIN_SHIFT) | F.forall(F.zip_with(ends, "__at", lambda y, x: y - x > TUPLE), lambda enough: enough))
+    df = df.withColumn("__a", F.when(F.col("__enough"), F.col("__few")).otherwise(F.sort_array(F.concat(firsts(mine(s)), "__later", marks)))).drop("__later", "__few")
     df = df.withColumn("__at", F.when(F.col("__enough"), F.col("__at")).otherwise(places("__a"))).drop("__enough")
     a = F.col("__a")
 
@@ -118,8 +153,9 @@ def fingerprint(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     Null and empty texts have the empty fingerprint; a text shorter than k is
     one k-mer. An input column of that name is replaced.
     """
-    df = docs.drop("fingerprint").withColumn("__p", _packed(_kmers(text_column(text), k), 0))
-    return _sketch(df, "__p", "fingerprint").withColumn("fingerprint", F.array_join("fingerprint", "-"))
+    df = docs.drop("fingerprint").withColumn("__p", _packed(text_column(text), k))
+    df = _sketch(_ranked(df, "__p", F.size("__p")), "fingerprint")
+    return df.withColumn("fingerprint", F.array_join("fingerprint", "-")).drop(*_RANKED)
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
@@ -166,11 +202,14 @@ def compare_with_edits(docs: DataFrame, k: int = K, doc_id: str = "doc_id", text
     stays = F.col("n") - F.floor(F.col("n") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), stays), F.col("given"))
     shared = F.greatest(stays - k + 1, F.lit(0))  # k-mers that lie in what stays
-    df = both.withColumns({"edited": edited, "shared": shared, "p": _packed(_kmers(F.col("text"), k), 0)})
-    tail = F.substring(F.col("edited"), F.col("shared") + 1, F.length("edited"))
-    own = F.when((F.length(tail) >= k) | (F.col("shared") == 0), _packed(_kmers(tail, k), F.col("shared"))).otherwise(F.slice("p", 1, 0))
-    df = df.withColumns({"edited_sha256": F.sha2("edited", 256), "q": F.concat(F.slice("p", 1, F.col("shared")), own)}).drop("edited", "text", "given")
-    df = _sketch(_sketch(df, "p", "fingerprint"), "q", "edited_fingerprint")
+    df = both.withColumns({"edited": edited, "shared": shared, "p": _packed(F.col("text"), k)}).drop("given")
+    df = df.withColumns({"edited_sha256": F.sha2("edited", 256), "tail": F.substring(F.col("edited"), F.col("shared") + 1, F.length("edited"))}).drop("edited", "text")
+    own = F.when((F.length("tail") >= k) | (F.col("shared") == 0), _packed(F.col("tail"), k, F.col("shared") + _ONLY_EDITED)).otherwise(F.slice("p", 1, 0))
+    df = df.withColumns({"p": F.concat("p", own), "kmers": F.size("p")}).drop("tail")
+    # What the text and its edited text share is hashed, sorted and searched once.
+    df = _ranked(df, "p", F.col("kmers"))
+    df = _sketch(df, "fingerprint", lambda x: _place(x) < _ONLY_EDITED)
+    df = _sketch(df, "edited_fingerprint", lambda x: (_place(x) < F.col("shared")) | (_place(x) >= _ONLY_EDITED))
     done = stored(df.select("key", "next_key", "doc_id", "n", "edited_sha256", "fingerprint", "edited_fingerprint"))
 
     after = done.groupBy(F.col("key").alias("next_key")).agg(F.any_value("fingerprint").alias("next"))

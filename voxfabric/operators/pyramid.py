@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxfabric.plans.pyramids import source_level
@@ -29,6 +29,26 @@ def downsample(voxels: DataFrame, factors: Sequence[int], size: Sequence[int], k
     return placed.groupBy(*keys, "x", "y", "z").agg(F.floor(F.sum(F.col("v") * F.col("w")) / F.sum("w")).cast("long").alias("v"))
 
 
+def downsample_blocks(blocks: DataFrame, cell: Sequence[int], factors: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, x, y, z, v: the same from whole chunks whose sides the factors divide; each chunk is averaged where it lies, nothing is shuffled."""
+    if any(n % f for n, f in zip(cell, factors)):
+        raise ValueError("the factors must divide the chunk's sides")
+    out = [n // f for n, f in zip(cell, factors)]
+    (cx, cy, _), (fx, fy, fz) = cell, factors
+    place = lambda j: [(j % out[0]) * fx, (F.floor(j / out[0]) % out[1]) * fy, F.floor(j / (out[0] * out[1])) * fz]
+    offsets = [x + cx * (y + cy * z) for z in range(fz) for y in range(fy) for x in range(fx)]
+
+    def mean(j: Column) -> Column:
+        x, y, z = place(j)
+        first = x + cx * (y + cy * z)
+        return F.floor(sum((F.get("data", (first + o).cast("int")) for o in offsets), F.lit(0).cast("long")) / len(offsets)).cast("long")
+
+    cells = F.transform(F.sequence(F.lit(0), F.lit(out[0] * out[1] * out[2] - 1)), mean)
+    found = blocks.select(*keys, "gx", "gy", "gz", F.posexplode(cells).alias("j", "v"))
+    at = [F.col("j") % out[0], F.floor(F.col("j") / out[0]) % out[1], F.floor(F.col("j") / (out[0] * out[1]))]
+    return found.select(*keys, *[(F.col(f"g{a}") * n + p).cast("long").alias(a) for a, n, p in zip("xyz", out, at)], "v")
+
+
 def pyramid(voxels: DataFrame, resolutions: Sequence[Sequence[int]], size: Sequence[int], keys: Sequence[str] = (), least_saving: int = 8) -> list[DataFrame]:
     """All levels, each from the finer level that the plan names or from the original."""
     levels: list[DataFrame] = []

@@ -45,12 +45,8 @@ def nearest_in_blocks(points: DataFrame, blocks: DataFrame, cell: Sequence[int],
     return found.select(*points.columns, F.coalesce(v, F.lit(0)).cast("long").alias("v"), v.isNotNull().cast("long").alias("mask"))
 
 
-def linear(points: DataFrame, voxels: DataFrame, id_columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Linear interpolation: id_columns with v (a double) and mask, the weight of corners inside the volume.
-
-    Each point asks for the corners around it that have a weight, eight at
-    most; their weighted sum is a map-side aggregation by point.
-    """
+def _corners(points: DataFrame) -> DataFrame:
+    """Each point's corners that have a weight, eight at most: adds x, y, z, weight."""
     base = {a: F.floor(f"s{a}") for a in "xyz"}
     part = {a: F.col(f"s{a}") - base[a] for a in "xyz"}
     n = F.col("corner")
@@ -60,10 +56,31 @@ def linear(points: DataFrame, voxels: DataFrame, id_columns: Sequence[str], keys
         far = F.getbit(n, F.lit(axis)).cast("int")
         corner[a] = (base[a] + far).cast("long")
         weight = weight * F.when(far == 1, part[a]).otherwise(1 - part[a])
-    asked = asked.withColumns({**corner, "weight": weight}).where("weight > 0")
-    found = asked.join(voxels, [*keys, "x", "y", "z"], "left")
-    inside = F.when(F.col("v").isNotNull(), F.col("weight")).otherwise(0.0)
-    return found.groupBy(*id_columns).agg(F.sum(F.col("weight") * F.coalesce("v", F.lit(0))).alias("v"), F.sum(inside).alias("mask"))
+    return asked.withColumns({**corner, "weight": weight}).where("weight > 0")
+
+
+def _weighed(found: DataFrame, v: Column, id_columns: Sequence[str]) -> DataFrame:
+    inside = F.when(v.isNotNull(), F.col("weight")).otherwise(0.0)
+    return found.groupBy(*id_columns).agg(F.sum(F.col("weight") * F.coalesce(v, F.lit(0))).alias("v"), F.sum(inside).alias("mask"))
+
+
+def linear_in_blocks(points: DataFrame, blocks: DataFrame, cell: Sequence[int], id_columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """linear() from chunks, which are not exploded: a point's corners join the chunks they lie in and pick one value each."""
+    asked = _corners(points)
+    placed = asked.withColumns({f"g{a}": F.floor(F.col(a) / n).cast("int") for a, n in zip("xyz", cell)})
+    i = F.pmod("x", F.lit(cell[0])) + cell[0] * (F.pmod("y", F.lit(cell[1])) + cell[1] * F.pmod("z", F.lit(cell[2])))
+    found = placed.join(blocks, [*keys, "gx", "gy", "gz"], "left")
+    return _weighed(found, F.get("data", i.cast("int")), id_columns)
+
+
+def linear(points: DataFrame, voxels: DataFrame, id_columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Linear interpolation: id_columns with v (a double) and mask, the weight of corners inside the volume.
+
+    Each point asks for the corners around it that have a weight, eight at
+    most; their weighted sum is a map-side aggregation by point.
+    """
+    found = _corners(points).join(voxels, [*keys, "x", "y", "z"], "left")
+    return _weighed(found, F.col("v"), id_columns)
 
 
 def crop_interval(box: Sequence[tuple[float, float]], back: affine.Affine, image: Sequence[tuple[int, int]], border: int = 0) -> dict[str, Column]:

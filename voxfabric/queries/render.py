@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxfabric.functions import scalars
-from voxfabric.operators import contrast, fusing, refine, sampling
+from voxfabric.operators import contrast, fusing, refine, sampling, scene
 from voxfabric.queries.registry import query
 from voxfabric.sources import derived
 from voxfabric.sources.derived import with_sql
@@ -12,6 +12,8 @@ from voxfabric.sources.derived import with_sql
 BACK = (0.5, 0.25, 0.0, -2.0, -0.25, 0.5, 0.0, 8.0, 0.125, 0.25, 1.0, 0.5)
 SECOND = (0.5, 0.25, 0.0, 3.0, -0.25, 0.5, 0.0, 2.0, 0.125, 0.25, 1.0, 3.5)
 WIDTH, HEIGHT = 64, 48
+#: Chunks of the volume.
+CELL = (4, 4, 4)
 
 _PIXELS = "pix AS (SELECT px, py FROM (SELECT unnest(range(0, 64)) AS px), (SELECT unnest(range(0, 48)) AS py))"
 _AT = "at1 AS (SELECT px, py, 0.5*px + 0.25*py - 2 AS sx, -0.25*px + 0.5*py + 8 AS sy, 0.125*px + 0.25*py + 0.5 AS sz FROM pix)"
@@ -50,13 +52,20 @@ _LINEAR = """lin AS (
 
 @query(_sql([_PIXELS, _AT, _LINEAR], "SELECT px, py, v::DOUBLE AS v, mask::DOUBLE AS mask FROM lin"))
 def sample_nlinear(spark, sf_dir):
-    return sampling.linear(_points(spark), derived.voxels(spark, sf_dir), ["px", "py"])
+    return sampling.linear_in_blocks(_points(spark), derived.blocks(spark, sf_dir), CELL, ["px", "py"])
+
+
+@query(_sql([_PIXELS, _AT, _near(1), _LINEAR], "SELECT 'NEAREST' AS mode, px, py, v::DOUBLE AS v FROM near1 UNION ALL SELECT 'LINEAR', px, py, v::DOUBLE FROM lin"))
+def interpolation_choice(spark, sf_dir):
+    """The same points by either interpolation, from voxels."""
+    both = [scene.sample(_points(spark), derived.voxels(spark, sf_dir), m, ["px", "py"]).select(F.lit(m).alias("mode"), "px", "py", "v") for m in ("NEAREST", "LINEAR")]
+    return both[0].unionByName(both[1])
 
 
 def _two_sources(spark, sf_dir):
     """Two sources of one volume on the screen: samples with colours."""
-    vox = derived.voxels(spark, sf_dir)
-    both = [sampling.nearest(_points(spark, b), vox).select("px", "py", "v", "mask").withColumn("source_id", F.lit(i)) for i, b in enumerate((BACK, SECOND))]
+    chunks = derived.blocks(spark, sf_dir)
+    both = [sampling.nearest_in_blocks(_points(spark, b), chunks, CELL).select("px", "py", "v", "mask").withColumn("source_id", F.lit(i)) for i, b in enumerate((BACK, SECOND))]
     converters = spark.createDataFrame([(0, 28000.0, 37000.0, -16776961 + 65280), (1, 30000.0, 36000.0, -65536)], "source_id int, cmin double, cmax double, color int")
     colors = fusing.colored(both[0].unionByName(both[1]), F.broadcast(converters))
     return fusing.masked(colors, F.col("mask"))
@@ -100,8 +109,7 @@ def fused_slice(spark, sf_dir):
 def _projection(spark, sf_dir):
     points = fusing.slices(sampling.pixels(spark, 32, 24), 6, 1.0)
     at = sampling.into_source(points, BACK, z=F.col("depth"))
-    vox = derived.voxels(spark, sf_dir)
-    return sampling.nearest(at, vox).withColumns({c: F.col("v") for c in "rgb"}).withColumns({"a": F.col("mask") * 255, "t": F.lit(0).cast("long")})
+    return sampling.nearest_in_blocks(at, derived.blocks(spark, sf_dir), CELL).withColumns({c: F.col("v") for c in "rgb"}).withColumns({"a": F.col("mask") * 255, "t": F.lit(0).cast("long")})
 
 
 @query(_sql(["pix AS (SELECT px, py, d FROM (SELECT unnest(range(0, 32)) AS px), (SELECT unnest(range(0, 24)) AS py), (SELECT unnest(range(0, 6)) AS d))",

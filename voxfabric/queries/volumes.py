@@ -80,7 +80,7 @@ def axis_split(spark, sf_dir):
 
 @query(with_sql("voxels", "SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v)::BIGINT // count(*) AS v FROM voxels GROUP BY 1, 2, 3"))
 def downsample(spark, sf_dir):
-    return pyramid.downsample(derived.voxels(spark, sf_dir), (2, 2, 2), derived.volume_size(spark, sf_dir))
+    return pyramid.downsample_blocks(derived.blocks(spark, sf_dir), (4, 4, 4), (2, 2, 2))
 
 
 @query(with_sql("voxels", """, a AS (SELECT x // 3 AS x, y, z, sum(v * CASE WHEN x = 39 THEN 3 ELSE 1 END)::BIGINT // sum(CASE WHEN x = 39 THEN 3 ELSE 1 END)::BIGINT AS v FROM voxels WHERE x < 39 GROUP BY 1, 2, 3) SELECT * FROM a""").replace("FROM blocks))\n,", "FROM blocks)),"))
