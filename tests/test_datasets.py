@@ -122,3 +122,19 @@ def test_chunks_of_sparse_voxels(spark):
     df = spark.createDataFrame([(0, 0, 0, 5), (3, 1, 0, 7), (4, 0, 1, 9)], "x long, y long, z long, v long")
     got = {r.gx: r.data for r in blocks.collect_blocks(df, (4, 2, 2)).collect()}
     assert got == {0: [5, 0, 0, 0, 0, 0, 0, 7] + [0] * 8, 1: [0] * 8 + [9] + [0] * 7}
+
+
+def test_settings_round_trip(spark, tmp_path):
+    from voxfabric.sources import settings
+
+    one = [float(i) for i in range(12)]
+    want = {
+        "state": spark.createDataFrame([(1, 0, 4, "FUSEDGROUP", "LINEAR")], "source long, group long, timepoint long, mode string, interpolation string"),
+        "sources": spark.createDataFrame([(i, i % 2 == 0, 1.5 * i, 200.0, -i, [v + i for v in one]) for i in range(3)], "source_id long, active boolean, cmin double, cmax double, color int, fixed array<double>"),
+        "groups": spark.createDataFrame([(0, "all & one", True, [0, 2]), (1, "b", False, [1])], "group_id long, name string, active boolean, members array<bigint>"),
+        "bookmarks": spark.createDataFrame([("F1", one), ("<x>", one[::-1])], "key string, model array<double>"),
+    }
+    settings.settings_xml(**want).coalesce(1).write.text(f"{tmp_path}/s")
+    got = settings.read_settings(spark, f"{tmp_path}/s")
+    for name, df in want.items():
+        assert rows(got[name].select(df.columns)) == rows(df), name
