@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxfabric.sources import blocks, datasets, formats, n5
 
-LEGACY = """<SequenceDescription><ImageLoader format="bdv.hdf5"/><ViewSetup><id>0</id><angle>1</angle><illumination>0</illumination><channel>2</channel>
+LEGACY = """<SequenceDescription><ImageLoader format="chunks.hdf5"/><ViewSetup><id>0</id><angle>1</angle><illumination>0</illumination><channel>2</channel>
 <width>30</width><height>20</height><depth>10</depth><pixelWidth>1.0</pixelWidth><pixelHeight>1.0</pixelHeight><pixelDepth>4.0</pixelDepth></ViewSetup>
 <Timepoints type="{}"><first>3</first><last>5</last></Timepoints>
 <ViewRegistrations><ReferenceTimepoint>0</ReferenceTimepoint><ViewRegistration><timepoint>0</timepoint><setup>0</setup>
@@ -32,7 +32,7 @@ def tables(spark):
 
 
 def test_xml_round_trip(spark, tables, tmp_path):
-    datasets.write_dataset_xml(tables, "bdv.n5", "images & more.n5", f"{tmp_path}/xml")
+    datasets.write_dataset_xml(tables, "chunks.n5", "images & more.n5", f"{tmp_path}/xml")
     got = formats.read_dataset_xml(spark, f"{tmp_path}/xml")
     for name, want in tables.items():
         assert rows(got[name].select(want.columns)) == rows(want), name
@@ -41,7 +41,7 @@ def test_xml_round_trip(spark, tables, tmp_path):
 def test_xml_partitions(spark, tables):
     same, other = {3: 3, 4: 4}, {3: 0, 4: 1}
     parts = spark.createDataFrame([("a.h5", same, {0: 0}), ("b.h5", other, {2: 0})], "path string, timepoint_map map<int,int>, setup_map map<int,int>")
-    xml = datasets.dataset_xml(tables, "bdv.hdf5", "all.h5", parts).first().xml
+    xml = datasets.dataset_xml(tables, "chunks.hdf5", "all.h5", parts).first().xml
     assert "<partition><path>a.h5</path></partition>" in xml and "<timepointsMapped>3:0 4:1</timepointsMapped><setupsMapped>2:0</setupsMapped>" in xml
 
 

@@ -6,12 +6,13 @@ frames is moved in one pass.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxfabric.functions import affine
+from voxfabric.functions.affine import let
 
 #: Rotations from the xy plane to each plane, by rows, and the axis that is made orthogonal to it (fixed values).
 PLANES = {"XY": ((1, 0, 0, 0, 1, 0, 0, 0, 1), 2), "ZY": ((0, 0, -1, 0, 1, 0, 1, 0, 0), 0), "XZ": ((1, 0, 0, 0, 0, -1, 0, 1, 0), 1)}
@@ -21,11 +22,6 @@ SCROLL_ZOOM, KEY_ZOOM, SPEEDS = 1.05, 1.1, (1.0, 10.0, 0.1)
 Vector = list[Column]
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def _whole(m: affine.Affine) -> Column:
     """A map as one column."""
     return m if isinstance(m, Column) else F.col(m) if isinstance(m, str) else affine.affine(m)

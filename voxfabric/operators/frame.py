@@ -21,10 +21,15 @@ def render(sources: DataFrame, blocks: DataFrame, viewer: affine.Affine, width:
     """
     placed = sources.withColumn("to_screen", affine.compose(viewer, "model"))
     seen = screen.screen_rectangle(screen.cull(placed, "to_screen", width, height), width, height)
-    rows = seen.select("source_id", affine.inverse("to_screen").alias("back"), "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("py"))
+    box = [f"{m}_{a}" for a in "xyz" for m in ("min", "max")]
+    rows = seen.select("source_id", affine.inverse("to_screen").alias("back"), *box, "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("py"))
     # A source is one row up to here: deal its lines out before they become pixels.
-    points = rows.repartition("source_id", "py").select("source_id", "back", "py", F.explode(F.sequence("x0", "x1")).alias("px"))
-    points = sampling.into_source(points, "back").drop("back")
+    points = rows.repartition("source_id", "py").select("source_id", "back", *box, "py", F.explode(F.sequence("x0", "x1")).alias("px"))
+    points = sampling.into_source(points, "back")
+    # What a rectangle holds beside its source is no voxel's pixel: it goes before the join.
+    for a in "xyz":
+        points = points.where(F.floor(F.col(f"s{a}") + 0.5).between(F.col(f"min_{a}"), F.col(f"max_{a}")))
+    points = points.drop("back", *box)
     samples = sampling.nearest_in_blocks(points, blocks, cell, ["source_id"]).where("mask = 1")
     colors = fusing.colored(samples, sources.select("source_id", "cmin", "cmax", "color"))
     return fusing.blend_average(colors) if average else fusing.blend_sum(colors)

@@ -60,9 +60,11 @@ def cull_cells(cells: DataFrame, to_screen: affine.Affine, width: int, height: i
 
 def level_distance(to_screen: Column) -> Column:
     """How far a level's voxels are from screen pixels: the squared distance of a pixel's two sides, in voxels, from 1."""
-    back = affine.inverse(to_screen)
-    off = [affine.column_length(back, axis) - 1 for axis in (0, 1)]
-    return off[0] * off[0] + off[1] * off[1]
+
+    def distance(back: Column) -> Column:
+        return sum((affine.let(affine.column_length(back, axis) - 1, lambda d: d * d) for axis in (0, 1)), F.lit(0.0))
+
+    return affine.let(to_screen, lambda m: affine.let(affine.inverse(m), distance))
 
 
 def best_level(levels: DataFrame, keys: Sequence[str], to_screen: str = "to_screen") -> DataFrame:

@@ -35,7 +35,7 @@ def _listed(rows: DataFrame, order: Sequence[str], element: Column) -> DataFrame
 def dataset_xml(tables: dict[str, DataFrame], loader: str, path: str, partitions: DataFrame | None = None) -> DataFrame:
     """xml: one row, the description of a data set whose tables are those of formats.read_dataset_xml().
 
-    loader is the image loader's format ("bdv.n5", "bdv.hdf5"), path where it
+    loader is the format of the image loader, path where it
     finds the images. A partition names its ids where they differ from the
     data set's.
     """
