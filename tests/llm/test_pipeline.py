@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -96,3 +97,22 @@ def test_stages_keep_columns(spark, rows):
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_stages_with_repeated_ids_and_clashing_columns(spark):
+    """Another text under a dropped copy's id stays; columns may have the names that operators use."""
+    t, u = "the house of the garden and the river " * 3, "stone of the night and the tree of the river " * 3
+    rows = [(1, t, "en", "s", 1, "g"), (7, t, "en", "s", 2, "g"), (7, u, "en", "s", 3, "g"), (9, t + "tail", None, None, 4, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, k int, given string")
+    for c in ("__domain", "__lang", "__source", "__id", "score", "lang_pred", "mix_epoch_", "class_id", "text_sha256", "row"):
+        docs = docs.withColumn(c, F.lit("x"))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "mixing":
+            break
+        kept = stage(spark, kept, "")
+        assert kept.columns == docs.columns
+    assert sorted(r.k for r in kept.collect()) == [1, 3]
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, "")
+    assert mixed.columns == docs.columns and {r.k for r in mixed.collect()} <= {1, 2, 3, 4}
+    assert corpus_pipeline.STAGES[4][1](spark, docs, "").agg(F.count_distinct("doc_id")).first()[0] == 3

@@ -56,6 +56,8 @@ def pack(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str |
     is followed by end_id, and every length ids make a sequence. Null and
     empty texts give a piece of the end id alone. Rows that repeat an id or a
     text are packed like any other. An empty table gives no pieces.
+    A text of any length is encoded whole and cut wherever a sequence ends;
+    further columns of docs are ignored, whatever their names.
     """
     table = encoded(docs, end_id, tokenizer, doc_id, text)
     # One total per partition of the input: small whatever the partitions hold.
