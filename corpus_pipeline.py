@@ -1,7 +1,9 @@
 """A corpus pipeline: language, exact copies, near copies, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one
-before it kept; all but the last return the columns of documents.
+before it kept; all but the last return the columns of documents, whatever
+else these hold. Rows that share an id are judged by their own texts. An empty
+table goes through as one. Texts are taken whole, of any length.
 """
 
 from __future__ import annotations
@@ -30,22 +32,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the row with the smallest id."""
+    """Of texts that are equal but for white space, the row with the smallest id; null and empty texts are equal."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by 0.8 of their five-word shingles, the row with the smallest id."""
+    """Of each group of texts linked by 0.8 of their five-word shingles, the row with the smallest id; rows with null ids stay."""
     return similarity_join.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the tokens, dealt by WEIGHTS; no row twice."""
+    """Nine tenths of the tokens, dealt by WEIGHTS; no row twice. Null languages and sources are one of their own."""
     return mixing.mix(docs, domain_of(), WEIGHTS, fraction=(9, 10), max_epochs=1, seed=7).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 token ids, one row per piece of a document in a sequence."""
+    """Sequences of 1024 token ids, one row per piece of a document in a sequence; null and empty texts are an end id."""
     return packing.pack(docs)
 
 
