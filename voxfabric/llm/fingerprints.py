@@ -190,7 +190,11 @@ def compare_with_edits(docs: DataFrame, k: int = K, doc_id: str = "doc_id", text
     one id follow each other in the order of a hash of their texts. Rows that
     repeat both id and text count once in this order and get the same result.
     A quarter is rounded down; a next document that is shorter gives all it
-    has. Null texts are empty.
+    has. Null texts are empty; a text of any length lies in one row's arrays
+    (8 bytes a character), one with few different k-mers is sorted whole. Of
+    equal ranks the k-mer that stands first in the text counts. An empty table
+    gives an empty result; further columns of docs are ignored, whatever their
+    names. Rows meet by a 64-bit hash of id and text.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_column(text).alias("text"))
     keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")

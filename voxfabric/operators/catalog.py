@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxfabric.functions import affine
+from voxfabric.functions.scalars import setup_name
 
 VIEW = ["setup_id", "timepoint_id"]
 
@@ -125,6 +126,5 @@ def table_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
 
 
 def names_of(setups: DataFrame, name: Column, angle: Column, channel: Column) -> DataFrame:
-    from voxfabric.functions.scalars import setup_name
-
+    """Setups with a name: their own, or one made of angle and channel."""
     return setups.withColumn("name", setup_name(name, angle, channel))

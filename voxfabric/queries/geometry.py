@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxfabric.functions import affine, scalars
-from voxfabric.operators import bounds
+from voxfabric.operators import bounds, catalog
 from voxfabric.queries.registry import query
 from voxfabric.sources import derived
 from voxfabric.sources.derived import with_sql
@@ -167,7 +167,7 @@ def setup_name(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")
     name = F.when(s % 3 == 0, F.concat(F.lit("part "), k))
     angle = F.when(s % 3 == 1, s.cast("string"))
-    return derived.table(spark, sf_dir, "part").select("p_partkey", scalars.setup_name(name, angle, (k % 4).cast("string")).alias("name"))
+    return catalog.names_of(derived.table(spark, sf_dir, "part"), name, angle, (k % 4).cast("string")).select("p_partkey", "name")
 
 
 @query("""SELECT p_partkey, printf('setup%d/timepoint%d/s%d', p_partkey % 7, p_size, p_partkey % 3) AS n5, printf('t%05d/s%02d/%d/cells', p_size, p_partkey % 7, p_partkey % 3) AS hdf5 FROM part""")

@@ -225,9 +225,28 @@ def box_edges(spark, sf_dir):
     return edges.groupBy("source_id").agg(F.count("cross_x").alias("crossing"), F.avg("cross_x").alias("centre_x"))
 
 
-@query()
+@query(with_sql("boxes", """, c AS (SELECT source_id, unnest([0, 1, 2, 3]) AS i, unnest([min_x, max_x, max_x, min_x]) AS px, unnest([min_y, min_y, max_y, max_y]) AS py FROM boxes WHERE min_z <= 0 AND max_z > 0)
+SELECT source_id, CAST(i AS BIGINT) AS i, CAST(floor(1e3 * (0.5 * px + 64) + 0.5) AS BIGINT) AS x, CAST(floor(1e3 * (0.5 * py + 32) + 0.5) AS BIGINT) AS y FROM c""").replace("FROM part)\n,", "FROM part),"))
 def section_polygon(spark, sf_dir):
-    return overlays.section_polygons(overlays.box_edges(derived.boxes(spark, sf_dir), "source_id", VIEW), "source_id")
+    """The corners, in order, of the polygons in which boxes meet the screen, in thousandths of a pixel."""
+    found = overlays.section_polygons(overlays.box_edges(derived.boxes(spark, sf_dir), "source_id", VIEW), "source_id")
+    return found.select("source_id", "i", *[F.floor(F.col(c) * 1e3 + 0.5).cast("long").alias(c) for c in "xy"])
+
+
+@query(with_sql("boxes", """, e AS (SELECT *, min_z <= 0 AND max_z > 0 AS cut FROM boxes)
+SELECT source_id, CAST(d AS BIGINT) AS edge, CASE WHEN d >= 8 AND cut THEN CAST(floor(1e3 * (0.5 * (CASE WHEN d % 2 = 1 THEN max_x ELSE min_x END) + 64) + 0.5) AS BIGINT) END AS x,
+CASE WHEN d >= 8 AND cut THEN CAST(floor(1e3 * (0.5 * (CASE WHEN d >= 10 THEN max_y ELSE min_y END) + 32) + 0.5) AS BIGINT) END AS y FROM e, (SELECT unnest(range(0, 12)) AS d)""").replace("FROM part)\n,", "FROM part),"))
+def box_edge_crossings(spark, sf_dir):
+    """Where each of the twelve edges of each box crosses the plane, if it does; the last four run along z."""
+    edges = overlays.box_edges(derived.boxes(spark, sf_dir), "source_id", VIEW)
+    return edges.select("source_id", "edge", *[F.floor(F.col(f"cross_{c}") * 1e3 + 0.5).cast("long").alias(c) for c in "xy"])
+
+
+@query(with_sql("views", "SELECT setup_id, t, model[1] AS xx, model[2] AS xy, model[4] AS tx, model[5] AS yx, model[6] AS yy, model[8] AS ty FROM views"))
+def overlay_plane(spark, sf_dir):
+    """The two-dimensional part of each view's map, for overlays."""
+    m = affine.plane_rows("model")
+    return derived.views(spark, sf_dir).select("setup_id", "t", *[m[i].alias(n) for i, n in enumerate(("xx", "xy", "tx", "yx", "yy", "ty"))])
 
 
 @query(with_sql("boxes", """SELECT source_id, CAST(floor(1e6 * (min_x - 840) * 500.0 / (min_z + 1000) + 0.5) AS BIGINT) AS px, (min_x - 840) * 0.5 AS ox FROM boxes"""))
