@@ -66,8 +66,8 @@ def info_text(spark, sf_dir):
     return derived.table(spark, sf_dir, "part").select("p_partkey", *[v.alias(n) for n, v in texts.items()])
 
 
-@query(with_sql("views", """SELECT setup_id, t, CASE WHEN setup_id % 2 = 0 THEN 2 * model[1] ELSE model[1] END AS fx, CASE WHEN setup_id % 2 = 0 THEN 2 * (model[4] + 3 * model[1]) + 8 ELSE model[4] END AS ftx,
-CASE WHEN setup_id % 2 = 0 THEN -(2 * (model[4] + 3 * model[1]) + 8) / (2 * model[1]) ELSE 0 END AS back FROM views"""))
+@query(with_sql("views", f"""SELECT setup_id, t, CASE WHEN setup_id % 2 = 0 THEN 2 * model[1] ELSE model[1] END AS fx, CASE WHEN setup_id % 2 = 0 THEN 2 * (model[4] + 3 * model[1]) + 8 ELSE model[4] END AS ftx,
+CASE WHEN setup_id % 2 = 0 THEN {_M.format('-(2 * (model[4] + 3 * model[1]) + 8) / (2 * model[1])')} ELSE 0 END AS back FROM views"""))
 def manual_transform(spark, sf_dir):
     """Maps dragged by 3, then doubled and moved by 8, made lasting for every other source; and how to undo them."""
     one = (1.0, 0.0, 0.0, 3.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)
@@ -76,7 +76,7 @@ def manual_transform(spark, sf_dir):
     out = scene.applied(rows, live)
     back = scene.reset(out)
     f, b = affine.entries("fixed"), affine.entries("incremental")
-    return back.select("setup_id", "t", f[0].alias("fx"), f[3].alias("ftx"), b[3].alias("back"))
+    return back.select("setup_id", "t", f[0].alias("fx"), f[3].alias("ftx"), _micro(b[3]).alias("back"))
 
 
 @query(with_sql("views", """, v AS (SELECT t AS source_id, setup_id, model[4] AS tx FROM views), ok AS (SELECT setup_id % 2 = 0 AS same, setup_id, source_id, tx FROM v)
@@ -174,7 +174,7 @@ r AS (WITH RECURSIVE r AS (
     CASE what WHEN 'zoom' THEN (x - 840) * 1.1 + 840 WHEN 'unzoom' THEN (x - 840) / 1.1 + 840 ELSE x + arg * 10 END,
     CASE what WHEN 'zoom' THEN (y - 498) * 1.1 + 498 WHEN 'unzoom' THEN (y - 498) / 1.1 + 498 ELSE y - arg END
   FROM r JOIN e ON e.session = r.session AND e.i = r.i + 1) SELECT * FROM r)
-SELECT session, {_M.format('arg_max(s, i) / 1e3')} AS scale, {_M.format('arg_max(x, i) / 1e3')} AS tx, {_M.format('arg_max(y, i) / 1e3')} AS ty FROM r GROUP BY session""").replace("FROM events)\n,", "FROM events),"))
+SELECT session, {_M.format('arg_max(s, i) / 7e3')} AS scale, {_M.format('arg_max(x, i) / 7e3')} AS tx, {_M.format('arg_max(y, i) / 7e3')} AS ty FROM r GROUP BY session""").replace("FROM events)\n,", "FROM events),"))
 def navigation(spark, sf_dir):
     """Where each session's viewer ends: zooms by keys about the centre, and drags."""
     log = derived.event_log(spark, sf_dir)
@@ -183,7 +183,7 @@ def navigation(spark, sf_dir):
     step = F.when(F.col("kind") == "source", zoom(camera.KEY_ZOOM)).when(F.col("kind") == "mode", zoom(F.lit(1.0) / camera.KEY_ZOOM)).otherwise(drag)
     out = camera.navigated(log.withColumn("step", step), ["session"], ["ts", "event_id"], affine.IDENTITY)
     p = affine.entries("viewer")
-    return out.select("session", *[_micro(c / 1e3).alias(n) for c, n in ((p[0], "scale"), (p[3], "tx"), (p[7], "ty"))])
+    return out.select("session", *[_micro(c / 7e3).alias(n) for c, n in ((p[0], "scale"), (p[3], "tx"), (p[7], "ty"))])
 
 
 @query(f"""WITH a AS (SELECT p_partkey, (p_size - 1) / 50.0 AS t, radians(p_partkey % 170 + 1) AS w FROM part)
