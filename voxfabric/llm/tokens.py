@@ -56,8 +56,7 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.by_piece = plain and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
-        added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.has_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.split_any = regex.compile(_PIECES).findall
         self.split_latin = re.compile(_LATIN_PIECES).findall
         self.characters = _byte_characters()
@@ -75,7 +74,7 @@ class Encoder:
             return self._ids(texts)
         out = []
         for text in texts:
-            if self.has_added(text):
+            if any(a in text for a in self.added):
                 out += self._ids([text])
                 continue
             pieces = (self.split_any if _beyond_latin(text) else self.split_latin)(text)
