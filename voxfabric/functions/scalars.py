@@ -74,6 +74,28 @@ class BoundedRange:
         return BoundedRange(F.least(self.min_bound, other.min_bound), F.greatest(self.max_bound, other.max_bound), F.least(self.low, other.low), F.greatest(self.high, other.high))
 
 
+class BoundedInterval:
+    """An interval low to high of at least `least` inside range_min to range_max, as columns; each step keeps it so, moving the other end if need be."""
+
+    def __init__(self, range_min: Column, range_max: Column, low: Column, high: Column, least: Column):
+        self.range_min, self.range_max, self.low, self.high, self.least = range_min, range_max, low, high, least
+
+    def with_low(self, v: Column) -> BoundedInterval:
+        low = clamp(v, self.range_min, self.range_max - self.least)
+        return BoundedInterval(self.range_min, self.range_max, low, F.greatest(self.high, low + self.least), self.least)
+
+    def with_high(self, v: Column) -> BoundedInterval:
+        high = clamp(v, self.range_min + self.least, self.range_max)
+        return BoundedInterval(self.range_min, self.range_max, F.least(self.low, high - self.least), high, self.least)
+
+    def with_range(self, lowest: Column, highest: Column) -> BoundedInterval:
+        """Another range: ends are cut to it; if they come too near, the lower one gives way at the range's end, else the higher."""
+        low, high = clamp(self.low, lowest, highest - self.least), clamp(self.high, lowest + self.least, highest)
+        near = low > high - self.least
+        at_end = near & (high == highest)
+        return BoundedInterval(lowest, highest, F.when(at_end, high - self.least).otherwise(low), F.when(near & ~at_end, low + self.least).otherwise(high), self.least)
+
+
 def cell_count(dim: Column, cell: Column) -> Column:
     """Cells of a size that cover a length."""
     return F.floor((dim + cell - 1) / cell).cast("long")

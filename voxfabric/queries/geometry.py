@@ -198,3 +198,17 @@ def animation_time(spark, sf_dir):
     t = F.col("p_size") / 50.0
     micro = lambda c: F.floor(c * 1e6 + 0.5).cast("long")
     return derived.table(spark, sf_dir, "part").select("p_partkey", micro(scalars.cosine_ease(t)).alias("eased"), micro(scalars.fade(t)).alias("faded"))
+
+
+@query("""
+WITH s AS (SELECT event_id, CAST(event_id % 40 AS BIGINT) AS lo, CAST(event_id % 40 + 5 + event_id % 11 AS BIGINT) AS hi, CAST(event_id % 77 - 8 AS BIGINT) AS v FROM events),
+r AS (SELECT *, least(greatest(lo, 10), 25) AS l, least(greatest(hi, 15), 30) AS h FROM s)
+SELECT event_id, least(greatest(v, 0), 55) AS low_low, greatest(hi, least(greatest(v, 0), 55) + 5) AS low_high, least(lo, least(greatest(v, 5), 60) - 5) AS high_low, least(greatest(v, 5), 60) AS high_high,
+CASE WHEN l > h - 5 AND h = 30 THEN h - 5 ELSE l END AS range_low, CASE WHEN l > h - 5 AND h <> 30 THEN l + 5 ELSE h END AS range_high FROM r""")
+def bounded_interval(spark, sf_dir):
+    k = F.col("event_id")
+    rows = derived.table(spark, sf_dir, "events").select("event_id", (k % 40).alias("lo"), (k % 40 + 5 + k % 11).alias("hi"), (k % 77 - 8).alias("v"))
+    long = lambda n: F.lit(n).cast("long")
+    i = scalars.BoundedInterval(long(0), long(60), F.col("lo"), F.col("hi"), long(5))
+    steps = {"low": i.with_low(F.col("v")), "high": i.with_high(F.col("v")), "range": i.with_range(long(10), long(30))}
+    return rows.select("event_id", *[c.alias(f"{n}_{e}") for n, x in steps.items() for e, c in (("low", x.low), ("high", x.high))])
