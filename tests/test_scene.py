@@ -116,3 +116,12 @@ def test_tiles(spark):
     df = spark.createDataFrame([(7, i, i != 0, *map(int, r)) for i, r in enumerate(rects)], "frame int, source_id long, culled boolean, x0 long, y0 long, x1 long, y1 long")
     got = tiling.adaptive_tiles(df, ["frame"], 200, 150).collect()
     assert {r.frame for r in got} == {7} and all(0 in {r.source_id for r in got if r.tile_id == t} for t in {r.tile_id for r in got})
+
+
+def test_two_converters_are_an_error(spark):
+    from voxfabric.operators import fusing
+
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (2, 5.0)], "source_id int, cmin double")
+    assert fusing.one_each(df.where("cmin < 5")).count() == 2
+    with pytest.raises(Exception, match="two converters"):
+        fusing.one_each(df).collect()

@@ -3,12 +3,19 @@
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxfabric.functions.scalars import channels, to_color
 
 
+def one_each(converters: DataFrame, key: str = "source_id") -> DataFrame:
+    """converters, whose key must be unique: a source with two of them is an error."""
+    n = F.count("*").over(Window.partitionBy(key))
+    checked = F.when(n > 1, F.raise_error(F.concat(F.lit(f"two converters for {key} "), F.col(key).cast("string"))).cast(converters.schema[key].dataType)).otherwise(F.col(key))
+    return converters.withColumn(key, checked)
+
+
 def colored(samples: DataFrame, converters: DataFrame, key: str = "source_id") -> DataFrame:
     """Adds a, r, g, b of v in its source's display range (cmin, cmax) and colour."""
     return samples.join(converters, key).withColumns(to_color(F.col("v"), F.col("cmin"), F.col("cmax"), F.col("color")))
