@@ -29,6 +29,13 @@ from voxfabric.llm.shingles import Words, mix
 BLOCK = 512
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch], most: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches cut small: a text's words take many times its bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def prefix_depth(threshold: float, tries: int, depth: int, recall: float) -> int:
     """The longest prefix with which a pair at the threshold meets in some trie with probability recall, 1 at least."""
     while depth > 1 and 1 - (1 - threshold**depth) ** tries < recall:
@@ -168,7 +175,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
     forest = Forest(tries, depth)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_rows(batches):
             texts = [Words(t) for t in batch.column(1).to_pylist()]
             keys = [forest.keys(ngrams(w, n), at).tobytes() if w.n else None for w in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(w) for w in texts]), pa.array(keys, pa.binary())], names=["doc_id", "class", "keys"])
@@ -200,7 +207,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
     wanted = cut(paired.groupBy("node", "i", "j").applyInArrow(choose, "class string, node string, trie int, block int, i int, j int, keys binary"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_rows(batches):
             texts = [Words(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_class(w) for w in texts]), pa.array([ngrams(w, n).tobytes() for w in texts], pa.binary())], names=["class", "grams"])
 
