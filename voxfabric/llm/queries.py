@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfabric.llm import exact_dedup, fingerprints, hmm, language, mixing, packing, quality, similarity_join, substring_dedup, token_index
+from voxfabric.llm import exact_dedup, fingerprints, hmm, language, lexical, mixing, packing, quality, similarity_join, substring_dedup, token_index
 from voxfabric.llm.common import fold
 
 
@@ -157,6 +157,32 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha25
 """
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.search(lexical.index(_documents(spark, sf_dir)), items, k=20)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS places FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, s GROUP BY term, docs),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // places)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY item_id, doc_id
+),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -169,6 +195,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substring_dedup": op10_substring_dedup,
         "op6_language_id": op6_language_id,
         "op5_exact_dedup": op5_exact_dedup,
+        "op11_lexical_search": op11_lexical_search,
     }
 
 
@@ -177,4 +204,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": OP4_SQL,
         "op10_substring_dedup": OP10_SQL,
         "op5_exact_dedup": OP5_SQL,
+        "op11_lexical_search": OP11_SQL,
     }
