@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfabric.llm import exact_dedup, fingerprints, hmm, language, lexical, mixing, packing, quality, similarity_join, substring_dedup, token_index
-from voxfabric.llm.common import fold
+from voxfabric.llm import chat, exact_dedup, fingerprints, hmm, language, lexical, mixing, packing, quality, similarity_join, substring_dedup, token_index, whitening
+from voxfabric.llm.common import fold, stored
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +183,53 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
 
+#: Text of both turns of conversation -7: a backslash and marks of templates.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations, whose records are turns, and conversation -7, whose record is a list of messages."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    message = lambda role: F.struct(F.lit(role).alias("role"), F.lit(HARD_TEXT).alias("content"))
+    hard = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.array(message("user"), message("assistant")).alias("messages"))
+    done = stored(chat.formatted(chat.canonical_turns(rows.unionByName(hard, allowMissingColumns=True))))
+    loss = F.array_join("loss", "")
+    read = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP12_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+e AS (  -- one character is added for each backslash, mark, and place where three # begin
+  SELECT *, list_sum(list_transform([role, text], lambda s: len(s) + len(s) - len(replace(s, '\', '')) + (len(s) - len(replace(s, '</turn>', ''))) // 7
+           + coalesce(list_sum(list_transform(regexp_extract_all(s, '#{3,}'), lambda r: len(r) - 2)), 0))) + (len(role) - len(replace(role, ':' || chr(10), ''))) // 2 AS n
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + 14) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = whitening.fit(rows, components=32)
+    error = whitening.identity_error(rows, model)
+    return whitening.whiten(rows, model).withColumns({"n": F.lit(model.n).cast("long"), "identity_error": F.lit(error).cast("double")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -196,6 +243,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op11_lexical_search": op11_lexical_search,
+        "op12_chat_format": op12_chat_format,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -205,4 +254,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_substring_dedup": OP10_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op11_lexical_search": OP11_SQL,
+        "op12_chat_format": OP12_SQL,
     }
