@@ -95,11 +95,13 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {i: 300 for i in range(300, 303)}
 
 
-def test_jaccard_is_exact():
+def test_similarity_is_exact():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 50, n).astype(np.uint64)) for n in (0, 1, 10, 40, 40, 60)]
-    got = sj._jaccard(sets)
-    for a in range(6):
-        for b in set(range(6)) - {a}:
-            x, y = set(sets[a].tolist()), set(sets[b].tolist())
-            assert np.isclose(got[a, b], len(x & y) / max(len(x | y), 1))
+    sets += [np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)]  # 8 of 10: 0.8 itself
+    for threshold in (0.25, 0.5, 0.8, 0.81):
+        got = sj._similar(sets, threshold)
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if len(x) + len(y):
+                    assert got[a, b] == (len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= threshold)

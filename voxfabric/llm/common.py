@@ -34,21 +34,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a compressed table in the shared folder, for what is as large as the input; it goes when the driver exits."""
+    """df as a compressed table in the shared folder, for what is as large as the input; it goes by drop_stored(), or when the driver exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    atexit.register(drop_stored, out)
+    return out
 
-    def delete() -> None:
-        try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # noqa: BLE001  the JVM may have gone first
-            pass
 
-    atexit.register(delete)
-    return spark.read.schema(df.schema).parquet(path)
+def drop_stored(df: DataFrame) -> None:
+    """Delete the table that stored() returned as df; plans that read it fail from then on."""
+    sc = df.sparkSession.sparkContext
+    try:
+        target = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  at exit the JVM may have gone first
+        pass
 
 
 def text_column(name: str = "text") -> Column:
@@ -56,6 +59,11 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def as_long(doc_id: Column) -> Column:
+    """An id as a long; null where it is none."""
+    return doc_id.cast("string").try_cast("long")
+
+
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
@@ -81,20 +89,40 @@ def marked(df: DataFrame, column: Column, keys: DataFrame, name: str) -> DataFra
     return found.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("__at", "__piece", "__bits")
 
 
+def whole(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of docs as one struct, whatever their names: operators that add columns of their own carry rows in it."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias(name)
+
+
+def _matched(docs: DataFrame, same: dict[str, Column], keys: DataFrame) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """row, s_..., maybe of docs; keys with names g_...; the conditions of equality. maybe is false only where no key is equal."""
+    names = list(same)
+    keys = keys.select([F.col(c).alias(f"g_{c}") for c in names])
+    rows = docs.select(whole(docs), *[e.alias(f"s_{c}") for c, e in same.items()])
+    rows = marked(rows, F.xxhash64(*[F.col(f"s_{c}") for c in names]), keys.select(F.xxhash64(*keys.columns).alias("key")), "maybe")
+    return rows, keys, [F.col(f"s_{c}").eqNullSafe(F.col(f"g_{c}")) for c in names]
+
+
 def without(docs: DataFrame, same: dict[str, Column], gone: DataFrame) -> DataFrame:
     """docs without the rows whose values of same (name -> expression over docs) stand in a row of gone (columns of those names; nulls are equal).
 
     Most rows are none of gone's by a bitmap and stay where they lie; only the
-    others are shuffled to be compared.
+    others are shuffled to be compared. Columns of docs may have any names.
     """
-    names = list(same)
-    gone = gone.select([F.col(c).alias(f"__g_{c}") for c in names])
-    hashed = F.xxhash64(*[F.col(f"__s_{c}") for c in names])
-    rows = docs.withColumns({f"__s_{c}": e for c, e in same.items()})
-    rows = marked(rows, hashed, gone.select(F.xxhash64(*gone.columns).alias("key")), "__maybe")
-    equal = [F.col(f"__s_{c}").eqNullSafe(F.col(f"__g_{c}")) for c in names]
-    stay = rows.where("not __maybe").select(docs.columns)
-    return stay.unionByName(rows.where("__maybe").join(gone.hint("merge"), equal, "left_anti").select(docs.columns))
+    rows, gone, equal = _matched(docs, same, gone)
+    stay = rows.where("not maybe").select("row")
+    return stay.unionByName(rows.where("maybe").join(gone.hint("merge"), equal, "left_anti").select("row")).select("row.*")
+
+
+def once(docs: DataFrame, same: dict[str, Column], repeated: DataFrame) -> DataFrame:
+    """docs with one row of those whose values of same stand in one row of repeated: the first by its content. Others stay; names as in without()."""
+    rows, repeated, equal = _matched(docs, same, repeated)
+    stay = rows.where("not maybe").select("row")
+    other = rows.where("maybe")
+    stay = stay.unionByName(other.join(repeated.hint("merge"), equal, "left_anti").select("row"))
+    # Rows are told apart by content in each task first, so that a frequent one is no hot key.
+    groups = other.join(repeated.hint("merge"), equal, "left_semi").groupBy(*[f"s_{c}" for c in same])
+    return stay.unionByName(groups.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")).select("row.*")
 
 
 def hot_lookup(left: DataFrame, table: DataFrame, key: str, weight: str, rows: int, prefix: str, spread: str = "doc_id", hint: str | None = None) -> DataFrame:

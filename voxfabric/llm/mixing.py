@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import WORD, cut, text_column
+from voxfabric.llm.common import WORD, cut, text_column, whole
 
 LEVELS = ("domain", "lang", "source")
 #: Largest leaf table that is sent to all tasks (about 100 bytes a leaf).
@@ -95,8 +95,9 @@ def mix(
     text: str = "text",
     lang: str = "lang",
     source: str = "source",
+    epoch: str | None = "mix_epoch",
 ) -> DataFrame:
-    """docs with column mix_epoch: the rows chosen, once per epoch.
+    """docs with the column that epoch names, mix_epoch: the rows chosen, once per epoch. Without a name, docs' columns alone.
 
     A token is a run of characters other than ASCII white space. The total is
     fraction (numerator, denominator) of all tokens. weights gives per level
@@ -106,14 +107,14 @@ def mix(
     count as one of name "none"; null texts have no tokens. Leaves without
     tokens are kept once. Rows that repeat an id in a leaf stand or fall
     together; documents of equal order stand by id. Texts of any length are
-    counted whole. An empty table gives an empty result. An input column
-    mix_epoch is replaced, others may have any names. Rounding leaves at most
+    counted whole. An empty table gives an empty result. An input column of
+    epoch's name is replaced, others may have any names. Rounding leaves at most
     one token a node unused, and a leaf's prefix ends before the first document
     that exceeds it, which leaves less than that document's tokens.
     """
-    given = docs.drop("mix_epoch")
+    given = docs.drop(epoch) if epoch else docs
     keyed = given.select(  # the input's columns in one struct, so that none of their names can clash
-        F.struct(*[F.col(f"`{c}`") for c in given.columns]).alias("__row"), domain.alias("__domain"), F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.col(doc_id).alias("__id"), text_column(text).alias("__text")
+        whole(given, "__row"), domain.alias("__domain"), F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.col(doc_id).alias("__id"), text_column(text).alias("__text")
     )
     keyed = keyed.withColumns({f"__{x}": F.coalesce(F.col(f"__{x}").cast("string"), F.lit("none")) for x in LEVELS})
     keys = [f"__{x}" for x in LEVELS]
@@ -124,8 +125,8 @@ def mix(
     every = leaves.agg(F.sum("tokens"), F.count("*")).first()
     total, few = (every[0] or 0) * fraction[0] // fraction[1], every[1] <= BROADCAST_LEAVES
     shares = budgets(leaves, total, weights, max_epochs)
-    whole = F.when(F.col("tokens") == 0, F.lit(1)).otherwise(F.expr("share div nullif(tokens, 0)"))
-    shares = shares.select(*[F.col(x).alias(k) for k, x in zip(keys, LEVELS)], whole.cast("int").alias("__whole"), F.expr("coalesce(share % nullif(tokens, 0), 0L)").alias("__rest"))
+    epochs = F.when(F.col("tokens") == 0, F.lit(1)).otherwise(F.expr("share div nullif(tokens, 0)"))
+    shares = shares.select(*[F.col(x).alias(k) for k, x in zip(keys, LEVELS)], epochs.cast("int").alias("__whole"), F.expr("coalesce(share % nullif(tokens, 0), 0L)").alias("__rest"))
     shares = cut(shares)
 
     # The slot of the order in which each leaf's prefix ends, by two more digits of the order each time: 256 rows a
@@ -149,4 +150,5 @@ def mix(
     chosen = _on_leaves(keyed, cuts, few)
     times = F.col("__whole") + F.when(F.col("__more") & (_order(seed, F.col("__whole"), F.col("__id")) <= F.col("__cut")), 1).otherwise(0)
     chosen = chosen.withColumn("__times", times).where("__times > 0")
-    return chosen.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).select("__row.*", "mix_epoch")
+    chosen = chosen.select("__row", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("__epoch"))
+    return chosen.select("__row.*", F.col("__epoch").alias(epoch)) if epoch else chosen.select("__row.*")

@@ -16,17 +16,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import SPACE, cut, hot_lookup, text_column, without
+from voxfabric.llm.common import SPACE, as_long, cut, hot_lookup, once, text_column, without
 from voxfabric.llm.shingles import Words, mix
 
-#: Classes in a block; a task verifies the pairs of two blocks.
+#: Classes in a block, and n-grams of all of them, on average; a task verifies the pairs of two blocks.
 BLOCK = 512
+BLOCK_GRAMS = 400_000
 
 
 def _few_rows(batches: Iterator[pa.RecordBatch], most: int = 128) -> Iterator[pa.RecordBatch]:
@@ -88,14 +90,14 @@ def _new_pairs(keys: np.ndarray, trie: int, block: np.ndarray, i: int, j: int) -
     return new
 
 
-def _jaccard(grams: list[np.ndarray]) -> np.ndarray:
-    """Exact Jaccard similarity of each pair of sets."""
+def _similar(grams: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sets have at least this Jaccard similarity, in whole numbers."""
     n, size = len(grams), np.array([len(g) for g in grams])
     values, column, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), size)
     shared = times[column] > 1  # an n-gram of one set is in no intersection
     row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((n, n))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     width = max(256, (1 << 22) // max(n, 1))  # 16 MB at a time
@@ -104,7 +106,9 @@ def _jaccard(grams: list[np.ndarray]) -> np.ndarray:
         has = np.zeros((n, min(width, int(column[-1]) + 1 - a)), np.float32)
         has[row[x:y], column[x:y] - a] = 1
         common += has @ has.T
-    return common / np.maximum(size[:, None] + size[None, :] - common, 1)
+    least = Fraction(str(threshold))  # common / (a + b - common) >= least
+    common = common.astype(np.int64)
+    return common * (least.denominator + least.numerator) >= least.numerator * (size[:, None] + size[None, :])
 
 
 def _roots(n: int, pairs: np.ndarray) -> list[int]:
@@ -155,7 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, depth: int = 6, recall: float = 0.99999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, copy_id, copies, n_links, words_md5.
+    """One row per input row: doc_id, class_id, copy_id, copies, n_links, words_md5, class_md5.
 
     Words are runs other than ASCII white space; similarity is the Jaccard
     similarity of the sets of n-grams of words, by 64-bit hashes. copy_id is
@@ -165,8 +169,10 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
     any number of steps. A text of fewer than n words has one n-gram, all of
     it; null and empty texts are copies of each other and link to nothing.
     Rows that repeat an id are told apart by their words, whose md5 (joined by
-    one space) is words_md5. Ids are compared as longs. Rows with null ids
-    join their copies' class; copies whose ids are all null link to nothing
+    one space) is words_md5; class_md5 is that of the class's row of the
+    smallest id, the first if several words have it. Ids are compared as
+    longs; those that are none count as null. Rows with null ids join their
+    copies' class; copies whose ids are all null link to nothing
     and have no class. A text of any length is one set of n-grams, held by one
     task. An empty table gives an empty result; further columns of docs are
     ignored, whatever their names.
@@ -177,23 +183,25 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few_rows(batches):
             texts = [Words(t) for t in batch.column(1).to_pylist()]
-            keys = [forest.keys(ngrams(w, n), at).tobytes() if w.n else None for w in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(w) for w in texts]), pa.array(keys, pa.binary())], names=["doc_id", "class", "keys"])
+            sets = [ngrams(w, n) for w in texts]
+            keys = [forest.keys(g, at).tobytes() if len(g) else None for g in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(w) for w in texts]), pa.array(keys, pa.binary()), pa.array([len(g) for g in sets], pa.int64())], names=["doc_id", "class", "keys", "n_grams"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(rows.mapInArrow(sign, "doc_id long, class string, keys binary"))
+    rows = docs.select(as_long(F.col(doc_id)).alias("doc_id"), F.col(text).alias("text"))
+    signed = cut(rows.mapInArrow(sign, "doc_id long, class string, keys binary, n_grams long"))
     total = signed.count()
-    classes = cut(signed.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")))
+    classes = cut(signed.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"), F.any_value("n_grams").alias("n_grams")))
 
     # Nodes of two or more classes, and who is in them.
     known = classes.where("rep is not null and keys is not null")
     names = [F.concat_ws("-", F.lit(str(t)), F.hex(F.substring("keys", 8 * t + 1, 8))) for t in range(tries)]
-    leaves = known.select("class", F.posexplode(F.array(*names)).alias("trie", "node"))
-    nodes = cut(leaves.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
-    members = hot_lookup(leaves, nodes, "node", "size", total * tries, "n_", spread="class").where("n_size is not null")
+    leaves = known.select("class", "n_grams", F.posexplode(F.array(*names)).alias("trie", "node"))
+    nodes = leaves.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_grams").alias("all_grams")).where("size > 1")
+    nodes = cut(nodes.select("node", "size", F.least("size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_grams") / BLOCK_GRAMS))).cast("int").alias("blocks")))
+    members = hot_lookup(leaves.drop("n_grams"), nodes, "node", "size", total * tries, "n_", spread="class").where("n_size is not null")
 
     # Blocks of a node, and the pairs of blocks that each member belongs to.
-    placed = members.withColumn("blocks", F.ceil(F.col("n_size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    placed = members.withColumnRenamed("n_blocks", "blocks").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("class", "node", "trie", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     paired = paired.join(known.select("class", "keys"), "class").select("class", "node", "trie", "block", "i", "j", "keys")
@@ -219,7 +227,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
         """Links of each row, and one edge to the least row of its component here."""
         own, keys, block, trie, i, j = _group(table)
         sets = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
-        linked = _new_pairs(keys, trie, block, i, j) & (_jaccard(sets) >= threshold - 1e-6)
+        linked = _new_pairs(keys, trie, block, i, j) & _similar(sets, threshold)
         links = linked.sum(0) + linked.sum(1)
         root = own[_roots(len(own), np.argwhere(linked))]
         keep = links > 0
@@ -230,20 +238,28 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
     labels = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     named = classes.select("class", "rep", "copies").join(links, "class", "left").join(labels, F.col("class") == F.col("node"), "left")
     named = cut(named.select("class", "rep", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "class").alias("label")))
-    first = cut(named.groupBy("label").agg(F.min("rep").alias("class_id"), F.count("*").alias("size")))
+    first = named.groupBy("label").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "class"))).alias("least"), F.count("*").alias("size"))
+    first = cut(first.select("label", "size", F.col("least.rep").alias("class_id"), F.col("least.class").alias("class_md5")))
     named = hot_lookup(named, first, "label", "size", total, "f_", spread="class")
-    named = cut(named.select("class", "copies", F.col("f_class_id").alias("class_id"), F.col("rep").alias("copy_id"), "n_links"))
+    named = cut(named.select("class", "copies", F.col("f_class_id").alias("class_id"), F.col("f_class_md5").alias("class_md5"), F.col("rep").alias("copy_id"), "n_links"))
     out = hot_lookup(signed.select("doc_id", "class"), named, "class", "copies", total, "c_")
-    return out.select("doc_id", F.col("c_class_id").alias("class_id"), F.col("c_copy_id").alias("copy_id"), F.col("c_copies").alias("copies"), F.col("c_n_links").alias("n_links"), F.col("class").alias("words_md5"))
+    return out.select("doc_id", F.col("c_class_id").alias("class_id"), F.col("c_copy_id").alias("copy_id"), F.col("c_copies").alias("copies"), F.col("c_n_links").alias("n_links"), F.col("class").alias("words_md5"), F.col("c_class_md5").alias("class_md5"))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with the row of the smallest id of each class, columns unchanged.
-
-    A row goes for its own words, not for those of another row of its id; rows
-    with null ids stay.
+    """docs with one row of each class, that of the smallest id; columns unchanged, whatever their names.
+
+    Of several rows of that id the first by words stays, and of rows that
+    repeat id and words the first by content. A row goes for its own words,
+    not for those of another row of its id. Rows with null ids (or ids that
+    are no longs) stay, and so do null and empty texts but copies of theirs
+    with larger ids. Texts of any length are compared by all their n-grams. An
+    empty table gives an empty result.
     """
-    found = join(docs, doc_id=doc_id, text=text, **options)
-    gone = cut(found.where("doc_id <> class_id").select("doc_id", "words_md5").distinct())
-    own = F.md5(F.trim(F.regexp_replace(text_column(text), SPACE, " ")))
-    return without(docs, {"doc_id": F.col(doc_id).cast("long"), "words_md5": own}, gone)
+    found = join(docs, doc_id=doc_id, text=text, **options).where("doc_id is not null")
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("words_md5").eqNullSafe(F.col("class_md5"))
+    rows = cut(found.groupBy("doc_id", "words_md5").agg(F.any_value(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
+    own = {"doc_id": as_long(F.col(f"`{doc_id}`")), "words_md5": F.md5(F.trim(F.regexp_replace(text_column(text), SPACE, " ")))}
+    stay = without(docs, own, rows.where("not stays"))
+    twins = rows.where("stays")
+    return stay if twins.isEmpty() else once(stay, own, twins)
