@@ -138,6 +138,8 @@ class N5Reader(DataSourceReader):
         return out
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there was nothing to plan
+            return
         p = partition
         store, root = file_system(self.path)
         base = self._base(root, p.setup, p.timepoint, p.level)
