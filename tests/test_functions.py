@@ -94,8 +94,9 @@ def test_proposed_levels():
 def test_source_level():
     assert [pyramids.source_level([[1, 1, 1], [2, 2, 2], [4, 4, 4], [6, 6, 6]], k) for k in range(4)] == [None, None, 1, 1]
     assert pyramids.source_level([[1, 1, 1], [2, 2, 1], [4, 4, 2]], 2) is None
-    assert pyramids.catmaid_levels(2000, 1000, 256, 256) == 3
-    assert pyramids.catmaid_level(2000, 1000, 90, 4.0, 3) == {"resolution": [8, 8, 2], "size": [250, 125, 45]}
+    assert [pyramids.tile_levels(w, h, 256, 256) for w, h in ((2000, 1000), (2000, 1100), (514, 514), (513, 513), (100, 5000))] == [2, 3, 2, 1, 1]
+    assert pyramids.tile_level(2000, 1000, 90, 16 / 3, 3)["resolution"] == [8, 8, 2]
+    assert pyramids.tile_level(2000, 1000, 90, 4.0, 3) == {"resolution": [8, 8, 2], "size": [250, 125, 45]}
 
 
 def test_modes():

@@ -9,6 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MAX_BLOCK_ELEMENTS = 4096
 COARSEST_SIZE = 256
 LOOP_BACK = 8
@@ -68,16 +71,22 @@ def source_level(resolutions: Sequence[Sequence[int]], level: int, least_saving:
     return None
 
 
-def catmaid_levels(width: int, height: int, tile_width: int, tile_height: int) -> int:
-    """One level, and one more for each halving while the image is larger than a tile both ways."""
+def tile_levels(width: int, height: int, tile_width: int, tile_height: int) -> int:
+    """One level, and one more for each halving that leaves the image larger than a tile both ways."""
     n = 1
-    while width > tile_width and height > tile_height:
-        width, height, n = width >> 1, height >> 1, n + 1
+    while width >> n > tile_width and height >> n > tile_height:
+        n += 1
     return n
 
 
-def catmaid_level(width: int, height: int, depth: int, z_scale: float, level: int) -> dict:
+def tile_levels_of(width: Column, height: Column, tile_width: int, tile_height: int) -> Column:
+    """The same for columns."""
+    larger = F.filter(F.sequence(F.lit(1), F.lit(62)), lambda k: (F.call_function("shiftright", width, k) > tile_width) & (F.call_function("shiftright", height, k) > tile_height))
+    return F.size(larger) + 1
+
+
+def tile_level(width: int, height: int, depth: int, z_scale: float, level: int) -> dict:
     """Factors and size of a tile pyramid's level: z follows x and y where its voxels are longer."""
     xy = 1 << level
-    z = max(1, round(xy / z_scale))
+    z = max(1, math.floor(xy / z_scale + 0.5))
     return {"resolution": [xy, xy, z], "size": [width >> level, height >> level, depth // z]}

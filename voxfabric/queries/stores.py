@@ -1,13 +1,18 @@
 """Chunk stores written from the tables and scanned again."""
 
 import json
+import struct
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxfabric.queries.registry import query
-from voxfabric.sources import derived, hdf5
+from voxfabric.sources import derived, hdf5, servers
 from voxfabric.sources.derived import with_sql
+from voxfabric.sources.n5 import file_system
 from voxfabric.sources.scratch import shared_folder
 
 
@@ -36,3 +41,77 @@ def hdf5_scan(spark, sf_dir):
     parts = hdf5.write(_views(spark, sf_dir), shared_folder(spark, "hdf5"), setups, dims, per_file=(1, 1))
     found = spark.read.format("hdf5").option("partitions", json.dumps(parts)).load()
     return found.select("timepoint_id", "setup_id", "gx", "gy", *_sums(F.col("data")))
+
+
+def _put(folder: str, name: str, data: bytes) -> None:
+    store, root = file_system(folder)
+    store.create_dir(root)
+    with store.open_output_stream(f"{root}/{name}") as f:
+        f.write(data)
+
+
+@query(SCAN_SQL)
+def cell_scan(spark, sf_dir):
+    """Chunks laid out as a chunk server's replies, one a request, and scanned by requests."""
+    servers.register(spark)
+    base = f"{shared_folder(spark, 'cells')}/server"
+    b = _views(spark, sf_dir)
+
+    def reply(rows: pd.DataFrame) -> pd.DataFrame:
+        for r in rows.itertuples():
+            wide = 4 if r.setup_id == 0 or r.gx < 9 else 3
+            url = f"{base}?p=cell/{r.gx + 10 * r.gy}/{r.timepoint_id}/{r.setup_id}/0/{wide}/4/4/{4 * r.gx}/{4 * r.gy}/0"
+            _put(url.rpartition("/")[0], url.rpartition("/")[2], np.asarray(r.data, ">u2").tobytes())
+        return rows[["timepoint_id"]]
+
+    last = b.mapInPandas(lambda batches: map(reply, batches), "timepoint_id int").agg(F.max("timepoint_id")).first()[0]
+    sizes = [[{"timepointId": t, "setupId": s, "level": 0}, {"dimensions": [40 - s, 40, 4], "exists": True}] for t in range((-1 if last is None else last) + 1) for s in (0, 1)]
+    info = {"perSetupMipmapInfo": {s: {"resolutions": [[1, 1, 1]], "subdivisions": [[4, 4, 4]]} for s in (0, 1)}, "dimsAndExistence": sizes}
+    _put(base.rpartition("/")[0], "server?p=init", json.dumps(info).encode())
+    found = spark.read.format("cells").options(url=base, failures="error").load()
+    # Cells that no chunk was written for come as zeros.
+    return found.where("exists(data, v -> v > 0)").select("timepoint_id", "setup_id", "gx", "gy", *_sums(F.col("data")))
+
+
+def _png(pixels: np.ndarray) -> bytes:
+    height, width, _ = pixels.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + line.tobytes() for line in pixels.astype(np.uint8))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+@query(with_sql("voxels", """, l0 AS (SELECT x, y, z, v // 256 AS r, v % 256 AS g, (x + y) % 256 AS b FROM voxels),
+l1 AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(r) // 2 AS r, sum(g) // 2 AS g, sum(b) // 2 AS b FROM l0 WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY ALL),
+u AS (SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1)
+SELECT CAST(level AS INTEGER) AS level, CAST(x // 16 AS INTEGER) AS gx, CAST(y // 16 AS INTEGER) AS gy, CAST(z AS INTEGER) AS gz, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b,
+       CAST(sum(r * (1 + x % 16 + 40 * (y % 16))) AS BIGINT) AS moment FROM u GROUP BY ALL""").replace("FROM blocks))\n,", "FROM blocks)),"))
+def tile_scan(spark, sf_dir):
+    """Slices as image tiles of two levels, scanned as blocks; each slice of the second is the mean of two."""
+    servers.register(spark)
+    folder = shared_folder(spark, "tiles")
+    v = derived.blocks(spark, sf_dir).withColumns({"tx": F.floor(F.col("gx") / 4), "ty": F.floor(F.col("gy") / 4)})
+
+    def draw(chunks: pd.DataFrame) -> pd.DataFrame:
+        """The tiles of both levels that a column of chunks lies under: one of the first level, a quarter of one of the second."""
+        tx, ty, gz = (int(chunks[c].iloc[0]) for c in ("tx", "ty", "gz"))
+        w, h = (min(16, 40 - 16 * t) for t in (tx, ty))
+        values = np.zeros((4, h, w), np.int64)
+        for r in chunks.itertuples():
+            x, y = 4 * (r.gx - 4 * tx), 4 * (r.gy - 4 * ty)
+            values[:, y : y + 4, x : x + 4] = np.asarray(r.data).reshape(4, 4, 4)
+        yy, xx = np.mgrid[16 * ty : 16 * ty + h, 16 * tx : 16 * tx + w]
+        for k, plane in enumerate(values):
+            pixels = np.stack([plane // 256, plane % 256, (xx + yy) % 256], axis=2)
+            _put(f"{folder}/0/{4 * gz + k}", f"{ty}_{tx}.png", _png(pixels))
+            _put(f"{folder}/1/{4 * gz + k}", f"{ty}_{tx}.png", _png(pixels[::2, ::2]))
+        return pd.DataFrame({"depth": [4 * gz + 4]})
+
+    depth = v.groupBy("tx", "ty", "gz").applyInPandas(draw, "depth long").agg(F.max("depth")).first()[0] or 0
+    size = {"width": 40, "height": 40, "depth": depth, "zScale": 1.0, "failures": "error", "blockWidth": 16, "blockHeight": 16}
+    scan = lambda level, tile: spark.read.format("tiles").options(url=f"{folder}/%1$d/%5$d/%8$d_%9$d.png", levels=2, tileWidth=tile, tileHeight=tile, **size).load().where(F.col("level") == level)
+    p = scan(0, 16).unionByName(scan(1, 8)).select("level", "gx", "gy", "gz", F.element_at("size", 1).alias("w"), F.posexplode("data").alias("i", "argb"))
+    r = F.call_function("shiftrightunsigned", "argb", F.lit(16)).bitwiseAND(F.lit(255)).cast("long")
+    g = F.call_function("shiftrightunsigned", "argb", F.lit(8)).bitwiseAND(F.lit(255))
+    at = 1 + F.col("i") % F.col("w") + 40 * F.floor(F.col("i") / F.col("w"))
+    sums = {"r": F.sum(r), "g": F.sum(g), "b": F.sum(F.col("argb").bitwiseAND(F.lit(255))), "moment": F.sum(r * at)}
+    return p.groupBy("level", "gx", "gy", "gz").agg(*[c.cast("long").alias(k) for k, c in sums.items()])

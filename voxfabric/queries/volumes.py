@@ -99,12 +99,11 @@ def downsample_cascade(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE n AS (SELECT p_partkey, 300 + p_size * 40 AS w, 200 + p_partkey % 900 AS h FROM part),
-l AS (SELECT p_partkey, w, h, 1 AS n FROM n UNION ALL SELECT p_partkey, w // 2, h // 2, n + 1 FROM l WHERE w > 256 AND h > 256) SELECT p_partkey, CAST(max(n) AS BIGINT) AS levels FROM l GROUP BY p_partkey""")
+l AS (SELECT p_partkey, w, h, 1 AS n FROM n UNION ALL SELECT p_partkey, w // 2, h // 2, n + 1 FROM l WHERE w // 2 > 256 AND h // 2 > 256) SELECT p_partkey, CAST(max(n) AS BIGINT) AS levels FROM l GROUP BY p_partkey""")
 def tile_level_count(spark, sf_dir):
-    """Levels of tile pyramids: one more than the halvings until a side fits a tile."""
-    w, h = F.col("p_size") * 40 + 300, F.col("p_partkey") % 900 + 200
-    steps = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: (F.floor(w / F.pow(F.lit(2.0), k)) > 256) & (F.floor(h / F.pow(F.lit(2.0), k)) > 256))
-    return derived.table(spark, sf_dir, "part").select("p_partkey", (F.size(steps) + 1).cast("long").alias("levels"))
+    """Levels of tile pyramids."""
+    w, h = (F.col("p_size") * 40 + 300).cast("long"), (F.col("p_partkey") % 900 + 200).cast("long")
+    return derived.table(spark, sf_dir, "part").select("p_partkey", pyramids.tile_levels_of(w, h, 256, 256).cast("long").alias("levels"))
 
 
 @query(with_sql("sparse", "SELECT CAST(setup AS BIGINT) AS setup, CAST(t AS BIGINT) AS t, x, y, z // 3 AS z, sum(v * 5)::BIGINT // 3 AS r, sum(v * 3)::BIGINT // 3 AS g, sum(v)::BIGINT // 3 AS b, CAST(255 AS BIGINT) AS a FROM sparse GROUP BY setup, t, x, y, z // 3"))
