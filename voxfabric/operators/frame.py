@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxfabric.functions import affine
+from voxfabric.functions.scalars import to_color
 from voxfabric.operators import fusing, sampling, screen
 
 
@@ -15,21 +16,20 @@ def render(sources: DataFrame, blocks: DataFrame, viewer: affine.Affine, width:
     """px, py, a, r, g, b of the plane z = 0 of the viewer through all sources; pixels that no source covers don't come.
 
     sources: source_id, box (min_x ..., max_z), culled, model, cmin, cmax,
-    color. blocks: source_id, gx, gy, gz, data. A source brings only the
-    pixels of its rectangle, row by row, so the work follows what is seen;
-    chunks are joined whole, and each pixel picks its value from one.
+    color. blocks: source_id, gx, gy, gz, data. A source becomes the lines of
+    its rectangle on the screen, each cut to the pixels inside the source's
+    box; a line joins each chunk that it goes through and becomes pixels
+    there. So the work follows what is seen, and what is shuffled before the
+    fusion is lines and chunks. Settings go along with the lines.
     """
     placed = sources.withColumn("to_screen", affine.compose(viewer, "model"))
     seen = screen.screen_rectangle(screen.cull(placed, "to_screen", width, height), width, height)
     box = [f"{m}_{a}" for a in "xyz" for m in ("min", "max")]
-    rows = seen.select("source_id", affine.inverse("to_screen").alias("back"), *box, "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("py"))
-    # A source is one row up to here: deal its lines out before they become pixels.
-    points = rows.repartition("source_id", "py").select("source_id", "back", *box, "py", F.explode(F.sequence("x0", "x1")).alias("px"))
-    points = sampling.into_source(points, "back")
-    # What a rectangle holds beside its source is no voxel's pixel: it goes before the join.
-    for a in "xyz":
-        points = points.where(F.floor(F.col(f"s{a}") + 0.5).between(F.col(f"min_{a}"), F.col(f"max_{a}")))
-    points = points.drop("back", *box)
-    samples = sampling.nearest_in_blocks(points, blocks, cell, ["source_id"]).where("mask = 1")
-    colors = fusing.colored(samples, sources.select("source_id", "cmin", "cmax", "color"))
+    carried = ["source_id", *box, "x0", "x1", "cmin", "cmax", "color"]
+    rows = seen.select(*carried, affine.inverse("to_screen").alias("back"), F.explode(F.sequence("y0", "y1")).alias("py"))
+    back = affine.entries("back")
+    places = {f"o_{a}": back[4 * i + 1] * F.col("py") + back[4 * i + 3] for i, a in enumerate("xyz")} | {f"d_{a}": back[4 * i] for i, a in enumerate("xyz")}
+    lines = sampling.computed(rows, places).drop("back")
+    samples = sampling.nearest_on_lines(lines, blocks, cell, ["source_id"])
+    colors = samples.select("px", "py", *[c.alias(k) for k, c in to_color(F.col("v"), F.col("cmin"), F.col("cmax"), F.col("color")).items()])
     return fusing.blend_average(colors) if average else fusing.blend_sum(colors)

@@ -17,8 +17,8 @@ def one_each(converters: DataFrame, key: str = "source_id") -> DataFrame:
 
 
 def colored(samples: DataFrame, converters: DataFrame, key: str = "source_id") -> DataFrame:
-    """Adds a, r, g, b of v in its source's display range (cmin, cmax) and colour."""
-    return samples.join(converters, key).withColumns(to_color(F.col("v"), F.col("cmin"), F.col("cmax"), F.col("color")))
+    """Adds a, r, g, b of v in its source's display range (cmin, cmax) and colour. A row per source: where these are many, carry the settings along instead, as frame.render() does."""
+    return samples.join(F.broadcast(one_each(converters, key)), key).withColumns(to_color(F.col("v"), F.col("cmin"), F.col("cmax"), F.col("color")))
 
 
 def colored_by(samples: DataFrame, converter: Callable[[pd.Series], pd.Series], value: str = "v") -> DataFrame:

@@ -45,6 +45,69 @@ def nearest_in_blocks(points: DataFrame, blocks: DataFrame, cell: Sequence[int],
     return found.select(*points.columns, F.coalesce(v, F.lit(0)).cast("long").alias("v"), v.isNotNull().cast("long").alias("mask"))
 
 
+#: Pixels far off any screen.
+_FAR = 1e15
+
+
+def _span(origin: Column, step: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """The px, as doubles, at which origin + px * step enters and leaves [low, high]; a span that is empty where it never does."""
+    near = lambda c: F.least(F.greatest(c, F.lit(-_FAR)), F.lit(_FAR))
+    first, last = near((low - origin) / F.nullif(step, F.lit(0.0))), near((high - origin) / F.nullif(step, F.lit(0.0)))
+    inside = (low <= origin) & (origin <= high)
+    flat = step == 0
+    return F.when(flat, F.when(inside, -_FAR).otherwise(_FAR)).otherwise(F.least(first, last)), F.when(flat, F.when(inside, _FAR).otherwise(-_FAR)).otherwise(F.greatest(first, last))
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns, each computed once: by a generator, as a projection is repeated in all later expressions that name it."""
+    others = [c for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("made")
+    return df.select(*others, made).select(*others, "made.*")
+
+
+def clip_lines(lines: DataFrame, bounds: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Lines (x0, x1; at px they lie at o_x + px * d_x, ...) cut to where they may be inside of bounds, by up to a pixel more at either end; lines that never are go."""
+    spans = [_span(F.col(f"o_{a}"), F.col(f"d_{a}"), *bounds[a]) for a in "xyz"]
+    first, last = F.greatest(*[b[0] for b in spans]), F.least(*[b[1] for b in spans])
+    ends = {"x0": F.greatest("x0", F.ceil("first").cast("long") - 1), "x1": F.least("x1", F.floor("last").cast("long") + 1)}
+    return computed(computed(lines, {"first": first, "last": last}), ends).drop("first", "last").where("x0 <= x1")
+
+
+def nearest_on_lines(lines: DataFrame, blocks: DataFrame, cell: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
+    """Adds px and v: what nearest_in_blocks() gives at the pixels x0 to x1 of lines, without those that no stored voxel covers.
+
+    A line joins each chunk that it goes through once, and becomes pixels
+    after that: what is shuffled is lines, however many pixels they have, and
+    chunks. lines: o_x, d_x, .., the place of px 0 and the step to the next
+    pixel, min_x, max_x, .., the source's box, whole chunks from 0.
+    """
+    half = {a: (F.col(f"min_{a}") - 0.5, F.col(f"max_{a}") + 0.5) for a in "xyz"}
+    cut = clip_lines(lines, half)
+    voxel = lambda a, px: F.floor(F.col(f"o_{a}") + px * F.col(f"d_{a}") + 0.5)
+    chunk = lambda a, n, px: F.floor(voxel(a, px) / n).cast("int")
+    # A line's chunk changes where an axis crosses a border: the chunks at the pixels beside all crossings are all there are.
+    beside = [F.array("x0", "x1")]
+    for a, n in zip("xyz", cell):
+        ends = chunk(a, n, F.col("x0")), chunk(a, n, F.col("x1"))
+        borders = F.when(F.abs(ends[0] - ends[1]) > 0, F.sequence(F.least(*ends) + 1, F.greatest(*ends))).otherwise(F.array().cast("array<int>"))
+        at = lambda k: F.greatest(F.lit(-_FAR), F.least(F.lit(_FAR), (k * n - 0.5 - F.col(f"o_{a}")) / F.nullif(F.col(f"d_{a}"), F.lit(0.0))))  # noqa: B023, E731
+        for rounded, step in ((F.ceil, -1), (F.floor, 0), (F.floor, 1)):
+            beside.append(F.transform(borders, lambda k: (rounded(at(k)) + step).cast("long")))  # noqa: B023
+    pixels_ = F.filter(F.concat(*beside), lambda p: p.between(F.col("x0"), F.col("x1")))
+    chunks = F.array_distinct(F.transform(pixels_, lambda p: F.struct(*[chunk(a, n, p).alias(f"g{a}") for a, n in zip("xyz", cell)])))
+    names = lines.columns
+    runs = cut.select(*names, F.explode(chunks).alias("chunk")).select(*names, "chunk.*")
+    runs = clip_lines(runs, {a: (F.col(f"g{a}") * n - 0.5, (F.col(f"g{a}") + 1) * n - 0.5) for a, n in zip("xyz", cell)})
+    # Few bytes become many pixels here, so the number of tasks must not follow the bytes.
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = runs.repartition(tasks, *keys, "gx", "gy", "gz").join(blocks, [*keys, "gx", "gy", "gz"]).withColumn("px", F.explode(F.sequence("x0", "x1")))
+    at = {a: voxel(a, F.col("px")) for a in "xyz"}
+    for a, n in zip("xyz", cell):  # a pixel at a border belongs to one of the chunks that meet there
+        found = found.where((F.floor(at[a] / n) == F.col(f"g{a}")) & at[a].between(F.col(f"min_{a}"), F.col(f"max_{a}")))
+    i = F.pmod(at["x"], F.lit(cell[0])) + cell[0] * (F.pmod(at["y"], F.lit(cell[1])) + cell[1] * F.pmod(at["z"], F.lit(cell[2])))
+    return found.select(*names, "px", F.get("data", i.cast("int")).cast("long").alias("v")).where("v is not null")
+
+
 def _corners(points: DataFrame) -> DataFrame:
     """Each point's corners that have a weight, eight at most: adds x, y, z, weight."""
     base = {a: F.floor(f"s{a}") for a in "xyz"}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxfabric.functions import scalars
-from voxfabric.operators import contrast, fusing, refine, sampling, scene
+from voxfabric.operators import contrast, frame, fusing, refine, sampling, scene
 from voxfabric.queries.registry import query
 from voxfabric.sources import derived
 from voxfabric.sources.derived import with_sql
@@ -189,3 +189,20 @@ def custom_converter(spark, sf_dir):
         return -(1 << 24) + high * 65536 + values % 256 * 256 + 255 - high
 
     return fusing.colored_by(derived.voxels(spark, sf_dir), two_bytes).drop("v")
+
+
+@query(with_sql("voxels", """, at1 AS (SELECT r_regionkey AS k, px, py, 0.5 * px - 8 * r_regionkey AS sx, 0.5 * py - 4 * r_regionkey AS sy, 0.25 * px + 5 + r_regionkey AS sz
+  FROM region, (SELECT unnest(range(0, 100)) AS px), (SELECT unnest(range(0, 96)) AS py)),
+s AS (SELECT k, px, py, CAST(least(255, greatest(0, floor((v - 28000.0) * 255 / 9000.0 + 0.5))) AS BIGINT) AS i FROM at1 JOIN voxels ON x = floor(sx + 0.5) AND y = floor(sy + 0.5) AND z = floor(sz + 0.5))
+SELECT CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, 255::BIGINT AS a, least(255, sum(CASE WHEN k % 2 = 0 THEN i ELSE 0 END))::BIGINT AS r, least(255, sum(i))::BIGINT AS g, least(255, sum(CASE WHEN k % 2 = 0 THEN i ELSE 0 END))::BIGINT AS b
+FROM s GROUP BY px, py""").replace("FROM blocks))\n,", "FROM blocks)),"))
+def frame_scene(spark, sf_dir):
+    """Five sources of the whole volume at different places, on an oblique plane: culled, sampled by lines, coloured and summed."""
+    k = F.col("r_regionkey")
+    size = derived.volume_size(spark, sf_dir)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    model = F.array(one, zero, zero, 8.0 * k, zero, one, zero, 4.0 * k, zero, zero, one, -1.0 * k)
+    box = {f"{m}_{a}": F.lit(0 if m == "min" else n - 1) for a, n in zip("xyz", size) for m in ("min", "max")}
+    sources = derived.table(spark, sf_dir, "region").select(k.alias("source_id"), model.alias("model"), F.lit(True).alias("culled"), F.lit(28000.0).alias("cmin"), F.lit(37000.0).alias("cmax"), F.when(k % 2 == 0, -1).otherwise(-16711936).alias("color"), *[c.alias(n) for n, c in box.items()])
+    chunks = derived.blocks(spark, sf_dir).join(F.broadcast(sources.select("source_id")))
+    return frame.render(sources, chunks, (2.0, 0.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, -0.5, 0.0, 1.0, -5.0), 100, 96, CELL)
