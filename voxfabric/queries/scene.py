@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from voxfabric.functions import affine
 from voxfabric.operators import camera, overlays, scene, screen, tiling
+from voxfabric.operators import navigation as moves
 from voxfabric.queries.registry import query
 from voxfabric.queries.screen import HEIGHT, VIEW, WIDTH
 from voxfabric.sources import derived
@@ -186,6 +187,77 @@ def navigation(spark, sf_dir):
     return out.select("session", *[_micro(c / 7e3).alias(n) for c, n in ((p[0], "scale"), (p[3], "tx"), (p[7], "ty"))])
 
 
+def _turn_sql(angle, axis, x, y):
+    """Entries of a rotation about an axis (0 to 2) through a point of the screen."""
+    a, b = (axis + 1) % 3, (axis + 2) % 3
+    m = [["1" if i == k else "0" for k in range(3)] for i in range(3)]
+    m[a][a], m[a][b], m[b][a], m[b][b] = f"cos({angle})", f"-sin({angle})", f"sin({angle})", f"cos({angle})"
+    return _list_sql(m, [f"{x} - ({m[0][0]}) * {x} - ({m[0][1]}) * {y}", f"{y} - ({m[1][0]}) * {x} - ({m[1][1]}) * {y}", f"-({m[2][0]}) * {x} - ({m[2][1]}) * {y}"])
+
+
+def _zoom_sql(s, x, y):
+    return _list_sql([[s if i == k else "0" for k in range(3)] for i in range(3)], [f"{x} - ({s}) * {x}", f"{y} - ({s}) * {y}", "0"])
+
+
+def _list_sql(m, shift):
+    return "[" + ", ".join(f"({v})::DOUBLE" for row, t in zip(m, shift) for v in (*row, t)) + "]"
+
+
+def _compose_sql(a, b):
+    """a after b, lists of 12."""
+    return "[" + ", ".join(" + ".join([f"{a}[{4 * r + k + 1}] * {b}[{4 * k + c + 1}]" for k in range(3)] + [f"{a}[{4 * r + 4}]"] * (c == 3)) for r in range(3) for c in range(4)) + "]"
+
+
+_ONE = [["1" if i == k else "0" for k in range(3)] for i in range(3)]
+_ACTIONS = """acts AS (SELECT session, ts, event_id, arg,
+  CASE kind WHEN 'timepoint' THEN ['zoom in', 'zoom out', 'scroll zoom', 'resize'][CAST(arg % 4 + 1 AS INT)] WHEN 'source' THEN ['select axis x', 'select axis y', 'select axis z'][CAST(arg % 3 + 1 AS INT)]
+    WHEN 'mode' THEN ['rotate left', 'rotate right'][CAST(arg % 2 + 1 AS INT)] WHEN 'add' THEN ['drag translate', 'drag rotate'][CAST(arg % 2 + 1 AS INT)] ELSE ['scroll z', 'backward z'][CAST(arg % 2 + 1 AS INT)] END AS action
+  FROM log)"""
+
+
+def _axis_turn_sql(angle):
+    return "CASE axis WHEN 0 THEN " + _turn_sql(angle, 0, "cx", "cy") + " WHEN 1 THEN " + _turn_sql(angle, 1, "cx", "cy") + " ELSE " + _turn_sql(angle, 2, "cx", "cy") + " END"
+
+
+_NAVIGATED = f"""placed AS (SELECT *, row_number() OVER w AS i,
+    coalesce(last_value(CASE action WHEN 'select axis x' THEN 0 WHEN 'select axis y' THEN 1 WHEN 'select axis z' THEN 2 END IGNORE NULLS) OVER p, 0) AS axis,
+    coalesce(last_value(CASE WHEN action = 'resize' THEN 1000 + 7 * arg END IGNORE NULLS) OVER p, 1680) AS ow, coalesce(last_value(CASE WHEN action = 'resize' THEN 800 - arg END IGNORE NULLS) OVER p, 997) AS oh
+  FROM acts WINDOW w AS (PARTITION BY session ORDER BY ts, event_id), p AS (PARTITION BY session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, ow // 2 AS cx, oh // 2 AS cy, (1000 + 7 * arg) / ow::DOUBLE AS k FROM placed),
+st AS (SELECT session, ts, event_id, i, CASE action WHEN 'zoom in' THEN {_zoom_sql('1.1', 'cx', 'cy')} WHEN 'zoom out' THEN {_zoom_sql('1 / 1.1', 'cx', 'cy')}
+  WHEN 'scroll zoom' THEN CASE WHEN arg > 5 THEN {_zoom_sql('1 / 1.05', 'arg * 100', 'arg * 50')} ELSE {_zoom_sql('1.05', 'arg * 100', 'arg * 50')} END
+  WHEN 'resize' THEN {_list_sql([["k" if i == j else "0" for j in range(3)] for i in range(3)], ["(1000 + 7 * arg) // 2 - k * cx", "(800 - arg) // 2 - k * cy", "0"])}
+  WHEN 'rotate left' THEN {_axis_turn_sql('radians(10.0)')} WHEN 'rotate right' THEN {_axis_turn_sql('-radians(0.1)')}
+  WHEN 'drag translate' THEN {_list_sql(_ONE, ["arg * 10", "-arg", "0"])}
+  WHEN 'drag rotate' THEN {_compose_sql("(" + _turn_sql('radians(-arg)', 1, '100', '90') + ")", "(" + _turn_sql('-radians(2 * arg)', 0, '100', '90') + ")")}
+  WHEN 'scroll z' THEN {_list_sql(_ONE, ["0", "0", "arg - 4"])} WHEN 'backward z' THEN {_list_sql(_ONE, ["0", "0", "-1"])}
+  ELSE {_list_sql(_ONE, ["0", "0", "0"])} END AS s FROM c),
+r AS (WITH RECURSIVE r AS (SELECT session, ts, event_id, i, s AS m FROM st WHERE i = 1
+  UNION ALL SELECT r.session, e.ts, e.event_id, e.i, {_compose_sql('s', 'm')} FROM r JOIN st e ON e.session = r.session AND e.i = r.i + 1) SELECT * FROM r)
+SELECT session, event_id, {", ".join(_M.format(f"m[{j + 1}] / 7e3") + f" AS m{j}" for j in range(12))} FROM r"""
+
+
+@query(with_sql("log", ", " + _ACTIONS + ",\n" + _NAVIGATED).replace("FROM events)\n,", "FROM events),"))
+def navigation_events(spark, sf_dir):
+    """The viewer after each event of three-dimensional navigation: zooms, turns about chosen axes, drags, scrolls and new window sizes."""
+    log, arg = derived.event_log(spark, sf_dir), F.col("arg")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (arg % n + 1).cast("int"))
+    action = (
+        F.when(F.col("kind") == "timepoint", pick(("zoom in", "zoom out", "scroll zoom", "resize"), 4)).when(F.col("kind") == "source", pick(("select axis x", "select axis y", "select axis z"), 3))
+        .when(F.col("kind") == "mode", pick(("rotate left", "rotate right"), 2)).when(F.col("kind") == "add", pick(("drag translate", "drag rotate"), 2)).otherwise(pick(("scroll z", "backward z"), 2))
+    )
+    e = log.select("session", "ts", "event_id", "arg", action.alias("action"))
+    is_ = lambda name: F.col("action") == name
+    e = e.withColumns({
+        "speed": F.when(is_("rotate left"), 10.0).when(is_("rotate right"), 0.1).otherwise(1.0), "wheel": F.when(is_("scroll z"), arg - 4.0).otherwise(arg - 5.0),
+        "from_x": F.when(is_("drag rotate"), 100.0).otherwise(0.0), "from_y": F.when(is_("drag rotate"), 90.0).otherwise(0.0),
+        "x": F.when(is_("scroll zoom"), arg * 100.0).when(is_("drag rotate"), 100.0 + arg).otherwise(arg * 10.0), "y": F.when(is_("scroll zoom"), arg * 50.0).when(is_("drag rotate"), 90.0 - 2 * arg).otherwise(-1.0 * arg),
+        "width": (1000 + 7 * arg).cast("int"), "height": (800 - arg).cast("int"),
+    })
+    out = moves.viewers(e, ["session"], ["ts", "event_id"], affine.IDENTITY, (1680, 997))
+    return out.select("session", "event_id", *[_micro(F.col("viewer")[j] / 7e3).alias(f"m{j}") for j in range(12)])
+
+
 @query(f"""WITH a AS (SELECT p_partkey, (p_size - 1) / 50.0 AS t, radians(p_partkey % 170 + 1) AS w FROM part)
 SELECT p_partkey, {_M.format('cos(w * t)')} AS r00, {_M.format('-sin(w * t)')} AS r01, {_M.format('100 + cos(w * t) * (7 - 100) - sin(w * t) * (9 - 50)')} AS tx, {_M.format('7 + t * 20')} AS shifted,
 {_M.format('pow(4.0, t) * cos(w * t)')} AS similar FROM a""")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -19,3 +19,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         base = spark.sparkContext.getCheckpointDir()
     base = re.sub(r"^file:/(?!/)", "file:///", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and checkpointed in the shared folder."""
+    shared_folder(df.sparkSession, "checkpoint")  # makes sure that there is one
+    return df.checkpoint()
