@@ -50,7 +50,9 @@ def halved(v):
 
 def test_downsample_cascade(spark, duck):
     one = halved(voxels(duck))
-    want = [(k, x, y, z, int(v)) for k, level in ((1, one), (2, halved(one))) for (z, y, x), v in np.ndenumerate(level)]
+    two = halved(one)
+    three = two[:18, :9, :9].reshape(6, 3, 3, 3, 3, 3).sum((1, 3, 5)) // 27
+    want = [(k, x, y, z, int(v)) for k, level in ((1, one), (2, two), (3, three)) for (z, y, x), v in np.ndenumerate(level)]
     assert found(spark, "downsample_cascade", ["level", "x", "y", "z", "v"]) == sorted(want)
 
 

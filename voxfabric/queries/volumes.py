@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from voxfabric.functions import affine
-from voxfabric.operators import pyramid, sampling
+from voxfabric.operators import boxes, pyramid, sampling
 from voxfabric.plans import pyramids
 from voxfabric.queries.registry import query
 from voxfabric.sources import blocks, derived, formats
@@ -18,11 +18,11 @@ def explode_voxels(spark, sf_dir):
 
 @query(with_sql("voxels", """SELECT x // 8 AS gx, y // 8 AS gy, z // 4 AS gz, sum(v)::BIGINT AS total, sum(v * (x % 8 + 8 * (y % 8 + 8 * (z % 4))))::BIGINT AS moment FROM voxels GROUP BY 1, 2, 3"""))
 def rechunk(spark, sf_dir):
-    """Voxels gathered into chunks of another size, and sums over their arrays."""
-    cell = blocks.collect_blocks(derived.voxels(spark, sf_dir), (8, 8, 4))
+    """Chunks cut and joined to chunks of another size, and sums over their arrays."""
+    cell = boxes.chunks(_image(spark, sf_dir), (8, 8, 4))
     total = F.aggregate("data", F.lit(0).cast("long"), lambda a, v: a + v)
     moment = F.aggregate(F.transform("data", lambda v, i: v * i), F.lit(0).cast("long"), lambda a, v: a + v)
-    return cell.select("gx", "gy", "gz", total.alias("total"), moment.alias("moment"))
+    return cell.select(*[F.col(g).cast("long").alias(g) for g in ("gx", "gy", "gz")], total.alias("total"), moment.alias("moment"))
 
 
 @query(with_sql("blocks", """SELECT CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy, CAST(gz AS BIGINT) AS gz, CAST(i AS BIGINT) AS i, CASE WHEN i % 4 < 3 AND i // 4 % 4 < 2 AND (gx + gy) % 5 <> 0 THEN data[i % 4 + 3 * (i // 4 % 4 + 2 * (i // 16)) + 1] ELSE 0 END AS v
@@ -83,19 +83,25 @@ def downsample(spark, sf_dir):
     return pyramid.downsample_blocks(derived.blocks(spark, sf_dir), (4, 4, 4), (2, 2, 2))
 
 
-@query(with_sql("voxels", """, a AS (SELECT x // 3 AS x, y, z, sum(v * CASE WHEN x = 39 THEN 3 ELSE 1 END)::BIGINT // sum(CASE WHEN x = 39 THEN 3 ELSE 1 END)::BIGINT AS v FROM voxels WHERE x < 39 GROUP BY 1, 2, 3) SELECT * FROM a""").replace("FROM blocks))\n,", "FROM blocks)),"))
+def _image(spark, sf_dir):
+    return boxes.image_of(derived.blocks(spark, sf_dir), (4, 4, 4), derived.volume_size(spark, sf_dir))
+
+
+@query(with_sql("voxels", """, a AS (SELECT x // 3 AS x, y // 5 AS y, z, sum(v)::BIGINT // 15 AS v FROM voxels WHERE x < 39 GROUP BY ALL) SELECT * FROM a""").replace("FROM blocks))\n,", "FROM blocks)),"))
 def downsample_edge(spark, sf_dir):
-    """A factor that doesn't divide the size: the rest of the last row is not a voxel of the level."""
-    return pyramid.downsample(derived.voxels(spark, sf_dir), (3, 1, 1), (40, 40, 1 << 20))
+    """Factors that divide neither the size nor the chunks: the rest of the last row is not a voxel of the level, and blocks reach over borders."""
+    return boxes.downsample(_image(spark, sf_dir), (3, 5, 1)).as_voxels()
 
 
 @query(with_sql("voxels", """, l1 AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v)::BIGINT // count(*) AS v FROM voxels GROUP BY 1, 2, 3),
-l2 AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v)::BIGINT // count(*) AS v FROM l1 GROUP BY 1, 2, 3)
-SELECT CAST(1 AS BIGINT) AS level, * FROM l1 UNION ALL SELECT 2, * FROM l2""").replace("FROM blocks))\n,", "FROM blocks)),"))
+l2 AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(v)::BIGINT // count(*) AS v FROM l1 GROUP BY 1, 2, 3),
+l3 AS (SELECT x // 3 AS x, y // 3 AS y, z // 3 AS z, sum(v)::BIGINT // 27 AS v FROM l2 WHERE x < 9 AND y < 9 AND z // 3 < (SELECT (max(z) + 1) // 3 FROM l2) GROUP BY 1, 2, 3)
+SELECT CAST(1 AS BIGINT) AS level, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3""").replace("FROM blocks))\n,", "FROM blocks)),"))
 def downsample_cascade(spark, sf_dir):
-    levels = pyramid.pyramid(derived.voxels(spark, sf_dir), [(1, 1, 1), (2, 2, 2), (4, 4, 4)], derived.volume_size(spark, sf_dir))
-    out = [df.select(F.lit(k).cast("long").alias("level"), "x", "y", "z", "v") for k, df in enumerate(levels)]
-    return out[1].unionByName(out[2])
+    """Three levels, each from the one before, as boxes; the last by factors that divide neither."""
+    levels = boxes.pyramid(_image(spark, sf_dir), [(1, 1, 1), (2, 2, 2), (4, 4, 4), (12, 12, 12)])
+    out = [x.as_voxels().select(F.lit(k).cast("long").alias("level"), "x", "y", "z", "v") for k, x in enumerate(levels)]
+    return out[1].unionByName(out[2]).unionByName(out[3])
 
 
 @query("""WITH RECURSIVE n AS (SELECT p_partkey, 300 + p_size * 40 AS w, 200 + p_partkey % 900 AS h FROM part),
