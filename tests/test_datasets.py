@@ -81,11 +81,39 @@ def test_crop_export(spark, images, tables, tmp_path):
 
 
 def test_resave(spark, images, tmp_path):
-    levels = datasets.resave_n5(images, (70, 66, 3), (1.0, 1.0, 1.0), f"{tmp_path}/all.n5")
+    """Levels come out of the store, as an own heuristic names them; progress is told."""
+    from voxfabric.operators.boxes import image_of
+
+    keys = ["setup_id", "timepoint_id"]
+    image = image_of(blocks.collect_blocks(images, (32, 16, 2), keys), (32, 16, 2), (70, 66, 3), keys)
+    told, asked = [], []
+    levels = datasets.resave_n5(image, (1.0, 1.0, 1.0), f"{tmp_path}/all.n5", plane_done=lambda k, n: told.append((k, n)), finer=lambda r, k: asked.append(k))
+    assert told == [(k, len(levels)) for k in range(len(levels))] and asked == list(range(1, len(levels)))
     got = spark.read.format("n5").option("path", f"{tmp_path}/all.n5").load()
-    assert {(r.setup_id, r.timepoint_id) for r in got.collect()} == {(0, 0), (1, 4)}
-    assert got.where("setup_id = 0 and level = 0").agg(F.sum(F.size("data"))).first()[0] == 70 * 66 * 3
-    assert n5.properties(f"{tmp_path}/all.n5", 1, 4)["resolutions"] == [list(x["resolution"]) for x in levels]
+    assert {(r.setup_id, r.timepoint_id) for r in got.collect()} == {(r.setup_id, r.timepoint_id) for r in images.select(*keys).distinct().collect()}
+    first = images.select(*keys).first()
+    for k, level in enumerate(levels):
+        size = [max(1, n // f) for n, f in zip((70, 66, 3), level["resolution"])]
+        part = got.where((F.col("setup_id") == first.setup_id) & (F.col("timepoint_id") == first.timepoint_id) & (F.col("level") == k))
+        assert part.agg(F.sum(F.size("data"))).first()[0] == size[0] * size[1] * size[2]
+    assert n5.properties(f"{tmp_path}/all.n5", first.setup_id, first.timepoint_id)["resolutions"] == [list(x["resolution"]) for x in levels]
+
+
+def test_failing_tasks_leave_no_chunk_and_layouts_are_kept(spark, tmp_path):
+    n5.register(spark)
+    rows = [(0, 0, 0, x, 0, 0, [2, 1, 1], [float(x), 1.0]) for x in range(8)]
+    df = spark.createDataFrame(rows, n5.SCHEMA).repartition(4)
+    options = {"dimensions": "[16,1,1]", "blockSize": "[2,1,1]", "layout": "s%d/t%d/lod%d"}
+    bad = df.withColumn("data", F.when(F.col("gx") == 5, F.raise_error(F.lit("broken")).cast("array<double>")).otherwise(F.col("data")))
+    with pytest.raises(Exception, match="broken"):
+        bad.write.format("n5").options(path=f"{tmp_path}/a", **options).mode("append").save()
+    assert [p for p in (tmp_path / "a").glob("[!.]*")] == []
+    df.write.format("n5").options(path=f"{tmp_path}/a", **options).mode("append").save()
+    assert {p.name for p in (tmp_path / "a").iterdir()} == {"s0", "attributes.json"}
+    got = spark.read.format("n5").options(path=f"{tmp_path}/a", layout="s%d/t%d/lod%d").load()
+    assert sorted(map(tuple, got.collect())) == rows
+    with pytest.raises(Exception, match="three folders"):
+        df.write.format("n5").options(path=f"{tmp_path}/b", **options | {"layout": "s%d"}).mode("append").save()
 
 
 def png(pixels):

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxfabric.functions import affine
-from voxfabric.operators import pyramid, sampling
+from voxfabric.operators import sampling
+from voxfabric.operators.boxes import Image, chunks, downsample, image_of
 from voxfabric.plans import pyramids
 from voxfabric.sources import blocks, n5
 
@@ -98,27 +99,38 @@ def setup_source(views: DataFrame, registrations: DataFrame, levels: DataFrame,
     return stored.where(F.col("setup_id") == setup_id).join(F.broadcast(maps), ["setup_id", "timepoint_id", "level"])
 
 
-def resave_n5(voxels: DataFrame, size: Sequence[int], voxel: Sequence[float], target: str, dtype: str = "uint16", keys: Sequence[str] = ("setup_id", "timepoint_id")) -> list[dict]:
-    """Write images (keys, x, y, z, v; all of one size) as a chunk store with a proposed pyramid; returns the levels' plan."""
-    n5.register(voxels.sparkSession)
-    levels = pyramids.propose(list(size), list(voxel))
+def resave_n5(image: Image, voxel: Sequence[float], target: str, dtype: str = "uint16", plane_done: Callable[[int, int], None] | None = None, finer: Callable[[Sequence[Sequence[int]], int], int | None] = pyramids.source_level) -> list[dict]:
+    """Write an image (keys setup_id, timepoint_id) as a chunk store with a proposed pyramid; returns the levels' plan.
+
+    A level is read from the one that finer names (of all levels' factors, a
+    level: its number, None for the original), out of the store, so nothing is
+    computed twice. plane_done is told of each level that is written: its
+    number, and how many there are.
+    """
+    spark = image.boxes.sparkSession
+    n5.register(spark)
+    levels = pyramids.propose(list(image.size), list(voxel))
     resolutions = [x["resolution"] for x in levels]
-    images = pyramid.pyramid(voxels, resolutions, size, keys)
-    options = {"path": target, "dimensions": str(list(size)), "downsamplingFactors": str([list(r) for r in resolutions]), "dataType": dtype}
-    for k, (level, image) in enumerate(zip(levels, images)):
-        cell = list(level["subdivision"])
-        dims = [max(1, n // f) for n, f in zip(size, level["resolution"])]
-        write_level(image, k, cell, dims, options, keys)
+    options = {"path": target, "dimensions": str(list(image.size)), "downsamplingFactors": str([list(r) for r in resolutions]), "dataType": dtype}
+    written: list[Image] = []
+    for k, level in enumerate(levels):
+        source = finer(resolutions, k) if k else None
+        base = resolutions[source] if source is not None else [1, 1, 1]
+        factors = [a // b for a, b in zip(level["resolution"], base)]
+        made = written[source] if source is not None else image
+        made = downsample(made, factors) if any(f > 1 for f in factors) else made
+        write_level(made, k, level["subdivision"], options)
+        stored = spark.read.format("n5").options(path=target, element="long").load().where(F.col("level") == k)
+        written.append(image_of(stored, level["subdivision"], made.size, image.keys))
+        if plane_done:
+            plane_done(k, len(levels))
     return levels
 
 
-def write_level(image: DataFrame, level: int, cell: Sequence[int], dims: Sequence[int], options: dict[str, str], keys: Sequence[str]) -> None:
-    """One level's voxels as chunks; those at the edge are cut to the image."""
-    made = blocks.collect_blocks(image, tuple(cell), list(keys))
-    sides = [F.least(F.lit(c), F.lit(n) - F.col(f"g{a}") * c).cast("int") for a, c, n in zip("xyz", cell, dims)]
-    inside = lambda i: ((i % cell[0]) < sides[0]) & ((F.floor(i / cell[0]) % cell[1]) < sides[1]) & (F.floor(i / (cell[0] * cell[1])) < sides[2])
-    data = F.transform(F.filter("data", lambda v, i: inside(i)), lambda v: v.cast("double"))
-    rows = made.select(*[F.col(k).cast("int").alias(n) for k, n in zip(reversed(list(keys)), ("timepoint_id", "setup_id"))], F.lit(level).alias("level"), *[F.col(f"g{a}").cast("int").alias(f"g{a}") for a in "xyz"], F.array(*sides).alias("size"), data.alias("data"))
+def write_level(image: Image, level: int, cell: Sequence[int], options: dict[str, str]) -> None:
+    """One level as chunks; those at the edge are cut to the image."""
+    made = chunks(image, cell)
+    rows = made.select(F.col("timepoint_id").cast("int"), F.col("setup_id").cast("int"), F.lit(level).alias("level"), "gx", "gy", "gz", "size", F.col("data").cast("array<double>").alias("data"))
     rows.write.format("n5").options(**options, blockSize=str(list(cell))).mode("append").save()
 
 
@@ -129,7 +141,9 @@ def export_crop(voxels: DataFrame, box: Sequence[tuple[int, int]], timepoints: t
     some = voxels.where(F.col("timepoint_id").between(first, last)).withColumn("timepoint_id", F.col("timepoint_id") - first)
     size = [b - a + 1 for a, b in box]
     options = {"path": target, "dimensions": str(size), "downsamplingFactors": "[[1,1,1]]", "dataType": dtype}
-    write_level(sampling.crop(some, box), 0, [64, 64, 64], size, options, ("setup_id", "timepoint_id"))
+    keys = ["setup_id", "timepoint_id"]
+    chunked = blocks.collect_blocks(sampling.crop(some, box), (64, 64, 64), keys)
+    write_level(image_of(chunked, (64, 64, 64), size, keys), 0, [64, 64, 64], options)
     shift = affine.affine([1, 0, 0, box[0][0], 0, 1, 0, box[1][0], 0, 0, 1, box[2][0]])
     kept = registrations.where(F.col("timepoint_id").between(first, last))
     return {"registrations": kept.select((F.col("timepoint_id") - first).alias("timepoint_id"), "setup_id", affine.compose("model", shift).alias("model"))}

@@ -23,8 +23,10 @@ import json
 import os
 import re
 import struct
+import time
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from decimal import Decimal
 from math import prod
@@ -32,13 +34,15 @@ from math import prod
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as files
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 _SCHEMA = "timepoint_id int, setup_id int, level int, gx int, gy int, gz int, size array<int>, data array<%s>"
 SCHEMA = _SCHEMA % "double"
 ELEMENTS = {"double": pa.float64(), "long": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0)}
 LAYOUT = "setup%d/timepoint%d/s%d"
+#: Chunks that are published at a time.
+RENAMES = 32
 TYPES = ("int8", "uint8", "int16", "uint16", "int32", "uint32", "int64", "uint64", "float32", "float64")
 _KEYS = ("setup_id", "timepoint_id", "level", "gx", "gy", "gz")
 
@@ -165,50 +169,91 @@ class N5Reader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
+    """What a task has staged: its folder, the chunks' places below it, the datasets."""
+
+    folder: str
+    files: list[str]
     datasets: set
 
 
-class N5Writer(DataSourceWriter):
-    """Each task writes its chunks; what is common to a dataset is written once all have."""
+class N5Writer(DataSourceArrowWriter):
+    """Each task stages its chunks in a folder of its own; they become part of the store once all tasks have ended, and go if one fails.
+
+    Publishing is a rename per chunk, RENAMES at a time; what is common to a
+    dataset is written after that.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.dtype, self.compression = options["path"], options.get("dataType", "uint16"), options.get("compression", "gzip")
         self.block = json.loads(options.get("blockSize", "[64,64,64]"))
         self.dimensions = json.loads(options["dimensions"])  # of level 0
         self.factors = json.loads(options.get("downsamplingFactors", "[[1,1,1]]"))
+        self.folders = options.get("layout", LAYOUT).split("/")
         if self.dtype not in TYPES:
             raise ValueError(f"pixel type {self.dtype} can't be written")
+        if len(self.folders) != 3 or any("%d" not in f for f in self.folders):
+            raise ValueError("a layout names three folders, each with a number: " + LAYOUT)
+        self.job = f".staged-{uuid.uuid4().hex}"
+
+    def _dataset(self, *numbers: int) -> str:
+        return "/".join(f % n for f, n in zip(self.folders, numbers))
 
-    def write(self, rows) -> Written:
-        seen = set()
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, root = file_system(self.path)
-        for r in rows:
-            base = LAYOUT % (r.setup_id, r.timepoint_id, r.level)
-            seen.add((r.setup_id, r.timepoint_id, r.level))
-            target = f"{root}/{base}/{r.gx}/{r.gy}/{r.gz}"
-            store.create_dir(target.rpartition("/")[0])
-            mine = f"{target}.{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(mine) as f:  # a task that runs twice leaves one whole file
-                f.write(encode_chunk(r.data, r["size"], self.dtype, self.compression))
-            store.move(mine, target)
-        return Written(seen)
+        folder = f"{root}/{self.job}/{uuid.uuid4().hex}"
+        done = Written(folder, [], set())
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in (*_KEYS, "size")}
+            data = batch.column("data")
+            ends, values = data.offsets.to_numpy(), data.values.to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                ids = tuple(columns[k][i] for k in ("setup_id", "timepoint_id", "level"))
+                done.datasets.add(ids)
+                place = "/".join(map(str, [self._dataset(*ids), *(columns[g][i] for g in ("gx", "gy", "gz"))]))
+                store.create_dir(f"{folder}/{place}".rpartition("/")[0])
+                with store.open_output_stream(f"{folder}/{place}") as f:
+                    f.write(encode_chunk(values[ends[i] : ends[i + 1]], columns["size"][i], self.dtype, self.compression))
+                done.files.append(place)
+        return done
+
+    def _discard(self) -> bool:
+        """Whether there was something."""
+        store, root = file_system(self.path)
+        found = store.get_file_info(f"{root}/{self.job}").type != files.FileType.NotFound
+        if found:
+            store.delete_dir(f"{root}/{self.job}")
+        return found
 
     def commit(self, messages) -> None:
-        datasets = set().union(*[m.datasets for m in messages if m])
         store, root = file_system(self.path)
+        staged = [(m.folder, f) for m in messages if m for f in m.files]
+        for d in {f.rpartition("/")[0] for _, f in staged}:
+            store.create_dir(f"{root}/{d}")
+        with ThreadPoolExecutor(RENAMES) as pool:
+            list(pool.map(lambda x: store.move(f"{x[0]}/{x[1]}", f"{root}/{x[1]}"), staged))
+        self._discard()
 
         def put(path: str, value: dict) -> None:
             store.create_dir(path)
             with store.open_output_stream(f"{path}/attributes.json") as f:
                 f.write(json.dumps(value).encode())
 
-        for s, t, level in datasets:
+        for s, t, level in set().union(*[m.datasets for m in messages if m]):
             size = [max(1, d // f) for d, f in zip(self.dimensions, self.factors[level])]
-            put(f"{root}/" + LAYOUT % (s, t, level), {"dimensions": size, "blockSize": self.block, "dataType": self.dtype, "compression": {"type": self.compression}, "downsamplingFactors": self.factors[level]})
-            put(f"{root}/setup{s}/timepoint{t}", {"multiScale": True})
-            put(f"{root}/setup{s}", {"downsamplingFactors": self.factors, "dataType": self.dtype})
+            at = self._dataset(s, t, level)
+            put(f"{root}/{at}", {"dimensions": size, "blockSize": self.block, "dataType": self.dtype, "compression": {"type": self.compression}, "downsamplingFactors": self.factors[level]})
+            put(f"{root}/{at.rsplit('/', 1)[0]}", {"multiScale": True})
+            put(f"{root}/{at.split('/')[0]}", {"downsamplingFactors": self.factors, "dataType": self.dtype})
         put(root, {"n5": "2.5.1"})
 
+    def abort(self, messages) -> None:
+        for _ in range(6):  # tasks that are being stopped may write a little longer
+            try:
+                if not self._discard():
+                    time.sleep(0.5)
+            except OSError:
+                time.sleep(0.1)
+
 
 class N5DataSource(DataSource):
     """spark.dataSource.register(N5DataSource); then format "n5" with option path."""
