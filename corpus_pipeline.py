@@ -26,9 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     are judged one by one; an empty table gives an empty result.
     """
     model = language.train(language.training_rows(docs))
-    packed = docs.select(whole(docs), "text")
+    packed = docs.select(whole(docs.drop("text"), "row"), "text")  # texts go to the tasks' Python once
     found = language.identify(packed, model).where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}")
-    return found.select("row.*")
+    return found.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,24 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed but holds to the machine: workers wait for their next task with what they once took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], most: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches cut small: a text's words take many times its bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+        del batch
+    give_back()
+
+
 def as_long(doc_id: Column) -> Column:
     """An id as a long; null where it is none."""
     return doc_id.cast("string").try_cast("long")

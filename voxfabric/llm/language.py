@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from voxfabric.llm.common import cut, fold
+from voxfabric.llm.common import cut, few_rows, fold
 
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 LONGEST_GRAM = 4
@@ -67,7 +67,7 @@ class Model:
             places += 1
         return total / max(places, 1)
 
-    def score(self, text: str | None, most: int = 300_000) -> tuple[str, float]:
+    def score(self, text: str | None, most: int = 100_000) -> tuple[str, float]:
         """The likeliest language and its probability, by at most EVIDENCE words' worth of evidence: words of a text aren't independent."""
         found = words(text) if text else []
         if not found or not self.langs:
@@ -156,10 +156,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
-        for batch in batches:
-            got = [m.score(t) for t in batch.column(at).to_pylist()]
-            columns = [*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+        for rows in few_rows(batches):
+            got = [m.score(t) for t in rows.column(at).to_pylist()]
+            columns = [*rows.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names, "lang_pred", "score"])
 
     return kept.mapInArrow(predict, schema)
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import stored
+from voxfabric.llm.common import give_back, stored
 from voxfabric.llm.tokens import default_tokenizer, encoder
 
 
@@ -38,6 +38,7 @@ def encoded(docs: DataFrame, end_id: int, tokenizer: str | None = None, doc_id:
                     [batch.column(0).slice(at, 256), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
                     names=["doc_id", "part", "local_start", "doc_tokens", "ids"],
                 )
+        give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

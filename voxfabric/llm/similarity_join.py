@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import SPACE, as_long, cut, hot_lookup, once, text_column, without
+from voxfabric.llm.common import SPACE, as_long, cut, few_rows, give_back, hot_lookup, once, text_column, without
 from voxfabric.llm.shingles import Words, mix
 
 #: Classes in a block, and n-grams of all of them, on average; a task verifies the pairs of two blocks.
@@ -31,13 +31,6 @@ BLOCK = 512
 BLOCK_GRAMS = 400_000
 
 
-def _few_rows(batches: Iterator[pa.RecordBatch], most: int = 128) -> Iterator[pa.RecordBatch]:
-    """Batches cut small: a text's words take many times its bytes."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, most):
-            yield batch.slice(at, most)
-
-
 def prefix_depth(threshold: float, tries: int, depth: int, recall: float) -> int:
     """The longest prefix with which a pair at the threshold meets in some trie with probability recall, 1 at least."""
     while depth > 1 and 1 - (1 - threshold**depth) ** tries < recall:
@@ -181,7 +174,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
     forest = Forest(tries, depth)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few_rows(batches):
+        for batch in few_rows(batches):
             texts = [Words(t) for t in batch.column(1).to_pylist()]
             sets = [ngrams(w, n) for w in texts]
             keys = [forest.keys(g, at).tobytes() if len(g) else None for g in sets]
@@ -215,7 +208,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
     wanted = cut(paired.groupBy("node", "i", "j").applyInArrow(choose, "class string, node string, trie int, block int, i int, j int, keys binary"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few_rows(batches):
+        for batch in few_rows(batches):
             texts = [Words(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_class(w) for w in texts]), pa.array([ngrams(w, n).tobytes() for w in texts], pa.binary())], names=["class", "grams"])
 
@@ -231,6 +224,8 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
         links = linked.sum(0) + linked.sum(1)
         root = own[_roots(len(own), np.argwhere(linked))]
         keep = links > 0
+        del sets, linked
+        give_back()
         return pa.table([pa.array(own[keep], pa.string()), pa.array(root[keep], pa.string()), pa.array(links[keep], pa.int64())], names=["class", "root", "links"])
 
     found = cut(wanted.join(grams, "class").groupBy("node", "i", "j").applyInArrow(verify, "class string, root string, links long"))
