@@ -7,7 +7,7 @@ from voxfabric.functions import affine
 from voxfabric.operators import boxes, pyramid, sampling
 from voxfabric.plans import pyramids
 from voxfabric.queries.registry import query
-from voxfabric.sources import blocks, derived, formats
+from voxfabric.sources import blocks, derived, formats, generated
 from voxfabric.sources.derived import with_sql
 
 
@@ -72,6 +72,21 @@ def function_source(spark, sf_dir):
     return derived.voxels(spark, sf_dir).select("x", "y", "z", (F.col("x") * F.col("x") + F.col("y") * 2 - F.col("z")).alias("v"), F.lit(7).cast("long").alias("constant"))
 
 
+def saddle(x, y, z):
+    """A function on the grid."""
+    return x * x - 3 * y * z
+
+
+@query(with_sql("voxels", "SELECT x, y, z, v, CAST(x * x - 3 * y * z AS BIGINT) AS f FROM voxels WHERE x BETWEEN 5 AND 37 AND y >= 11"))
+def function_crop(spark, sf_dir):
+    """An unbounded function beside the volume: the crop reaches the source, which evaluates what is left of its box."""
+    generated.register(spark)
+    high = ",".join(str(n - 1) for n in derived.volume_size(spark, sf_dir))
+    f = spark.read.format("function").options(function="voxfabric.queries.volumes:saddle", low="0,0,0", high=high, cell="16,16,16").load()
+    v = derived.voxels(spark, sf_dir).join(f.withColumnRenamed("v", "f"), ["x", "y", "z"])
+    return v.where("x between 5 and 37 and y >= 11").select("x", "y", "z", "v", F.col("f").cast("long").alias("f"))
+
+
 @query(with_sql("sparse", "SELECT CAST(setup AS BIGINT) AS setup, z AS channel, CAST(t AS BIGINT) AS t, x, y, v FROM sparse"))
 def axis_split(spark, sf_dir):
     """An XYZ stack read as XYC: its third axis numbers channels."""
