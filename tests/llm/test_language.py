@@ -85,10 +85,29 @@ def test_sample_is_even(spark):
     """A language of a hundredth of the rows is learned like the others."""
     df = spark.createDataFrame([(i, "talo puu" if i % 100 == 0 else "the tree", "fi" if i % 100 == 0 else "en") for i in range(3000)], "doc_id long, text string, lang string")
     model = language.train(df, sample_docs=60)
-    assert model.langs == ["en", "fi"] and model.words["talo"][1] > model.words["talo"][0]
+    row = model.word_rows(["talo"])[0]
+    assert model.langs == ["en", "fi"] and row[1] > row[0]
     assert model.score("talo puu talo")[0] == "fi"
 
 
+def test_many_languages_and_forgetting(spark, monkeypatch):
+    """Each of 300 languages is learned by its own words; what a worker remembers is bounded and changes nothing."""
+    r = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {f"l{k:03d}": ["".join(r.choice(letters) for _ in range(6)) for _ in range(12)] for k in range(300)}
+    df = spark.createDataFrame([(10 * k + j, " ".join(r.sample(w, 8)), x) for k, (x, w) in enumerate(vocabulary.items()) for j in range(3)], "doc_id long, text string, lang string")
+    model = language.train(df)
+    texts = [" ".join(w[2:7]) for w in vocabulary.values()]
+    got = [model.score(t) for t in texts]
+    assert sum(g[0] == x for g, x in zip(got, vocabulary)) > 290
+    monkeypatch.setattr(language, "ROW_BYTES", 0)
+    model.seen.clear()
+    model.rows = model.rows[:0]
+    long = " ".join(texts) + " " + " ".join(f"unseen{letters[i % 26]}{letters[i // 26 % 26]}{letters[i // 676]}" for i in range(9000))
+    first = model.score(long)
+    assert [model.score(t) for t in texts] == got and model.score(long) == first and len(model.seen) > 9000
+
+
 def test_held_out_accuracy(spark):
     out = op6_language_id(spark, "/root/testdata/sf0.01").where(fold() == 0).collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

@@ -12,16 +12,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from xxhash import xxh3_64_intdigest
 
-from voxfabric.llm.common import cut, few_rows, fold
+from voxfabric.llm.common import few_rows, fold
 
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 LONGEST_GRAM = 4
 #: A probability counts so many words of a text at most.
 EVIDENCE = 20
+#: Bytes of the rows of words that a worker remembers.
+ROW_BYTES = 1 << 25
 
 
 def words(text: str) -> list[str]:
@@ -34,110 +37,157 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+class Table:
+    """Log frequencies of strings per language, sparse: 64-bit keys in order, and for each the languages that have it with what these have above an absent string's."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int):
+        order = np.lexsort((langs, keys))
+        keys, self.lang, counts = keys[order], langs[order].astype(np.uint32), counts[order].astype(float)
+        self.keys, first = np.unique(keys, return_index=True)
+        self.ends = np.append(first, len(keys)).astype(np.int64)
+        total = np.bincount(self.lang, counts, n_langs) + 0.5 * len(self.keys)
+        self.absent = np.log(0.5 / total) if len(self.keys) else np.zeros(n_langs)
+        self.more = np.log((counts + 0.5) / 0.5)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those it lacks."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add_to(self, out: np.ndarray, rows: np.ndarray, places: np.ndarray) -> None:
+        """out[rows] += the log frequencies at places; rows in order."""
+        n = self.ends[places + 1] - self.ends[places]
+        each = np.repeat(self.ends[places] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        np.add.at(out, (np.repeat(rows, n), self.lang[each]), self.more[each])
+        out += np.bincount(rows, minlength=len(out))[:, None] * self.absent
+
+
+def _word_keys(words_: list[str]) -> np.ndarray:
+    return np.array([xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words_], np.uint64)
+
+
+def _gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n-grams that begin at each code point but the last n - 1: the code points side by side, for n = 4 by a multiplication."""
+    key = codes[: len(codes) - n + 1].astype(np.uint64)
+    for i in range(1, n):
+        key = key * np.uint64(1 << 21 if n < 4 else 0x9E3779B97F4A7C15) + codes[i : len(codes) - n + 1 + i]
+    return key
+
+
 class Model:
-    """langs, sorted; table: word -> log frequency per language; by_gram: the same of n-grams, one table per n."""
+    """langs, sorted; words: their log frequency per language; grams: the same of n-grams, one table per n."""
 
-    def __init__(self, langs: list[str], word_counts: dict[str, np.ndarray], gram_counts: dict[str, np.ndarray], prior: np.ndarray):
-        self.langs = langs
-        self.words = self._logs(word_counts)
-        self.grams = [self._logs({g: c for g, c in gram_counts.items() if len(g) == n}) for n in range(1, LONGEST_GRAM + 1)]
+    def __init__(self, langs: list[str], words_: Table, grams_: list[Table], prior: np.ndarray):
+        self.langs, self.words, self.grams = langs, words_, grams_
         self.prior = np.log((prior + 1) / (prior.sum() + len(langs))) if len(langs) else prior
         self.seen: dict[str, int] = {}
         self.rows: np.ndarray = np.zeros((0, len(langs)))
 
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        c = np.array(list(counts.values()), float)
-        return dict(zip(counts, np.log((c + 0.5) / (c.sum(0) + 0.5 * len(c)))))
-
-    def word(self, w: str) -> np.ndarray:
-        """Log-likelihood of a word per language: of n-grams, the mean over the word's places."""
-        known = self.words.get(w)
-        if known is not None:
-            return known
-        marked, total, places = f"<{w}>", np.zeros(len(self.langs)), 0
-        for i in range(len(marked) - 1):
+    def word_rows(self, new: list[str]) -> np.ndarray:
+        """Log-likelihood of words per language: of unseen ones, the mean over the word's places of the longest known n-gram."""
+        out = np.zeros((len(new), len(self.langs)))
+        at = self.words.find(_word_keys(new))
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            mine = np.zeros((len(known), len(self.langs)))
+            self.words.add_to(mine, np.arange(len(known)), at[known])
+            out[known] = mine
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            marked = [f"<{new[i]}>" for i in unseen]
+            size = np.array([len(m) for m in marked])
+            codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            word = np.repeat(np.arange(len(marked)), size)
+            ends = np.cumsum(size)
+            left = ends[word] - np.arange(len(codes))  # characters from here to the word's end
+            open_ = left > 1  # the closing mark begins no n-gram
+            mine = np.zeros((len(marked), len(self.langs)))
             for n in range(LONGEST_GRAM, 0, -1):
-                found = self.grams[n - 1].get(marked[i : i + n]) if i + n <= len(marked) else None
-                if found is not None:
-                    total = total + found
-                    break
-            places += 1
-        return total / max(places, 1)
-
-    def score(self, text: str | None, most: int = 100_000) -> tuple[str, float]:
+                here = np.flatnonzero(open_ & (left >= n))
+                if not len(here):
+                    continue
+                found = self.grams[n - 1].find(_gram_keys(codes, n)[here])
+                hit = found >= 0
+                self.grams[n - 1].add_to(mine, word[here[hit]], found[hit])
+                open_[here[hit]] = False
+            out[unseen] = mine / (size - 1)[:, None]
+        return out
+
+    def score(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its probability, by at most EVIDENCE words' worth of evidence: words of a text aren't independent."""
         found = words(text) if text else []
         if not found or not self.langs:
             return "und", 0.0
+        most = min(200_000, max(1000, ROW_BYTES // (8 * len(self.langs))))
         if len(self.seen) > most:
             self.seen.clear()
-        new = [w for w in set(found) if w not in self.seen]
+            self.rows = self.rows[:0]
+        counted = Counter(found)
+        new = [w for w in counted if w not in self.seen]
         if new:
             n = len(self.seen)
             if n + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows[:n], np.zeros((n + 2 * len(new) + 1000, len(self.langs)))])
-            self.rows[n : n + len(new)] = [self.word(w) for w in new]
+                self.rows = np.concatenate([self.rows[:n], np.zeros((n // 2 + len(new) + 1000, len(self.langs)))])
+            for a in range(0, len(new), 4096):  # a text of any length brings its words in parts
+                self.rows[n + a : n + min(a + 4096, len(new))] = self.word_rows(new[a : a + 4096])
             self.seen.update(zip(new, range(n, n + len(new))))
-        total = self.prior + self.rows[np.fromiter(map(self.seen.__getitem__, found), np.int64, len(found))].sum(0)
+        times = np.fromiter(counted.values(), float, len(counted))
+        total = self.prior + times @ self.rows[np.fromiter(map(self.seen.__getitem__, counted), np.int64, len(counted))]
         best = int(np.argmax(total))
         total = total * min(1.0, EVIDENCE / len(found))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def train(docs: DataFrame, sample_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000, max_langs: int = 1000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
+def train(docs: DataFrame, sample_docs: int = 20_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """Fit on labelled documents.
 
-    The fit's bounds are parameters. It learns from a sample of about
-    sample_docs documents, whole texts each, chosen by a hash of their ids: of
-    each language the same number, or all there are. Of each language its
-    most frequent words and n-grams stay, an equal share of max_words and
-    max_grams, so that a frequent language can't crowd a rare one out. Of more
-    than max_langs languages the most frequent are learned. Prior
-    probabilities count all documents. Null texts and languages are not
-    learned from; without any document the model knows no language.
+    It learns from a sample of about sample_docs documents, whole texts each,
+    chosen by a hash of their ids: of each language the same number, or all
+    there are. That is the only bound: all words and n-grams of the sample are
+    in the tables, which hold some 20 bytes for each language that one occurs
+    in. Prior probabilities count all documents. Rows that repeat an id are
+    taken or left together; texts of any length are counted whole. Null texts
+    and languages are not learned from; without any document the model knows
+    no language.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
     langs = sorted(per_lang)
-    column = {x: i for i, x in enumerate(langs)}
     if langs:
         places, each = 10**12, -(-sample_docs // len(langs))
-        share = F.create_map(*[F.lit(x) for k, n in per_lang.items() for x in (k, min(places, each * places // n))])
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(places)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
+        shares = docs.sparkSession.createDataFrame([(k, i, min(places, each * places // n)) for i, (k, n) in enumerate(sorted(per_lang.items()))], "lang string, number int, share long")
+        known = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(places)) < F.col("share")).select("id", "number", "text")
+    else:
+        known = known.select("id", F.lit(0).alias("number"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_word: dict[str, Counter] = {}
-        for batch in batches:
+        by_word: dict[int, Counter] = {}
+        for batch in few_rows(batches):
             for x, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 by_word.setdefault(x, Counter()).update(words(t))
         for x, c in by_word.items():
-            by_gram: Counter = Counter()
-            for w, k in c.items():
-                for m in range(1, LONGEST_GRAM + 1):
+            yield _counts(0, x, _word_keys(list(c)), np.fromiter(c.values(), np.int64, len(c)))
+            for m in range(1, LONGEST_GRAM + 1):
+                by_gram: Counter = Counter()
+                for w, k in c.items():
                     for g in grams(w, m):
                         by_gram[g] += k
-            for kind, counts in ((0, c), (1, by_gram)):
-                names = list(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(names), pa.int32()), pa.array([x] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([counts[g] for g in names], pa.int64())],
-                    names=["kind", "lang", "gram", "n"],
-                )
-
-    counts = cut(known.mapInArrow(count, "kind int, lang string, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
-    # The sample bounds the words of a language, so ranking them is bounded too.
-    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "gram"))
-    tables = []
-    for kind, most in ((0, max_words), (1, max_grams)):
-        own = counts.where(F.col("kind") == kind)
-        top = own.withColumn("rank", rank).where(F.col("rank") <= max(1, most // max(len(langs), 1))).select("gram").distinct()
-        table: dict[str, np.ndarray] = {}
-        for r in own.join(top, "gram").orderBy("gram", "lang").collect():
-            table.setdefault(r.gram, np.zeros(len(langs)))[column[r.lang]] = r.n
-        tables.append(table)
-    return Model(langs, tables[0], tables[1], np.array([per_lang[x] for x in langs], float))
+                names = list(by_gram)
+                codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                yield _counts(m, x, _gram_keys(codes, m)[::m] if names else codes, np.fromiter(by_gram.values(), np.int64, len(names)))
+
+    found = known.mapInArrow(count, "kind int, lang int, key long, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
+    # As large as the sample's vocabulary, as numbers.
+    table = found.toArrow()
+    kind, language, key, n = (table[c].to_numpy() for c in ("kind", "lang", "key", "n"))
+    tables = [Table(key[kind == k].view(np.uint64), language[kind == k], n[kind == k], len(langs)) for k in range(LONGEST_GRAM + 1)]
+    return Model(langs, tables[0], tables[1:], np.array([per_lang[x] for x in langs], float))
+
+
+def _counts(kind: int, lang: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(np.full(len(keys), lang, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["kind", "lang", "key", "n"])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
