@@ -7,40 +7,46 @@ from pyspark.sql import functions as F
 
 from voxfabric.functions import affine
 
-_SETUP = "struct<id:int,name:string,size:string,voxelSize:struct<unit:string,size:string>,attributes:map<string,int>>"
-_REGISTRATIONS = "ViewRegistrations struct<ViewRegistration:array<struct<_timepoint:int,_setup:int,ViewTransform:array<struct<affine:string>>>>>"
+_VIEW = "_timepoint:int,_setup:int"
+_DATASET = f"""SequenceDescription struct<ViewSetups:struct<ViewSetup:array<struct<id:int,name:string,size:string,voxelSize:struct<unit:string,size:string>>>>,
+Timepoints:struct<_type:string,first:int,last:int,integerpattern:string>,MissingViews:struct<MissingView:array<struct<{_VIEW}>>>>,
+ViewRegistrations struct<ViewRegistration:array<struct<{_VIEW},ViewTransform:array<struct<affine:string>>>>>"""
+
+
+def integer_pattern(pattern: Column) -> Column:
+    """The numbers of a pattern, ascending: single ones, ranges "0-9" and ranges with a step "0-9:2", with commas between them."""
+    part = r"^\s*(\d+)\s*(?:-\s*(\d+)\s*(?::\s*(\d+)\s*)?)?$"
+
+    def numbers(p: Column) -> Column:
+        wrong = F.raise_error(F.concat(F.lit("not a pattern of whole numbers: "), p)).cast("array<int>")
+        group = lambda i, other: F.coalesce(F.regexp_extract(p, part, i).try_cast("int"), other)
+        first = F.regexp_extract(p, part, 1).try_cast("int")
+        last = group(2, first)
+        return F.when(~p.rlike(part), wrong).when(first > last, F.array().cast("array<int>")).otherwise(F.sequence(first, F.greatest(first, last), F.greatest(group(3, F.lit(1)), F.lit(1))))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(pattern, ","), numbers))))
 
 
 def read_dataset_xml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a SpimData XML file: setups, timepoints, missing, registrations (model: the view's maps, composed; identity where it has none)."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"))
-    numbers = lambda c: F.transform(F.split(F.trim(c), r"\s+"), lambda v: v.cast("double"))
-
-    def each(where: str) -> DataFrame:
-        return text.select(F.explode(F.xpath("xml", F.lit(where))).alias("node"))
-
-    ids = text.select(
-        F.xpath("xml", F.lit("//ViewSetup/id/text()")).alias("id"), F.xpath("xml", F.lit("//ViewSetup/size/text()")).alias("size"),
-        F.xpath("xml", F.lit("//ViewSetup/voxelSize/size/text()")).alias("voxel"), F.xpath("xml", F.lit("//ViewSetup/voxelSize/unit/text()")).alias("unit"),
-    )
-    setups = ids.select(F.explode(F.arrays_zip("id", "size", "voxel", "unit")).alias("s")).select(
-        F.col("s.id").cast("int").alias("setup_id"),
-        F.transform(F.split(F.trim("s.size"), r"\s+"), lambda v: v.cast("long")).alias("size"),
-        F.struct(F.col("s.unit").alias("unit"), numbers(F.col("s.voxel")).alias("size")).alias("voxel"),
-    )
-    span = text.select(F.xpath_string("xml", F.lit("//Timepoints/first")).alias("first"), F.xpath_string("xml", F.lit("//Timepoints/last")).alias("last"), F.xpath_string("xml", F.lit("//Timepoints/integerpattern")).alias("pattern"))
-    single = F.transform(F.split("pattern", r"\s*,\s*"), lambda v: v.cast("int"))
-    listed = F.when(F.col("pattern") != "", single).otherwise(F.sequence(F.col("first").try_cast("int"), F.col("last").try_cast("int")))
-    timepoints = span.select(F.posexplode(listed).alias("t_index", "timepoint_id"))
-    pairs = lambda tag: text.select(F.explode(F.arrays_zip(F.xpath("xml", F.lit(f"//{tag}/@timepoint")).alias("t"), F.xpath("xml", F.lit(f"//{tag}/@setup")).alias("s"))).alias("v")).select(F.col("v.t").cast("int").alias("timepoint_id"), F.col("v.s").cast("int").alias("setup_id"))
-    missing = pairs("MissingViews/MissingView")
-    parsed = text.select(F.explode(F.from_xml("xml", _REGISTRATIONS, {"mode": "FAILFAST"})["ViewRegistrations"]["ViewRegistration"]).alias("v"))
-    listed_maps = F.transform(F.coalesce("v.ViewTransform", F.array()), lambda t: numbers(F.coalesce(t["affine"], F.raise_error(F.lit("a view transform without an affine map")))))
+    """Tables of a SpimData XML file: setups, timepoints, missing, registrations (model: the view's maps, composed; identity where it has none).
+
+    What a setup doesn't state is null. Timepoints are a range or a pattern.
+    """
+    text = spark.read.text(path, wholetext=True)
+    d = text.select(F.from_xml("value", _DATASET, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    whole = lambda c, kind: F.transform(F.split(F.trim(c), r"\s+"), lambda v: v.cast(kind))
+    s = d.select(F.explode("SequenceDescription.ViewSetups.ViewSetup").alias("s")).select("s.*")
+    setups = s.select(F.col("id").alias("setup_id"), "name", whole(F.col("size"), "long").alias("size"), F.struct(F.col("voxelSize.unit").alias("unit"), whole(F.col("voxelSize.size"), "double").alias("size")).alias("voxel"))
+    t = d.select("SequenceDescription.Timepoints.*")
+    listed = F.when(F.col("integerpattern").isNotNull(), integer_pattern(F.col("integerpattern"))).otherwise(F.sequence("first", "last"))
+    timepoints = t.select(F.posexplode(listed).alias("t_index", "timepoint_id"))
+    ids = [F.col("v._timepoint").alias("timepoint_id"), F.col("v._setup").alias("setup_id")]
+    missing = d.select(F.explode("SequenceDescription.MissingViews.MissingView").alias("v")).select(*ids)
+    registered = d.select(F.explode("ViewRegistrations.ViewRegistration").alias("v"))
+    maps = F.transform(F.coalesce("v.ViewTransform", F.array()), lambda t: whole(F.coalesce(t["affine"], F.raise_error(F.lit("a view transform without an affine map"))), "double"))
     # The first of the list is applied last.
-    model = F.aggregate(listed_maps, affine.affine(affine.IDENTITY), affine.compose)
-    registrations = parsed.select(F.col("v._timepoint").alias("timepoint_id"), F.col("v._setup").alias("setup_id"), model.alias("model"))
-    del each
-    return {"setups": setups, "timepoints": timepoints, "missing": missing, "registrations": registrations}
+    model = F.aggregate(maps, affine.affine(affine.IDENTITY), affine.compose)
+    return {"setups": setups, "timepoints": timepoints, "missing": missing, "registrations": registered.select(*ids, model.alias("model"))}
 
 
 def big_endian_16(payload: Column, index: Column) -> Column:
