@@ -59,12 +59,17 @@ def cull_cells(cells: DataFrame, to_screen: affine.Affine, width: int, height: i
 
 
 def level_distance(to_screen: Column) -> Column:
-    """How far a level's voxels are from screen pixels: the squared distance of a pixel's two sides, in voxels, from 1."""
+    """How far a level's voxels are from screen pixels: the squared distance of a pixel's two sides, in voxels, from 1.
 
-    def distance(back: Column) -> Column:
-        return sum((affine.let(affine.column_length(back, axis) - 1, lambda d: d * d) for axis in (0, 1)), F.lit(0.0))
-
-    return affine.let(to_screen, lambda m: affine.let(affine.inverse(m), distance))
+    A pixel's sides are the first two columns of the inverse map: cofactors
+    over the determinant, each named once.
+    """
+    p = affine.entries(to_screen)
+    x = [p[5] * p[10] - p[6] * p[9], p[6] * p[8] - p[4] * p[10], p[4] * p[9] - p[5] * p[8]]
+    y = [p[2] * p[9] - p[1] * p[10], p[0] * p[10] - p[2] * p[8], p[1] * p[8] - p[0] * p[9]]
+    det = F.nullif(F.abs(p[0] * x[0] + p[1] * x[1] + p[2] * x[2]), F.lit(0.0))
+    side = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]) / det - 1
+    return F.pow(side(x), F.lit(2)) + F.pow(side(y), F.lit(2))
 
 
 def best_level(levels: DataFrame, keys: Sequence[str], to_screen: str = "to_screen") -> DataFrame:
@@ -146,6 +151,14 @@ def strips(tiles_: DataFrame, rows: int) -> DataFrame:
     return tiles_.withColumn("strip_y0", starts).withColumn("strip_y1", F.least(F.col("strip_y0") + rows - 1, F.col("y1")))
 
 
+def equal_strips(tiles_: DataFrame, most: int) -> DataFrame:
+    """Tiles cut into strips of equal height (but the last) of about `most` pixels: adds strip_y0, strip_y1."""
+    height, area = F.col("y1") - F.col("y0") + 1, (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    step = F.when(area < most, height).otherwise(F.ceil(height / F.ceil(area / most)))
+    cut = tiles_.withColumn("strip_rows", step.cast("long")).withColumn("strip_y0", F.explode(F.sequence(F.col("y0"), F.col("y1"), F.col("strip_rows"))))
+    return cut.withColumn("strip_y1", F.least(F.col("strip_y0") + F.col("strip_rows") - 1, F.col("y1"))).drop("strip_rows")
+
+
 def split_candidate(rectangles: DataFrame) -> DataFrame:
     """split_x: where to halve the screen, the middle one of the rectangles' distinct left and right edges."""
     edges = F.array_sort(F.collect_set("edge"))

@@ -20,10 +20,10 @@ def _tables(spark, sf_dir):
     return v, setups, times, v.where("present").select(*keys, "model"), v.where("not present").select(*keys)
 
 
-@query(with_sql("views", "SELECT setup_id, t AS timepoint_id FROM views WHERE present AND t < 6"))
+@query(with_sql("views", "SELECT setup_id, t AS timepoint_id FROM views WHERE present"))
 def presence(spark, sf_dir):
     v, _, times, _, missing = _tables(spark, sf_dir)
-    return catalog.present_views(v, missing, times.where("timepoint_id < 6")).select("setup_id", "timepoint_id")
+    return catalog.present_views(v, missing, times).select("setup_id", "timepoint_id")
 
 
 @query(with_sql("views", "SELECT setup_id, t AS timepoint_id FROM views WHERE NOT present"))

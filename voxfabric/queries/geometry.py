@@ -55,16 +55,16 @@ def affine_invert(spark, sf_dir):
     return rows.select("setup_id", "t", micro(back[0]).alias("i00"), micro(back[5]).alias("i11"), micro(back[3]).alias("i03"), micro(back[11]).alias("i23"))
 
 
-@query("""SELECT CAST(level AS BIGINT) AS level, half, pow(2.0, level) AS fx, pow(2.0, greatest(level - 1, 0)) AS fz,
-CASE WHEN half THEN (pow(2.0, level) - 1) * 0.5 ELSE 0 END AS ox, CASE WHEN half THEN (pow(2.0, greatest(level - 1, 0)) - 1) * 0.5 ELSE 0 END AS oz
-FROM (SELECT unnest(range(0, 4)) AS level), (SELECT unnest([true, false]) AS half)""")
+@query("""SELECT p_partkey, CAST(level AS BIGINT) AS level, half, fx, fy, fz, CASE WHEN half THEN (fx - 1) * 0.5 ELSE 0 END AS ox, CASE WHEN half THEN (fy - 1) * 0.5 ELSE 0 END AS oy, CASE WHEN half THEN (fz - 1) * 0.5 ELSE 0 END AS oz
+FROM (SELECT *, pow(2.0, level) AS fx, pow(2.0, level) * (1 + p_partkey % 3) AS fy, pow(2.0, greatest(level - p_size % 3, 0)) AS fz FROM part, (SELECT unnest(range(0, 4)) AS level), (SELECT unnest([true, false]) AS half))""")
 def mip_transform(spark, sf_dir):
-    rows = spark.range(4).withColumnRenamed("id", "level")
-    out = None
-    for half in (True, False):
-        m = rows.withColumn("m", _mip(half)).select("level", F.lit(half).alias("half"), F.col("m")[0].alias("fx"), F.col("m")[10].alias("fz"), F.col("m")[3].alias("ox"), F.col("m")[11].alias("oz"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Maps of the levels of images of different voxels, with and without the shift of half a pixel."""
+    images = derived.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("level"))
+    f = F.pow(F.lit(2.0), F.col("level"))
+    factors = [f, f * (1 + F.col("p_partkey") % 3), F.pow(F.lit(2.0), F.greatest(F.col("level") - F.col("p_size") % 3, F.lit(0)))]
+    both = [images.withColumns({"half": F.lit(half), "m": affine.scaling(factors, half)}) for half in (True, False)]
+    m = affine.entries("m")
+    return both[0].unionByName(both[1]).select("p_partkey", "level", "half", *[m[5 * i].alias(f"f{a}") for i, a in enumerate("xyz")], *[m[4 * i + 3].alias(f"o{a}") for i, a in enumerate("xyz")])
 
 
 @query(with_sql("views", """

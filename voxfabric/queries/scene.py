@@ -132,7 +132,7 @@ def merge_new_setups(spark, sf_dir):
     return scene.merged_setups(parts, extra).select("part", "setup_id", "timepoint_id", F.col("model")[3].alias("tx"))
 
 
-@query("""SELECT 'all.h5' AS path, 7::BIGINT AS timepoints, 25::BIGINT AS setups, 24::BIGINT AS last UNION ALL SELECT 'part-0', 2, 3, 2""")
+@query(with_sql("views", """SELECT 'all.h5' AS path, count(DISTINCT t) AS timepoints, count(DISTINCT setup_id) AS setups, max(setup_id) AS last FROM views UNION ALL SELECT 'part-0', 2, 3, 2"""))
 def partition_union(spark, sf_dir):
     """The partitions of two data sets: one without any, and one with a partition of its own."""
     v = derived.views(spark, sf_dir).select(F.col("t").alias("timepoint_id"), "setup_id")
@@ -275,13 +275,18 @@ def animations(spark, sf_dir):
     return rows.select("p_partkey", _micro(r[0]).alias("r00"), _micro(r[1]).alias("r01"), _micro(r[3]).alias("tx"), _micro(s[3]).alias("shifted"), _micro(z[0]).alias("similar"))
 
 
-@query(with_sql("views", """SELECT setup_id, t, plane, CASE plane WHEN 'ZY' THEN 0 ELSE 1 END::BIGINT AS r00, CASE plane WHEN 'XZ' THEN 0 WHEN 'ZY' THEN 1 ELSE 1 END::BIGINT AS r11 FROM views, (SELECT unnest(['XY', 'ZY']) AS plane)"""))
+_ALIGNED = "CASE plane WHEN 'XY' THEN [1, 0, 0, 0, 1, 0, 0, 0, 1]::DOUBLE[] WHEN 'ZY' THEN [0, 0, 1, 0, 1, 0, -1, 0, 0]::DOUBLE[] ELSE [1, 0, 0, 0, s, c, 0, -c, s] END"
+
+
+@query(with_sql("views", f""", a AS (SELECT setup_id, t, plane, 2 / sqrt(model[7] * model[7] + 4) AS c, model[7] / sqrt(model[7] * model[7] + 4) AS s FROM views, (SELECT unnest(['XY', 'ZY', 'XZ']) AS plane)),
+m AS (SELECT setup_id, t, plane, {_ALIGNED} AS m FROM a)
+SELECT setup_id, t, plane, {", ".join(_M.format(f"m[{3 * r + c + 1}]") + f" AS m{4 * r + c}" for r in range(3) for c in range(3))}, {", ".join(_M.format(f"{(100, 50, 0)[r]} - m[{3 * r + 1}] * 100 - m[{3 * r + 2}] * 50") + f" AS m{4 * r + 3}" for r in range(3))} FROM m""").replace("AS t))\n,", "AS t)),"))
 def align_planes(spark, sf_dir):
-    """The viewer turned to planes of each view."""
+    """The viewer turned about a point of the screen to each plane of each view: all entries."""
     out = None
-    for plane in ("XY", "ZY"):
-        m = affine.entries(camera.aligned(affine.IDENTITY, "model", plane, 0.0, 0.0))
-        one = derived.views(spark, sf_dir).select("setup_id", "t", F.lit(plane).alias("plane"), F.round(m[0]).cast("long").alias("r00"), F.round(m[5]).cast("long").alias("r11"))
+    for plane in ("XY", "ZY", "XZ"):
+        rows = derived.views(spark, sf_dir).withColumn("aligned", camera.aligned(affine.IDENTITY, "model", plane, 100.0, 50.0))
+        one = rows.select("setup_id", "t", F.lit(plane).alias("plane"), *[_micro(F.col("aligned")[i]).alias(f"m{i}") for i in range(12)])
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -295,11 +300,11 @@ def overview_scale(spark, sf_dir):
 
 
 @query(with_sql("boxes", """
-SELECT p.source_id AS source_id, floor(1e3 * ((min_x + max_x) * 0.25 + 64) + 0.5)::BIGINT AS cx FROM boxes p WHERE min_z <= 0 AND max_z > 0"""))
+SELECT p.source_id AS source_id, floor(1e3 * ((min_x + max_x) * 0.25 + 64) + 0.5)::BIGINT AS cx, floor(1e3 * ((min_y + max_y) * 0.25 + 32) + 0.5)::BIGINT AS cy FROM boxes p WHERE min_z <= 0 AND max_z > 0"""))
 def polygon_centre(spark, sf_dir):
     """Centres of the polygons in which boxes meet the screen."""
     found = overlays.section_polygons(overlays.box_edges(derived.boxes(spark, sf_dir), "source_id", VIEW), "source_id")
-    return found.groupBy("source_id").agg(F.floor(F.first("cx") * 1e3 + 0.5).cast("long").alias("cx"))
+    return found.groupBy("source_id").agg(F.floor(F.first("cx") * 1e3 + 0.5).cast("long").alias("cx"), F.floor(F.first("cy") * 1e3 + 0.5).cast("long").alias("cy"))
 
 
 @query()

@@ -7,6 +7,7 @@ from voxfabric.operators import bounds, catalog, overlays, screen, visibility
 from voxfabric.queries.registry import query
 from voxfabric.sources import blocks, derived
 from voxfabric.sources.derived import with_sql
+from voxfabric.streaming import state
 
 WIDTH, HEIGHT = 1680, 997
 #: Half size, moved: all numbers are dyadic, so both engines compute the same bounds.
@@ -64,12 +65,14 @@ def group_tree(spark, sf_dir):
     return tree.withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
 
 
-@query("""SELECT mode, what, CASE mode || what WHEN 'SINGLEfused' THEN 'FUSED' WHEN 'SINGLEgrouping' THEN 'GROUP' WHEN 'GROUPfused' THEN 'FUSEDGROUP' WHEN 'GROUPgrouping' THEN 'SINGLE'
-WHEN 'FUSEDfused' THEN 'SINGLE' WHEN 'FUSEDgrouping' THEN 'FUSEDGROUP' WHEN 'FUSEDGROUPfused' THEN 'GROUP' ELSE 'FUSED' END AS next
-FROM (SELECT unnest(['SINGLE', 'GROUP', 'FUSED', 'FUSEDGROUP']) AS mode), (SELECT unnest(['fused', 'grouping']) AS what)""")
+@query(with_sql("log", """, s AS (SELECT session, event_id, sum(CASE WHEN kind IN ('mode', 'source') AND arg % 2 = 0 THEN 1 ELSE 0 END) OVER w % 2 AS f, sum(CASE WHEN kind IN ('mode', 'source') AND arg % 2 = 1 THEN 1 ELSE 0 END) OVER w % 2 AS g
+FROM log WINDOW w AS (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT session, event_id, CASE WHEN f = 1 AND g = 1 THEN 'FUSEDGROUP' WHEN f = 1 THEN 'FUSED' WHEN g = 1 THEN 'GROUP' ELSE 'SINGLE' END AS mode FROM s""").replace("FROM events)\n,", "FROM events),"))
 def mode_transitions(spark, sf_dir):
-    rows = [(m, w, visibility.toggle_mode(m, w)) for m in visibility.MODES for w in ("fused", "grouping")]
-    return spark.createDataFrame(rows, "mode string, what string, next string")
+    """The display mode after each action of a log that switches fusing and grouping."""
+    log = derived.event_log(spark, sf_dir)
+    kind = F.when(F.col("kind").isin("mode", "source"), F.when(F.col("arg") % 2 == 0, "fused").otherwise("grouping")).otherwise(F.col("kind"))
+    return state.modes_after(log.withColumn("kind", kind)).select("session", "event_id", "mode")
 
 
 _BOUNDED = """bounded AS (
@@ -124,10 +127,12 @@ def overlapping_sources(spark, sf_dir):
     return screen.overlapping(r, other, 64).where("source_id < other_id").select("source_id", "other_id")
 
 
-@query("""SELECT tile_id, CAST(y AS BIGINT) AS strip_y0, least(y + 15, y1) AS strip_y1 FROM (
-SELECT ty * 14 + tx AS tile_id, ty * 128 AS y0, least(ty * 128 + 127, 996) AS y1, unnest(range(ty * 128, least(ty * 128 + 127, 996) + 1, 16)) AS y FROM (SELECT unnest(range(0, 14)) AS tx), (SELECT unnest(range(0, 8)) AS ty))""")
+@query(_sql(""", h AS (SELECT *, CAST(ceil((y1 - y0 + 1) / ceil((x1 - x0 + 1) * (y1 - y0 + 1) / 1024.0)) AS BIGINT) AS n FROM rects),
+k AS (SELECT *, CASE WHEN (x1 - x0 + 1) * (y1 - y0 + 1) < 1024 THEN y1 - y0 + 1 ELSE n END AS step FROM h)
+SELECT source_id, CAST(y AS BIGINT) AS strip_y0, least(y + step - 1, y1) AS strip_y1 FROM (SELECT source_id, y1, step, unnest(range(y0, y1 + 1, step)) AS y FROM k)"""))
 def tile_strips(spark, sf_dir):
-    return screen.strips(screen.tiles(WIDTH, HEIGHT, 128, spark), 16).select("tile_id", "strip_y0", "strip_y1")
+    """Rectangles on the screen cut into strips of equal height for rendering."""
+    return screen.equal_strips(_rectangles(spark, sf_dir), 1024).select("source_id", "strip_y0", "strip_y1")
 
 
 @query(_sql(", e AS (SELECT DISTINCT unnest([x0, x1 + 1]) AS edge FROM rects) SELECT list(edge ORDER BY edge)[count(*) // 2 + 1] AS split_x FROM e"))
@@ -137,14 +142,14 @@ def split_candidate(spark, sf_dir):
 
 @query("""
 WITH l AS (SELECT p_partkey, unnest(range(0, 5)) AS level, 0.125::DOUBLE * (p_size % 16 + 1) AS zoom FROM part),
-d AS (SELECT p_partkey, level, (1.0 / (zoom * pow(2.0, level)) - 1) * (1.0 / (zoom * pow(2.0, level)) - 1) * 2 AS dist FROM l)
+d AS (SELECT p_partkey, level, pow(1.0 / (zoom * pow(2.0, level)) - 1, 2) + pow(1.0 / (zoom * (1 + p_partkey % 5) * pow(2.0, level)) - 1, 2) AS dist FROM l)
 SELECT p_partkey, CAST(arg_min(level, (dist, level)) AS BIGINT) AS best FROM d GROUP BY p_partkey""")
 def best_level(spark, sf_dir):
     zoom = F.col("zoom")
     rows = derived.table(spark, sf_dir, "part").select("p_partkey", (F.lit(0.125) * (F.col("p_size") % 16 + 1)).alias("zoom"))
     rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(4))))
     f = F.pow(F.lit(2.0), "level")
-    rows = rows.withColumn("to_screen", affine.scaling([zoom * f, zoom * f, zoom * f], True))
+    rows = rows.withColumn("to_screen", affine.scaling([zoom * f, zoom * f * (1 + F.col("p_partkey") % 5), 3.0 * f], True))
     return screen.best_level(rows, ["p_partkey"]).withColumn("best", F.col("best").cast("long"))
 
 

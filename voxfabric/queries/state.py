@@ -53,12 +53,19 @@ def bookmarks(spark, sf_dir):
     return log.groupBy("session", F.col("arg").alias("bookmark")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query(with_sql("log", """, acts AS (SELECT *, lag(kind, 1, 'remove') OVER (PARTITION BY session, arg ORDER BY ts, event_id) AS before FROM log WHERE kind IN ('add', 'remove')),
-here AS (SELECT session, arg AS source_id, max(CASE WHEN kind = 'add' AND before = 'remove' THEN (ts, event_id) END) AS since, arg_max(kind, (ts, event_id)) AS last FROM acts GROUP BY session, arg)
-SELECT s.session AS session, list(source_id ORDER BY since) FILTER (WHERE last = 'add') AS sources, t.timepoint AS timepoint FROM (SELECT DISTINCT session FROM log) s LEFT JOIN here USING (session)
-JOIN (SELECT session, coalesce(arg_max(least(arg, 6), (ts, event_id)) FILTER (WHERE kind = 'timepoint'), 0) AS timepoint FROM log GROUP BY session) t ON t.session = s.session
-GROUP BY s.session, t.timepoint""").replace("FROM events)\n,", "FROM events),").replace("list(source_id ORDER BY since) FILTER (WHERE last = 'add') AS sources", "coalesce(string_agg(CAST(source_id AS VARCHAR), ',' ORDER BY since) FILTER (WHERE last = 'add'), '') AS sources"))
+_FOLD = """e AS (SELECT session, kind, arg, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS i FROM log),
+r AS (WITH RECURSIVE r AS (
+  SELECT DISTINCT session, 0::BIGINT AS i, []::BIGINT[] AS sources, NULL::BIGINT AS source, 0::BIGINT AS turns, 0::BIGINT AS timepoint, 0::BIGINT AS changes FROM e
+  UNION ALL SELECT session, i, now, src, turns + m, tp, changes + m + (tp <> timepoint)::INT + (len(now) <> len(sources))::INT + (src IS DISTINCT FROM source)::INT FROM (
+    SELECT *, CASE WHEN kind = 'source' AND list_contains(sources, arg) THEN arg WHEN len(now) > len(sources) AND source IS NULL THEN arg WHEN len(now) < len(sources) AND source = arg THEN now[1] ELSE source END AS src FROM (
+      SELECT r.session, e.i, e.kind, e.arg, r.sources, r.source, r.turns, r.timepoint, r.changes, (e.kind = 'mode')::INT AS m, CASE e.kind WHEN 'timepoint' THEN least(greatest(e.arg, 0), 6) ELSE r.timepoint END AS tp,
+        CASE WHEN e.kind = 'add' AND NOT list_contains(r.sources, e.arg) THEN list_append(r.sources, e.arg) WHEN e.kind = 'remove' THEN list_filter(r.sources, lambda x: x <> e.arg) ELSE r.sources END AS now
+      FROM r JOIN e ON e.session = r.session AND e.i = r.i + 1))) SELECT * FROM r)
+SELECT session, array_to_string(arg_max(sources, i), ',') AS sources, arg_max({'s': source}, i).s AS source, ['SINGLE', 'GROUP', 'FUSED', 'FUSEDGROUP'][CAST(arg_max(turns, i) % 4 + 1 AS INT)] AS mode, arg_max(timepoint, i) AS timepoint, arg_max(changes, i) AS changes FROM r GROUP BY session"""
+
+
+@query(with_sql("log", ",\n" + _FOLD).replace("FROM events)\n,", "FROM events),"))
 def state_fold(spark, sf_dir):
-    """The list of sources in order of arrival, and the timepoint, at the end of each session."""
+    """Sources in order of arrival, the current one, mode, timepoint and the number of changes at the end of each session."""
     end = state.fold(derived.event_log(spark, sf_dir), TIMEPOINTS)
-    return end.select("session", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"), "timepoint")
+    return end.select("session", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"), "source", "mode", "timepoint", "changes")

@@ -41,6 +41,14 @@ def with_state(log: DataFrame, num_timepoints: int) -> DataFrame:
     )
 
 
+def modes_after(log: DataFrame) -> DataFrame:
+    """Each action with the display mode after it, where "fused" and "grouping" each switch one half of the mode on and off."""
+    upto = _by_time().rowsBetween(Window.unboundedPreceding, 0)
+    on = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).over(upto) % 2 == 1
+    mode = F.when(on("fused"), F.when(on("grouping"), "FUSEDGROUP").otherwise("FUSED")).otherwise(F.when(on("grouping"), "GROUP").otherwise("SINGLE"))
+    return log.withColumn("mode", mode)
+
+
 def final_state(log: DataFrame, num_timepoints: int) -> DataFrame:
     """session, timepoint, source, mode after the last action."""
     place = F.struct("ts", "event_id")
