@@ -118,6 +118,31 @@ def test_tiles(spark):
     assert {r.frame for r in got} == {7} and all(0 in {r.source_id for r in got if r.tile_id == t} for t in {r.tile_id for r in got})
 
 
+@pytest.mark.parametrize("crowd", [10_000, 6, 0])
+def test_tiles_by_levels_equal_tiles_by_one_task(spark, crowd):
+    """Frames of many, few and no bounded sources, split level by level as far as they are crowded."""
+    r = np.random.default_rng(9)
+    rows = []
+    for frame, n in ((1, 40), (2, 3), (None, 12)):
+        for i in range(n):
+            x, y = int(r.integers(0, 180)), int(r.integers(0, 130))
+            rows.append((frame, i, i % 9 != 8, x, y, min(199, x + int(r.integers(0, 60))), min(149, y + int(r.integers(0, 60)))))
+    rows += [(1, 100 + k, True, 50, 40, 60, 50) for k in range(9)] + [(4, 5, False, 0, 0, 199, 149)]
+    df = spark.createDataFrame(rows, "frame int, source_id long, culled boolean, x0 int, y0 int, x1 int, y1 int")
+    frames = {f for f, *_ in rows if f is not None}
+    got = tiling.adaptive_tiles(df.where("frame is not null"), ["frame"], 200, 150, crowd=crowd).collect()
+    for f in frames:
+        own = [x for x in rows if x[0] == f]
+        rects, always = np.array([x[3:] for x in own if x[2]]).reshape(-1, 4), [x[1] for x in own if not x[2]]
+        ids, want, number = [x[1] for x in own if x[2]], set(), 0
+        for tile, inside in tiling.split_tiles(rects, (0, 0, 199, 149)):
+            for strip in tiling.strips_of(tile):
+                want |= {(number, *strip, s) for s in [*[ids[i] for i in inside], *always] or [None]}
+                number += 1
+        found = [tuple(x)[1:] for x in got if x.frame == f]
+        assert len(found) == len(set(found)) and set(found) == want, f
+
+
 def test_two_converters_are_an_error(spark):
     from voxfabric.operators import fusing
 

@@ -313,3 +313,31 @@ def adaptive_tiles(spark, sf_dir):
     seen = screen.cull(derived.boxes(spark, sf_dir), VIEW, WIDTH, HEIGHT)
     rects = screen.screen_rectangle(seen, WIDTH, HEIGHT).select((F.col("source_id") % 16).alias("frame"), "source_id", "culled", "x0", "y0", "x1", "y1")
     return tiling.adaptive_tiles(rects, ["frame"], WIDTH, HEIGHT)
+
+
+def _split_sql(tiles, members, out):
+    """One level of splitting, as relations out_t (tiles) and out_m (members)."""
+    return f"""
+{out}_e AS (SELECT DISTINCT frame, path, x0, y0, x1, y1, axis, cut FROM (SELECT frame, path, x0, y0, x1, y1, unnest([0, 0, 1, 1]) AS axis, unnest([rx0, rx1 + 1, ry0, ry1 + 1]) AS cut FROM {members})
+  WHERE CASE axis WHEN 0 THEN cut > x0 AND cut <= x1 ELSE cut > y0 AND cut <= y1 END),
+{out}_l AS (SELECT frame, path, coalesce(list(cut ORDER BY cut) FILTER (axis = 0), []) AS ex, coalesce(list(cut ORDER BY cut) FILTER (axis = 1), []) AS ey FROM {out}_e GROUP BY frame, path),
+{out}_p AS (SELECT t.*, CASE WHEN y1 - y0 >= x1 - x0 THEN CASE WHEN len(ey) > 0 THEN 1 ELSE 0 END ELSE CASE WHEN len(ex) > 0 THEN 0 ELSE 1 END END AS axis, ex, ey FROM {tiles} t JOIN {out}_l USING (frame, path) WHERE (x1 - x0 + 1) * (y1 - y0 + 1) > 64),
+{out}_a AS (SELECT *, CASE axis WHEN 0 THEN ex[len(ex) // 2 + 1] ELSE ey[len(ey) // 2 + 1] END AS cut FROM {out}_p),
+{out}_t AS (SELECT frame, path || side AS path, CASE WHEN axis = 0 AND side = 1 THEN cut ELSE x0 END AS x0, CASE WHEN axis = 1 AND side = 1 THEN cut ELSE y0 END AS y0, CASE WHEN axis = 0 AND side = 0 THEN cut - 1 ELSE x1 END AS x1,
+    CASE WHEN axis = 1 AND side = 0 THEN cut - 1 ELSE y1 END AS y1 FROM {out}_a, (SELECT unnest([0, 1]) AS side)
+  UNION ALL SELECT frame, path, x0, y0, x1, y1 FROM {tiles} WHERE (frame, path) NOT IN (SELECT (frame, path) FROM {out}_p)),
+{out}_m AS (SELECT t.*, source_id, rx0, ry0, rx1, ry1 FROM {out}_t t JOIN r USING (frame) WHERE rx0 <= x1 AND rx1 >= x0 AND ry0 <= y1 AND ry1 >= y0)"""
+
+
+@query(with_sql("boxes", f""",
+bounded AS (SELECT *, 0.5*(min_x-0.5) + 64 AS sx0, 0.5*(max_x+0.5) + 64 AS sx1, 0.5*(min_y-0.5) + 0.25*(min_z-0.5) + 32 AS sy0, 0.5*(max_y+0.5) + 0.25*(max_z+0.5) + 32 AS sy1, min_z-0.5 AS sz0, max_z+0.5 AS sz1 FROM boxes),
+seen AS (SELECT * FROM bounded WHERE culled AND sx1 >= 0 AND sx0 <= 1679 AND sy1 >= 0 AND sy0 <= 996 AND sz0 <= 0 AND sz1 >= 0),
+r AS (SELECT * FROM (SELECT source_id % 16 AS frame, source_id, CAST(greatest(floor(sx0), 0) AS BIGINT) AS rx0, CAST(greatest(floor(sy0), 0) AS BIGINT) AS ry0, CAST(least(ceil(sx1), 1679) AS BIGINT) AS rx1, CAST(least(ceil(sy1), 996) AS BIGINT) AS ry1 FROM seen) WHERE rx0 <= rx1 AND ry0 <= ry1),
+a_t AS (SELECT DISTINCT frame, '' AS path, 0::BIGINT AS x0, 0::BIGINT AS y0, 1679::BIGINT AS x1, 996::BIGINT AS y1 FROM r), a_m AS (SELECT t.*, source_id, rx0, ry0, rx1, ry1 FROM a_t t JOIN r USING (frame)),
+{_split_sql('a_t', 'a_m', 'b')}, {_split_sql('b_t', 'b_m', 'c')}, {_split_sql('c_t', 'c_m', 'd')}
+SELECT frame, t.x0 AS x0, t.y0 AS y0, t.x1 AS x1, t.y1 AS y1, source_id FROM d_t t LEFT JOIN d_m m USING (frame, path)""").replace("FROM part)\n,", "FROM part),"))
+def adaptive_tiles_levels(spark, sf_dir):
+    """Three levels of splitting of all frames at once, and the sources of each tile."""
+    seen = screen.cull(derived.boxes(spark, sf_dir), VIEW, WIDTH, HEIGHT)
+    rects = screen.screen_rectangle(seen, WIDTH, HEIGHT).where("culled").select((F.col("source_id") % 16).alias("frame"), "source_id", "culled", "x0", "y0", "x1", "y1")
+    return tiling.adaptive_tiles(rects, ["frame"], WIDTH, HEIGHT, most=1 << 40, depth=3).drop("tile_id")
