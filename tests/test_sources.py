@@ -1,6 +1,7 @@
 import gzip
 import json
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -114,3 +115,52 @@ def test_change_stream(spark, tmp_path):
         (1, 7, "CURRENT_TIMEPOINT_CHANGED", "6"), (2, 8, "DISPLAY_MODE_CHANGED", '"GROUP"'),
     ]
     assert np.isfinite(q.lastProgress["batchId"])
+
+
+def run_stream(spark, path, df, batches, first=None, trigger=None):
+    """The changes of a stream of files, one batch of sessions after the other."""
+    for k in range(batches):
+        df.where(F.col("event_id") % batches == k if trigger else (F.col("event_id") * batches >= k * 1000) & (F.col("event_id") * batches < (k + 1) * 1000)).coalesce(1).write.parquet(f"{path}/in", mode="append")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    q = state.change_stream(stream, 7, first, trigger is not None).writeStream.format("memory").queryName("agreed").option("checkpointLocation", f"{path}/ck").trigger(**(trigger or {"availableNow": True})).start()
+    return q
+
+
+def test_stream_and_fold_agree_on_all_fields(spark, tmp_path):
+    """Random actions of all kinds in three micro-batches; the last value of each change is the state that fold() finds."""
+    import random
+
+    r = random.Random(4)
+    kinds = "timepoint next previous source mode fused grouping interpolation add add add remove activate deactivate add_group remove_group group select toggle".split()
+    rows = [(i, i % 5, r.choice(kinds), r.randint(0, 5)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "event_id long, session long, kind string, arg long").withColumn("ts", F.timestamp_seconds("event_id"))
+    run_stream(spark, tmp_path, df, 3).awaitTermination(180)
+    last, count = {}, {}
+    for c in spark.table("agreed").orderBy("event_id").collect():
+        count[c.session] = count.get(c.session, 0) + 1
+        last[c.session, c.change] = json.loads(c.value)
+    ends = state.fold(df, 7).collect()
+    assert len(ends) == 5
+    for e in ends:
+        assert e.changes == count[e.session]
+        for change, field, default in (("CURRENT_TIMEPOINT_CHANGED", "timepoint", 0), ("CURRENT_SOURCE_CHANGED", "source", None), ("DISPLAY_MODE_CHANGED", "mode", "SINGLE"), ("INTERPOLATION_CHANGED", "interpolation", "NEAREST"), ("NUM_SOURCES_CHANGED", "sources", []), ("NUM_GROUPS_CHANGED", "groups", []), ("CURRENT_GROUP_CHANGED", "group", None)):
+            assert getattr(e, field) == last.get((e.session, change), default), (e.session, field)
+
+
+def test_initial_state_and_bookmarks(spark, tmp_path):
+    """A stream that starts from folded states; a recalled bookmark is reached by a timer."""
+    old = [(1, 1, "add", 5), (2, 1, "add", 6), (3, 1, "bookmark", 2), (4, 1, "timepoint", 3), (5, 2, "add", 9)]
+    make = lambda rows: spark.createDataFrame(rows, "event_id long, session long, kind string, arg long").withColumn("ts", F.timestamp_seconds("event_id"))
+    first = state.fold(make(old), 7)
+    new = make([(10, 1, "remove", 5), (11, 1, "recall", 2), (12, 1, "recall", 3), (13, 2, "next", 0), (14, 3, "add", 1)])
+    q = run_stream(spark, tmp_path, new, 1, first, {"processingTime": "200 milliseconds"})
+    for _ in range(120):
+        got = {tuple(x) for x in spark.table("agreed").collect()}
+        if (1, 3, "BOOKMARK_REACHED", "3") in got:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert got == {
+        (1, 10, "NUM_SOURCES_CHANGED", "[6]"), (1, 10, "CURRENT_SOURCE_CHANGED", "6"), (1, 11, "BOOKMARK_RECALLED", "3"), (1, 3, "BOOKMARK_REACHED", "3"),
+        (2, 13, "CURRENT_TIMEPOINT_CHANGED", "1"), (3, 14, "NUM_SOURCES_CHANGED", "[1]"), (3, 14, "CURRENT_SOURCE_CHANGED", "1"),
+    }

@@ -1,8 +1,13 @@
 """Viewer state from a log of actions (session, ts, event_id, kind, arg).
 
 Kinds: timepoint (go to arg), next and previous (timepoint), source (make arg
-current), mode (next display mode), add and remove (a source), activate and
-deactivate (a source), add_group and remove_group, group (make arg current).
+current), mode (next display mode), fused and grouping (switch that half of
+the mode), interpolation (the other one), add and remove (a source), activate
+and deactivate (a source), add_group and remove_group, group (make arg
+current), select and toggle (by place: make current, or switch on and off, the
+arg-th group if the mode has groups, else the arg-th source), bookmark (set
+bookmark arg to this action) and recall (go to bookmark arg; in a stream it is
+reached RECALL_MS later).
 
 fold() and change_stream() apply the same rules to whole logs and to streams:
 a session's state, and a change event only where an action changes something.
@@ -13,11 +18,15 @@ a matter of windows: the last value that was set, by whom it may.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from voxfabric.operators.visibility import toggle_mode
 
 MODES = ("SINGLE", "GROUP", "FUSED", "FUSEDGROUP")
 
@@ -78,7 +87,11 @@ def visibility_changes(log: DataFrame) -> DataFrame:
     return acts.withColumn("before", before).where("kind <> before").select("session", "event_id")
 
 
-def _apply(state: dict, kind: str, arg: int, num_timepoints: int) -> list[tuple[str, str]]:
+#: Fixed value: how long the way to a bookmark takes.
+RECALL_MS = 300
+
+
+def _apply(state: dict, kind: str, arg: int, num_timepoints: int, event_id: int = 0) -> list[tuple[str, str]]:
     """Put one action into a state; the changes it makes, in order, with their new values."""
     out: list[tuple[str, str]] = []
 
@@ -87,7 +100,7 @@ def _apply(state: dict, kind: str, arg: int, num_timepoints: int) -> list[tuple[
             state[name] = value
             out.append((change, json.dumps(value)))
 
-    def listed(names: str, name: str, change: str, current: str, now: str, there: bool) -> None:
+    def listed(names: str, name: str, current: str, change: str, now: str, there: bool) -> None:
         """Put arg into a list or take it out; the first to come becomes current, and the first left where the current one goes."""
         if (arg in state[names]) == there:
             return
@@ -97,7 +110,14 @@ def _apply(state: dict, kind: str, arg: int, num_timepoints: int) -> list[tuple[
         if not there and arg in state[current]:
             put(current, "VISIBILITY_CHANGED", [s for s in state[current] if s != arg])
 
+    def switched(active: str, which: int, on: bool) -> None:
+        rest = [s for s in state[active] if s != which]
+        put(active, "VISIBILITY_CHANGED", sorted([*rest, which]) if on else rest)
+
     last = num_timepoints - 1
+    mode = "DISPLAY_MODE_CHANGED"
+    by_group = state["mode"].endswith("GROUP")
+    names, current, active = ("groups", "group", "active_groups") if by_group else ("sources", "source", "active")
     if kind in ("timepoint", "next", "previous"):
         to = arg if kind == "timepoint" else state["timepoint"] + (1 if kind == "next" else -1)
         put("timepoint", "CURRENT_TIMEPOINT_CHANGED", min(max(to, 0), last))
@@ -105,24 +125,43 @@ def _apply(state: dict, kind: str, arg: int, num_timepoints: int) -> list[tuple[
         put("source", "CURRENT_SOURCE_CHANGED", arg)
     elif kind == "group" and arg in state["groups"]:
         put("group", "CURRENT_GROUP_CHANGED", arg)
+    elif kind == "select" and 0 <= arg < len(state[names]):
+        put(current, f"CURRENT_{current.upper()}_CHANGED", state[names][arg])
+    elif kind == "toggle" and 0 <= arg < len(state[names]):
+        which = state[names][arg]
+        switched(active, which, which not in state[active])
     elif kind == "mode":
-        put("mode", "DISPLAY_MODE_CHANGED", MODES[(MODES.index(state["mode"]) + 1) % len(MODES)])
+        put("mode", mode, MODES[(MODES.index(state["mode"]) + 1) % len(MODES)])
+    elif kind in ("fused", "grouping"):
+        put("mode", mode, toggle_mode(state["mode"], kind))
+    elif kind == "interpolation":
+        put("interpolation", "INTERPOLATION_CHANGED", "LINEAR" if state["interpolation"] == "NEAREST" else "NEAREST")
     elif kind in ("add", "remove"):
-        listed("sources", "source", "NUM_SOURCES_CHANGED", "active", "CURRENT_SOURCE_CHANGED", kind == "add")
+        listed("sources", "source", "active", "NUM_SOURCES_CHANGED", "CURRENT_SOURCE_CHANGED", kind == "add")
     elif kind in ("add_group", "remove_group"):
-        listed("groups", "group", "NUM_GROUPS_CHANGED", "active_groups", "CURRENT_GROUP_CHANGED", kind == "add_group")
+        listed("groups", "group", "active_groups", "NUM_GROUPS_CHANGED", "CURRENT_GROUP_CHANGED", kind == "add_group")
     elif kind in ("activate", "deactivate") and arg in state["sources"]:
-        rest = [s for s in state["active"] if s != arg]
-        put("active", "VISIBILITY_CHANGED", sorted([*rest, arg]) if kind == "activate" else rest)
+        switched("active", arg, kind == "activate")
+    elif kind == "bookmark":
+        state["bookmarks"] = state["bookmarks"] | {arg: event_id}
+    elif kind == "recall" and arg in state["bookmarks"]:
+        out.append(("BOOKMARK_RECALLED", json.dumps(state["bookmarks"][arg])))
     return out
 
 
+_LISTS = ("sources", "active", "groups", "active_groups")
+
+
 def _first_state() -> dict:
-    return {"timepoint": 0, "source": None, "mode": MODES[0], "sources": [], "active": [], "group": None, "groups": [], "active_groups": []}
+    return {"timepoint": 0, "source": None, "mode": MODES[0], "interpolation": "NEAREST", "group": None, **{k: [] for k in _LISTS}, "bookmarks": {}}
+
+
+#: A session's state as a row; also what change_stream() takes to start from.
+STATE = "session long, timepoint long, source long, mode string, interpolation string, group long, sources array<long>, active array<long>, groups array<long>, active_groups array<long>, bookmarks map<long, long>"
 
 
 def fold(log: DataFrame, num_timepoints: int) -> DataFrame:
-    """session, timepoint, source, mode, sources, active, group, groups, changes (how many) at the end of each session's log, by the rules of the stream.
+    """STATE and changes (how many) at the end of each session's log, by the rules of the stream.
 
     A group is one session's actions.
     """
@@ -130,35 +169,88 @@ def fold(log: DataFrame, num_timepoints: int) -> DataFrame:
     def run(actions: pd.DataFrame) -> pd.DataFrame:
         state, changes = _first_state(), 0
         actions = actions.sort_values(["ts", "event_id"], kind="stable")
-        for kind, arg in zip(actions["kind"], actions["arg"]):
-            changes += len(_apply(state, kind, arg, num_timepoints))
-        row = {"session": actions["session"].iloc[0], **{k: state[k] for k in ("timepoint", "source", "mode", "sources", "active", "group", "groups")}, "changes": changes}
-        return pd.DataFrame([row]).astype({"source": "Int64", "group": "Int64"})
-
-    out = "session long, timepoint long, source long, mode string, sources array<long>, active array<long>, group long, groups array<long>, changes long"
-    return log.select("session", "ts", "event_id", "kind", "arg").groupBy("session").applyInPandas(run, out)
-
-
-def change_stream(log: DataFrame, num_timepoints: int) -> DataFrame:
+        for event_id, kind, arg in zip(actions["event_id"], actions["kind"], actions["arg"]):
+            changes += len(_apply(state, kind, arg, num_timepoints, event_id))
+        return pd.DataFrame([{"session": actions["session"].iloc[0], **state, "changes": changes}]).astype({"source": "Int64", "group": "Int64"})
+
+    return log.select("session", "ts", "event_id", "kind", "arg").groupBy("session").applyInPandas(run, STATE + ", changes long")
+
+
+class _Session(StatefulProcessor):
+    """One session's state in typed parts: a value, lists, a map of bookmarks; a timer for each bookmark on its way."""
+
+    def __init__(self, num_timepoints: int, timers: bool):
+        self.num_timepoints, self.timers = num_timepoints, timers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "timepoint long, source long, mode string, interpolation string, group long")
+        self.lists = {k: handle.getListState(k, "id long") for k in _LISTS}
+        self.bookmarks = handle.getMapState("bookmarks", "key long", "event_id long")
+        self.ways = handle.getMapState("ways", "due long", "event_id long")
+
+    def _read(self) -> dict:
+        state = _first_state()
+        if self.now.exists():
+            state |= dict(zip(("timepoint", "source", "mode", "interpolation", "group"), self.now.get()))
+        state |= {k: [int(x[0]) for x in v.get()] if v.exists() else [] for k, v in self.lists.items()}
+        return state | {"bookmarks": {int(k[0]): int(v[0]) for k, v in self.bookmarks.iterator()}}
+
+    def _write(self, state: dict) -> None:
+        self.now.update(tuple(state[k] for k in ("timepoint", "source", "mode", "interpolation", "group")))
+        for k, v in self.lists.items():
+            v.put([(x,) for x in state[k]]) if state[k] else v.clear()
+        for key, event_id in state["bookmarks"].items():
+            self.bookmarks.updateValue((key,), (event_id,))
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        row = initialState.iloc[0]
+        none = lambda v: None if pd.isna(v) else int(v)
+        lists = {k: [] if row[k] is None else [int(x) for x in row[k]] for k in _LISTS}
+        marks = row["bookmarks"] or {}
+        self._write({"timepoint": int(row["timepoint"]), "source": none(row["source"]), "mode": row["mode"], "interpolation": row["interpolation"], "group": none(row["group"]), **lists, "bookmarks": {int(k): int(v) for k, v in dict(marks).items()}})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        state, out = self._read(), []
+        actions = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")  # one trigger's actions of a session
+        for event_id, kind, arg in zip(actions["event_id"], actions["kind"], actions["arg"]):
+            found = _apply(state, kind, int(arg), self.num_timepoints, int(event_id))
+            out += [(key[0], int(event_id), change, value) for change, value in found]
+            if found and kind == "recall" and self.timers:
+                due = timerValues.getCurrentProcessingTimeInMs() + RECALL_MS
+                self.ways.updateValue((due,), (state["bookmarks"][int(arg)],))
+                self.handle.registerTimer(due)
+        self._write(state)
+        yield pd.DataFrame(out, columns=["session", "event_id", "change", "value"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        event_id = int(self.ways.getValue((due,))[0])
+        self.ways.removeKey((due,))
+        yield pd.DataFrame([(key[0], event_id, "BOOKMARK_REACHED", json.dumps(event_id))], columns=["session", "event_id", "change", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def change_stream(log: DataFrame, num_timepoints: int, first: DataFrame | None = None, timers: bool = False) -> DataFrame:
     """A stream of actions to one of changes: session, event_id, change, value (JSON).
 
     Removing the current source makes the first one left current, adding to
     an empty list the new one; other sources can be made current only while
     they are listed. Actions of a micro-batch are taken in order of ts and
-    event_id; state lives as long as the stream.
+    event_id; state lives as long as the stream, in typed parts, of which a
+    session's trigger reads and writes its own. first: sessions' states
+    (STATE) to start from, such as fold() gives. With timers, a recalled
+    bookmark is reached in the first trigger after its way; such a stream has
+    batches without actions too, so it doesn't end by itself when it has read
+    what is available.
     """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else _first_state()
-        rows = []
-        actions = pd.concat(frames).sort_values(["ts", "event_id"], kind="stable")  # one trigger's actions of a session
-        for event_id, kind, arg in zip(actions["event_id"], actions["kind"], actions["arg"]):
-            rows += [(key[0], event_id, change, value) for change, value in _apply(state, kind, arg, num_timepoints)]
-        held.update((json.dumps(state),))
-        yield pd.DataFrame(rows, columns=["session", "event_id", "change", "value"])
-
-    out = "session long, event_id long, change string, value string"
-    return log.groupBy("session").applyInPandasWithState(update, out, "state string", "append", "NoTimeout")
+    spark = log.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    start = None if first is None else first.select(*[c.strip().split()[0] for c in re.sub(r"map<[^>]*>", "map", STATE).split(",")]).groupBy("session")
+    rows = log.select("session", "ts", "event_id", "kind", "arg").groupBy("session")
+    return rows.transformWithStateInPandas(_Session(num_timepoints, timers), "session long, event_id long, change string, value string", "append", "processingTime" if timers else "none", start)
 
 
 def best_so_far(samples: DataFrame) -> DataFrame:
