@@ -99,18 +99,17 @@ def _gradients(net: Network, rows: np.ndarray, label: np.ndarray, weight: np.nda
     return [g_embed, g_conv, g_pooled.sum(0), pooled.T @ g_hidden, g_hidden.sum(0), hidden.T @ d, d.sum(keepdims=True)]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, doc_chunks: int = 8, passes: int = 4, rate: float = 0.003, seed: int = 5, text: str = "text", label: str = "quality", doc_id: str = "doc_id") -> Network:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, passes: int = 4, rate: float = 0.003, seed: int = 5, text: str = "text", label: str = "quality", doc_id: str = "doc_id") -> Network:
     """Fit on the texts of docs whose ids labels gives a label of 0 or 1.
 
     The fit uses a bounded sample: about sample_docs ids, chosen from labels
-    by a hash, half of each label as far as there are so many; of each text
-    doc_chunks chunks at most, spread evenly from its first to its last, taken
-    in the tasks. So the fit, which runs on the driver, gets sample_docs *
-    doc_chunks * CHUNK bytes (12 MB) at most by these two parameters; scoring
-    takes whole texts. Only the chosen ids are sent to the tasks, so no text
-    is shuffled. The two labels weigh as they do among all labels. Null texts
-    count as empty. Without any row of one of the labels the network stays
-    untrained but for its bias.
+    by a hash, half of each label as far as there are so many, and every chunk
+    of their texts, whatever their length; a text's chunks share its weight.
+    The fit runs on the driver and holds twice the sample's bytes. Only the
+    chosen ids are sent to the tasks, so no text is shuffled. The two labels
+    weigh as they do among all labels. Null texts count as empty. Rows that
+    repeat an id, in texts or labels, each bring their pair. Without any row
+    of one of the labels the network stays untrained but for its bias.
     """
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
     count = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -130,8 +129,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, doc_chun
         for batch in batches:
             for i, y, t in zip(*(c.to_pylist() for c in batch.columns)):
                 c = chunks(t)
-                if len(c) > doc_chunks:
-                    c = c[np.linspace(0, len(c) - 1, doc_chunks).astype(int)]
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([y], pa.int32()), pa.array([len(c)], pa.int32()), pa.array([np.ascontiguousarray(c, "<i2").tobytes()])], names=["id", "label", "n", "chunks"])
 
     got = sorted(some.mapInArrow(cut, "id string, label int, n int, chunks binary").collect(), key=lambda r: (r.label, r.id))
