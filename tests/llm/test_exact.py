@@ -67,3 +67,19 @@ def test_marked_misses_none(spark):
     rows = spark.range(3000).select((F.col("id") * 7919 - 5000).alias("v"), "id")
     got = marked(rows, F.col("v"), keys, "hit").collect()
     assert all(r.hit for r in got if r.id % 3 == 0) and sum(r.hit for r in got) < 1400
+
+
+def test_ids_that_are_no_longs_count_as_null(spark):
+    """Operators that compare ids as longs take any ids."""
+    from voxfabric.llm import similarity_join, substring_dedup, token_index
+
+    t = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([("7", t, 1), ("x9", t, 2), ("12", t, 3), (None, "short", 4)], "doc_id string, text string, k int")
+    found = {r.words_md5: (r.class_id, r.copies) for r in similarity_join.join(df).collect()}
+    assert sorted(found.values(), key=str) == [(7, 3), (None, 1)]
+    assert sorted(r.k for r in similarity_join.drop_near_copies(df).collect()) == [1, 2, 4]
+    removed = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.remove_repeats(df).collect()}
+    assert removed["7", 30] == 0 and removed["12", 30] == 30 and len(removed) == 4
+    index = token_index.write(df)
+    assert sorted(str(r.doc_id) for r in token_index.read_all(index).collect()) == ["12", "7", "None", "None"]
+    assert len(token_index.lookup(index, df.where("k < 3").select("doc_id")).collect()) == 3

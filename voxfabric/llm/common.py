@@ -80,9 +80,11 @@ def few_rows(batches: Iterator[pa.RecordBatch], most: int = 128) -> Iterator[pa.
     give_back()
 
 
-def as_long(doc_id: Column) -> Column:
-    """An id as a long; null where it is none."""
-    return doc_id.cast("string").try_cast("long")
+def as_long(docs: DataFrame, doc_id: str) -> Column:
+    """An id column as a long; null where an id is none."""
+    whole_numbers = docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    at = F.col("`" + doc_id.replace("`", "``") + "`")
+    return at.cast("long") if whole_numbers else at.cast("string").try_cast("long")
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:

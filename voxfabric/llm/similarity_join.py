@@ -180,7 +180,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tries: int = 20, d
             keys = [forest.keys(g, at).tobytes() if len(g) else None for g in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(w) for w in texts]), pa.array(keys, pa.binary()), pa.array([len(g) for g in sets], pa.int64())], names=["doc_id", "class", "keys", "n_grams"])
 
-    rows = docs.select(as_long(F.col(doc_id)).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(as_long(docs, doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = cut(rows.mapInArrow(sign, "doc_id long, class string, keys binary, n_grams long"))
     total = signed.count()
     classes = cut(signed.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"), F.any_value("n_grams").alias("n_grams")))
@@ -254,7 +254,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = join(docs, doc_id=doc_id, text=text, **options).where("doc_id is not null")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("words_md5").eqNullSafe(F.col("class_md5"))
     rows = cut(found.groupBy("doc_id", "words_md5").agg(F.any_value(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
-    own = {"doc_id": as_long(F.col(f"`{doc_id}`")), "words_md5": F.md5(F.trim(F.regexp_replace(text_column(text), SPACE, " ")))}
+    own = {"doc_id": as_long(docs, doc_id), "words_md5": F.md5(F.trim(F.regexp_replace(text_column(text), SPACE, " ")))}
     stay = without(docs, own, rows.where("not stays"))
     twins = rows.where("stays")
     return stay if twins.isEmpty() else once(stay, own, twins)

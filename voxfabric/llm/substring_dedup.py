@@ -4,9 +4,12 @@ The reference is all of the corpus. Its index, from each phrase of `window`
 words to the smallest document that has it and the place there, is dealt by
 hash into blocks, and every document is looked up in every block that one of
 its phrases falls into. The answers are parsed from left to right: a factor
-is the longest run of places that copies one stretch of one earlier document.
-Where a factor ends, the phrases that straddle its end are looked up like all
-others and begin factors of their own, so nothing is lost at a boundary.
+is a run of places whose phrases all have their smallest document in one, and
+stand in one stretch there. So a factor ends where the next phrase has a
+smaller document, even if a longer stretch could be copied from another one:
+which words repeat doesn't depend on it. Where a factor ends, the phrases that
+straddle its end are looked up like all others and begin factors of their own,
+so nothing is lost at a boundary.
 
 Phrases are found by 64-bit hashes. Every factor is then checked: the 128-bit
 digests of its words and of the words it copies must agree, and for the
@@ -30,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import cut, hot_lookup, marked, stored
+from voxfabric.llm.common import as_long, cut, hot_lookup, marked, stored
 from voxfabric.llm.shingles import Words, mix
 
 #: Phrases that a task holds at a time (about 60 bytes each while it sorts).
@@ -330,7 +333,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
 
     Words are runs other than ASCII white space. A word goes if a window of
     `window` words that covers it also starts in a row with a smaller id, in
-    the input as given. Ids are compared as longs. Null texts have no words;
+    the input as given. Ids are compared as longs, and those that are none count
+    as null. Null texts have no words;
     texts shorter than a window stay whole; texts of any length are parsed
     whole by one task. Rows that share an id don't remove each other's words,
     and each loses its own repeats alone; rows that repeat both id and text
@@ -342,7 +346,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     blocks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // 6 // BLOCK_PHRASES)
     blocks = 1 << (blocks - 1).bit_length()
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("given"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("given"), as_long(docs, doc_id).alias("doc_id"), F.col(text).alias("text"))
     repeated = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     rows = marked(rows, F.coalesce("doc_id", F.lit(0)), repeated.where("doc_id is not null"), "again")
     rows = rows.select("given", "doc_id", "text", F.when(F.col("again"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long")).alias("tag"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfabric.llm.common import cut, stored
+from voxfabric.llm.common import as_long, cut, stored
 from voxfabric.llm.tokens import default_tokenizer, encoder
 
 SHARD = "bucket int, shard int, local_start long, first_id long, last_id long, n_keys int, n_ids long, n_null int, width int, doc_ids binary, displacement binary, slots binary, offsets binary, payload binary"
@@ -137,14 +137,15 @@ def write(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None, shard_
     documents. Documents are dealt by ranges of their id and, within an id, of
     a hash of the text, to parts of about bucket_bytes of text, so that an id
     of any number of rows, nulls too, is spread over parts and shards; within
-    a part shards follow each other. Ids are compared as longs. Rows that
+    a part shards follow each other. Ids are compared as longs, and those that
+    are none count as null. Rows that
     repeat an id follow each other in the order of that hash. Null and empty
     texts are the end id alone; a text of any length is one record. An empty
     table gives an empty index; further columns of docs are ignored, whatever
     their names.
     """
     path = tokenizer or default_tokenizer()
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(as_long(docs, doc_id).alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     dtype = encoder(path).dtype
@@ -215,6 +216,11 @@ FEW_PARTS = 1000
 def lookup(index: DataFrame, keys: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The ids of given documents: doc_id, ids. Keys that the index lacks give no row.
 
+    A null key (or one that is no long) asks for the documents with null ids;
+    a key that is asked for twice is answered once, one that several documents
+    have by all of them. An empty index or table of keys gives an empty
+    result.
+
     Parts are taken together in at most DIRECTORY runs, whose first and last
     ids go to the tasks and lead a key to its run, nearly always one; in the
     run, shards are told by their ids' range, and in a shard a key costs one
@@ -228,7 +234,7 @@ def lookup(index: DataFrame, keys: DataFrame, doc_id: str = "doc_id") -> DataFra
     runs = ranged.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("run").collect()
     lows, highs = (np.array([r[c] for r in runs], np.int64) for c in ("low", "high"))
     numbers_ = np.array([r.run for r in runs], np.int32)
-    wanted = keys.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(low)).alias("key"), F.col(doc_id).cast("long").alias("asked")).distinct()
+    wanted = keys.select(F.coalesce(as_long(keys, doc_id), F.lit(low)).alias("key"), as_long(keys, doc_id).alias("asked")).distinct()
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
