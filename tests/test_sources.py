@@ -164,3 +164,14 @@ def test_initial_state_and_bookmarks(spark, tmp_path):
         (1, 10, "NUM_SOURCES_CHANGED", "[6]"), (1, 10, "CURRENT_SOURCE_CHANGED", "6"), (1, 11, "BOOKMARK_RECALLED", "3"), (1, 3, "BOOKMARK_REACHED", "3"),
         (2, 13, "CURRENT_TIMEPOINT_CHANGED", "1"), (3, 14, "NUM_SOURCES_CHANGED", "[1]"), (3, 14, "CURRENT_SOURCE_CHANGED", "1"),
     }
+
+
+def test_checked_actions(spark):
+    log = [(1, "add", 5), (2, "source", 5), (3, "remove", 5), (4, "activate", 5), (5, "timepoint", 7), (6, "group", 1), (7, "timepoint", None), (8, "next", None), (9, None, 1)]
+    df = spark.createDataFrame([(1, e, k, a) for e, k, a in log], "session long, event_id long, kind string, arg long").withColumn("ts", F.timestamp_seconds("event_id"))
+    assert {(r.event_id, r.reason) for r in state.rejected(df, 7).collect()} == {(4, "no such source"), (5, "no such timepoint"), (6, "no such group"), (7, "no number"), (9, "no number")}
+    assert state.checked(df.where("event_id <= 3"), 7).count() == 3 and state.checked(df.limit(0), 7).collect() == []
+    with pytest.raises(PySparkException, match="no such timepoint"):
+        state.checked(df.where("event_id = 5"), 7).collect()
+    with pytest.raises(ValueError, match="at least one"):
+        state.rejected(df, 0)

@@ -128,3 +128,9 @@ def table_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
 def names_of(setups: DataFrame, name: Column, angle: Column, channel: Column) -> DataFrame:
     """Setups with a name: their own, or one made of angle and channel."""
     return setups.withColumn("name", setup_name(name, angle, channel))
+
+
+def distinct_sets(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """attribute, value: the distinct values of each column as text, nulls left out."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in columns])).alias("a")
+    return rows.select(each).select("a.*").where("value is not null").distinct()

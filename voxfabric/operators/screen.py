@@ -107,6 +107,14 @@ def scaled_screen(width: Column, height: Column, scale: Column) -> dict[str, Col
     return {"width": F.ceil(width * scale).cast("long"), "height": F.ceil(height * scale).cast("long"), "shift": shift}
 
 
+def scaled_interval(rectangles: DataFrame, width: int, height: int, scale: Column) -> DataFrame:
+    """Adds i_x0, i_y0, i_x1, i_y1: rectangles of the screen in its scaled image, rounded outwards and clipped to it."""
+    size = scaled_screen(F.lit(width), F.lit(height), scale)
+    low = {f"i_{a}0": F.greatest(F.lit(0), F.floor(F.col(f"{a}0") * scale)).cast("long") for a in "xy"}
+    high = {f"i_{a}1": F.least(size[n] - 1, F.ceil(F.col(f"{a}1") * scale)).cast("long") for a, n in (("x", "width"), ("y", "height"))}
+    return rectangles.withColumns(low | high)
+
+
 def tiles(width: int, height: int, size: int, spark) -> DataFrame:
     """tile_id, x0, y0, x1, y1 of the tiles of a screen; the last ones are cut."""
     nx, ny = -(-width // size), -(-height // size)

@@ -147,3 +147,9 @@ def cell_counts(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size").cast("long")
     nx, ny = scalars.cell_count(s * 7, F.lit(16)), scalars.cell_count(k % 90 + 1, F.lit(8))
     return derived.table(spark, sf_dir, "part").select("p_partkey", nx.alias("nx"), ny.alias("ny"), scalars.cell_index([k % 3, s % 5, F.lit(2)], [nx, ny]).alias("flat"))
+
+
+@query(with_sql("views", "SELECT DISTINCT 'setup_id' AS attribute, CAST(setup_id AS VARCHAR) AS value FROM views UNION SELECT 't', CAST(t AS VARCHAR) FROM views UNION SELECT 'present', CAST(present AS VARCHAR) FROM views"))
+def distinct_sets(spark, sf_dir):
+    """Ids in use and attributes that occur."""
+    return catalog.distinct_sets(derived.views(spark, sf_dir), ["setup_id", "t", "present"])

@@ -107,6 +107,14 @@ def rendered_pixels(spark, sf_dir):
     return screen.rendered_pixels(_rectangles(spark, sf_dir), WIDTH, HEIGHT)
 
 
+@query(_sql(""", k AS (SELECT *, [1.0, 0.75, 0.5, 0.25, 0.125][CAST(source_id % 5 + 1 AS INT)]::DOUBLE AS s FROM rects)
+SELECT source_id, greatest(0, floor(x0 * s))::BIGINT AS i_x0, greatest(0, floor(y0 * s))::BIGINT AS i_y0, least(ceil(s * 1680) - 1, ceil(x1 * s))::BIGINT AS i_x1, least(ceil(s * 997) - 1, ceil(y1 * s))::BIGINT AS i_y1 FROM k"""))
+def scaled_intervals(spark, sf_dir):
+    """Each source's rectangle in one of the scaled screens."""
+    scale = F.element_at(F.array(*[F.lit(v) for v in (1.0, 0.75, 0.5, 0.25, 0.125)]), (F.col("source_id") % 5 + 1).cast("int"))
+    return screen.scaled_interval(_rectangles(spark, sf_dir), WIDTH, HEIGHT, scale).select("source_id", "i_x0", "i_y0", "i_x1", "i_y1")
+
+
 _TILES = "tiles AS (SELECT ty * 27 + tx AS tile_id, tx * 64 AS tx0, ty * 64 AS ty0 FROM (SELECT unnest(range(0, 27)) AS tx), (SELECT unnest(range(0, 16)) AS ty))"
 
 

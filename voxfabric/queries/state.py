@@ -69,3 +69,10 @@ def state_fold(spark, sf_dir):
     """Sources in order of arrival, the current one, mode, timepoint and the number of changes at the end of each session."""
     end = state.fold(derived.event_log(spark, sf_dir), TIMEPOINTS)
     return end.select("session", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"), "source", "mode", "timepoint", "changes")
+
+
+@query(with_sql("log", """, s AS (SELECT *, last_value(CASE WHEN kind IN ('add', 'remove') THEN kind END IGNORE NULLS) OVER (PARTITION BY session, arg ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM log)
+SELECT session, event_id, CASE WHEN kind = 'timepoint' THEN 'no such timepoint' ELSE 'no such source' END AS reason FROM s WHERE kind = 'timepoint' AND arg >= 7 OR kind = 'source' AND coalesce(was, 'remove') = 'remove'""").replace("FROM events)\n,", "FROM events),"))
+def rejected_actions(spark, sf_dir):
+    """Actions that name timepoints and sources that there are none of."""
+    return state.rejected(derived.event_log(spark, sf_dir), TIMEPOINTS)

@@ -87,6 +87,35 @@ def visibility_changes(log: DataFrame) -> DataFrame:
     return acts.withColumn("before", before).where("kind <> before").select("session", "event_id")
 
 
+def rejected(log: DataFrame, num_timepoints: int) -> DataFrame:
+    """session, event_id, reason: actions that a viewer refuses, which the folds pass over or clamp.
+
+    Timepoints that there are none of, sources and groups that aren't listed
+    when they are made current or switched, and actions without a number.
+    """
+    if num_timepoints < 1:
+        raise ValueError("there must be at least one timepoint")
+    before = Window.partitionBy("session", "arg").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    was = lambda *kinds: F.coalesce(F.last(F.when(F.col("kind").isin(*kinds), F.col("kind")), True).over(before), F.lit(kinds[1])) == kinds[0]
+    kind, number = F.col("kind"), F.col("arg")
+    needs = kind.isin("timepoint", "source", "group", "add", "remove", "activate", "deactivate", "add_group", "remove_group", "select", "toggle", "bookmark", "recall")
+    reason = (
+        F.when(kind.isNull() | needs & number.isNull(), "no number")
+        .when((kind == "timepoint") & ((number < 0) | (number >= num_timepoints)), "no such timepoint")
+        .when(kind.isin("source", "activate", "deactivate") & ~was("add", "remove"), "no such source")
+        .when((kind == "group") & ~was("add_group", "remove_group"), "no such group")
+    )
+    return log.withColumn("reason", reason).where("reason is not null").select("session", "event_id", "reason")
+
+
+def checked(log: DataFrame, num_timepoints: int) -> DataFrame:
+    """log, which is an error if it has an action that rejected() gives."""
+    bad = rejected(log, num_timepoints).select(F.col("session").alias("s"), F.col("event_id").alias("e"), "reason")
+    both = log.join(bad, F.col("session").eqNullSafe(F.col("s")) & (F.col("event_id") == F.col("e")), "left")
+    wrong = F.raise_error(F.format_string("action %s of session %s: %s", F.col("event_id").cast("string"), F.col("session").cast("string"), "reason")).cast("string")
+    return both.withColumn("kind", F.when(F.col("reason").isNotNull(), wrong).otherwise(F.col("kind"))).select(log.columns)
+
+
 #: Fixed value: how long the way to a bookmark takes.
 RECALL_MS = 300
 
