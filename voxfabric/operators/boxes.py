@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxfabric.plans.pyramids import source_level
+from voxfabric.sources.scratch import settled
 
 _BOX = "x0 long, y0 long, z0 long, size array<int>, data array<long>"
 
@@ -76,7 +77,8 @@ def downsample(image: Image, factors: Sequence[int]) -> Image:
     """The mean, rounded down, of each block of factors.
 
     The result has max(1, size div factor) voxels a side; where a block
-    reaches past the image its edge counts again.
+    reaches past the image its edge counts again. The result is computed once
+    and checkpointed, as levels are read by the next ones and by writers.
     """
     keys, size, total = image.keys, image.size, prod(factors)
     kinds = {f.name: f.dataType.simpleString() for f in image.boxes.schema.fields}
@@ -110,7 +112,8 @@ def downsample(image: Image, factors: Sequence[int]) -> Image:
                     names=[*keys, "whole", "x0", "y0", "z0", "size", "data"],
                 )
 
-    out = image.boxes.mapInArrow(shrink, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "whole boolean", _BOX]))
+    # Both parts of the result come from one pass.
+    out = settled(image.boxes.mapInArrow(shrink, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "whole boolean", _BOX])))
     boxes = out.where("whole").drop("whole")
     partial = Image(out.where("not whole").drop("whole"), image.voxels.where("false"), size, keys).as_voxels()
     weight, inside = F.lit(1), F.lit(True)
@@ -119,7 +122,7 @@ def downsample(image: Image, factors: Sequence[int]) -> Image:
         weight = weight * F.when(F.col(a) == n - 1, F.greatest(reach, F.lit(1))).otherwise(1)
         inside = inside & (F.floor(F.col(a) / f) < max(1, n // f))
     voxels = image.voxels.where(inside).select(*keys, *[F.floor(F.col(a) / f).cast("long").alias(a) for a, f in zip("xyz", factors)], (F.col("v") * weight).cast("long").alias("v"))
-    summed = partial.unionByName(voxels).groupBy(*keys, "x", "y", "z").agg(F.floor(F.sum("v") / total).cast("long").alias("v"))
+    summed = settled(partial.unionByName(voxels).groupBy(*keys, "x", "y", "z").agg(F.floor(F.sum("v") / total).cast("long").alias("v")))
     return Image(boxes, summed, tuple(max(1, n // f) for n, f in zip(size, factors)), keys)
 
 
