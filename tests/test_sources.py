@@ -175,3 +175,10 @@ def test_checked_actions(spark):
         state.checked(df.where("event_id = 5"), 7).collect()
     with pytest.raises(ValueError, match="at least one"):
         state.rejected(df, 0)
+
+
+def test_stores_by_uri(tmp_path):
+    """Folders and file URIs open alike; what can't be reached is none."""
+    assert n5.reached(str(tmp_path))[1] == n5.reached(f"file://{tmp_path}")[1] == str(tmp_path)
+    for uri in (str(tmp_path / "none"), f"file://{tmp_path}/none", "nowhere://host/store", "odd://"):
+        assert n5.reached(uri) is None

@@ -83,6 +83,15 @@ def file_system(path: str) -> tuple[files.FileSystem, str]:
     return files.FileSystem.from_uri(path) if "://" in path else (files.LocalFileSystem(), os.path.abspath(path))
 
 
+def reached(path: str) -> tuple[files.FileSystem, str] | None:
+    """The same for a store that is there; None where its file system isn't known or can't be reached, or there is no such folder."""
+    try:
+        store, root = file_system(path)
+        return (store, root) if store.get_file_info(root).type == files.FileType.Directory else None
+    except (OSError, ValueError, pa.ArrowException):
+        return None
+
+
 def attributes(store: files.FileSystem, path: str) -> dict:
     """The attributes of a folder, none if it has no such file."""
     try:
