@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voxfabric.functions import affine
 from voxfabric.functions.affine import let
@@ -202,10 +203,25 @@ def similar(start: affine.Affine, end: affine.Affine, t: Column) -> Column:
     return let(_whole(start), lambda a: let(_whole(end), lambda b: between(a, b)))
 
 
+def stepped(m: affine.Affine, e: Column) -> Column:
+    """m after an event (zoom, by, x, y, dx, dy): scaled by zoom / by about a point of the screen, then shifted.
+
+    As the viewer does it, the shift is taken off, the map is multiplied and
+    divided, and the shift put back; in doubles, the product of maps of steps
+    would be another number.
+    """
+    scaled = lambda p: F.transform(moved(p, -e["x"], -e["y"]), lambda v: v * e["zoom"] / e["by"])
+    return let(_whole(m), lambda p: F.when((e["zoom"] == 1) & (e["by"] == 1), moved(p, e["dx"], e["dy"])).otherwise(moved(moved(scaled(p), e["x"], e["y"]), e["dx"], e["dy"])))
+
+
 def navigated(events: DataFrame, keys: Sequence[str], order: Sequence[str], start: affine.Affine) -> DataFrame:
-    """keys, viewer: the maps of navigation events (column step: what each does to the viewer), one after the other. A group is one session's events."""
+    """keys, viewer: the map after all navigation events, one after the other. A group is one session's events.
+
+    events: step, what each does: a map, or a struct of zoom, by, x, y, dx, dy (see stepped()).
+    """
     steps = F.array_sort(F.collect_list(F.struct(*order, "step")))
-    whole = F.aggregate(steps, affine.affine(start), lambda m, e: affine.compose(e["step"], m))
+    after = stepped if isinstance(events.schema["step"].dataType, StructType) else lambda m, e: affine.compose(e, m)
+    whole = F.aggregate(steps, affine.affine(start), lambda m, e: after(m, e["step"]))
     return events.groupBy(*keys).agg(whole.alias("viewer"))
 
 

@@ -179,9 +179,14 @@ SELECT session, {_M.format('arg_max(s, i) / 7e3')} AS scale, {_M.format('arg_max
 def navigation(spark, sf_dir):
     """Where each session's viewer ends: zooms by keys about the centre, and drags."""
     log = derived.event_log(spark, sf_dir)
-    zoom = lambda f: camera.zoomed(affine.IDENTITY, f, 840.0, 498.0)
-    drag = camera.moved(affine.IDENTITY, F.col("arg") * 10.0, -F.col("arg") * 1.0)
-    step = F.when(F.col("kind") == "source", zoom(camera.KEY_ZOOM)).when(F.col("kind") == "mode", zoom(F.lit(1.0) / camera.KEY_ZOOM)).otherwise(drag)
+    is_in, is_out = F.coalesce(F.col("kind") == "source", F.lit(False)), F.coalesce(F.col("kind") == "mode", F.lit(False))
+    about = lambda v: F.when(is_in | is_out, v).otherwise(0.0)
+    shift = lambda c: F.when(is_in | is_out, 0.0).otherwise(c)
+    fields = {
+        "zoom": F.when(is_in, camera.KEY_ZOOM).otherwise(1.0), "by": F.when(is_out, camera.KEY_ZOOM).otherwise(1.0),
+        "x": about(840.0), "y": about(498.0), "dx": shift(F.col("arg") * 10.0), "dy": shift(-F.col("arg") * 1.0),
+    }
+    step = F.struct(*[c.alias(k) for k, c in fields.items()])
     out = camera.navigated(log.withColumn("step", step), ["session"], ["ts", "event_id"], affine.IDENTITY)
     p = affine.entries("viewer")
     return out.select("session", *[_micro(c / 7e3).alias(n) for c, n in ((p[0], "scale"), (p[3], "tx"), (p[7], "ty"))])
