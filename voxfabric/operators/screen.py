@@ -72,9 +72,21 @@ def level_distance(to_screen: Column) -> Column:
     return F.pow(side(x), F.lit(2)) + F.pow(side(y), F.lit(2))
 
 
-def best_level(levels: DataFrame, keys: Sequence[str], to_screen: str = "to_screen") -> DataFrame:
-    """Per key the level whose voxels are nearest to pixels; of equals the finer one."""
-    return levels.groupBy(*keys).agg(F.min_by("level", F.struct(level_distance(F.col(to_screen)), "level")).alias("best"))
+def nearest_level(to_screen: Sequence[affine.Affine]) -> Column:
+    """distance and level of that of a source's levels, given by their maps, whose voxels are nearest to pixels; of equals the finer one."""
+    near = [F.struct(level_distance(m).alias("distance"), F.lit(i).alias("level")) for i, m in enumerate(to_screen)]
+    return F.least(*near) if len(near) > 1 else near[0]
+
+
+def best_level(levels: DataFrame, keys: Sequence[str], to_screen: str | Sequence[affine.Affine] = "to_screen") -> DataFrame:
+    """Per key the level whose voxels are nearest to pixels; of equals the finer one.
+
+    levels: rows of keys, level and a map, or, if to_screen lists the maps of
+    all levels, rows of keys. Only distances go to the grouping, in the latter
+    case one a row.
+    """
+    near = F.struct(level_distance(F.col(to_screen)).alias("distance"), "level") if isinstance(to_screen, str) else nearest_level(to_screen)
+    return levels.select(*keys, near.alias("near")).groupBy(*keys).agg(F.min("near")["level"].alias("best"))
 
 
 def level_order(best: DataFrame, keys: Sequence[str], new_timepoint: bool, count: str = "num_levels") -> DataFrame:

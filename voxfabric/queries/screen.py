@@ -155,10 +155,8 @@ SELECT p_partkey, CAST(arg_min(level, (dist, level)) AS BIGINT) AS best FROM d G
 def best_level(spark, sf_dir):
     zoom = F.col("zoom")
     rows = derived.table(spark, sf_dir, "part").select("p_partkey", (F.lit(0.125) * (F.col("p_size") % 16 + 1)).alias("zoom"))
-    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    f = F.pow(F.lit(2.0), "level")
-    rows = rows.withColumn("to_screen", affine.scaling([zoom * f, zoom * f * (1 + F.col("p_partkey") % 5), 3.0 * f], True))
-    return screen.best_level(rows, ["p_partkey"]).withColumn("best", F.col("best").cast("long"))
+    maps = [affine.scaling([zoom * f, zoom * f * (1 + F.col("p_partkey") % 5), F.lit(3.0 * f)], True) for f in (1.0, 2.0, 4.0, 8.0, 16.0)]
+    return screen.best_level(rows, ["p_partkey"], maps).withColumn("best", F.col("best").cast("long"))
 
 
 @query("""
