@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxfabric.functions import affine
+from voxfabric.operators.sampling import computed
+from voxfabric.sources.scratch import settled
+
+#: Pairs of rectangles that one task compares, about (a fixed value).
+PAIRS = 50_000_000
 
 
 def screen_bounds(sources: DataFrame, to_screen: affine.Affine, margin: float = 0.5) -> DataFrame:
@@ -19,7 +24,8 @@ def screen_bounds(sources: DataFrame, to_screen: affine.Affine, margin: float =
     low = [F.col(f"min_{a}") - F.lit(margin) for a in "xyz"]
     high = [F.col(f"max_{a}") + F.lit(margin) for a in "xyz"]
     bounds = affine.box_bounds(to_screen, low, high)
-    return sources.withColumns({f"s_{m}_{a}": b[i] for a, b in zip("xyz", bounds) for i, m in enumerate(("min", "max"))})
+    # Filters on them would compute them once more in each of their terms.
+    return computed(sources, {f"s_{m}_{a}": b[i] for a, b in zip("xyz", bounds) for i, m in enumerate(("min", "max"))})
 
 
 def cull(sources: DataFrame, to_screen: affine.Affine, width: int, height: int, margin: float = 0.5) -> DataFrame:
@@ -150,19 +156,34 @@ def overlapping(left: DataFrame, right: DataFrame, size: int) -> DataFrame:
     """Pairs of rectangles (x0, y0, x1, y1; right's with prefix r_) that overlap, by an equi-join on bins.
 
     A pair that shares several bins is kept in the one that holds the upper
-    left corner of its intersection.
+    left corner of its intersection. A bin's work is the product of its two
+    sides: the left ones of full bins are dealt out to blocks, to each of which
+    the right ones go, so that a task compares about PAIRS rectangles, however
+    many lie in one place. There are as many tasks as that takes.
     """
+    bins, corner = ["bin_x", "bin_y"], {p: [f"{p}bin_{a}0" for a in "xy"] for p in ("", "r_")}
 
     def binned(df: DataFrame, p: str) -> DataFrame:
-        for a in "xy":
-            df = df.withColumn(f"bin_{a}", F.explode(F.sequence(F.floor(F.col(f"{p}{a}0") / size), F.floor(F.col(f"{p}{a}1") / size))))
+        for a, first in zip("xy", corner[p]):
+            low, high = (F.floor(F.col(f"{p}{a}{i}") / size) for i in (0, 1))
+            df = df.withColumn(first, low).withColumn(f"bin_{a}", F.explode(F.sequence(low, high)))
         return df
 
-    both = binned(left, "").join(binned(right, "r_"), ["bin_x", "bin_y"])
+    spark, one, two = left.sparkSession, binned(left, ""), binned(right, "r_")
+    work = F.col("n_left") * F.col("n_right")
+    sides = [df.groupBy(*bins).agg(F.count("*").alias(n)) for df, n in ((one, "n_left"), (two, "n_right"))]
+    # A row per bin of the plane.
+    blocks = settled(sides[0].join(sides[1], bins).select(*bins, work.alias("work"), F.ceil(work / PAIRS).cast("int").alias("blocks")))
+    total = blocks.agg(F.sum("work")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PAIRS))
+    dealt = one.join(F.broadcast(blocks), bins).withColumn("block", F.pmod(F.xxhash64(*left.columns), F.col("blocks")).cast("int"))
+    given = two.join(F.broadcast(blocks), bins).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    on = [*bins, "block"]
+    one, two = (df.drop("work", "blocks").repartition(n, *on) for df in (dealt, given))
+    both = one.hint("merge").join(two, on)
     for a in "xy":
-        start = F.greatest(f"{a}0", f"r_{a}0")
-        both = both.where((start <= F.least(f"{a}1", f"r_{a}1")) & (F.floor(start / size) == F.col(f"bin_{a}")))
-    return both.drop("bin_x", "bin_y")
+        both = both.where((F.col(f"{a}0") <= F.col(f"r_{a}1")) & (F.col(f"r_{a}0") <= F.col(f"{a}1")) & (F.greatest(f"bin_{a}0", f"r_bin_{a}0") == F.col(f"bin_{a}")))
+    return both.drop(*on, *corner[""], *corner["r_"])
 
 
 def strips(tiles_: DataFrame, rows: int) -> DataFrame:
