@@ -16,6 +16,8 @@ from voxfabric.sources.scratch import settled
 LEAST, MOST = 64, 1024
 #: Most sources of a tile that one task splits to the end.
 CROWD = 10_000
+#: Rows of tiles and sources that one task makes, about, of sources that are in every tile (a fixed value).
+ROWS = 5_000_000
 
 
 def split_tiles(rects: np.ndarray, tile: tuple[int, int, int, int], least: int = LEAST) -> list[tuple[tuple[int, int, int, int], np.ndarray]]:
@@ -150,15 +152,30 @@ def adaptive_tiles(rectangles: DataFrame, keys: Sequence[str], width: int, heigh
         return found
 
     alone = all_tiles.select(*frame, F.lit(None).cast(kinds["source_id"]).alias("source_id"), *[F.lit(0).cast("long").alias(c) for c in _RECT], "path", *_TILE)
-    cut = all_members.unionByName(alone).groupBy(*frame, "path").applyInPandas(finish, head + "path string, number int, strip int, x0 long, y0 long, x1 long, y1 long, source_id long")
+    # A task a tile, nearly: by their bytes, all would go to a few.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * all_tiles.count())
+    cut = all_members.unionByName(alone).repartition(n, *frame, "path").groupBy(*frame, "path").applyInPandas(finish, head + "path string, number int, strip int, x0 long, y0 long, x1 long, y1 long, source_id long")
     cut = settled(cut)
     place = [*frame, "path", "number", "strip"]
     # A frame has no more tiles than the screen has pixels.
     order = Window.partitionBy(*frame).orderBy("path", "number", "strip")
-    numbered = cut.select(*place, *_TILE).distinct().withColumn("tile_id", F.row_number().over(order).cast("long") - 1)
+    numbered = settled(cut.select(*place, *_TILE).distinct().withColumn("tile_id", F.row_number().over(order).cast("long") - 1))
     always = wide.where("not culled").select(*frame, F.col("source_id").cast("long").alias("source_id"))
-    everywhere = numbered.join(always, frame).select(*frame, "tile_id", *_TILE, "source_id")
+    everywhere = _in_every(numbered.select(*frame, "tile_id", *_TILE), always, frame)
     given = cut.where("source_id is not null").select(*place, "source_id").join(numbered, place).select(*frame, "tile_id", *_TILE, "source_id")
-    full = given.unionByName(everywhere)
-    bare = numbered.join(full.select(*frame, "tile_id").distinct(), [*frame, "tile_id"], "left_anti")
-    return full.unionByName(bare.select(*frame, "tile_id", *_TILE, F.lit(None).cast("long").alias("source_id")))
+    bare = numbered.join(given.select(*frame, "tile_id").distinct(), [*frame, "tile_id"], "left_anti").join(always.select(*frame).distinct(), frame, "left_anti")
+    return given.unionByName(everywhere).unionByName(bare.select(*frame, "tile_id", *_TILE, F.lit(None).cast("long").alias("source_id")))
+
+
+def _in_every(tiles: DataFrame, always: DataFrame, frame: Sequence[str]) -> DataFrame:
+    """Each source of a frame in each of its tiles: tiles are dealt out to blocks of about ROWS rows, to each of which the frame's sources go."""
+    sides = [df.groupBy(*frame).agg(F.count("*").alias(n)) for df, n in ((tiles, "n_tiles"), (always, "n_always"))]
+    work = F.col("n_tiles") * F.col("n_always")
+    # A row per frame.
+    blocks = settled(sides[0].join(sides[1], list(frame)).select(*frame, work.alias("work"), F.ceil(work / ROWS).cast("int").alias("blocks")))
+    total = blocks.agg(F.sum("work")).first()[0] or 0
+    n = max(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS))
+    on = [*frame, "block"]
+    dealt = tiles.join(F.broadcast(blocks), list(frame)).withColumn("block", F.pmod(F.col("tile_id"), F.col("blocks")).cast("int")).drop("work", "blocks")
+    given = always.join(F.broadcast(blocks), list(frame)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("work", "blocks")
+    return dealt.repartition(n, *on).hint("merge").join(given.repartition(n, *on), on).select(*frame, "tile_id", *_TILE, "source_id")
